@@ -38,3 +38,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small frame inside a loop."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def whole_runs(batches, key: str, least_rows: int = 4096):
+    """Arrow tables made of batches sorted by key, cut so that the rows of a key are never parted."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least_rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(key).to_numpy()
+        start = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+        if start:
+            yield table.slice(0, start)
+        rest = table.slice(start)
+        held, rows = rest.to_batches(), rest.num_rows
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
