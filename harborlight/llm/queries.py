@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, packing, token_output, vector_dedup
+from . import language_id, minhash_dedup, packing, token_output, vector_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_orc": token_output.op2_token_orc,
         "op7_minhash_near_dedup": minhash_dedup.op7_minhash_near_dedup,
         "op9_packing": packing.op9_packing,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
