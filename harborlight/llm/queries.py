@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, packing, token_output, vector_dedup
+from . import language_id, minhash_dedup, packing, quality, token_output, vector_dedup
 
 
 def queries() -> dict:
     return {
         "op1_vector_near_dedup": vector_dedup.op1_vector_near_dedup,
         "op2_token_orc": token_output.op2_token_orc,
+        "op3_quality": quality.op3_quality,
         "op7_minhash_near_dedup": minhash_dedup.op7_minhash_near_dedup,
         "op9_packing": packing.op9_packing,
         "op10_language_id": language_id.op10_language_id,
