@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, packing, quality, token_output, vector_dedup
+from . import language_id, line_dedup, minhash_dedup, packing, quality, token_output, vector_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_vector_near_dedup": vector_dedup.op1_vector_near_dedup,
         "op2_token_orc": token_output.op2_token_orc,
         "op3_quality": quality.op3_quality,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
         "op7_minhash_near_dedup": minhash_dedup.op7_minhash_near_dedup,
         "op9_packing": packing.op9_packing,
         "op10_language_id": language_id.op10_language_id,
@@ -17,4 +18,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_line_dedup": line_dedup.ORACLE_SQL,
+    }
