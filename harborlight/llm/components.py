@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,16 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("connected_components did not settle")
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row that it reaches over the pairs (i, j)."""
+    root = np.arange(n)
+    while len(i):
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if np.array_equal(root, before):
+            break
+    return root

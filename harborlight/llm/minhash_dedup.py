@@ -9,8 +9,10 @@ similarity 0.75 all 40 bands of 4 fail together with probability 3e-7.
 Buckets are worked off without listing their pairs. First each class is compared with the smallest class of its
 buckets: the joint likelihood of the two sketches estimates the similarity, the best estimate of each class is verified
 on the full sets, and verified links give components. Then, only in buckets that still hold several components, all
-pairs across components are estimated inside tasks, in blocks of bounded size, and those that may reach the
-threshold (LEAST_ESTIMATE is over five standard deviations below it) are verified too.
+pairs across components are estimated inside tasks, in blocks of bounded size; rows with a pair that may reach the
+threshold (LEAST_ESTIMATE is nearly five standard deviations below it) come once more with their full sets, and
+every such pair is verified there, by bit sets over the block's shared shingles. Of the links of a block only a
+spanning forest leaves it; no list of pairs is ever made.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; repeated rows and
 equal texts are copies of a class and share a component; other columns are not read; an empty table gives no rows.
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, stored, whole_runs
-from .components import connected_components
+from .components import connected_components, forest
 from .shingles import mixed, shingle_sets
 from .tokens import slices
 
@@ -35,9 +37,12 @@ REGISTERS = 160
 ROWS = 4
 BASE = 1.001
 SEED = 77
-LEAST_ESTIMATE = 0.55
-#: Rows of one side of a block of a bucket.
+LEAST_ESTIMATE = 0.59
+#: Fewest equal registers of a pair that is estimated: eight standard deviations below those of similarity 0.75.
+LEAST_EQUAL = 75
+#: Rows, and shingles, of one side of a block: a bucket of more is dealt into all pairs of such parts.
 BLOCK_ROWS = 2048
+BLOCK_SHINGLES = 1 << 20
 
 
 def sketch_parameters(registers: int = REGISTERS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -124,29 +129,87 @@ def _estimate_rows(batches):
             )
 
 
-def _across_rows(batches):
-    """Pairs of a block's rows in different components whose estimate allows a link."""
+def open_pairs(table: pa.Table):
+    """(i, j) row arrays: a block's pairs across components whose estimate allows a link, each in its first band only."""
+    keys = table.column("block").to_numpy()
+    bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    registers = _registers(table.column("registers").combine_chunks())
+    n = table.column("n_shingles").to_numpy().astype(float)
+    component, band = table.column("component").to_numpy(), table.column("band").to_numpy()
+    side, across = table.column("side").to_numpy(), table.column("across").to_numpy()
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+        for i in range(a, b - 1):
+            j = np.arange(i + 1, b)
+            ratio = np.minimum(n[i], n[j]) / np.maximum(n[i], n[j])
+            fits = (component[j] != component[i]) & (ratio * SIMILARITY[1] >= SIMILARITY[0])
+            if across[i]:
+                fits &= side[j] != side[i]
+            j = j[fits]
+            if not len(j):
+                continue
+            same = registers[j] == registers[i]
+            enough = same.sum(axis=1) >= LEAST_EQUAL
+            j, same = j[enough], same[enough]
+            if not len(j):
+                continue
+            j = j[same.reshape(len(j), -1, ROWS).all(axis=2).argmax(axis=1) == band[i]]
+            if not len(j):
+                continue
+            guess = estimate(np.broadcast_to(registers[i], registers[j].shape), registers[j], np.full(len(j), n[i]), n[j])
+            j = j[guess >= LEAST_ESTIMATE]
+            if len(j):
+                yield np.full(len(j), i), j
+
+
+def _open_rows(batches):
+    """The rows of blocks that have an open pair."""
     for table in whole_runs(batches, "block"):
-        keys = table.column("block").to_numpy()
-        bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        registers = _registers(table.column("registers").combine_chunks())
-        n = table.column("n_shingles").to_numpy().astype(float)
-        component, rep = table.column("component").to_numpy(), table.column("rep").to_numpy()
-        side, across = table.column("side").to_numpy(), table.column("across").to_numpy()
-        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
-            for i in range(a, b - 1):
-                j = np.arange(i + 1, b)
-                ratio = np.minimum(n[i], n[j]) / np.maximum(n[i], n[j])
-                j = j[(component[j] != component[i]) & (ratio * SIMILARITY[1] >= SIMILARITY[0])]
-                if across[i]:
-                    j = j[side[j] != side[i]]
-                if not len(j):
-                    continue
-                guess = estimate(np.broadcast_to(registers[i], registers[j].shape), registers[j], np.full(len(j), n[i]), n[j])
-                j = j[guess >= LEAST_ESTIMATE]
-                if len(j):
-                    first, second = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second)], names=["a", "b"])
+        has = np.zeros(table.num_rows, dtype=bool)
+        for i, j in open_pairs(table):
+            has[i] = has[j] = True
+        if has.any():
+            yield from table.select(["block", "rep", "component", "band", "side", "across"]).filter(pa.array(has)).to_batches()
+
+
+def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, by bit sets over the elements that more than one set holds."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    elements, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.cumsum(counts > 1) - 1
+    shared = counts[place] > 1
+    owner, column = owner[shared], rank[place[shared]]
+    out = np.zeros(len(i), dtype=np.int64)
+    for first in range(0, int(rank[-1]) + 1 if len(rank) else 0, 1 << 16):
+        mine = (column >= first) & (column < first + (1 << 16))
+        width = min(int(rank[-1]) + 1 - first, 1 << 16)
+        bits = np.zeros((len(sets), -(-width // 8)), dtype=np.uint8)
+        c = column[mine] - first
+        np.bitwise_or.at(bits, (owner[mine], c >> 3), np.left_shift(np.uint8(1), (c & 7).astype(np.uint8)))
+        for a in range(0, len(i), 4096):
+            both = bits[i[a : a + 4096]] & bits[j[a : a + 4096]]
+            out[a : a + 4096] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _link_rows(batches):
+    """A spanning forest of the verified links of each block."""
+    part, whole = SIMILARITY
+    for table in whole_runs(batches, "block", least_rows=512):
+        pairs = list(open_pairs(table))
+        if not pairs:
+            continue
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        rows, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+        column = table.column("shingles").combine_chunks()
+        sets = [np.frombuffer(column[k].as_buffer(), dtype=np.uint64) for k in rows.tolist()]
+        common = shared_counts(sets, place[: len(i)], place[len(i) :])
+        n = table.column("n_shingles").to_numpy()
+        linked = whole * common >= part * (n[i] + n[j] - common)
+        root = forest(table.num_rows, i[linked], j[linked])
+        rep = table.column("rep").to_numpy()
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(rep[root[moved]]), pa.array(rep[moved])], names=["a", "b"])
 
 
 def _set_rows(batches):
@@ -201,7 +264,7 @@ def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         classes.select("rep", "registers")
         .mapInArrow(_band_rows, "rep long, bands array<long>")
         .select("rep", F.posexplode("bands").alias("band", "value"))
-        .select("rep", F.xxhash64("band", "value").alias("bucket"))
+        .select("rep", "band", F.xxhash64("band", "value").alias("bucket"))
     )
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1")
     members = stored(keys.join(shared, "bucket"), "bucket-members")
@@ -227,31 +290,37 @@ def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
     links = verified(best, "first-links")
     components = connected_components(links)
-    placed = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", "n", F.coalesce("component", "rep").alias("component")
+    sketches_placed = sketches.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "rep", "registers", "n_shingles", F.coalesce("component", "rep").alias("component")
+    )
+    placed = members.join(sketches_placed.drop("registers"), "rep")
+    several = (
+        placed.groupBy("bucket")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("shingles"))
+        .where("low <> high")
+        .select("bucket", "shingles")
     )
-    mixed_buckets = (
-        placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    open_members = placed.join(several, "bucket").withColumn(
+        "parts", F.ceil(F.greatest(F.col("n") / block_rows, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     )
-    parts = F.ceil(F.col("n") / block_rows).cast("int")
-    open_members = placed.join(mixed_buckets.select("bucket"), "bucket").withColumn("parts", parts)
     open_members = open_members.withColumn("side", F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int"))
+    # A bucket of p parts is p * (p + 1) / 2 blocks: each part alone, and each two of them.
     others = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.struct(F.least("side", o).alias("low"), F.greatest("side", o).alias("high")),
     )
-    blocks = open_members.select("rep", "component", "side", "bucket", F.explode(others).alias("pair")).select(
-        "rep", "component", "side", (F.col("pair.low") != F.col("pair.high")).alias("across"),
+    blocks = open_members.select("rep", "component", "band", "side", "bucket", F.explode(others).alias("pair")).select(
+        "rep", "component", "band", "side", (F.col("pair.low") != F.col("pair.high")).alias("across"),
         F.xxhash64("bucket", "pair.low", "pair.high").alias("block"),
     )
-    rest = (
-        blocks.join(sketches, "rep")
-        .repartition("block")
-        .sortWithinPartitions("block")
-        .mapInArrow(_across_rows, "a long, b long")
-        .distinct()
-    )
-    more = verified(rest, "more-links")
+
+    def by_block(rows: DataFrame) -> DataFrame:
+        return rows.repartition("block").sortWithinPartitions("block")
+
+    kinds = "block long, rep long, component long, band int, side int, across boolean"
+    flagged = stored(by_block(blocks.join(sketches, "rep")).mapInArrow(_open_rows, kinds), "open-rows")
+    loaded = by_block(flagged.join(sketches.join(sets, "rep"), "rep"))
+    more = stored(loaded.mapInArrow(_link_rows, "a long, b long"), "more-links")
     components = connected_components(links.union(more))
 
     by_class = classes.select("digest", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, stored, whole_runs
-from .components import connected_components
+from .components import connected_components, forest
 
 COSINE = 0.93
 PROJECTIONS = 16
@@ -104,19 +104,6 @@ def near_pairs(x: np.ndarray, keys: np.ndarray, least: float) -> tuple[np.ndarra
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n rows the smallest row that it reaches over the pairs (i, j)."""
-    root = np.arange(n)
-    while len(i):
-        before = root.copy()
-        np.minimum.at(root, i, root[j])
-        np.minimum.at(root, j, root[i])
-        root = root[root]
-        if np.array_equal(root, before):
-            break
-    return root
-
-
 def checker(least: float):
     """A mapInArrow function over blocks: links and one forest edge for each class that has a near one there."""
 
