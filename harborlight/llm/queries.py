@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, minhash_dedup, mixing, packing, quality, suffix_dedup, token_output, vector_dedup
+from . import language_id, line_dedup, media, minhash_dedup, mixing, packing, quality, suffix_dedup, token_output, vector_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_repeated_bytes": suffix_dedup.op5_repeated_bytes,
+        "op6_webp_media": media.op6_webp_media,
         "op7_minhash_near_dedup": minhash_dedup.op7_minhash_near_dedup,
         "op8_source_mixing": mixing.op8_source_mixing,
         "op9_packing": packing.op9_packing,
