@@ -14,8 +14,9 @@ threshold (LEAST_ESTIMATE is nearly five standard deviations below it) come once
 every such pair is verified there, by bit sets over the block's shared shingles. Of the links of a block only a
 spanning forest leaves it; no list of pairs is ever made.
 
-Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; repeated rows and
-equal texts are copies of a class and share a component; other columns are not read; an empty table gives no rows.
+Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; rows that share a
+doc_id are one document, linked by any of its texts; equal texts are copies of a class and share a component; a null
+doc_id is in no component but its own; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -250,7 +251,7 @@ def document_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         "sketches",
     )
-    firsts = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    firsts = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # A repeated doc_id may stand for several sets, and one set may have several rows of a doc_id.
     rows = sketched.withColumnRenamed("doc_id", "rep")
     classes = firsts.join(rows, ["rep", "digest"]).dropDuplicates(["digest"])
@@ -325,11 +326,24 @@ def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
     by_class = classes.select("digest", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("digest", F.coalesce("component", "rep").alias("component"))
-    return sketched.select("doc_id", "digest", "n_shingles").join(by_class, "digest", "left").select(
+    every = sketched.select("doc_id", "digest", "n_shingles").join(by_class, "digest", "left")
+    every = every.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
+    return every.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"),
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, the one of the smallest doc_id; columns as they are.
+
+    Rows without a doc_id stay; of rows that are equal in doc_id and text one stays.
+    """
+    away = near_documents(docs).where("not kept").select("doc_id").distinct()
+    text_hash = F.xxhash64("text").alias("_text_hash")
+    left = docs.select("*", text_hash).join(away, "doc_id", "left_anti").dropDuplicates(["doc_id", "_text_hash"])
+    return left.select(*docs.columns)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(read(spark, sf_dir, "documents"))
