@@ -10,7 +10,7 @@ from .common import checkpointed
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node that has an edge (a, b) to another node; component: its smallest node.
+    """(node, component) for every node that edges (a, b) join to a smaller one; component: the smallest that it reaches.
 
     Large-star and small-star rounds: each round points nodes nearer to their smallest neighbour, so paths shorten
     geometrically and no group is ever gathered. Edges of a node with itself or with nulls are ignored.

@@ -243,8 +243,11 @@ def _with_sides(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) ->
     return pairs
 
 
-def document_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sketched documents (doc_id, digest, n_shingles, registers), and the first of each distinct set (rep, ...)."""
+def document_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketched documents (doc_id, digest, n_shingles, registers), and the first of each distinct set (rep, ...).
+
+    Also links (a, b) between the sets of a doc_id that has several texts.
+    """
     sketched = stored(
         docs.select("doc_id", "text").mapInArrow(
             _sketch_rows, "doc_id long, digest binary, n_shingles long, registers binary"
@@ -255,12 +258,16 @@ def document_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A repeated doc_id may stand for several sets, and one set may have several rows of a doc_id.
     rows = sketched.withColumnRenamed("doc_id", "rep")
     classes = firsts.join(rows, ["rep", "digest"]).dropDuplicates(["digest"])
-    return sketched, stored(classes, "classes")
+    named = sketched.where("digest is not null and doc_id is not null").select("doc_id", "digest")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
+    own = named.join(several, "doc_id").join(firsts, "digest").select("doc_id", F.col("rep").alias("b"))
+    own = own.join(own.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b")
+    return sketched, stored(classes, "classes"), own
 
 
 def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    sketched, classes = document_classes(docs)
+    sketched, classes, own_links = document_classes(docs)
     keys = (
         classes.select("rep", "registers")
         .mapInArrow(_band_rows, "rep long, bands array<long>")
@@ -289,7 +296,7 @@ def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         full = _with_sides(pairs, sets, {"shingles": "s"}).select("a", "b", "sa", "sb")
         return stored(full.mapInArrow(_verify_rows, "a long, b long"), name)
 
-    links = verified(best, "first-links")
+    links = verified(best, "first-links").union(own_links)
     components = connected_components(links)
     sketches_placed = sketches.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
         "rep", "registers", "n_shingles", F.coalesce("component", "rep").alias("component")

@@ -34,10 +34,13 @@ SMALL = 24
 
 
 def matrix(column) -> np.ndarray:
-    """Rows of a list column (equal lengths), scaled by their largest component, in double precision."""
+    """Rows of a list column, scaled by their largest component, in double precision; shorter ones end in zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
-    return values / np.abs(values).max(axis=1, keepdims=True)
+    values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), int(sizes.max(initial=1))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = values
+    return out / np.abs(out).max(axis=1, keepdims=True)
 
 
 def signer(projections: int, tables: int, width: float, seed: int):
