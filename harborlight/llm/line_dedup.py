@@ -52,14 +52,14 @@ def placed_lines(docs: DataFrame) -> DataFrame:
 
 
 def half_keys(key: Column, chars: Column) -> Column:
-    """Hashes of the halves that a line shares with every line one edit away.
+    """Hashes of the halves that a line shares with every line one edit away; even for first, odd for second halves.
 
     A half has half the characters, rounded down so that lengths 4n to 4n+3 agree; at 4n the shorter neighbour's too.
     """
 
     def of(half: Column) -> list[Column]:
-        first = F.xxhash64(F.lit("first"), half, F.substring(key, F.lit(1), half))
-        second = F.xxhash64(F.lit("second"), half, F.substring(key, chars - half + 1, half))
+        first = F.shiftleft(F.xxhash64(half, F.substring(key, F.lit(1), half)), 1)
+        second = F.shiftleft(F.xxhash64(half, F.substring(key, chars - half + 1, half)), 1) + 1
         return [first, second]
 
     half = F.floor(chars / 4).cast("int") * 2
@@ -74,10 +74,19 @@ def in_bitmap(bitmap: Column, slot: Column) -> Column:
 
 
 def candidate_lines(docs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """The distinct long lines (h1, h2, place, key) that share a half with another."""
+    """The distinct long lines (h1, h2, key) that share a half with another: first and second tell which.
+
+    nth numbers them in the order of their earliest places.
+    """
     halves = hashed.where("halves is not null").select("h1", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
-    candidates = stored(halves.join(met.select("half"), "half", "left_semi").select("h1").distinct(), "line-candidates")
+    odd = F.pmod("half", F.lit(2)) == 1
+    candidates = stored(
+        halves.join(met.select("half"), "half", "left_semi")
+        .groupBy("h1")
+        .agg(F.bool_or(~odd).alias("first"), F.bool_or(odd).alias("second")),
+        "line-candidates",
+    )
     slot = F.pmod("h1", F.lit(FILTER_BITS)) + 1
     bitmaps = (
         candidates.select(slot.alias("slot"))
@@ -86,40 +95,47 @@ def candidate_lines(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     )  # at most FILTER_BITS bits
     lines = placed_lines(docs).withColumn("slot", slot).withColumn("bucket", F.bitmap_bucket_number("slot"))
     likely = lines.join(F.broadcast(bitmaps), "bucket").where(in_bitmap(F.col("bitmap"), F.col("slot")))
-    return stored(
-        likely.join(candidates, "h1", "left_semi")
-        .groupBy("h1", "h2")
-        .agg(F.min(F.struct("id", "row", "line_no")).alias("place"), F.min("key").alias("key")),
-        "candidate-lines",
+    distinct = (
+        likely.join(candidates, "h1")
+        .groupBy("h1", "h2", "first", "second")
+        .agg(F.min(F.struct("id", "row", "line_no")).alias("place"), F.min("key").alias("key"))
+        .orderBy("place")
     )
+    return stored(distinct.withColumn("nth", F.monotonically_increasing_id()).drop("place"), "candidate-lines")
 
 
-def earlier_neighbours(distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of each line (h1, h2, place, key) that has an earlier one within one edit."""
+def earlier_neighbours(lines: DataFrame) -> DataFrame:
+    """(h1, h2) of each line (h1, h2, key, nth, first, second) that has an earlier one within one edit."""
     key, cut = F.col("key"), F.col("cut")
     chars = F.length("key")
-    line = F.struct("place", "h1", "h2").alias("line")
-    variants = stored(
-        distinct.select(line, "key", F.explode(F.sequence(F.lit(0), chars)).alias("cut")).select(
-            "line", "cut",
-            F.when(cut == 0, F.xxhash64(key)).otherwise(
-                F.xxhash64(F.concat(F.substring(key, F.lit(1), cut - 1), F.substring(key, cut + 1, chars)))
-            ).alias("variant"),
-        ),
-        "line-variants",
+    half = F.floor(chars / 4).cast("int") * 2
+    # An edit lies behind a shared first half, or before a shared second one; cut 0 stands for the whole line.
+    cuts = F.filter(
+        F.sequence(F.lit(0), chars),
+        lambda c: (c == 0) | (F.col("first") & (c > half - 2)) | (F.col("second") & (c <= chars - half + 2)),
+    )
+    variants = lines.select("nth", "key", F.explode(cuts).alias("cut")).select(
+        "nth", "cut",
+        F.when(cut == 0, F.xxhash64(key)).otherwise(
+            F.xxhash64(F.concat(F.substring(key, F.lit(1), cut - 1), F.substring(key, cut + 1, chars)))
+        ).alias("variant"),
     )
-    cuts, whole = variants.where("cut > 0"), variants.where("cut = 0").select("variant", F.col("line").alias("whole"))
-    # Substitutions: lines that become equal by deleting the same position.
-    shared = cuts.groupBy("variant", "cut").agg(F.min("line").alias("near"), F.count("*").alias("n")).where("n > 1").drop("n")
-    substituted = cuts.join(shared, ["variant", "cut"]).where("near.place < line.place").select("line", "near")
+    met = stored(
+        variants.groupBy("variant").agg(F.min("nth").alias("low"), F.max("nth").alias("high")).where("low <> high").select("variant"),
+        "met-variants",
+    )
+    shared = stored(variants.join(met, "variant"), "shared-variants")
+    deleted, whole = shared.where("cut > 0"), shared.where("cut = 0").select("variant", F.col("nth").alias("whole"))
+    # Substitutions: lines that become equal by deleting the same position; the earliest is near to all others.
+    same = deleted.groupBy("variant", "cut").agg(F.min("nth").alias("near"))
+    substituted = deleted.join(same, ["variant", "cut"]).where("near < nth").select("nth", "near")
     # Insertions and deletions: a whole line equal to a variant of a longer one.
-    longer = cuts.groupBy("variant").agg(F.min("line").alias("near")).join(whole, "variant")
-    shortened = longer.where("near.place < whole.place").select(F.col("whole").alias("line"), "near")
-    lengthened = cuts.join(whole, "variant").where("whole.place < line.place").select("line", F.col("whole").alias("near"))
-    pairs = substituted.union(shortened).union(lengthened).select("line.h1", "line.h2", F.col("near.h1").alias("n1"), F.col("near.h2").alias("n2"))
-    texts = distinct.select("h1", "h2", "key")
-    near = distinct.select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.col("key").alias("near_key"))
-    checked = pairs.distinct().join(texts, ["h1", "h2"]).join(near, ["n1", "n2"])
+    longer = deleted.groupBy("variant").agg(F.min("nth").alias("near")).join(whole, "variant")
+    shortened = longer.where("near < whole").select(F.col("whole").alias("nth"), "near")
+    lengthened = deleted.join(whole, "variant").where("whole < nth").select("nth", F.col("whole").alias("near"))
+    pairs = substituted.union(shortened).union(lengthened).distinct()
+    near = lines.select(F.col("nth").alias("near"), F.col("key").alias("near_key"))
+    checked = pairs.join(lines.select("nth", "h1", "h2", "key"), "nth").join(near, "near")
     return checked.where(F.levenshtein("key", "near_key", 1) == 1).select("h1", "h2").distinct()
 
 
