@@ -17,7 +17,7 @@ A line that has an earlier line within one edit is dropped, whether or not that
 
 Line texts are not shuffled before step 2: steps before it work on hashes, and the candidates' texts are picked out of
 the documents by a bitmap of fixed size (FILTER_BITS) over their hashes; a full bitmap only lets more lines through to
-the exact join behind it.
+the exact join behind it. Hashes of variants meet by chance at times; step 4 sorts those out.
 
 Defined cases: a null text stays null and an empty one stays empty; rows of equal doc_id and text count as one document
 and get the same result; a null doc_id comes first; further columns, whatever their names, pass through; an
@@ -26,19 +26,24 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, stored
 
 #: Shorter keys are compared for equality only.
 FUZZY_CHARS = 16
-#: Size of the broadcast bitmap: 8 MB, whatever the input's size.
-FILTER_BITS = 1 << 26
+#: Bits of the broadcast bitmap, as words of 64: at most 2^18 rows, whatever the input's size.
+FILTER_BITS = 1 << 24
+#: Characters of a block of the variants' hash.
+BLOCK = 32
 
 
 def line_key(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), "\\s+", " "))
+    odd = F.lit(False)
+    for white in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd |= F.contains(line, F.lit(white))
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, "\\s+", " ")).otherwise(line)))
 
 
 def placed_lines(docs: DataFrame) -> DataFrame:
@@ -66,13 +71,6 @@ def half_keys(key: Column, chars: Column) -> Column:
     return F.when(chars % 4 == 0, F.array(*of(half), *of(half - 2))).otherwise(F.array(*of(half)))
 
 
-def in_bitmap(bitmap: Column, slot: Column) -> Column:
-    """Whether the bit of slot (1 and up) is set in its bucket's bitmap."""
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
-
-
 def candidate_lines(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     """The distinct long lines (h1, h2, key) that share a half with another: first and second tell which.
 
@@ -87,14 +85,11 @@ def candidate_lines(docs: DataFrame, hashed: DataFrame) -> DataFrame:
         .agg(F.bool_or(~odd).alias("first"), F.bool_or(odd).alias("second")),
         "line-candidates",
     )
-    slot = F.pmod("h1", F.lit(FILTER_BITS)) + 1
-    bitmaps = (
-        candidates.select(slot.alias("slot"))
-        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-    )  # at most FILTER_BITS bits
-    lines = placed_lines(docs).withColumn("slot", slot).withColumn("bucket", F.bitmap_bucket_number("slot"))
-    likely = lines.join(F.broadcast(bitmaps), "bucket").where(in_bitmap(F.col("bitmap"), F.col("slot")))
+    # A bit for each candidate's hash, in words of 64.
+    word = F.pmod(F.shiftright("h1", 6), F.lit(FILTER_BITS // 64))
+    words = candidates.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(h1, 64) as int))")).alias("bits"))
+    lines = placed_lines(docs).withColumn("word", word)
+    likely = lines.join(F.broadcast(words), "word").where(F.expr("shiftrightunsigned(bits, cast(pmod(h1, 64) as int)) & 1L = 1L"))
     distinct = (
         likely.join(candidates, "h1")
         .groupBy("h1", "h2", "first", "second")
@@ -104,22 +99,50 @@ def candidate_lines(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     return stored(distinct.withColumn("nth", F.monotonically_increasing_id()).drop("place"), "candidate-lines")
 
 
-def earlier_neighbours(lines: DataFrame) -> DataFrame:
-    """(h1, h2) of each line (h1, h2, key, nth, first, second) that has an earlier one within one edit."""
-    key, cut = F.col("key"), F.col("cut")
-    chars = F.length("key")
-    half = F.floor(chars / 4).cast("int") * 2
-    # An edit lies behind a shared first half, or before a shared second one; cut 0 stands for the whole line.
+def block_hash(number: Column, block: Column) -> Column:
+    """40 bits for a block and its number; 0 for an empty one. Sums of them name strings of any length."""
+    return F.when(block == "", 0).otherwise(F.shiftrightunsigned(F.xxhash64(number, block), 24))
+
+
+def variants_of(lines: DataFrame) -> DataFrame:
+    """(nth, cut, variant) for lines (nth, key, first, second): cut 0 is the line, cut n the line without character n.
+
+    A string's hash is the sum over its blocks of BLOCK characters. Without one character, the blocks before it stay, its own
+    is put together anew, and those behind it are the line's blocks one character further on: all variants of a line
+    take time in proportion to its length.
+    """
+    number, chars = F.col("number"), F.length("key")
+    blocks = lines.select(
+        "nth", "first", "second", chars.alias("chars"), F.explode(F.sequence(F.lit(0), F.floor((chars - 1) / BLOCK).cast("int"))).alias("number"),
+        "key",
+    ).select("nth", "first", "second", "chars", "number", F.substring("key", number * BLOCK + 1, F.lit(BLOCK + 1)).alias("piece"))
+    here = block_hash(number, F.substring("piece", F.lit(1), F.lit(BLOCK)))
+    shifted = block_hash(number, F.substring("piece", F.lit(2), F.lit(BLOCK)))
+    line = Window.partitionBy("nth").orderBy("number")
+    ahead, behind = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    blocks = blocks.select(
+        "*", F.coalesce(F.sum(here).over(ahead), F.lit(0)).alias("before"), F.coalesce(F.sum(shifted).over(behind), F.lit(0)).alias("after"),
+        here.alias("own"), F.max("number").over(Window.partitionBy("nth")).alias("last"),
+    )
+    # An edit lies behind a shared first half, or before a shared second one.
+    half = F.floor(F.col("chars") / 4).cast("int") * 2
     cuts = F.filter(
-        F.sequence(F.lit(0), chars),
-        lambda c: (c == 0) | (F.col("first") & (c > half - 2)) | (F.col("second") & (c <= chars - half + 2)),
+        F.sequence(number * BLOCK + 1, F.least(F.col("chars"), (number + 1) * BLOCK)),
+        lambda c: (F.col("first") & (c > half - 2)) | (F.col("second") & (c <= F.col("chars") - half + 2)),
     )
-    variants = lines.select("nth", "key", F.explode(cuts).alias("cut")).select(
-        "nth", "cut",
-        F.when(cut == 0, F.xxhash64(key)).otherwise(
-            F.xxhash64(F.concat(F.substring(key, F.lit(1), cut - 1), F.substring(key, cut + 1, chars)))
-        ).alias("variant"),
-    )
+    cut = F.col("cut")
+    at = cut - number * BLOCK
+    without = F.concat(F.substring("piece", F.lit(1), at - 1), F.substring("piece", at + 1, F.lit(BLOCK + 1)))
+    deleted = blocks.select("*", F.explode(cuts).alias("cut")).select(
+        "nth", "cut", F.xxhash64(F.col("before") + block_hash(number, without) + F.col("after"), F.col("chars") - 1).alias("variant")
+    )
+    whole = blocks.where("number = last").select("nth", F.lit(0).alias("cut"), F.xxhash64(F.col("before") + F.col("own"), "chars").alias("variant"))
+    return deleted.union(whole)
+
+
+def earlier_neighbours(lines: DataFrame) -> DataFrame:
+    """(h1, h2) of each line (h1, h2, key, nth, first, second) that has an earlier one within one edit."""
+    variants = variants_of(lines)
     met = stored(
         variants.groupBy("variant").agg(F.min("nth").alias("low"), F.max("nth").alias("high")).where("low <> high").select("variant"),
         "met-variants",
