@@ -1,30 +1,48 @@
-"""Whole-text byte-level BPE encoding through the tokenizers library, with a cache of encoded words.
+"""Whole-text byte-level BPE encoding through the tokenizers library, with a table of encoded pre-tokens.
 
-The vocabulary's pre-tokenizer always starts a new pre-token at a space that is followed by anything but
-white space, so a text may be cut there and its parts encoded alone: the ids are those of the whole text.
-Each distinct part is encoded once per cache generation; texts where the rule does not hold (a space before
-white space or at the end) are encoded whole.
+The vocabulary's pre-tokenizer cuts a text into runs of letters, digits or other marks, each with the space before it, into
+contractions and into white space; the model then encodes each pre-token alone. Here the cuts are found over arrays of
+bytes for many texts at once, each pre-token is named by a 64-bit hash (and its length), and only pre-tokens that the table
+doesn't have yet go to the library. Texts with bytes outside of SIMPLE (other scripts, control characters) are
+encoded whole by the library itself.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 from array import array
 
 import numpy as np
 
+from .shingles import _powers, mixed
+
 END_OF_TEXT = 0
 BYTE_BPE = "byte_bpe_50k.json"
-#: Most cached parts held by one Python worker; beyond it the cache starts anew.
-CACHE_ENTRIES = 1_000_000
+#: Most pre-tokens held by one Python worker (about 60 MB); beyond it the table starts anew.
+TABLE_ENTRIES = 1_500_000
+_SLOTS = 1 << 22
+#: Longer texts are cut at spaces between words.
+_LONGEST = 1 << 21
+
+_LETTER, _DIGIT, _MARK, _SPACE, _WHITE, _STOP, _OTHER = range(7)
+
+
+def _classes() -> np.ndarray:
+    """The kind of each byte; a letter's two bytes from U+00C0 to U+00FF count as letters."""
+    kind = np.full(256, _OTHER, dtype=np.uint8)
+    for b in range(0x21, 0x7F):
+        kind[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _MARK
+    kind[0x80:0xC0] = kind[0xC3] = _LETTER
+    kind[0x20] = _SPACE
+    kind[0x09:0x0E] = _WHITE
+    kind[0] = _STOP
+    return kind
 
-_UNSAFE_SPACE = re.compile(r" (?!\S)")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Parts whose pre-tokens are runs of letters, runs of these marks, and single line ends between them.
-_SIMPLE = re.compile(rf"[{_LETTERS}][{_LETTERS}.,;:!?]*(?:\n[{_LETTERS}.,;:!?]+)*\Z")
-_CUTS = re.compile(r"([.,;:!?]+|\n)")
+
+KIND = _classes()
+#: Letters after an apostrophe that make a contraction, by its length.
+ONE, TWO = b"stmd", (b"re", b"ve", b"ll")
 
 
 def vocabulary(name: str = BYTE_BPE) -> str:
@@ -40,6 +58,29 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def pretoken_starts(data: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin in texts laid end to end, each text between stops (0); also where each stop is."""
+    kind = KIND[data]
+    white = (kind == _SPACE) | (kind == _WHITE)
+    before, after = np.empty_like(kind), np.empty_like(white)
+    before[0], before[1:] = _STOP, kind[:-1]
+    after[-1], after[:-1] = False, ~white[1:] & (kind[1:] != _STOP)
+    white_before = np.concatenate(([False], white[:-1]))
+    starts = (white & (~white_before | after)) | (~white & (kind != before) & (before != _SPACE)) | (kind == _STOP)
+    quotes = np.flatnonzero((data == 0x27) & starts)  # an apostrophe that begins a pre-token
+    quotes = quotes[quotes + 2 < len(data)]
+    first, second = data[quotes + 1], data[quotes + 2]
+    short = np.isin(first, list(ONE))
+    long = np.zeros(len(quotes), dtype=bool)
+    for a, b in TWO:
+        long |= (first == a) & (second == b)
+    for found, size in ((quotes[short], 2), (quotes[long & ~short], 3)):
+        starts[found + 1] = False
+        ends = found + size
+        starts[ends[kind[ends] == _LETTER]] = True
+    return np.flatnonzero(starts)
+
+
 class Encoder:
     """Encodes texts to the bytes of their ids as little-endian unsigned 32-bit integers."""
 
@@ -52,69 +93,140 @@ class Encoder:
         # The same model without its own pre-tokenizer: it takes pre-tokens in the byte alphabet, parted by spaces.
         self._ready = Tokenizer(self._model.model)
         self._ready.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
-        alphabet = _byte_alphabet()
-        self._space = alphabet[0x20]
-        self._alphabet = {b: c for b, c in alphabet.items() if b != 0x20}
-        vocab = self._model.get_vocab()
-        self._opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self._opens[[i for token, i in vocab.items() if token.startswith(self._space)]] = True
-        self._parts: dict[str, bytes] = {}
+        self._alphabet = _byte_alphabet() | {0: " "}
+        self._clear()
+
+    def _clear(self) -> None:
+        self._names = np.zeros(_SLOTS, dtype=np.uint64)
+        self._places = np.zeros(_SLOTS, dtype=np.int32)
+        self._sizes = np.zeros(_SLOTS, dtype=np.int32)
+        self._pool = np.zeros(1 << 20, dtype="<u4")
+        self._pooled = self._held = 0
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._model.encode_batch(texts, add_special_tokens=False)]
 
-    def _pretokenized(self, parts: list[str]) -> list[bytes]:
-        """Ids of simple parts, each after a space: only a part's first id stands for a token that begins with one."""
-        joined = _CUTS.sub(r" \1 ", "\x20\x00".join(["", *parts])[1:])
-        if joined.isascii():
-            spelled = joined.replace("\n", self._alphabet[10]).replace("\0", self._space)
-        else:
-            spelled = joined.encode().decode("latin-1").translate(self._alphabet | {0: self._space})
-        ids = np.array(self._ready.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.append(np.flatnonzero(self._opens[ids]), len(ids))
-        data, at = ids.tobytes(), (cuts * 4).tolist()
-        return [data[a:b] for a, b in zip(at, at[1:])]
-
-    def _learn(self, parts: set[str]) -> None:
-        """Cache parts; each stands for a space and the part."""
-        if len(self._parts) + len(parts) > CACHE_ENTRIES:
-            self._parts.clear()
-        simple = [x for x in parts if _SIMPLE.match(x)]
-        other = list(parts.difference(simple))
-        for group in ([x for x in simple if x.isascii()], [x for x in simple if not x.isascii()]):
-            if group:
-                self._parts.update(zip(group, self._pretokenized(group), strict=True))
-        self._parts.update(zip(other, self._plain([" " + x for x in other])))
+    def _slots(self, names: np.ndarray) -> np.ndarray:
+        """The slot of each name, or the empty one where it would be put (as its complement)."""
+        slots = (names & np.uint64(_SLOTS - 1)).astype(np.int64)
+        out = np.empty(len(names), dtype=np.int64)
+        left = np.arange(len(names))
+        while len(left):
+            there = self._names[slots]
+            hit, empty = there == names[left], there == 0
+            out[left[hit]] = slots[hit]
+            out[left[empty & ~hit]] = ~slots[empty & ~hit]
+            more = ~(hit | empty)
+            left, slots = left[more], (slots[more] + 1) & (_SLOTS - 1)
+        return out
+
+    def _learn(self, names: np.ndarray, words: list[bytes]) -> None:
+        """Encode words and put them in the table."""
+        counts, ids = [], []
+        for a in range(0, len(words), 2000):
+            spelled = b"\0".join(words[a : a + 2000]).decode("latin-1").translate(self._alphabet)
+            encoded = self._ready.encode_batch([spelled], add_special_tokens=False)[0]
+            word = np.array(encoded.word_ids)
+            counts.append(np.bincount(word, minlength=min(2000, len(words) - a)))
+            ids.append(np.array(encoded.ids, dtype="<u4"))
+        sizes, fresh = np.concatenate(counts), np.concatenate(ids)
+        while self._pooled + len(fresh) > len(self._pool):
+            self._pool = np.concatenate((self._pool, np.zeros_like(self._pool)))
+        self._pool[self._pooled : self._pooled + len(fresh)] = fresh
+        places = self._pooled + np.cumsum(sizes) - sizes
+        self._pooled += len(fresh)
+        self._held += len(words)
+        left = np.arange(len(names))
+        while len(left):  # of names that would share a slot, one goes in each round
+            slots = ~self._slots(names[left])
+            _, first = np.unique(slots, return_index=True)
+            put, at = left[first], slots[first]
+            self._names[at], self._places[at], self._sizes[at] = names[put], places[put], sizes[put]
+            left = np.delete(left, first)
+
+    def _arrays(self, blobs: list[bytes]) -> list[bytes]:
+        """Ids of texts whose bytes are all of known kinds."""
+        joined = b"\0" + b"\0".join(blobs) + b"\0"
+        data = np.frombuffer(joined, dtype=np.uint8)
+        starts = pretoken_starts(data)
+        up, down = _powers(1 << max(20, len(data).bit_length()))
+        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
+        ends = np.append(starts[1:], len(data))
+        stops = np.flatnonzero(data[starts] == 0)
+        inside = np.ones(len(starts), dtype=bool)
+        inside[stops] = False
+        bounds = (stops - np.arange(len(stops))).tolist()  # of texts, in pre-tokens
+        starts, ends = starts[inside], ends[inside]
+        names = mixed((running[ends] - running[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        names |= np.uint64(1)
+        slots = self._slots(names)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            fresh, first = np.unique(names[missing], return_index=True)
+            if self._held + len(fresh) > TABLE_ENTRIES:
+                self._clear()
+                fresh, first = np.unique(names, return_index=True)
+                missing = np.arange(len(names))
+            at = missing[first]
+            self._learn(fresh, [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            slots[missing] = self._slots(names[missing])
+        sizes, places = self._sizes[slots], self._places[slots]
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self._pool[np.repeat(places - total[:-1], sizes) + np.arange(total[-1])]
+        cuts = total[bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, str, list[str]]] = []
-        whole: list[int] = []
-        seen: set[str] = set()
+        simple, pieces, whole = [], [], []
         for i, text in enumerate(texts):
-            if _UNSAFE_SPACE.search(text):
+            parts = _cut(text) if len(text) > _LONGEST else [text]
+            blobs = [p.encode() for p in parts]
+            if all(_is_simple(b) for b in blobs):
+                simple.append((i, len(blobs)))
+                pieces += blobs
+            else:
                 whole.append(i)
-                continue
-            first, *rest = text.split(" ")
-            split.append((i, first, rest))
-            seen.update(rest)
-        known = self._parts
-        fresh = seen.difference(known)
-        if fresh:
-            self._learn(fresh)
-            if not seen <= known.keys():  # the cache was started anew
-                self._learn(seen.difference(known))
-        firsts = self._plain([first for _, first, _ in split])
-        for (i, _, rest), head in zip(split, firsts):
-            out[i] = b"".join([head, *map(known.__getitem__, rest)])
+        done: list[bytes] = []
+        for a, b in slices(pieces):
+            done += self._arrays(pieces[a:b])
+        at = 0
+        for i, n in simple:
+            out[i] = done[at] if n == 1 else b"".join(done[at : at + n])
+            at += n
         for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
             out[i] = ids
         return out
 
 
+#: Bytes that KIND knows, but stops; and the two-byte signs among Latin letters that are no letters.
+SIMPLE = bytes(b for b in range(256) if KIND[b] not in (_OTHER, _STOP))
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7")
+
+
+def _is_simple(data: bytes) -> bool:
+    if data.translate(None, SIMPLE):
+        return False
+    return data.isascii() or not any(sign in data for sign in _SIGNS)
+
+
+def _cut(text: str) -> list[str]:
+    """A long text cut before single spaces between other characters: pre-tokens begin there in any case."""
+    out, start = [], 0
+    while len(text) - start > _LONGEST:
+        at = text.rfind(" ", start + 1, start + _LONGEST)
+        while at > start and (text[at - 1].isspace() or text[at + 1 : at + 2].isspace()):
+            at = text.rfind(" ", start + 1, at)
+        if at <= start:
+            break
+        out.append(text[start:at])
+        start = at
+    return [*out, text[start:]]
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker; its cache lasts over the worker's tasks."""
+    """One encoder for each Python worker; its table lasts over the worker's tasks."""
     return Encoder(path)
 
 
