@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read
-from .tokens import slices
+from .tokens import text_slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -174,19 +174,19 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            lettered = [has_letter(t) for t in texts] if model.languages else [False] * len(texts)
-            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for a, b in slices([t or "" for t in texts]):
-                rows = [i for i in range(a, b) if lettered[i]]
+            n = batch.num_rows
+            lettered, pred, score = np.zeros(n, dtype=bool), [UNKNOWN] * n, np.zeros(n)
+            for a, b, texts in text_slices(batch, name=text):
+                rows = [i for i in range(a, b) if model.languages and has_letter(texts[i - a])]
                 if rows:
-                    chance = scores(model, [texts[i] for i in rows])
+                    lettered[rows] = True
+                    chance = scores(model, [texts[i - a] for i in rows])
                     score[rows] = chance.max(axis=1)
                     for i, k in zip(rows, chance.argmax(axis=1).tolist()):
                         pred[i] = model.languages[k]
-            rejected = (score < model.reject_below) | ~np.array(lettered, dtype=bool)
+            rejected = (score < model.reject_below) | ~lettered
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)],
+                [*(batch.column(k) for k in names), pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)],
                 names=[*names, "lang_pred", "lang_score", "lang_rejected"],
             )
 

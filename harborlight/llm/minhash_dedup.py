@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import read, stored, whole_runs
 from .components import connected_components, forest
 from .shingles import mixed, shingle_sets
-from .tokens import slices
+from .tokens import text_slices
 
 SIMILARITY = (75, 100)
 REGISTERS = 160
@@ -84,9 +84,9 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base:
 def _sketch_rows(batches):
     parameters = sketch_parameters()
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-        for a, b in slices([t or "" for t in texts]):
-            sets = shingle_sets(texts[a:b])
+        ids = batch.column("doc_id")
+        for a, b, texts in text_slices(batch):
+            sets = shingle_sets(texts)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             registers = [sketch(s, parameters).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -215,9 +215,9 @@ def _link_rows(batches):
 
 def _set_rows(batches):
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-        for a, b in slices([t or "" for t in texts]):
-            blobs = [s.tobytes() for s in shingle_sets(texts[a:b])]
+        ids = batch.column("doc_id")
+        for a, b, texts in text_slices(batch):
+            blobs = [s.tobytes() for s in shingle_sets(texts)]
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(a, b - a).cast(pa.int64()), pa.array(blobs, pa.binary())], names=["rep", "shingles"]
             )

@@ -130,9 +130,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, e
         packer = Packer(TaskContext.get().partitionId() << 40, length)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for a, b in tokens.slices(texts):
-                for doc, encoded in zip(ids[a:b], model.encode(texts[a:b])):
+            for a, b, texts in tokens.text_slices(batch):
+                for doc, encoded in zip(ids[a:b], model.encode(texts)):
                     packer.add(doc, encoded + end)
                 yield _batch(packer.pieces())
         packer.close()

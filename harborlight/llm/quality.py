@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .language_id import part_of
-from .tokens import slices
+from .tokens import text_slices
 
 STRIDE = 4
 EMBEDDING = 8
@@ -204,9 +204,8 @@ def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices(texts, 1 << 18):
-                score = scores(shared.value, [t.encode() for t in texts[a:b]])
+            for a, b, texts in text_slices(batch, 1 << 18):
+                score = scores(shared.value, [t.encode() for t in texts])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(score)], names=["doc_id", "score"])
 
     schema = docs.select("doc_id", F.lit(0.0).alias("score")).schema

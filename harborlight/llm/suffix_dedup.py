@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import read, stored, whole_runs
 from .shingles import _powers, mixed
-from .tokens import slices
+from .tokens import text_slices
 
 LENGTH = 400
 GRAM = 48
@@ -84,9 +84,8 @@ def anchored_segments(blobs: list[bytes], length: int = LENGTH, gram: int = GRAM
 
 def _anchor_rows(batches):
     for batch in batches:
-        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        for a, b in slices(texts):
-            owner, low, high, anchor, group, whole = anchored_segments(texts[a:b])
+        for a, _, texts in text_slices(batch):
+            owner, low, high, anchor, group, whole = anchored_segments([t.encode() for t in texts])
             rows = pa.array(owner + a)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -39,10 +39,9 @@ def encode_partition(vocabulary: str, end_id: int):
         model = tokens.encoder(vocabulary)
         local = 0
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for a, b in tokens.slices(texts):
+            for a, b, texts in tokens.text_slices(batch):
                 lengths, blobs = [], []
-                for ids in model.encode(texts[a:b]):
+                for ids in model.encode(texts):
                     blobs.append(ids)
                     blobs.append(end_id.to_bytes(4, "little"))
                     lengths.append(len(ids) // 4 + 1)

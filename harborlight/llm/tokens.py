@@ -14,6 +14,7 @@ import os
 from array import array
 
 import numpy as np
+import pyarrow.compute as pc
 
 from .shingles import _powers, mixed
 
@@ -230,7 +231,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts, most_chars: int = 1 << 20):
+def slices(texts, most_chars: int = 1 << 18):
     """Row ranges of about most_chars characters, so that the size of a batch doesn't grow with its texts."""
     start, chars = 0, 0
     for i, text in enumerate(texts):
@@ -240,3 +241,16 @@ def slices(texts, most_chars: int = 1 << 20):
             start, chars = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def text_slices(batch, most_bytes: int = 1 << 19, name: str = "text"):
+    """(first, end, texts) over an Arrow batch's texts, a limited number of bytes at a time; null is an empty text."""
+    column = batch.column(name)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    total = np.cumsum(sizes, dtype=np.int64)
+    first = 0
+    while first < len(sizes):
+        base = int(total[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(total, base + most_bytes, side="right")))
+        yield first, end, [t or "" for t in column.slice(first, end - first).to_pylist()]
+        first = end
