@@ -34,14 +34,13 @@ def is_stale(kind: Column, ts: Column, as_of: Column) -> Column:
 def relative_units(seconds: Column) -> Column:
     """The struct (amount, unit) of a time span: the largest unit that fits, after rounding has spilled over."""
     size = F.abs(seconds)
-    chosen = F.lit(len(UNITS) - 1)
-    for k in reversed(range(len(UNITS))):
-        chosen = F.when(size >= UNITS[k][1], F.lit(k)).otherwise(chosen)
-    for k in reversed(range(1, len(UNITS))):
-        spills = F.floor(size / UNITS[k][1] + 0.5) * UNITS[k][1] >= UNITS[k - 1][1]
-        chosen = F.when((chosen == k) & spills, F.lit(k - 1)).otherwise(chosen)
+    # Whether the span is told in unit k or a larger one: it is as long, or rounding in the next smaller one makes it so.
+    reach = [F.lit(True)] * len(UNITS)
+    for k in reversed(range(len(UNITS) - 1)):
+        length = UNITS[k + 1][1]
+        reach[k] = (size >= UNITS[k][1]) | (reach[k + 1] & (F.floor(size / length + 0.5) * length >= UNITS[k][1]))
     amount, unit = F.lit(None).cast("long"), F.lit(None).cast("string")
-    for k, (name, length) in enumerate(UNITS):
-        amount = F.when(chosen == k, F.floor(seconds / length + 0.5)).otherwise(amount)
-        unit = F.when(chosen == k, F.lit(name)).otherwise(unit)
+    for k, (name, length) in reversed(list(enumerate(UNITS))):
+        amount = F.when(reach[k], F.floor(seconds / length + 0.5)).otherwise(amount)
+        unit = F.when(reach[k], F.lit(name)).otherwise(unit)
     return F.struct(amount.alias("amount"), unit.alias("unit"))

@@ -98,9 +98,9 @@ def rating_filter(spark, sf_dir):
     return poi(spark, sf_dir).where(predicates.rated(F.col("type"), F.col("rating"), 3.0)).select("id", "rating")
 
 
-@query("year_filter", "select id, year(ts)::int as y from poi where ts is null or year(ts) >= 2020", POI)
+@query("year_filter", "select id, coalesce(year(ts), 0)::int as y from poi where ts is null or year(ts) >= 2020", POI)
 def year_filter(spark, sf_dir):
-    return poi(spark, sf_dir).where(dates.in_or_after_year(F.col("ts"), 2020)).select("id", F.year("ts").alias("y"))
+    return poi(spark, sf_dir).where(dates.in_or_after_year(F.col("ts"), 2020)).select("id", F.coalesce(F.year("ts"), F.lit(0)).alias("y"))
 
 
 @query("valid_coords", "select id from (select id, lat * 2.1423e0 as a, lon * 2.5353e0 as b from poi) where a between -90 and 90 and b between -180 and 180", POI)
@@ -224,14 +224,14 @@ def federate_union(spark, sf_dir):
 
 @query(
     "feature_dedupe_by_id",
-    "select event_id, object_id from (select event_id, object_id, case when object_id is null then 1 else "
+    "select event_id, coalesce(object_id, -1) as object_id from (select event_id, object_id, case when object_id is null then 1 else "
     "row_number() over (partition by object_id order by event_id) end as n from "
     "(select event_id, case when event_id % 10 <> 3 then event_id % 2000 end as object_id from events)) where n = 1",
 )
 def feature_dedupe_by_id(spark, sf_dir):
     e = F.col("event_id")
     rows = testbed.table(spark, sf_dir, "events").select("event_id", F.when(e % 10 != 3, e % 2000).alias("object_id"))
-    return federate.first_by_key(rows, ["object_id"], [e])
+    return federate.first_by_key(rows, ["object_id"], [e]).select("event_id", F.coalesce("object_id", F.lit(-1)).alias("object_id"))
 
 
 @query(
@@ -430,13 +430,14 @@ def too_low_bridges(spark, sf_dir):
 
 @query(
     "clearance_resolve",
-    f"select id, {whole('coalesce(clearance_m, detail_clearance_m)', '1e1')} as clearance_dm from poi left join details using (id) where type = 'Bridge'",
+    f"select id, {whole('coalesce(clearance_m, detail_clearance_m)', '1e1')} as clearance_dm from poi left join details using (id) where type = 'Bridge' and coalesce(clearance_m, detail_clearance_m) is not null",
     POI, _DETAILS,
 )
 def clearance_resolve(spark, sf_dir):
     base = poi(spark, sf_dir)
     both = base.where("type = 'Bridge'").join(_details(base), "id", "left")
-    return both.select("id", numbers.scaled(F.coalesce("clearance_m", "detail_clearance_m"), 10.0).alias("clearance_dm"))
+    known = F.coalesce("clearance_m", "detail_clearance_m")
+    return both.where(known.isNotNull()).select("id", numbers.scaled(known, 10.0).alias("clearance_dm"))
 
 
 # Alarms over recorded fixes
@@ -490,9 +491,11 @@ def bridge_alarm_transitions(spark, sf_dir):
     return _turns(alarms.bridges(_with_air_draft(_ticks(spark, sf_dir)), poi(spark, sf_dir), 1.0))
 
 
-@query("air_draft_asof", f"select event_id, {whole('draft', '1e1')} as draft_dm from air", FIXES, TICKS, AIR)
+@query("air_draft_asof", f"select event_id, coalesce({whole('draft', '1e1')}, -1) as draft_dm from air", FIXES, TICKS, AIR)
 def air_draft_asof(spark, sf_dir):
-    return _with_air_draft(_ticks(spark, sf_dir)).select("event_id", numbers.scaled(F.col("air_draft"), 10.0).alias("draft_dm"))
+    return _with_air_draft(_ticks(spark, sf_dir)).select(
+        "event_id", F.coalesce(numbers.scaled(F.col("air_draft"), 10.0), F.lit(-1)).alias("draft_dm")
+    )
 
 
 _MESSAGES = "messages as (select vessel, event_type as id, tick, cast(value as bigint) // 20 as message from ticks join events using (event_id) where tick % 7 <> 3)"
