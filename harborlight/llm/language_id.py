@@ -205,7 +205,9 @@ def learnable() -> Column:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is identified and not rejected; columns as they are."""
     model = fit(docs, learnable())
-    return identify(docs, model).where("not lang_rejected").drop("lang_pred", "lang_score", "lang_rejected")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # docs may have columns of the added names
+    found = identify(docs, model).toDF(*names, "pred", "score", "rejected")
+    return found.where("not rejected").select(*names).toDF(*docs.columns)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

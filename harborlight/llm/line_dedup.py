@@ -193,8 +193,10 @@ def drop_repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> Data
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """docs without repeated lines; a document of which no words are left goes. Columns as they are."""
-    left = drop_repeated_lines(docs)
-    return left.where("n_dropped = 0 or text rlike '\\\\S'").drop("n_lines", "n_dropped")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # docs may have columns of the added names
+    text = F.col(names[docs.columns.index("text")])
+    left = drop_repeated_lines(docs).toDF(*names, "lines", "dropped")
+    return left.where((F.col("dropped") == 0) | text.rlike(r"\S")).select(*names).toDF(*docs.columns)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
