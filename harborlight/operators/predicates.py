@@ -37,7 +37,7 @@ def in_us_waters(lat: Column, lon: Column) -> Column:
 
 def outside_us_gate(lat: Column, lon: Column) -> Column:
     """Whether a US source is skipped: only where the position is known and outside."""
-    return F.coalesce(~in_us_waters(lat, lon), F.lit(False))
+    return F.coalesce(lat.isNotNull() & lon.isNotNull() & ~in_us_waters(lat, lon), F.lit(False))
 
 
 def rated(kind: Column, rating: Column, least: float) -> Column:

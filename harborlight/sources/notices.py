@@ -74,5 +74,5 @@ def summaries(rows: DataFrame, layer: str) -> DataFrame:
 
 def notice_lines(description: Column) -> Column:
     """A notice's text: its trimmed lines that aren't empty, with line breaks."""
-    lines = F.transform(F.split(description, "\r?\n"), F.trim)
+    lines = F.transform(F.split(description, "\r?\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: F.length(x) > 0), "<br>")
