@@ -267,14 +267,17 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
         ),
         "anchors",
     )
-    often = anchors.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    # Keys to join by are stored first: a join of two plain shuffles is one whose hot partitions Spark can split.
+    often = stored(anchors.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "anchor-groups")
     hits = stored(anchors.join(often, "group"), "anchor-hits")
     copies = F.count("*").alias("copies")
     kinds = stored(hits.groupBy("group", "whole").agg(copies, F.min(F.struct("id", "row", "low", "high", "anchor")).alias("one")), "segments")
-    covered = hits.join(kinds.where("copies > 1").select("group", "whole"), ["group", "whole"], "left_semi").select(
+    repeated = kinds.where("copies > 1").select("group", "whole")
+    covered = hits.join(repeated, ["group", "whole"], "left_semi").select(
         "id", "row", F.col("low").alias("first"), (F.col("high") + LENGTH).alias("end")
     )
-    mixed_groups = kinds.groupBy("group").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("group")
+    mixed_groups = kinds.groupBy("group").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
+    mixed_groups = stored(mixed_groups.select("group"), "mixed-groups")
     wanted = (
         kinds.join(mixed_groups, "group")
         .groupBy("one.id", "one.row")
