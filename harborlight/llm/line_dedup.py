@@ -176,7 +176,8 @@ def drop_repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> Data
     hashed = stored(lines.drop("key"), "line-hashes")
     near = earlier_neighbours(candidate_lines(texts, hashed)).withColumn("near", F.lit(True))
     groups = hashed.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "line_no")).alias("first"), F.count("*").alias("n"))
-    verdicts = groups.join(near, ["h1", "h2"], "left").where("n > 1 or near")
+    # Stored, so that the join with all lines is one whose hot partitions Spark can split.
+    verdicts = stored(groups.join(near, ["h1", "h2"], "left").where("n > 1 or near"), "line-verdicts")
     dropped = (
         hashed.join(verdicts, ["h1", "h2"])
         .where("coalesce(near, false) or first <> struct(id, row, line_no)")
