@@ -42,7 +42,7 @@ LEAST_ESTIMATE = 0.59
 #: Fewest equal registers of a pair that is estimated: eight standard deviations below those of similarity 0.75.
 LEAST_EQUAL = 75
 #: Rows, and shingles, of one side of a block: a bucket of more is dealt into all pairs of such parts.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1 << 20
 
 
