@@ -149,9 +149,12 @@ def scores(model: LanguageModel, texts: list[str]) -> np.ndarray:
 
 def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
     """Train on at most `rows` rows for each language among those where usable holds and lang isn't null."""
-    ranked = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select(
-        "doc_id", "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("h")
-    )
+    usable = usable & F.col("lang").isNotNull()
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 1)
+    # A row for each language; hashes up to the bound are of about three times as many rows as are taken.
+    bounds = docs.where(usable).groupBy("lang").agg((F.least(F.lit(1.0), F.lit(3.0 * rows) / F.count("*")) * float(1 << 63)).alias("bound"))
+    ranked = docs.where(usable & F.col("text").rlike("\\p{L}")).select("doc_id", "lang", h.alias("h"))
+    ranked = ranked.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("bound")).drop("bound")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).select("doc_id", "lang", "place")
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars, F.lit(1))) + 1
