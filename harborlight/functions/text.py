@@ -174,3 +174,10 @@ def metres_text(m: Column) -> Column:
     tenths = F.floor(m * 10 + 0.5).cast("long")
     whole = F.floor(tenths / 10).cast("string")
     return F.when(F.pmod(tenths, F.lit(10)) == 0, whole).otherwise(F.concat(whole, F.lit("."), F.pmod(tenths, F.lit(10)).cast("string")))
+
+
+def http_endpoint(x: Column) -> Column:
+    """A trimmed http or https address without credentials, else null."""
+    url = F.trim(x)
+    sound = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & (F.length(F.try_parse_url(url, F.lit("HOST"))) > 0)
+    return F.when(sound & F.try_parse_url(url, F.lit("USERINFO")).isNull(), url)

@@ -19,3 +19,11 @@ def recent_errors(log: DataFrame, n: int = 5) -> DataFrame:
 
 def unreachable(log: DataFrame) -> DataFrame:
     return rollup(log).where("state = 'unreachable'").select("source")
+
+
+def refresh_rollup(pages: DataFrame) -> DataFrame:
+    """For each source what its refresh of pages (source, page, rows, ok) brought: rows, failures and the first that failed."""
+    return pages.groupBy("source").agg(
+        F.coalesce(F.sum(F.when(F.col("ok"), F.col("rows"))), F.lit(0)).alias("ingested"), F.count_if(~F.col("ok")).alias("failures"),
+        F.min(F.when(~F.col("ok"), F.col("page"))).alias("first_failure"),
+    )

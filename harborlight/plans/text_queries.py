@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import testbed
 from ..functions import dates, numbers, text
-from ..operators import detail, status, store
+from ..operators import corridor, course, detail, status, store
 from ..sources import openseamap
-from .queries import POI, poi, query, whole
+from .queries import CORRIDOR, LEGS, POI, ROUTE_SQL, _details, _found, poi, query, whole
 
 CLEARANCES = ["10'6\"", "11 ft", "3.5 m", "4", "7 metres", "unknown", "", "0", " 12' ", "5.25", "-3", "8 feet", "1 000"]
 LINKS = ["https://a.example/x", "HTTP://b.example", "javascript:alert(1)", "mailto:x@y.example", "tel:+1", "/relative", "ftp://c.example", " https://d.example "]
 LIGHTS = ["Fl W 4s", "Fl(2) R 6s", "Q", "Iso G 2S", "Oc Y", "Xx Q 5s", "F", "Mo(A) W 8s", "VQ(9) W", "LFl W 10s"]
+ENDPOINTS = ["https://a.example/api", "http://u:p@b.example/x", "ftp://c.example", "not a url", " http://d.example:8080/q?x=1 ", "https:///nohost", "HTTPS://e.example"]
 STATUSES = ["LT EXT/OFF STATION", "missing", "STRUCT DEST / TRLB", "/", "SOMETHING NEW", "Sinking/ ADRIFT", "RAC INOP", "OFF STA/HAZ NAV/TRUB"]
 FIELDS = ["poiNotes", "fuelDieselPrice", "name", "hasWiFi2Go", "ABCdef", "x1Y2"]
 SURVEYS = ["202402", "20240229", "20230229", "19991231", "2024", "202413", "abc", "20240230", "198706"]
@@ -285,3 +286,54 @@ def store_diff(spark, sf_dir):
     orders = testbed.table(spark, sf_dir, "orders").select(k.alias("id"), "o_custkey")
     held, fresh = orders.where("id % 10 <> 1"), orders.where("id % 10 <> 2").withColumn("o_custkey", F.when(F.col("id") % 10 == 3, -1).otherwise(F.col("o_custkey")))
     return store.difference(held, fresh, ["id"])
+
+
+# Courses
+
+
+@query(
+    "latest_route",
+    "select vessel, route_id, version from (select user_id % 10 as vessel, arg_max(case when event_id % 11 <> 0 then event_type else 'none' end, event_id) as route_id, max(event_id) as version from events group by 1) where route_id <> 'none'",
+)
+def latest_route(spark, sf_dir):
+    versions = testbed.table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 10).alias("vessel"), F.col("event_id").alias("version"), F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("route_id")
+    )
+    return course.latest_route(versions)
+
+
+_KM = f"case when along_m >= 1000 then ({whole('along_m', '1e-2')} // 10) || '.' || ({whole('along_m', '1e-2')} % 10) || ' km' else {whole('along_m', '1e0')} || ' m' end"
+_MIN = whole("along_m / 4e0", "1.6666666666666666e-2").replace("* 1.6666666666666666e-2", "/ 60e0")
+_ETA = f"case when along_m / 4e0 < 60 then '<1 min' when {_MIN} < 60 then {_MIN} || ' min' else ({_MIN} // 60) || ' h ' || ({_MIN} % 60) || ' min' end"
+
+
+@query(
+    "route_messages",
+    f"""select id, type || ' "' || 'Point ' || split_part(id, '-', 2) || '" is on the route ahead, ' || {_KM} || ' away, ETA ' || {_ETA}
+      || case when type = 'Bridge' and clearance_m <= 9.5e0 then ': clearance ' || case when {whole('clearance_m', '1e1')} % 10 = 0 then ({whole('clearance_m', '1e1')} // 10)::varchar else ({whole('clearance_m', '1e1')} // 10) || '.' || ({whole('clearance_m', '1e1')} % 10) end
+      || ' m is at or below your air draft 8.5 m (+1 m margin)' else '' end as message from found""",
+    POI, ROUTE_SQL, LEGS, CORRIDOR,
+)
+def route_messages(spark, sf_dir):
+    found = _found(spark, sf_dir, 4.0)
+    low = corridor.too_low(found, _details(poi(spark, sf_dir)).limit(0), 8.5, 1.0)
+    return course.messages(found, low, 8.5, 1.0)
+
+
+@query(
+    "http_endpoint",
+    "select k, coalesce(case when regexp_matches(trim(v), '^(?i)https?://[^/@\\s]+(/|$)') then trim(v) end, '-') as url from samples", samples(ENDPOINTS),
+)
+def http_endpoint(spark, sf_dir):
+    return sampled(spark, sf_dir, ENDPOINTS).select("k", shown(text.http_endpoint(F.col("v"))).alias("url"))
+
+
+@query(
+    "refresh_rollup",
+    "select o_orderpriority as source, cast(coalesce(sum(case when o_orderkey % 9 <> 4 then o_custkey end), 0) as bigint) as ingested, count(*) filter (o_orderkey % 9 = 4) as failures, coalesce(min(case when o_orderkey % 9 = 4 then o_orderkey end), -1) as first_failure from orders group by 1",
+)
+def refresh_rollup(spark, sf_dir):
+    pages = testbed.table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("rows"), (F.col("o_orderkey") % 9 != 4).alias("ok")
+    )
+    return status.refresh_rollup(pages).withColumn("first_failure", F.coalesce("first_failure", F.lit(-1)))
