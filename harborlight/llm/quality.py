@@ -27,13 +27,13 @@ from .tokens import text_slices
 
 STRIDE = 4
 EMBEDDING = 8
-FILTERS = 32
-HIDDEN = 16
+FILTERS = 48
+HIDDEN = 24
 #: Filter positions of a chunk (times STRIDE bytes); the next chunk begins one filter earlier than this one ends.
 CHUNK = 128
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 6000
-EPOCHS = 8
+EPOCHS = 10
 BATCH = 16
 RATE = 0.004
 SEED = 5
