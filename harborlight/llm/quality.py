@@ -34,6 +34,9 @@ CHUNK = 128
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 6000
 EPOCHS = 10
+#: Fewest steps, for small samples, and how fast weights decay.
+LEAST_STEPS = 600
+DECAY = 0.3
 BATCH = 16
 RATE = 0.004
 SEED = 5
@@ -153,7 +156,7 @@ def train(rows: list[tuple[bytes, int]], share: float, seed: int = SEED) -> Qual
     }
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     groups = [np.flatnonzero(labels == k) for k in (0, 1)]
-    step, steps = 0, EPOCHS * -(-len(rows) // BATCH)
+    step, steps = 0, max(LEAST_STEPS, EPOCHS * -(-len(rows) // BATCH))
     while step < steps:
         picked = np.concatenate([rng.choice(group, BATCH // 2) for group in groups])
         step += 1
@@ -163,6 +166,8 @@ def train(rows: list[tuple[bytes, int]], share: float, seed: int = SEED) -> Qual
             first[k] = 0.9 * first[k] + 0.1 * v
             second[k] = 0.99 * second[k] + 0.01 * v * v
             p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            if p[k].ndim == 2:
+                p[k] *= np.float32(1 - rate * DECAY)
     share = min(max(share, 1e-3), 1 - 1e-3)
     return QualityModel(p, float(np.log(share / (1 - share))), share)
 
