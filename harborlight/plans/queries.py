@@ -455,7 +455,7 @@ def _with_air_draft(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("air_draft", F.last("air_draft", ignorenulls=True).over(known))
 
 
-def _alarm_sql(source: str, kind: str, holds: str, raises: str) -> str:
+def _alarm_sql(source: str, kind: str, holds: str) -> str:
     return f"""
 pairs as (select f.vessel, f.tick, p.id, {hav('f.lat', 'f.lon', 'p.lat', 'p.lon')} as d, ({holds}) as holds from {source} f, poi p where p.type = '{kind}'),
 marks as (select *, case when not coalesce(holds, false) or d > 600e0 then 0 when d <= 500e0 then 1 end as mark from pairs),
@@ -481,12 +481,12 @@ def proximity_in_range(spark, sf_dir):
     return near.select("event_id", "id", numbers.scaled(F.col("distance_m"), 10.0).alias("dm"))
 
 
-@query("proximity_alarm_transitions", TRANSITIONS, POI, FIXES, TICKS, _alarm_sql("ticks", "Hazard", "true", ""))
+@query("proximity_alarm_transitions", TRANSITIONS, POI, FIXES, TICKS, _alarm_sql("ticks", "Hazard", "true"))
 def proximity_alarm_transitions(spark, sf_dir):
     return _turns(alarms.proximity(_ticks(spark, sf_dir), poi(spark, sf_dir)))
 
 
-@query("bridge_alarm_transitions", TRANSITIONS, POI, FIXES, TICKS, AIR, _alarm_sql("air", "Bridge", "p.clearance_m <= f.draft + 1e0", ""))
+@query("bridge_alarm_transitions", TRANSITIONS, POI, FIXES, TICKS, AIR, _alarm_sql("air", "Bridge", "p.clearance_m <= f.draft + 1e0"))
 def bridge_alarm_transitions(spark, sf_dir):
     return _turns(alarms.bridges(_with_air_draft(_ticks(spark, sf_dir)), poi(spark, sf_dir), 1.0))
 
