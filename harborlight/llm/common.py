@@ -23,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Most bytes of an Arrow batch between the JVM and Python; Spark's own default is 64 MB, for input and output of each task.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches to BATCH_BYTES, so that texts don't decide how much a task holds."""
+    now = spark.conf.get(_BATCH_SETTING, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The application's own folder of intermediate tables in the shared folder."""
     return f"{shared_dir(spark)}/harborlight/{spark.sparkContext.applicationId}"

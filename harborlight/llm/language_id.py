@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import limit_batches, read
 from .tokens import text_slices
 
 UNKNOWN = "und"
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, chars: int = S
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred, lang_score and lang_rejected."""
+    limit_batches(docs.sparkSession)
     schema = docs.schema
     names = [f"{i}" for i in range(len(schema))]
     plain = docs.toDF(*names)

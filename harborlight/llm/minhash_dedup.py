@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored, whole_runs
+from .common import limit_batches, read, stored, whole_runs
 from .components import connected_components, forest
 from .shingles import mixed, shingle_sets
 from .tokens import text_slices
@@ -267,6 +267,7 @@ def document_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    limit_batches(docs.sparkSession)
     sketched, classes, own_links = document_classes(docs)
     keys = (
         classes.select("rep", "registers")

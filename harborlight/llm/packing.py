@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import tokens
-from .common import read
+from .common import limit_batches, read
 
 LENGTH = 2048
 END_ID = 1
@@ -122,6 +122,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row for each piece of a document: its place in the document and in a sequence (columns: PIECES)."""
+    limit_batches(docs.sparkSession)
     path = vocabulary or tokens.vocabulary()
     end = end_id.to_bytes(4, "little")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import limit_batches, read
 from .language_id import part_of
 from .tokens import text_slices
 
@@ -90,7 +90,7 @@ def features(top: np.ndarray, mean: np.ndarray, counts: np.ndarray, used: np.nda
     total = np.add.reduceat(used, starts)
     average = np.add.reduceat(mean * used[:, None], starts, axis=0) / total[:, None]
     parts = (np.maximum.reduceat(top, starts), 4 * average, 4 * np.maximum.reduceat(mean, starts))
-    return np.concatenate((*parts, np.log1p(total)[:, None] / 4), axis=1).astype(np.float32)
+    return np.concatenate((*parts, np.log1p(total)[:, None] / 4), axis=1).astype(top.dtype)
 
 
 def logits(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id and score for each row of docs (doc_id, text)."""
+    limit_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of parameters
 
     def run(batches):

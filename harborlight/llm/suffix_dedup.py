@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored, whole_runs
+from .common import limit_batches, read, stored, whole_runs
 from .shingles import _powers, mixed
 from .tokens import text_slices
 
@@ -258,6 +258,7 @@ def _kept_rows(batches):
 
 def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs, first to end, of bytes) and kept (what is left) for each row of docs."""
+    limit_batches(docs.sparkSession)
     rows = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("doc_id", "text").alias("row"), "text"
     )

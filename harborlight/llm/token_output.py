@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import read, scratch_path
+from .common import limit_batches, read, scratch_path
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -67,6 +67,7 @@ def encode_partition(vocabulary: str, end_id: int):
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = tokens.END_OF_TEXT) -> None:
     """Encode docs (doc_id, text) and write them to path in the form described above."""
+    limit_batches(docs.sparkSession)
     ordered = (
         docs.select("doc_id", "text")
         .repartitionByRange("doc_id")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored, whole_runs
+from .common import limit_batches, read, stored, whole_runs
 from .components import connected_components, forest
 
 COSINE = 0.93
@@ -148,6 +148,7 @@ def near_vectors(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
+    limit_batches(vectors.sparkSession)
     finite = F.forall(
         "embedding", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))
     )

@@ -82,7 +82,7 @@ def test_quality_without_both_labels(spark):
 def test_quality_gradients():
     rng = np.random.RandomState(0)
     blobs = [bytes(rng.randint(32, 120, n).astype(np.uint8)) for n in (1, 9, 700, 1500)]
-    model = quality.train([(b, i % 2) for i, b in enumerate(blobs)], 0.5)
+    model = quality.train([(b, i % 2) for i, b in enumerate(blobs)] * 30 + [(bytes([k]) * 60, k % 2) for k in range(40, 120)], 0.5)
     p = {k: v.astype(np.float64) for k, v in model.parameters.items()}
     target = np.array([1.0, 0.0, 1.0, 0.0])
 
@@ -96,7 +96,7 @@ def test_quality_gradients():
     for name in p:
         for _ in range(4):
             at = tuple(rng.randint(0, n) for n in p[name].shape)
-            value, step = p[name][at], 1e-3
+            value, step = p[name][at], 1e-6
             p[name][at] = value + step
             up = loss()
             p[name][at] = value - step
