@@ -353,5 +353,42 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return left.select(*docs.columns)
 
 
+#: All pairs of sets that share a shingle, and what each document reaches over links.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+placed AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words),
+runs AS (
+  SELECT doc_id, n, place,
+    concat_ws(' ', word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d) AS shingle
+  FROM placed WINDOW d AS (PARTITION BY doc_id ORDER BY place)
+),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_sort(list(DISTINCT hash(shingle))) AS s FROM runs WHERE place <= greatest(n - 4, 1) GROUP BY doc_id
+),
+firsts AS MATERIALIZED (SELECT min(doc_id) AS rep, s FROM sets GROUP BY s),
+shingles AS MATERIALIZED (SELECT rep, len(s) AS n, unnest(s) AS shingle FROM firsts),
+links AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.rep <> b.rep
+    AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+reached AS (
+  SELECT rep AS node, rep AS other FROM firsts
+  UNION
+  SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a
+),
+components AS (SELECT node, min(other) AS component_id FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(len(s.s), 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+  coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sets s USING (doc_id) LEFT JOIN firsts f ON s.s = f.s LEFT JOIN components c ON c.node = f.rep
+"""
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(read(spark, sf_dir, "documents"))

@@ -31,6 +31,7 @@ LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 BUDGET_SHARE = 0.8
 MAX_EPOCHS = 2
 SEED = 4242
+KEY_BITS = 60
 BUCKET_BITS = 12
 MAX_LEAVES = 100_000
 LEVELS = ("_domain", "_lang", "_source")
@@ -103,9 +104,10 @@ def token_count(text: Column) -> Column:
 
 
 def order_key(epoch: Column | int, seed: int) -> Column:
-    """A document's place in an epoch's order: from 0 up, spread evenly over 63 bits."""
+    """A document's place in an epoch's order: from 0 up, spread evenly over KEY_BITS bits of an MD5 digest."""
     epoch = F.lit(epoch) if isinstance(epoch, int) else epoch
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch.cast("int"), "doc_id"), 1)
+    named = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(named), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def with_leaves(docs: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def leaf_plan(docs: DataFrame, mix: Mix) -> DataFrame:
     leaves = spark.createDataFrame(rows, "_domain string, _lang string, _source string, _epochs long, _rest long")
     # createDataFrame's rows are the leaves': at most MAX_LEAVES.
     keyed = counted.join(F.broadcast(leaves.where("_rest > 0")), list(LEVELS)).withColumn("key", order_key(F.col("_epochs"), mix.seed))
-    bucket = F.shiftright("key", 63 - BUCKET_BITS)
+    bucket = F.shiftright("key", KEY_BITS - BUCKET_BITS)
     sums = keyed.groupBy(*LEVELS, "_rest", bucket.alias("bucket")).agg(F.sum("tokens").alias("sum"), F.max("key").alias("high"))
     running = Window.partitionBy(*LEVELS).orderBy("bucket")
     sums = stored(sums.withColumn("before", F.sum("sum").over(running) - F.col("sum")), "leaf-buckets")
@@ -165,6 +167,79 @@ def keep_mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     return mix_documents(docs, mix).select(*docs.columns)
 
 
+#: The same rule in closed form: at each level children fill up in the order of their room for a weight.
+ORACLE_SQL = r"""
+WITH counted AS (
+  SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s,
+    'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})', 1) AS BIGINT), 0) % 4) AS domain,
+    coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS n_tokens
+  FROM documents
+),
+leaves AS (SELECT domain, l, s, sum(n_tokens)::BIGINT AS tokens FROM counted GROUP BY domain, l, s),
+-- A level: children by room for their weight; those before the first that its share does not fill are full.
+level1 AS (
+  SELECT domain, 2e0 * sum(tokens) AS room,
+    CASE domain WHEN 'd0' THEN 0.4e0 WHEN 'd1' THEN 0.3e0 WHEN 'd2' THEN 0.2e0 WHEN 'd3' THEN 0.1e0 ELSE 1e0 END AS w,
+    0.8e0 * (SELECT sum(tokens) FROM leaves) AS amount
+  FROM leaves GROUP BY domain
+),
+order1 AS (
+  SELECT *, coalesce(sum(room) OVER before, 0) AS rooms, coalesce(sum(w) OVER before, 0) AS ws, sum(w) OVER () AS all_w
+  FROM level1 WINDOW before AS (ORDER BY room / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+full1 AS (SELECT *, room / w <= (amount - rooms) / (all_w - ws) AS is_full FROM order1),
+given1 AS (
+  SELECT domain, CASE WHEN is_full THEN room ELSE w * (amount - coalesce(sum(room) FILTER (is_full) OVER (), 0))
+    / sum(w) FILTER (NOT is_full) OVER () END AS given
+  FROM full1
+),
+level2 AS (
+  SELECT domain, l, 2e0 * sum(tokens) AS room,
+    CASE l WHEN 'en' THEN 0.5e0 WHEN 'de' THEN 0.2e0 WHEN 'fr' THEN 0.2e0 WHEN 'es' THEN 0.1e0 ELSE 1e0 END AS w,
+    any_value(given) AS amount
+  FROM leaves JOIN given1 USING (domain) GROUP BY domain, l
+),
+order2 AS (
+  SELECT *, coalesce(sum(room) OVER before, 0) AS rooms, coalesce(sum(w) OVER before, 0) AS ws,
+    sum(w) OVER (PARTITION BY domain) AS all_w
+  FROM level2
+  WINDOW before AS (PARTITION BY domain ORDER BY room / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+full2 AS (SELECT *, room / w <= (amount - rooms) / (all_w - ws) AS is_full FROM order2),
+given2 AS (
+  SELECT domain, l, CASE WHEN is_full THEN room
+    ELSE w * (amount - coalesce(sum(room) FILTER (is_full) OVER (PARTITION BY domain), 0))
+      / sum(w) FILTER (NOT is_full) OVER (PARTITION BY domain) END AS given
+  FROM full2
+),
+order3 AS (
+  SELECT domain, l, s, tokens, 2e0 * tokens AS room, given AS amount,
+    coalesce(sum(2e0 * tokens) OVER before, 0) AS rooms,
+    count(*) OVER (PARTITION BY domain, l) - count(*) OVER before AS others
+  FROM leaves JOIN given2 USING (domain, l)
+  WINDOW before AS (PARTITION BY domain, l ORDER BY tokens, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+full3 AS (SELECT *, room <= (amount - rooms) / others AS is_full FROM order3),
+budgets AS (
+  SELECT domain, l, s, tokens, floor(1e-6 + CASE WHEN is_full THEN room
+    ELSE (amount - coalesce(sum(room) FILTER (is_full) OVER (PARTITION BY domain, l), 0))
+      / count(*) FILTER (NOT is_full) OVER (PARTITION BY domain, l) END)::BIGINT AS budget
+  FROM full3
+),
+plan AS (
+  SELECT domain, l, s, budget // tokens AS epochs, budget % tokens AS rest FROM budgets WHERE tokens > 0
+),
+keyed AS (
+  SELECT c.*, epochs, rest,
+    ('0x' || substr(md5(concat_ws(':', '4242', epochs, coalesce(doc_id::VARCHAR, ''))), 1, 15))::BIGINT AS key
+  FROM counted c JOIN plan USING (domain, l, s)
+),
+summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY key) AS upto FROM keyed),
+times AS (SELECT *, epochs + (rest > 0 AND upto <= rest)::BIGINT AS n FROM summed)
+SELECT doc_id, unnest(range(0, n))::INT AS epoch, domain, lang, source, n_tokens FROM times
+"""
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read(spark, sf_dir, "documents")).select(
         "doc_id", F.col("_epoch").alias("epoch"), F.col("_domain").alias("domain"), "lang", "source",

@@ -22,5 +22,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_vector_near_dedup": vector_dedup.ORACLE_SQL,
         "op4_line_dedup": line_dedup.ORACLE_SQL,
+        "op5_repeated_bytes": suffix_dedup.ORACLE_SQL,
+        "op7_minhash_near_dedup": minhash_dedup.ORACLE_SQL,
+        "op8_source_mixing": mixing.ORACLE_SQL,
     }

@@ -354,6 +354,40 @@ def _split(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(left.dropDuplicates(["group", "whole"]), "split-segments"), runs
 
 
+#: Digests of all windows, taken from blocks of the text in hex.
+ORACLE_SQL = r"""
+WITH bytes AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS MATERIALIZED (
+  SELECT doc_id, a, substr(h, 2 * a + 1, 1600) AS block
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 399, 0), 400)) AS a FROM bytes)
+),
+starts AS MATERIALIZED (
+  SELECT doc_id, a + k AS i, md5(substr(block, 2 * k + 1, 800)) AS digest
+  FROM (SELECT doc_id, a, block, unnest(range(0, least(len(block) // 2 - 399, 400))) AS k FROM blocks)
+),
+repeated AS (SELECT digest FROM starts GROUP BY digest HAVING count(*) > 1),
+hits AS MATERIALIZED (SELECT doc_id, i FROM starts SEMI JOIN repeated USING (digest)),
+marked AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS fresh FROM hits
+),
+runs AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(i) AS first, max(i) + 400 AS past FROM runs GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, run, coalesce(lag(past) OVER (PARTITION BY doc_id ORDER BY run), 0) AS a, first AS b, past,
+    lead(first) OVER (PARTITION BY doc_id ORDER BY run) AS next
+  FROM spans
+),
+kept AS (
+  SELECT p.doc_id, count(*) AS n_spans, sum(p.past - p.b) AS n_removed,
+    string_agg(substr(h, 2 * a + 1, 2 * (b - a)) || CASE WHEN next IS NULL THEN substr(h, 2 * past + 1) ELSE '' END, '' ORDER BY run) AS rest
+  FROM pieces p JOIN bytes USING (doc_id) GROUP BY p.doc_id
+)
+SELECT b.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM bytes b LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes",

@@ -210,5 +210,31 @@ def near_vectors(
     )
 
 
+#: All pairs of a label, and what each vector reaches over links.
+ORACLE_SQL = r"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM sound a JOIN sound b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reached AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a
+),
+components AS (SELECT node, min(other) AS component_id FROM reached GROUP BY node),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN components c ON c.node = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
+"""
+
+
 def op1_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
