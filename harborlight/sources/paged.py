@@ -4,7 +4,8 @@
     spark.read.format("paged_features").option("url", ...).option("layers", "0,1").option("bbox", "w,s,e,n").load()
 
 One partition for each layer and each part of the box that doesn't wrap; a partition reads page after page while the
-service says there is more. A row is (layer, feature_id, coordinates, properties as JSON).
+service says there is more, and fails where it still says so after maxpages pages (200 unless that option says otherwise):
+what is returned is whole. A row is (layer, feature_id, coordinates, properties as JSON).
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self._url, self._layers = options["url"].rstrip("/"), [x.strip() for x in options["layers"].split(",")]
         self._rows, self._timeout = int(options.get("pagerows", PAGE_ROWS)), float(options.get("timeout", 30))
+        self._pages = int(options.get("maxpages", MOST_PAGES))
         west, south, east, north = map(float, options["bbox"].split(","))
         self._boxes = parts(Box(south, north, west, east))
 
@@ -39,10 +41,11 @@ class PagedReader(DataSourceReader):
         return [Piece(layer, b.west, b.south, b.east, b.north) for layer in self._layers for b in self._boxes]
 
     def read(self, partition: Piece):
-        for page in range(MOST_PAGES):
+        offset = 0
+        for _ in range(self._pages):
             asked = {
                 "f": "geojson", "outFields": "*", "geometryType": "esriGeometryEnvelope", "geometry": ",".join(map(str, partition.envelope)),
-                "inSR": 4326, "resultOffset": page * self._rows, "resultRecordCount": self._rows,
+                "inSR": 4326, "resultOffset": offset, "resultRecordCount": self._rows,
             }
             url = f"{self._url}/{partition.layer}/query?{urllib.parse.urlencode(asked)}"
             with urllib.request.urlopen(url, timeout=self._timeout) as answer:
@@ -59,6 +62,8 @@ class PagedReader(DataSourceReader):
             more = got.get("exceededTransferLimit") or (got.get("properties") or {}).get("exceededTransferLimit")
             if not more or not got["features"]:
                 return
+            offset += len(got["features"])
+        raise ValueError(f"{self._url}/{partition.layer}: more is announced after {self._pages} pages; raise maxpages or pagerows, or read smaller boxes")
 
 
 class PagedFeatures(DataSource):

@@ -1,4 +1,5 @@
 import http.server
+import io
 import json
 import threading
 import urllib.parse
@@ -173,3 +174,24 @@ def test_paged_features_over_the_antimeridian(spark, service):
     read = spark.read.format("paged_features").option("url", service).option("layers", "0,1").option("pagerows", 2).option("bbox", "178,-5,-178,5")
     rows = paged.once(read.load())
     assert sorted((r.layer, int(r.feature_id)) for r in rows.collect()) == [(layer, k) for layer in "01" for k in range(5)]
+
+
+def test_paged_features_are_whole_or_an_error(spark, service):
+    spark.dataSource.register(paged.PagedFeatures)
+    read = lambda pages: spark.read.format("paged_features").options(url=service, layers="0", pagerows=2, maxpages=pages, bbox="0,-5,180,5").load()
+    assert {int(r.feature_id) for r in read(2).collect()} == {0, 1, 2, 5}
+    with pytest.raises(Exception, match="more is announced after 1 pages"):
+        read(1).collect()
+
+
+def test_paged_features_of_a_service_with_smaller_pages(monkeypatch):
+    def answer(url, timeout):
+        at = int(urllib.parse.parse_qs(urllib.parse.urlparse(url).query)["resultOffset"][0])
+        return io.BytesIO(json.dumps({"features": [feature({}, ref=k) for k in range(at, min(at + 2, 7))], "exceededTransferLimit": at + 2 < 7}).encode())
+
+    monkeypatch.setattr(paged.urllib.request, "urlopen", answer)
+    reader = paged.PagedReader({"url": "http://x", "layers": "0", "bbox": "0,-5,180,5"})
+    assert [row[1] for row in reader.read(reader.partitions()[0])] == list("0123456")
+    monkeypatch.setattr(paged.urllib.request, "urlopen", lambda url, timeout: io.BytesIO(json.dumps({"features": [feature({}, ref=1)], "exceededTransferLimit": True}).encode()))
+    with pytest.raises(ValueError, match="more is announced after 200 pages"):
+        list(reader.read(reader.partitions()[0]))
