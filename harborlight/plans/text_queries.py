@@ -316,7 +316,7 @@ _ETA = f"case when along_m / 4e0 < 60 then '<1 min' when {_MIN} < 60 then {_MIN}
 )
 def route_messages(spark, sf_dir):
     found = _found(spark, sf_dir, 4.0)
-    low = corridor.too_low(found, _details(poi(spark, sf_dir)).limit(0), 8.5, 1.0)
+    low = corridor.too_low(found, _details(poi(spark, sf_dir)), 8.5, 1.0)
     return course.messages(found, low, 8.5, 1.0)
 
 

@@ -28,3 +28,20 @@ def test_proximity_pairs_of_all_fixes(spark, tables):
     assert len(rows) == len(got) and set(got) == want
     assert all(abs(dm - apart[pair] * 10) < 0.51 for pair, dm in got.items())
     assert len({event for event, _ in want if event % 20}) > 150
+
+
+def test_route_messages_use_clearances_of_details(spark, tables):
+    told = {r.id: r.message for r in queries.QUERIES["route_messages"](spark, tables).collect()}
+    places = {r.id: r for r in testbed.poi(spark, tables).collect() if r.id in told}
+    clause, from_details = " m is at or below your air draft 8.5 m (+1 m margin)", 0
+    for i, message in told.items():
+        p = places[i]
+        clearance = p.clearance_m
+        if clearance is None and p.type == "Bridge" and p.source == "activecaptain":
+            clearance = p.seq % 97 / 10
+            from_details += clearance <= 9.5
+        if p.type == "Bridge" and clearance is not None and clearance <= 9.5:
+            assert message.endswith(f": clearance {clearance:g}{clause}")
+        else:
+            assert clause not in message
+    assert from_details > 3 and any(p.type == "Bridge" and p.clearance_m is None and p.source != "activecaptain" for p in places.values())
