@@ -10,7 +10,7 @@ from ..functions.text import escaped, lookup, safe_link
 # Icons by kind.
 ICONS = {
     "Hazard": "hazard", "Bridge": "bridge", "Lock": "lock", "Marina": "marina", "Anchorage": "anchorage",
-    "Navigational": "navigation-structure", "Business": "business",
+    "Navigational": "navigation-structure", "Business": "business", "BoatRamp": "boatramp", "Dam": "dam", "Ferry": "ferry", "Inlet": "inlet",
 }
 DEFAULT_ICON = "notice-to-mariners"
 ITEM = "struct<label:string,value:string,kind:string,unit:string>"
@@ -54,14 +54,16 @@ def description(made: Column) -> Column:
 def notes(rows: DataFrame, html: Column | None = None) -> DataFrame:
     """(id, note): each row (id, name, lat, lon, url, sources, type) as a JSON note; absent values have no field.
 
-    Sources are named only if there are several, a link only if its scheme is allowed, a type of text only with text.
+    Sources are named only if there are several, a link only if its scheme is allowed, a type of text only with text. The icon is the
+    row's own sk_icon, else its kind's.
     """
+    own = F.col("sk_icon") if "sk_icon" in rows.columns else F.lit(None).cast("string")
     html = F.lit(None).cast("string") if html is None else html
     sources = F.when(F.size("sources") > 1, F.col("sources"))
     note = F.struct(
         F.col("name"), F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).alias("position"),
         safe_link(F.col("url")).alias("url"), html.alias("description"), F.when(html.isNotNull(), F.lit("text/html")).alias("mimeType"),
-        F.struct(icon(F.col("type")).alias("skIcon"), sources.alias("sources")).alias("properties"),
+        F.struct(F.coalesce(own, icon(F.col("type"))).alias("skIcon"), sources.alias("sources")).alias("properties"),
     )
     return rows.select("id", F.to_json(note).alias("note"))
 

@@ -182,7 +182,7 @@ def stale_hazard(spark, sf_dir):
 # Lookups
 
 
-@query("icon_lookup", f"select id, {cases(detail.ICONS, 'type', repr(detail.DEFAULT_ICON))} as icon from poi", POI)
+@query("icon_lookup", f"select id, {cases({k: detail.ICONS[k] for k in testbed.KINDS}, 'type', repr(detail.DEFAULT_ICON))} as icon from poi", POI)
 def icon_lookup(spark, sf_dir):
     return poi(spark, sf_dir).select("id", detail.icon(F.col("type")).alias("icon"))
 

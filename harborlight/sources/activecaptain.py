@@ -5,16 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.detail import DEFAULT_ICON
-from ..functions.text import lookup
+from ..operators import detail
 from .common import as_poi
 
 SOURCE, ATTRIBUTION = "activecaptain", "ActiveCaptain community"
-# Icons by kind.
-ICONS = {
-    "Marina": "marina", "Anchorage": "anchorage", "Hazard": "hazard", "Business": "business", "BoatRamp": "boatramp",
-    "Bridge": "bridge", "Dam": "dam", "Ferry": "ferry", "Inlet": "inlet", "Lock": "lock", "Navigational": "navigation-structure",
-}
 SCHEMA = (
     "pointsOfInterest array<struct<id:string,poiType:string,name:string,mapLocation:struct<latitude:double,longitude:double>,"
     "reviewSummary:struct<averageRating:double,numberOfReviews:bigint>,poiCount:bigint>>"
@@ -32,7 +26,7 @@ def summaries(rows: DataFrame) -> DataFrame:
     reviews = F.when(F.col("reviewSummary.numberOfReviews") > 0, F.col("reviewSummary.numberOfReviews"))
     return as_poi(
         rows.where(single), SOURCE, ATTRIBUTION, id=F.col("id"), type=F.col("poiType"), lat=F.col("mapLocation.latitude"),
-        lon=F.col("mapLocation.longitude"), name=F.col("name"), sk_icon=F.coalesce(lookup(ICONS, F.col("poiType")), F.lit(DEFAULT_ICON)),
+        lon=F.col("mapLocation.longitude"), name=F.col("name"), sk_icon=detail.icon(F.col("poiType")),
         url=F.concat(F.lit("https://activecaptain.garmin.com/pois/"), "id"), review_count=reviews,
         rating=F.when(reviews.isNotNull(), F.col("reviewSummary.averageRating")),
     )

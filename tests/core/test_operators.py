@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborlight import boxes
 from harborlight.functions import dates, geo, numbers, text
-from harborlight.operators import alarms, corridor, dedupe, predicates, store
+from harborlight.operators import alarms, corridor, dedupe, detail, predicates, store
 
 POI = "seq long, id string, source string, type string, lat double, lon double, name string, attribution string, clearance_m double"
 METRE = 1 / 111_194.9
@@ -184,3 +184,12 @@ def test_pages_are_replaced_alone(spark, tmp_path):
     assert sorted(r.id for r in store.read_pages(spark, path).collect()) == [1, 3, 4]
     assert [r.id for r in store.read_pages(spark, path, frame([(0, "a")])).collect()] == [1]
     assert store.unchanged(frame([(1, "a")]), frame([(1, "a")]), ["id"]) and not store.unchanged(frame([(1, "a")]), frame([(1, "b")]), ["id"])
+
+
+def test_notes_carry_the_icons_of_rows_and_of_every_kind(spark):
+    kinds = {"BoatRamp": "boatramp", "Dam": "dam", "Ferry": "ferry", "Inlet": "inlet", "Lock": "lock", "Airport": "notice-to-mariners"}
+    rows = spark.createDataFrame([(k, k, 1.0, 2.0, None, [], k) for k in kinds], "id string, name string, lat double, lon double, url string, sources array<string>, type string")
+    shown = lambda df: {r.id: r.x for r in detail.notes(df).select("id", detail.property_of(F.col("note"), "properties.skIcon").alias("x")).collect()}
+    assert shown(rows) == kinds
+    own = F.when(F.col("type") == "Lock", "hazard")
+    assert shown(rows.withColumn("sk_icon", own)) == kinds | {"Lock": "hazard"}
