@@ -13,7 +13,8 @@ for each leaf, at most MAX_LEAVES.
 
 Defined cases: null languages and sources are leaves of their own; a source without a number is of domain `d0`; a text
 without words has no tokens and goes with the documents around it, but a leaf without any token gives nothing; rows
-that share a doc_id within a leaf are taken together; further columns pass through; an empty table gives no rows.
+that share a doc_id within a leaf are taken together; a child of weight 0 gets nothing and counts as no room; very long texts are
+only counted, never moved; further columns, whatever their names, pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,6 +76,9 @@ def share_out(amount: float, weights: list[float], room: list[float]) -> list[fl
 def leaf_budgets(tokens: dict[tuple[str, str, str], int], mix: Mix) -> dict[tuple[str, str, str], int]:
     """Whole tokens for each leaf (domain, language, source) with its tokens."""
     by_level = (mix.domains, mix.languages, mix.sources)
+    # What leaves can take; those below a child of weight 0 can take nothing, so nothing is left with them.
+    weighted = lambda leaf: all(by_level[k].get(leaf[k], 1.0) > 0 for k in range(len(LEVELS)))
+    able = {leaf: mix.max_epochs * n if weighted(leaf) else 0 for leaf, n in tokens.items()}
 
     def down(leaves: list[tuple], level: int, amount: float) -> dict[tuple, int]:
         if level == len(LEVELS):
@@ -83,7 +87,7 @@ def leaf_budgets(tokens: dict[tuple[str, str, str], int], mix: Mix) -> dict[tupl
         for leaf in leaves:
             children.setdefault(leaf[level], []).append(leaf)
         names = sorted(children)
-        room = [float(mix.max_epochs * sum(tokens[x] for x in children[n])) for n in names]
+        room = [float(sum(able[x] for x in children[n])) for n in names]
         parts = share_out(amount, [by_level[level].get(n, 1.0) for n in names], room)
         out: dict[tuple, int] = {}
         for name, part in zip(names, parts):
@@ -154,17 +158,25 @@ def leaf_plan(docs: DataFrame, mix: Mix) -> DataFrame:
 
 def mix_documents(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """The rows of docs, once for each epoch in which they are given, with the columns _domain and _epoch."""
-    mix = mix or Mix()
+    return _mixed(docs, mix or Mix()).toDF(*docs.columns, "_domain", "_epoch")
+
+
+def keep_mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
+    made = _mixed(docs, mix or Mix())
+    return made.select(*made.columns[: len(docs.columns)]).toDF(*docs.columns)
+
+
+def _mixed(docs: DataFrame, mix: Mix) -> DataFrame:
+    """As mix_documents, with docs' columns as c0, c1, ...: they may have any of the names used here."""
     plan = stored(leaf_plan(docs, mix), "leaf-plan")
-    chosen = with_leaves(docs).join(F.broadcast(plan), list(LEVELS))  # one row for each leaf
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    read = ("doc_id", "lang", "source")
+    copies = [F.col(names[docs.columns.index(c)]).alias(c) for c in read]
+    chosen = with_leaves(docs.toDF(*names).select("*", *copies)).join(F.broadcast(plan), list(LEVELS))  # one row for each leaf
     times = F.col("_epochs") + F.when(order_key(F.col("_epochs"), mix.seed) <= F.col("_last"), 1).otherwise(0)
     epochs = chosen.withColumn("_times", times).where("_times > 0")
     epochs = epochs.withColumn("_epoch", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))))
-    return epochs.select(*docs.columns, "_domain", "_epoch")
-
-
-def keep_mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
-    return mix_documents(docs, mix).select(*docs.columns)
+    return epochs.select(*names, "_domain", "_epoch")
 
 
 #: The same rule in closed form: at each level children fill up in the order of their room for a weight.
@@ -241,7 +253,7 @@ SELECT doc_id, unnest(range(0, n))::INT AS epoch, domain, lang, source, n_tokens
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(read(spark, sf_dir, "documents")).select(
+    return mix_documents(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
         "doc_id", F.col("_epoch").alias("epoch"), F.col("_domain").alias("domain"), "lang", "source",
         token_count(F.col("text")).alias("n_tokens"),
     )

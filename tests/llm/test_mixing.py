@@ -21,6 +21,49 @@ def test_shortage_goes_to_siblings_before_ancestors():
     assert budgets == {("a", "en", "s1"): 10, ("a", "en", "s2"): 190, ("b", "en", "s3"): 200}
 
 
+def test_children_of_weight_zero_leave_their_share_to_others():
+    """At each level: what can't be given below a child of weight 0 goes to siblings, then to ancestors' other children."""
+    even = {"a": 1, "b": 1}
+    tokens = {("a", "x", "s"): 1000, ("a", "y", "s"): 10, ("b", "x", "s"): 1000, ("b", "y", "s"): 1000}
+    mix = mixing.Mix(domains=even, languages={"x": 0, "y": 1}, budget_share=1000 / 3010, max_epochs=1)
+    assert mixing.leaf_budgets(tokens, mix) == {("a", "x", "s"): 0, ("a", "y", "s"): 10, ("b", "x", "s"): 0, ("b", "y", "s"): 990}
+    tokens = {("a", "x", "s0"): 500, ("a", "x", "s1"): 20, ("a", "z", "s1"): 500, ("b", "x", "s1"): 500}
+    mix = mixing.Mix(domains=even, languages={}, sources={"s0": 0}, budget_share=600 / 1520, max_epochs=1)
+    assert mixing.leaf_budgets(tokens, mix) == {("a", "x", "s0"): 0, ("a", "x", "s1"): 20, ("a", "z", "s1"): 280, ("b", "x", "s1"): 300}
+    mix = mixing.Mix(domains={"a": 0, "b": 2}, languages={}, budget_share=900 / 1520, max_epochs=1)
+    assert mixing.leaf_budgets(tokens, mix) == {("a", "x", "s0"): 0, ("a", "x", "s1"): 0, ("a", "z", "s1"): 0, ("b", "x", "s1"): 500}
+    mix = mixing.Mix(domains={"a": 0, "b": 0}, languages={})
+    assert set(mixing.leaf_budgets(tokens, mix).values()) == {0}
+
+
+def test_columns_of_the_names_used_within(spark):
+    names = ["_domain", "_lang", "_source", "_epochs", "_last", "_times", "_epoch", "_rest", "key", "bucket", "c0", "tokens", "upto"]
+    rows = [(i, "w " * (i % 7), "en" if i % 2 else None, f"src{i % 3}") for i in range(80)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = plain.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names}).select("key", "_lang", *plain.columns, *[n for n in names if n not in ("key", "_lang")])
+    kept = mixing.keep_mixed(docs)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert sorted(r.doc_id for r in found) == sorted(r.doc_id for r in mixing.keep_mixed(plain).collect())
+    assert all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+    assert mixing.mix_documents(docs).columns == [*docs.columns, "_domain", "_epoch"]
+
+
+def test_sql_with_other_weights(spark, monkeypatch):
+    import duckdb
+
+    sql = mixing.ORACLE_SQL
+    for old, new in (("'d0' THEN 0.4e0 WHEN 'd1' THEN 0.3e0", "'d0' THEN 0.05e0 WHEN 'd1' THEN 3e0"), ("'en' THEN 0.5e0 WHEN 'de' THEN 0.2e0", "'en' THEN 0.1e0 WHEN 'de' THEN 4e0"), ("4242", "99")):
+        assert old in sql
+        sql = sql.replace(old, new)
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    mix = mixing.Mix(domains={"d0": 0.05, "d1": 3, "d2": 0.2, "d3": 0.1}, languages={"en": 0.1, "de": 4, "fr": 0.2, "es": 0.1}, seed=99)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = sorted((r.doc_id, r._epoch) for r in mixing.mix_documents(docs, mix).select("doc_id", "_epoch").collect())
+    assert got == sorted((r[0], r[1]) for r in con.execute(f"select doc_id, epoch from ({sql})").fetchall())
+
+
 def brute(rows, mix, spark):
     keys = {
         (r.doc_id, r.epoch): r.key
