@@ -15,8 +15,9 @@ every such pair is verified there, by bit sets over the block's shared shingles.
 spanning forest leaves it; no list of pairs is ever made.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; rows that share a
-doc_id are one document, linked by any of its texts; equal texts are copies of a class and share a component; a null
-doc_id is in no component but its own; other columns are not read; an empty table gives no rows.
+doc_id are one document, linked by any of its texts, and each has the size of its own text's set; equal texts are copies of a class and share
+a component; a null doc_id is in no component but its own; a very long text's set is held by one task at a time, at 8
+bytes a shingle; other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def _sketch_rows(batches):
         ids = batch.column("doc_id")
         for a, b, texts in text_slices(batch):
             sets = shingle_sets(texts)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            digests = [_digest(s) if len(s) else None for s in sets]
             registers = [sketch(s, parameters).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -213,13 +214,20 @@ def _link_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rep[root[moved]]), pa.array(rep[moved])], names=["a", "b"])
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _set_rows(batches):
+    """Full sets of rows (rep, digest, text) whose text has the digest; of a doc_id's other texts there is none."""
     for batch in batches:
-        ids = batch.column("doc_id")
         for a, b, texts in text_slices(batch):
-            blobs = [s.tobytes() for s in shingle_sets(texts)]
+            wanted = batch.column("digest").slice(a, b - a).to_pylist()
+            sets = [s.tobytes() if _digest(s) == d else None for s, d in zip(shingle_sets(texts), wanted)]
+            blobs = pa.array(sets, pa.binary())
+            mask = blobs.is_valid()
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a).cast(pa.int64()), pa.array(blobs, pa.binary())], names=["rep", "shingles"]
+                [batch.column("rep").slice(a, b - a).filter(mask), blobs.filter(mask)], names=["rep", "shingles"]
             )
 
 
@@ -244,7 +252,7 @@ def _with_sides(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) ->
 
 
 def document_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketched documents (doc_id, digest, n_shingles, registers), and the first of each distinct set (rep, ...).
+    """Sketched documents (doc_id, digest, n_shingles, registers), and each distinct set once (rep, its number; doc, its least doc_id; ...).
 
     Also links (a, b) between the sets of a doc_id that has several texts.
     """
@@ -254,15 +262,17 @@ def document_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         ),
         "sketches",
     )
-    firsts = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # A repeated doc_id may stand for several sets, and one set may have several rows of a doc_id.
-    rows = sketched.withColumnRenamed("doc_id", "rep")
-    classes = firsts.join(rows, ["rep", "digest"]).dropDuplicates(["digest"])
-    named = sketched.where("digest is not null and doc_id is not null").select("doc_id", "digest")
+    named = sketched.where("digest is not null and doc_id is not null")
+    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("doc"))
+    # A repeated doc_id may stand for several sets, so sets have numbers of their own, given once and stored.
+    rows = named.select(F.col("doc_id").alias("doc"), "digest", "n_shingles", "registers")
+    classes = firsts.join(rows, ["doc", "digest"]).dropDuplicates(["digest"]).withColumn("rep", F.monotonically_increasing_id())
+    classes = stored(classes, "classes")
     several = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
-    own = named.join(several, "doc_id").join(firsts, "digest").select("doc_id", F.col("rep").alias("b"))
+    own = named.select("doc_id", "digest").join(several, "doc_id").join(classes.select("digest", "rep"), "digest")
+    own = own.select("doc_id", F.col("rep").alias("b"))
     own = own.join(own.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b")
-    return sketched, stored(classes, "classes"), own
+    return sketched, classes, own
 
 
 def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -285,10 +295,11 @@ def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     best = guessed.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
 
     # The full sets of the classes that share any bucket: the only ones that can link.
-    touched = members.select(F.col("rep").alias("doc_id")).distinct()
+    touched = members.select("rep").distinct().join(classes.select("rep", F.col("doc").alias("doc_id"), "digest"), "rep")
     sets = stored(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(touched, "doc_id", "left_semi")
+        .join(touched, "doc_id")
+        .select("rep", "digest", "text")
         .mapInArrow(_set_rows, "rep long, shingles binary"),
         "shingle-sets",
     )
@@ -332,8 +343,11 @@ def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     more = stored(loaded.mapInArrow(_link_rows, "a long, b long"), "more-links")
     components = connected_components(links.union(more))
 
-    by_class = classes.select("digest", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_class.select("digest", F.coalesce("component", "rep").alias("component"))
+    by_class = classes.select("digest", "rep", "doc").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    by_class = by_class.select("digest", "doc", F.coalesce("component", "rep").alias("number"))
+    names = by_class.groupBy("number").agg(F.min("doc").alias("component"))
+    # Stored, so that the join with all documents is one whose hot partitions Spark can split.
+    by_class = stored(by_class.join(names, "number").select("digest", "component"), "class-components")
     every = sketched.select("doc_id", "digest", "n_shingles").join(by_class, "digest", "left")
     every = every.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
     return every.select(
@@ -347,10 +361,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay; of rows that are equal in doc_id and text one stays.
     """
-    away = near_documents(docs).where("not kept").select("doc_id").distinct()
-    text_hash = F.xxhash64("text").alias("_text_hash")
-    left = docs.select("*", text_hash).join(away, "doc_id", "left_anti").dropDuplicates(["doc_id", "_text_hash"])
-    return left.select(*docs.columns)
+    away = near_documents(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]  # docs may have columns of the added names
+    plain = docs.toDF(*names)
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    left = plain.join(away, F.col(doc_id) == F.col("gone"), "left_anti").withColumn("text_hash", F.xxhash64(text))
+    return left.dropDuplicates([doc_id, "text_hash"]).select(*names).toDF(*docs.columns)
 
 
 #: All pairs of sets that share a shingle, and what each document reaches over links.

@@ -8,8 +8,10 @@ cosine in double precision, inside a task, in blocks of bounded size; a pair tha
 the first. What leaves a block is, for each vector, its number of links and one edge of a spanning forest.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components, or whose label is null, links
-with nothing; vectors of different lengths never link; repeated rows count as vectors of their own; other columns
-are not read; an empty table gives no rows.
+with nothing; vectors of different lengths never link, long ones are hashed by directions of their length; repeated rows, and
+rows that share a vec_id, count as vectors of their own, each with its links and the component of its vector; a null
+vec_id links as any other but names no component, and is kept only where no row of the component has an id; other
+columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def matrix(column) -> np.ndarray:
 
 
 def signer(projections: int, tables: int, width: float, seed: int):
-    """A mapInArrow function: (rep, dim, embedding) to (rep, signature), a bucket number for each table."""
+    """A mapInArrow function: (rep, kind, dim, embedding) to (rep, kind, signature), a bucket number for each table."""
 
     def sign(batches):
         plans: dict[int, tuple] = {}
@@ -71,9 +73,10 @@ def signer(projections: int, tables: int, width: float, seed: int):
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("rep").slice(a, len(buckets)),
+                            part.column("kind").slice(a, len(buckets)),
                             pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets.ravel())),
                         ],
-                        names=["rep", "signature"],
+                        names=["rep", "kind", "signature"],
                     )
 
     return sign
@@ -156,19 +159,21 @@ def near_vectors(
         "sound", F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     )
     sound = rows.where("sound")
+    # A class is a label with a vector; its number, given once and stored, names it: vec_ids may be null or repeated.
     classes = stored(
-        sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes"
-    )
+        sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+        .withColumn("rep", F.monotonically_increasing_id()),
+        "vector-classes",
+    )
+    dim = F.size("embedding")
     signed = stored(
-        classes.select("rep", F.size("embedding").alias("dim"), "embedding").mapInArrow(
-            signer(projections, tables, width, seed), "rep long, signature array<int>"
+        classes.select("rep", F.xxhash64("label", dim).alias("kind"), dim.alias("dim"), "embedding").mapInArrow(
+            signer(projections, tables, width, seed), "rep long, kind long, signature array<int>"
         ),
         "vector-signatures",
     )
-    kind = classes.select("rep", F.xxhash64("label", F.size("embedding")).alias("kind"))
     keys = (
-        signed.join(kind, "rep")
-        .select("rep", "kind", F.posexplode("signature").alias("table", "bucket"))
+        signed.select("rep", "kind", F.posexplode("signature").alias("table", "bucket"))
         .select("rep", "table", F.xxhash64("kind", "table", "bucket").alias("bucket"))
     )
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -184,7 +189,7 @@ def near_vectors(
         "rep", "table", "side", (F.col("pair.low") != F.col("pair.high")).alias("across"),
         F.xxhash64("bucket", "pair.low", "pair.high").alias("block"),
     )
-    payload = classes.select("rep", "embedding", "copies").join(signed, "rep")
+    payload = classes.select("rep", "embedding", "copies").join(signed.drop("kind"), "rep")
     found = stored(
         blocks.join(payload, "rep")
         .repartition("block")
@@ -194,19 +199,20 @@ def near_vectors(
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    result = (
-        classes.join(links, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(
-            "label", "embedding",
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
-    )
+    placed = classes.join(links, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Stored, so that the join with all rows is one whose hot partitions Spark can split.
+    result = stored(
+        placed.join(names, "component").select(
+            "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
+        ),
+        "vector-results",
+    )
     linked = sound.select("vec_id", "label", "embedding").join(result, ["label", "embedding"])
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.select("vec_id", "n_links", "component_id").union(alone).withColumn(
-        "kept", F.col("vec_id") == F.col("component_id")
+        "kept", F.col("vec_id").eqNullSafe(F.col("component_id"))
     )
 
 

@@ -61,6 +61,42 @@ def test_vectors_against_brute_force(spark, block_rows):
     assert got[2006].n_links == 1 and got[2007].component_id == 2006
 
 
+def test_repeated_and_null_vector_ids(spark):
+    """Rows of one vec_id, with different vectors and with the same one, each have their own links."""
+    rng = np.random.RandomState(8)
+    a, b = rng.standard_normal((2, 16))
+    near = lambda v: [float(x) for x in v + rng.standard_normal(16) * 0.02]
+    rows = [(1, near(a), 0), (1, near(b), 0), (2, near(a), 0), (3, near(b), 0), (4, near(b), 0), (None, near(a), 0), (None, [9.0] + [0.0] * 15, 0)]
+    rows += [(5, rows[2][1], 0), (5, rows[2][1], 0)]
+    names = {n: F.lit(1) for n in ("rep", "kind", "least", "block", "table", "component_id", "n_links", "dim")}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns(names)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(frame).collect()), key=str)
+    # The vectors near a: 1, 2, null, 5, 5; those near b: 1, 3, 4.
+    want = [(1, 4, 1, True), (2, 4, 1, False), (None, 4, 1, False), (5, 4, 1, False), (5, 4, 1, False)]
+    want += [(1, 2, 1, True), (3, 2, 1, False), (4, 2, 1, False), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_recall_by_cosine():
+    """Pairs met by the tables, over pairs of three cosines at 64 dimensions."""
+    rng = np.random.RandomState(2)
+    import pyarrow as pa
+
+    sign = vector_dedup.signer(vector_dedup.PROJECTIONS, vector_dedup.TABLES, vector_dedup.WIDTH, vector_dedup.SEED)
+    for cosine, least in ((0.93, 0.99), (0.95, 0.999), (0.98, 0.9999)):
+        x = rng.standard_normal((3000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.standard_normal((3000, 64))
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y *= np.sqrt(1 - cosine**2) / np.linalg.norm(y, axis=1, keepdims=True)
+        y += cosine * x
+        both = np.concatenate((x, y)).astype(np.float64)
+        batch = pa.RecordBatch.from_pydict({"rep": list(range(6000)), "kind": [0] * 6000, "dim": [64] * 6000, "embedding": list(both)})
+        parts = [b.column("signature") for b in sign([batch])]
+        signature = np.concatenate([np.asarray(p.flatten()) for p in parts]).reshape(6000, -1)
+        assert (signature[:3000] == signature[3000:]).any(axis=1).mean() >= least
+
+
 def test_no_vectors(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vector_dedup.near_vectors(frame).count() == 0
@@ -121,6 +157,21 @@ def test_documents_against_brute_force(spark, block_rows):
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_sizes_and_names_where_ids_repeat(spark):
+    """Two texts of one id, of very different sizes, each near to texts of other ids."""
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    short = [f"v{rng.randrange(10**6)}" for _ in range(40)]
+    changed = lambda words, k: " ".join(words[:k] + ["new"] + words[k + 1 :])
+    rows = [(7, " ".join(long)), (7, " ".join(short)), (8, changed(long, 100)), (9, changed(short, 38)), (3, " ".join(long[:150])), (7, " ".join(short))]
+    names = {n: F.lit(1) for n in ("rep", "digest", "doc", "component", "gone", "text_hash", "_text_hash", "c0", "block")}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns(names)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_documents(frame).collect())
+    assert got == [(3, 146, 3, True), (7, 36, 7, True), (7, 36, 7, True), (7, 296, 7, True), (8, 296, 7, False), (9, 36, 7, False)]
+    kept = minhash_dedup.keep_one(frame)
+    assert kept.columns == frame.columns and sorted((r.doc_id, len(r.text.split())) for r in kept.collect()) == [(3, 150), (7, 40), (7, 300)]
+
+
 def test_repeated_ids_and_no_documents(spark):
     text = "a b c d e f g h i j"
     frame = spark.createDataFrame([(1, text), (1, text), (2, "other words here entirely"), (2, text), (None, text)], "doc_id long, text string")
