@@ -2,8 +2,8 @@
 
 Lines are the text's parts between line ends; their key is the line lower-cased, white space collapsed and trimmed.
 Blank lines are never compared and stay. Equal keys become one distinct line with its earliest place (doc_id,
-then line number). Two distinct keys of at least FUZZY_CHARS characters are near if one insertion, deletion or
-substitution turns one into the other:
+then line number). Two distinct keys, of whatever length, are near if one insertion, deletion or substitution turns one into
+the other:
 
 1. Of two strings one edit apart, the first half or the second half agrees (the halves' lengths are those of the
    rounded). Only lines that share such a half with another are looked at further; no near pair is lost.
@@ -11,7 +11,8 @@ substitution turns one into the other:
 3. Equal variants are joined by aggregation, not by listing pairs: with the position of the deletion as part of the key,
    lines of a group differ by one substitution at most, so the earliest of a group is near to all others; and
    a whole line that equals a variant is one deletion from each line that emitted it.
-4. The earliest neighbour found is checked by edit distance on the lines themselves.
+4. The earliest neighbour found is checked on the lines themselves: distinct lines are one edit apart exactly if deleting
+   a character of one, or at one place of both, makes them equal; that takes time in proportion to their length.
 
 A line that has an earlier line within one edit is dropped, whether or not that one is kept.
 
@@ -20,8 +21,8 @@ the documents by a bitmap of fixed size (FILTER_BITS) over their hashes; a full
 the exact join behind it. Hashes of variants meet by chance at times; step 4 sorts those out.
 
 Defined cases: a null text stays null and an empty one stays empty; rows of equal doc_id and text count as one document
-and get the same result; a null doc_id comes first; further columns, whatever their names, pass through; an
-empty table gives no rows.
+and get the same result; a null doc_id comes first; very long lines cost time in proportion to their length, as do documents
+of very many lines; further columns, whatever their names, pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ from pyspark.sql import functions as F
 
 from .common import read, stored
 
-#: Shorter keys are compared for equality only.
-FUZZY_CHARS = 16
 #: Bits of the broadcast bitmap, as words of 64: at most 2^18 rows, whatever the input's size.
 FILTER_BITS = 1 << 24
 #: Characters of a block of the variants' hash.
@@ -78,9 +77,11 @@ def candidate_lines(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     """
     halves = hashed.where("halves is not null").select("h1", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high")
+    # Stored, so that the join with all halves is one whose hot partitions Spark can split.
+    met = stored(met.select("half"), "line-halves")
     odd = F.pmod("half", F.lit(2)) == 1
     candidates = stored(
-        halves.join(met.select("half"), "half", "left_semi")
+        halves.join(met, "half", "left_semi")
         .groupBy("h1")
         .agg(F.bool_or(~odd).alias("first"), F.bool_or(odd).alias("second")),
         "line-candidates",
@@ -111,18 +112,20 @@ def variants_of(lines: DataFrame) -> DataFrame:
     is put together anew, and those behind it are the line's blocks one character further on: all variants of a line
     take time in proportion to its length.
     """
-    number, chars = F.col("number"), F.length("key")
-    blocks = lines.select(
-        "nth", "first", "second", chars.alias("chars"), F.explode(F.sequence(F.lit(0), F.floor((chars - 1) / BLOCK).cast("int"))).alias("number"),
-        "key",
-    ).select("nth", "first", "second", "chars", "number", F.substring("key", number * BLOCK + 1, F.lit(BLOCK + 1)).alias("piece"))
+    number = F.col("number")
+    line = Window.partitionBy("nth").orderBy("number")
+    # A line is cut into its blocks once; each gets the first character of the next one behind it.
+    cut_up = F.regexp_extract_all("key", F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+    blocks = lines.select("nth", "first", "second", F.length("key").alias("chars"), F.posexplode(cut_up).alias("number", "block"))
+    following = F.coalesce(F.substring(F.lead("block").over(line), 1, 1), F.lit(""))
+    blocks = blocks.select("nth", "first", "second", "chars", "number", F.concat("block", following).alias("piece"))
     here = block_hash(number, F.substring("piece", F.lit(1), F.lit(BLOCK)))
     shifted = block_hash(number, F.substring("piece", F.lit(2), F.lit(BLOCK)))
-    line = Window.partitionBy("nth").orderBy("number")
-    ahead, behind = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    ahead, upto, every = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("nth")
+    # What is behind a block is the whole less what is up to it: a frame that ends with the line would be summed anew for each row.
     blocks = blocks.select(
-        "*", F.coalesce(F.sum(here).over(ahead), F.lit(0)).alias("before"), F.coalesce(F.sum(shifted).over(behind), F.lit(0)).alias("after"),
-        here.alias("own"), F.max("number").over(Window.partitionBy("nth")).alias("last"),
+        "*", F.coalesce(F.sum(here).over(ahead), F.lit(0)).alias("before"), (F.sum(shifted).over(every) - F.sum(shifted).over(upto)).alias("after"),
+        here.alias("own"), F.max("number").over(every).alias("last"),
     )
     # An edit lies behind a shared first half, or before a shared second one.
     half = F.floor(F.col("chars") / 4).cast("int") * 2
@@ -140,6 +143,11 @@ def variants_of(lines: DataFrame) -> DataFrame:
     return deleted.union(whole)
 
 
+def without(key: Column, cut: Column) -> Column:
+    """The line without its character number cut; 0: the whole line."""
+    return F.when(cut == 0, key).otherwise(F.concat(F.substring(key, F.lit(1), cut - 1), F.substring(key, cut + 1, F.length(key))))
+
+
 def earlier_neighbours(lines: DataFrame) -> DataFrame:
     """(h1, h2) of each line (h1, h2, key, nth, first, second) that has an earlier one within one edit."""
     variants = variants_of(lines)
@@ -151,18 +159,20 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
     deleted, whole = shared.where("cut > 0"), shared.where("cut = 0").select("variant", F.col("nth").alias("whole"))
     # Substitutions: lines that become equal by deleting the same position; the earliest is near to all others.
     same = deleted.groupBy("variant", "cut").agg(F.min("nth").alias("near"))
-    substituted = deleted.join(same, ["variant", "cut"]).where("near < nth").select("nth", "near")
+    substituted = deleted.join(same, ["variant", "cut"]).where("near < nth").select("nth", "near", "cut", F.col("cut").alias("near_cut"))
     # Insertions and deletions: a whole line equal to a variant of a longer one.
-    longer = deleted.groupBy("variant").agg(F.min("nth").alias("near")).join(whole, "variant")
-    shortened = longer.where("near < whole").select(F.col("whole").alias("nth"), "near")
-    lengthened = deleted.join(whole, "variant").where("whole < nth").select("nth", F.col("whole").alias("near"))
-    pairs = substituted.union(shortened).union(lengthened).distinct()
+    longer = deleted.groupBy("variant").agg(F.min(F.struct("nth", "cut")).alias("long")).join(whole, "variant")
+    shortened = longer.where("long.nth < whole").select(F.col("whole").alias("nth"), "long.nth", F.lit(0).alias("cut"), "long.cut")
+    lengthened = deleted.join(whole, "variant").where("whole < nth").select("nth", "whole", "cut", F.lit(0))
+    # Of the places whose deletion makes a pair equal, one is enough.
+    pairs = substituted.union(shortened).union(lengthened).groupBy("nth", "near").agg(F.min(F.struct("cut", "near_cut")).alias("at"))
     near = lines.select(F.col("nth").alias("near"), F.col("key").alias("near_key"))
     checked = pairs.join(lines.select("nth", "h1", "h2", "key"), "nth").join(near, "near")
-    return checked.where(F.levenshtein("key", "near_key", 1) == 1).select("h1", "h2").distinct()
+    equal = without(F.col("key"), F.col("at.cut")) == without(F.col("near_key"), F.col("at.near_cut"))
+    return checked.where(equal).select("h1", "h2").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and any others) without repeated lines in text, and the columns n_lines and n_dropped."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
@@ -171,8 +181,7 @@ def drop_repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> Data
     rows = plain.withColumn("id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn("row", F.xxhash64(doc_id, text))
     texts = rows.select("id", "row", F.col(text).alias("text"))
 
-    chars = F.length("key")
-    lines = placed_lines(texts).withColumn("halves", F.when(chars >= fuzzy_chars, half_keys(F.col("key"), chars)))
+    lines = placed_lines(texts).withColumn("halves", half_keys(F.col("key"), F.length("key")))
     hashed = stored(lines.drop("key"), "line-hashes")
     near = earlier_neighbours(candidate_lines(texts, hashed)).withColumn("near", F.lit(True))
     groups = hashed.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "line_no")).alias("first"), F.count("*").alias("n"))
@@ -185,11 +194,12 @@ def drop_repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> Data
         .agg(F.collect_set("line_no").alias("dropped"))  # of one document
     )
     parts = F.split(text, "\n", -1)
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("dropped", i))
-    remaining = F.when(F.col("dropped").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("dropped"))
+    remaining = F.when(F.col("dropped").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("parts", i)), "\n"))
     out = [remaining if n == text else F.col(n) for n in names]
-    counts = [F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)), F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))]
-    return rows.join(dropped, ["id", "row"], "left").select(*out, *counts).toDF(*docs.columns, "n_lines", "n_dropped")
+    counts = [F.when(F.col(text).isNull(), 0).otherwise(F.size("parts")), F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))]
+    joined = rows.join(dropped, ["id", "row"], "left").withColumn("parts", parts)
+    return joined.select(*out, *counts).toDF(*docs.columns, "n_lines", "n_dropped")
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
@@ -213,13 +223,18 @@ with raw as (
 firsts as (
   select key, length(key) as chars, min(doc_id * 1000000 + line_no) as place from lines group by key
 ), halves as (
-  select key, place, chars, 'a' || left(key, h) as half from (select *, chars // 4 * 2 as h from firsts where chars >= 16)
-  union all select key, place, chars, 'b' || right(key, h) from (select *, chars // 4 * 2 as h from firsts where chars >= 16)
-  union all select key, place, chars, 'a' || left(key, h) from (select *, chars // 4 * 2 - 2 as h from firsts where chars >= 16 and chars % 4 = 0)
-  union all select key, place, chars, 'b' || right(key, h) from (select *, chars // 4 * 2 - 2 as h from firsts where chars >= 16 and chars % 4 = 0)
+  select key, place, chars, 'a' || left(key, h) as half from (select *, chars // 4 * 2 as h from firsts)
+  union all select key, place, chars, 'b' || right(key, h) from (select *, chars // 4 * 2 as h from firsts)
+  union all select key, place, chars, 'a' || left(key, h) from (select *, chars // 4 * 2 - 2 as h from firsts where chars % 4 = 0)
+  union all select key, place, chars, 'b' || right(key, h) from (select *, chars // 4 * 2 - 2 as h from firsts where chars % 4 = 0)
 ), near as (
   select distinct a.key from halves a join halves b on a.half = b.half
-  where b.place < a.place and abs(a.chars - b.chars) <= 1 and levenshtein(a.key, b.key) = 1
+  -- levenshtein counts bytes, of which a character has up to four: it only narrows down what is compared by characters.
+  where b.place < a.place and abs(a.chars - b.chars) <= 1 and levenshtein(a.key, b.key) <= 4 and len(list_filter(
+    range(1, greatest(a.chars, b.chars) + 1), lambda c:
+      case when a.chars = b.chars then left(a.key, c - 1) || substr(a.key, c + 1) = left(b.key, c - 1) || substr(b.key, c + 1)
+        when a.chars > b.chars then left(a.key, c - 1) || substr(a.key, c + 1) = b.key
+        else left(b.key, c - 1) || substr(b.key, c + 1) = a.key end)) > 0
 ), dropped as (
   select l.doc_id, l.line_no from lines l join firsts f using (key)
   where l.doc_id * 1000000 + l.line_no <> f.place or l.key in (select key from near)
