@@ -17,8 +17,9 @@ each part moves to the group of the bytes that all its windows share. Equal part
 drop out, and the rest is split again, down to single windows, which are equal or not. Nothing is left out.
 
 Defined cases: a null text counts as empty; texts shorter than LENGTH keep all bytes; equal rows repeat each other;
-a null doc_id stays null; other columns are not read; an empty table gives no rows. Spans may cut UTF-8 characters,
-so what is kept is binary.
+a null doc_id stays null; very long texts are worked on in stretches of PLACES windows, with the same anchors as in one; other
+columns are not read; an empty table gives no rows. Spans may cut UTF-8 characters, so what is kept is binary; the column
+text has it without the characters that were cut.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ GRAM = 48
 GROUP_BYTES = 2 << 20
 #: Bytes of segments worked on together in a task.
 BATCH_BYTES = 1 << 20
+#: Bits of a place within a stretch of hashes, and how many windows a stretch has.
+PLACE_BITS = 28
+PLACES = 1 << 27
+#: Rounds of halving after which every segment is a single window: more than any run of LENGTH - GRAM + 1 windows needs.
+MOST_ROUNDS = 24
 
 
 def _gram_hashes(running: np.ndarray, down: np.ndarray, size: int) -> np.ndarray:
@@ -45,6 +51,25 @@ def _gram_hashes(running: np.ndarray, down: np.ndarray, size: int) -> np.ndarray
     return mixed((running[size:] - running[:-size]) * down[: len(running) - size])
 
 
+def least_places(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The place of the leftmost least hash of each window of so many hashes, by their highest 64 - PLACE_BITS bits."""
+    low = np.uint64(PLACE_BITS)
+    out = np.empty(len(hashes) - window + 1, dtype=np.int64)
+    for at in range(0, len(out), PLACES):
+        part = hashes[at : at + PLACES + window - 1]
+        # Cut hashes with their places in the stretch behind them.
+        keys = (part >> low) << low | np.arange(len(part), dtype=np.uint64)
+        blocks = np.full(-(-len(part) // window) * window, np.uint64(0xFFFFFFFFFFFFFFFF))
+        blocks[: len(part)] = keys
+        blocks = blocks.reshape(-1, window)
+        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        last = len(part) - window + 1
+        least = np.minimum(behind[:last], ahead[window - 1 : window - 1 + last]) & np.uint64((1 << PLACE_BITS) - 1)
+        out[at : at + last] = least.astype(np.int64) + at
+    return out
+
+
 def anchored_segments(blobs: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """Arrays over all anchors of all texts: text number, first and last window start, anchor (in the text), and hashes.
 
@@ -59,20 +84,11 @@ def anchored_segments(blobs: list[bytes], length: int = LENGTH, gram: int = GRAM
     up, down = _powers(1 << max(20, len(data).bit_length()))
     running = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
     hashes = _gram_hashes(running, down, gram)
-    n = len(hashes)
-    # The leftmost least hash of each window: hashes cut to 36 bits, with their places behind them.
-    keys = (hashes >> np.uint64(28)) << np.uint64(28) | np.arange(n, dtype=np.uint64)
-    blocks = np.full(-(-n // window) * window, np.uint64(0xFFFFFFFFFFFFFFFF))
-    blocks[:n] = keys
-    blocks = blocks.reshape(-1, window)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    last = n - window + 1
-    least = np.minimum(behind[:last], ahead[window - 1 : window - 1 + last]) & np.uint64((1 << 28) - 1)
-    starts = np.arange(last)
+    least = least_places(hashes, window)
+    starts = np.arange(len(least))
     owner = np.searchsorted(ends, starts, side="right")
     inside = starts + length <= ends[owner]
-    starts, owner, anchor = starts[inside], owner[inside], least[inside].astype(np.int64)
+    starts, owner, anchor = starts[inside], owner[inside], least[inside]
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
     final = np.append(first[1:], len(starts)) - 1
     owner, low, high, anchor = owner[first], starts[first], starts[final], anchor[first]
@@ -236,7 +252,7 @@ def _kept_rows(batches):
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            kept, spans, sizes = [], [], []
+            kept, spans, sizes, left = [], [], [], []
             for text, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist()):
                 data = (text or "").encode()
                 merged: list[list[int]] = []
@@ -246,18 +262,23 @@ def _kept_rows(batches):
                     else:
                         merged.append([first, end])
                 edges = [0, *(x for run in merged for x in run), len(data)]
-                kept.append(b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2])))
+                parts = [data[x:y] for x, y in zip(edges[::2], edges[1::2])]
+                kept.append(b"".join(parts))
+                left.append(None if text is None else "".join(p.decode(errors="ignore") for p in parts))
                 spans.append([{"first": x, "end": y} for x, y in merged])
                 sizes.append(len(data))
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "spans", "kept"],
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(left, pa.string())],
+                names=["doc_id", "n_bytes", "spans", "kept", "text"],
             )
 
 
 def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs, first to end, of bytes) and kept (what is left) for each row of docs."""
+    """doc_id, n_bytes, spans (removed runs, first to end, of bytes), kept (bytes that are left) and text for each row of docs.
+
+    text is what is left as text: a character of which a removed run took a part is gone; null where the text was.
+    """
     limit_batches(docs.sparkSession)
     rows = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("doc_id", "text").alias("row"), "text"
@@ -292,7 +313,7 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
         "segment-bytes",
     )
     runs = [covered]
-    for _ in range(12):
+    for _ in range(MOST_ROUNDS):
         sized = segments.groupBy("group").agg(F.sum(F.octet_length("bytes")).alias("size"))
         large = stored(sized.where(F.col("size") > group_bytes).select("group"), "large-groups")
         none_large = large.isEmpty()
@@ -306,13 +327,17 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
             break
         segments, more = _split(segments.join(large, "group", "left_semi"))
         runs.append(more)
+    else:
+        raise RuntimeError(f"segments larger than {group_bytes} bytes are left after {MOST_ROUNDS} rounds")
     every = runs[0]
     for other in runs[1:]:
         every = every.union(other)
     by_row = every.groupBy("id", "row").agg(F.collect_set(F.struct("first", "end")).alias("runs"))  # of one document
-    return rows.join(by_row, ["id", "row"], "left").select("doc_id", "text", "runs").mapInArrow(
-        _kept_rows, rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.expr("cast(null as array<struct<first:int,end:int>>)").alias("spans"), F.expr("cast(null as binary)").alias("kept")).schema
-    )
+    kinds = rows.select(
+        "doc_id", F.lit(0).cast("long").alias("n_bytes"), F.expr("cast(null as array<struct<first:int,end:int>>)").alias("spans"),
+        F.expr("cast(null as binary)").alias("kept"), F.expr("cast(null as string)").alias("text"),
+    ).schema
+    return rows.join(by_row, ["id", "row"], "left").select("doc_id", "text", "runs").mapInArrow(_kept_rows, kinds)
 
 
 def _split(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -356,7 +381,7 @@ def _split(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 #: Digests of all windows, taken from blocks of the text in hex.
 ORACLE_SQL = r"""
-WITH bytes AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH bytes AS MATERIALIZED (SELECT doc_id, text IS NULL AS missing, hex(encode(coalesce(text, ''))) AS h FROM documents),
 blocks AS MATERIALIZED (
   SELECT doc_id, a, substr(h, 2 * a + 1, 1600) AS block
   FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 399, 0), 400)) AS a FROM bytes)
@@ -377,13 +402,26 @@ pieces AS (
     lead(first) OVER (PARTITION BY doc_id ORDER BY run) AS next
   FROM spans
 ),
+parts AS (
+  SELECT p.doc_id, run, past - b AS size, substr(h, 2 * a + 1, 2 * (b - a)) AS left_of,
+    CASE WHEN next IS NULL THEN substr(h, 2 * past + 1) ELSE '' END AS right_of
+  FROM pieces p JOIN bytes USING (doc_id)
+),
+-- Characters that were cut: bytes 80 to BF at a part's start, and a first byte with too few behind it at its end.
+whole AS (
+  SELECT *, regexp_replace(regexp_replace(left_of, '^([89AB][0-9A-F])+', ''),
+      '^((?:[0-9A-F]{2})*?)(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){0,2})$', '\1') AS left_text,
+    regexp_replace(right_of, '^([89AB][0-9A-F])+', '') AS right_text
+  FROM parts
+),
 kept AS (
-  SELECT p.doc_id, count(*) AS n_spans, sum(p.past - p.b) AS n_removed,
-    string_agg(substr(h, 2 * a + 1, 2 * (b - a)) || CASE WHEN next IS NULL THEN substr(h, 2 * past + 1) ELSE '' END, '' ORDER BY run) AS rest
-  FROM pieces p JOIN bytes USING (doc_id) GROUP BY p.doc_id
+  SELECT doc_id, count(*) AS n_spans, sum(size) AS n_removed, string_agg(left_of || right_of, '' ORDER BY run) AS rest,
+    string_agg(left_text || right_text, '' ORDER BY run) AS rest_text
+  FROM whole GROUP BY doc_id
 )
 SELECT b.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
-  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256,
+  CASE WHEN NOT missing THEN decode(unhex(coalesce(rest_text, h))) END AS text
 FROM bytes b LEFT JOIN kept k USING (doc_id)
 """
 
@@ -392,5 +430,5 @@ def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes",
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["first"]).cast("long")).alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "text",
     )

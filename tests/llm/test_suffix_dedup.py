@@ -70,6 +70,47 @@ def test_documents_against_brute_force(spark, group_bytes):
     assert sorted(got) == sorted(want)
 
 
+def test_anchors_of_texts_in_several_stretches(monkeypatch):
+    rng = np.random.RandomState(1)
+    blobs = [bytes(rng.randint(97, 100, n).astype(np.uint8)) for n in (5000, 120, 9000)]
+    whole = suffix_dedup.anchored_segments(blobs, 60, 12)
+    monkeypatch.setattr(suffix_dedup, "PLACES", 700)
+    for a, b in zip(whole, suffix_dedup.anchored_segments(blobs, 60, 12)):
+        assert np.array_equal(a, b)
+
+
+def test_rounds_that_do_not_end_raise(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_ROUNDS", 1)
+    frame = spark.createDataFrame(corpus(2), "doc_id long, text string")
+    with pytest.raises(RuntimeError):
+        suffix_dedup.remove_repeats(frame, group_bytes=3000).collect()
+
+
+def test_several_arrow_batches_in_a_partition(spark):
+    """Batches of a few kilobytes cut a partition's rows anywhere."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    docs = corpus(5)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4096")
+        rows = suffix_dedup.remove_repeats(frame, group_bytes=5000).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch") if before is None else spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    blobs = [(t or "").encode() for _, t in docs]
+    want = sorted((d, int(m.sum())) for (d, _), m in zip(docs, covered(blobs, 400)))
+    assert sorted((r.doc_id, sum(s.end - s.first for s in r.spans)) for r in rows) == want
+
+
+def test_text_is_what_is_left_without_cut_characters(spark):
+    """Repeats that begin and end within characters of two and four bytes."""
+    shared = "é😀" * 90
+    frame = spark.createDataFrame([(1, "ab" + shared + "cd"), (2, "\u0129" + shared + "\u00aa!"), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame).collect()}
+    assert rows[1].text == "abcd" and rows[2].text == "\u0129\u00aa!" and rows[3].text is None and rows[3].n_bytes == 0
+    for r in rows.values():
+        assert bytes(r.kept).decode(errors="ignore") == (r.text or "")
+
+
 def test_an_empty_table_and_null_ids(spark):
     frame = spark.createDataFrame([(None, "q" * 500), (None, "short")], "doc_id long, text string")
     rows = {bytes(r.kept): r.doc_id for r in suffix_dedup.remove_repeats(frame).collect()}
