@@ -2,15 +2,16 @@
 
 A text is read as lower-cased UTF-8 bytes; every run of 2, 3 and 4 bytes (word ends included) has a hashed bucket with
 an embedding, the text is the mean of its buckets' embeddings, and a linear softmax gives the languages' probabilities.
-Both layers are trained by stochastic gradient descent in numpy, on a bounded sample (SAMPLE_ROWS rows for each
-language, a window of SAMPLE_CHARS characters of each, and shorter cuts of those). A part of the sample that is not
-trained on sets the softmax's temperature and the score below which a prediction counts as rejected.
+Both layers are trained by stochastic gradient descent in numpy, on a bounded sample of rows (SAMPLE_ROWS for each
+language): the whole of each text and two short pieces from anywhere in it, each as the counts of its buckets, so that what
+the driver gathers is bounded by the number of buckets, however long texts are. A part of the sample that is not trained on
+sets the softmax's temperature and the score below which a prediction counts as rejected.
 
 For scoring, the two layers are multiplied into one table (bucket by language), so that a byte costs three look-ups.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; texts too short for a run of
-two bytes are padded by word ends; repeated rows are scored alike; other columns pass through in `keep_identified`;
-with no labelled row at all every text is `und`; an empty table gives no rows.
+two bytes are padded by word ends; a very long text is scored whole; repeated rows are scored alike; other columns, whatever their
+names, pass through in `keep_identified`; with no labelled row at all every text is `und`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ BUCKETS = 1 << 15
 DIMENSIONS = 12
 RUNS = (2, 3, 4)
 SAMPLE_ROWS = 500
-SAMPLE_CHARS = 1500
+#: Most examples that the driver gathers, whatever the number of languages and of rows that share a doc_id.
+MOST_EXAMPLES = 100_000
 EPOCHS = 6
 RATE = 3.0
 SEED = 11
@@ -50,7 +52,7 @@ class LanguageModel:
 
 
 def buckets(data: np.ndarray) -> list[np.ndarray]:
-    """For each run length, the bucket of the run that begins at each byte (the last ones wrap over word ends)."""
+    """For each run length, the bucket of the run that begins at each byte (the last ones go on with spaces)."""
     wide = data.astype(np.uint32)
     out, value = [], wide.copy()
     for k in range(1, max(RUNS)):
@@ -93,17 +95,21 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str, bool]], seed: int = SEED) -> LanguageModel:
-    """rows: (text, language, whether it is kept for calibration)."""
+def examples(text: str, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and their shares for a whole text and for short pieces of it."""
+    return [_features(piece) for piece in _cuts(text, np.random.RandomState(seed))]
+
+
+def train(rows: list[tuple[list, str, bool]], seed: int = SEED) -> LanguageModel:
+    """rows: (examples of a text, language, whether it is kept for calibration)."""
     languages = sorted({lang for _, lang, _ in rows})
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0)
     rng = np.random.RandomState(seed)
     number = {lang: i for i, lang in enumerate(languages)}
     learn, hold = [], []
-    for text, lang, calibrate in rows:
-        for piece in _cuts(text, rng):
-            (hold if calibrate else learn).append((*_features(piece), number[lang]))
+    for made, lang, calibrate in rows:
+        (hold if calibrate else learn).extend((ids, share, number[lang]) for ids, share in made)
     embeddings = rng.uniform(-0.1, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = rng.uniform(-0.1, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
@@ -136,19 +142,41 @@ def train(rows: list[tuple[str, str, bool]], seed: int = SEED) -> LanguageModel:
 
 def scores(model: LanguageModel, texts: list[str]) -> np.ndarray:
     """Probabilities, one row for each text and one column for each language."""
+    gap = b" " * (max(RUNS) - 1)  # so that no run reaches into the next text
     blobs = [prepared(t) for t in texts]
-    bounds = np.concatenate(([0], np.cumsum([len(b) for b in blobs])))
-    data = np.frombuffer(b"".join(blobs), dtype=np.uint8)
+    sizes = np.array([len(b) for b in blobs])
+    ends = np.cumsum(sizes + len(gap)) - len(gap)
+    bounds = np.stack((ends - sizes, ends), axis=1).ravel()
+    data = np.frombuffer(b"".join(b + gap for b in blobs), dtype=np.uint8)
     total = np.zeros((len(texts), len(model.languages)))
     for found in buckets(data):
         for lang in range(len(model.languages)):
-            total[:, lang] += np.add.reduceat(model.table[:, lang][found], bounds[:-1], dtype=np.float64)
-    mean = total / (np.diff(bounds)[:, None] * len(RUNS))
+            total[:, lang] += np.add.reduceat(model.table[:, lang][found], bounds, dtype=np.float64)[::2]
+    mean = total / (sizes[:, None] * len(RUNS))
     return _softmax(mean + model.bias)
 
 
-def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
+def _example_rows(batches):
+    for batch in batches:
+        for a, b, texts in text_slices(batch):
+            seeds = batch.column("seed").slice(a, b - a).to_pylist()
+            made = [examples(t, s) if has_letter(t) else [] for t, s in zip(texts, seeds)]
+            rows = pa.array(np.repeat(np.arange(a, b), [len(m) for m in made]))
+            flat = [e for m in made for e in m]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("lang").take(rows), batch.column("place").take(rows), batch.column("seed").take(rows),
+                    pa.array([ids.astype(np.int32).tobytes() for ids, _ in flat], pa.binary()),
+                    pa.array([share.astype(np.float32).tobytes() for _, share in flat], pa.binary()),
+                ],
+                names=["lang", "place", "seed", "ids", "shares"],
+            )
+
+
+def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Train on at most `rows` rows for each language among those where usable holds and lang isn't null."""
+    limit_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", "lang")
     usable = usable & F.col("lang").isNotNull()
     h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 1)
     # A row for each language; hashes up to the bound are of about three times as many rows as are taken.
@@ -157,14 +185,15 @@ def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS, chars: int = S
     ranked = ranked.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("bound")).drop("bound")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).select("doc_id", "lang", "place")
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars, F.lit(1))) + 1
+    seed = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(1 << 31))
     sample = (
         docs.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])  # at most `rows` for each language
-        .select(F.substring(F.col("text"), start.cast("int"), F.lit(chars)).alias("text"), "lang", "place", "doc_id")
-        .where(F.col("text").rlike("\\p{L}"))
-        .orderBy("place", "doc_id", "lang")
+        .select("text", "lang", "place", seed.alias("seed"))
+        .mapInArrow(_example_rows, "lang string, place int, seed long, ids binary, shares binary")
+        .orderBy("place", "seed", "lang", "ids", "shares").limit(MOST_EXAMPLES)
     )
-    return train([(r.text, r.lang, r.place % 5 == 0) for r in sample.collect()])
+    made = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32), r.lang, r.place % 5 == 0) for r in sample.collect()]
+    return train([([(ids, shares)], lang, hold) for ids, shares, lang, hold in made])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -3,13 +3,15 @@
 Bytes become embeddings; FILTERS learned filters of 8 bytes, 4 apart, run over the whole document in chunks that
 overlap by one filter; rectified responses are max-pooled and averaged within each chunk. A document's features
 are, over its chunks, the largest maximum, the mean of the means and the largest mean of each filter, and the logarithm of
-its length; a small hidden layer combines them into one probability. Everything is trained together by Adam on a bounded sample (SAMPLE_ROWS rows
-of each label, texts of at most SAMPLE_CHARS characters); the sample takes both labels equally, and the output's bias is
-then moved to the share of labels in all rows that may be learnt from.
+its length; a small hidden layer combines them into one probability. Everything is trained together by Adam on a bounded sample
+of rows (SAMPLE_ROWS of each label); the sample takes both labels equally, and the output's bias is then moved to the share
+of labels in all rows that may be learnt from. Texts of any length are learnt from: one of more than SAMPLE_CHUNKS chunks gives
+so many of them, drawn from all over it by a seed, with its whole length.
 
 Defined cases: a null or empty text is scored as one chunk of padding; repeated rows score alike; rows without a label,
 or with a null quality, are scored but never learnt from; with no learnable row, or only one label, the score is the
-learnable share of label 1 (0.5 if there is none); other columns are not read; an empty table gives no rows.
+learnable share of label 1 (0.5 if there is none); a very long text is scored whole, a few chunks at a time; other columns, whatever
+their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ HIDDEN = 24
 #: Filter positions of a chunk (times STRIDE bytes); the next chunk begins one filter earlier than this one ends.
 CHUNK = 128
 SAMPLE_ROWS = 2000
-SAMPLE_CHARS = 6000
+SAMPLE_CHUNKS = 12
 EPOCHS = 10
 #: Fewest steps, for small samples, and how fast weights decay.
 LEAST_STEPS = 600
@@ -85,12 +87,13 @@ def pooled(act: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return act.max(axis=1), act.sum(axis=1) / used[:, None]
 
 
-def features(top: np.ndarray, mean: np.ndarray, counts: np.ndarray, used: np.ndarray) -> np.ndarray:
+def features(top: np.ndarray, mean: np.ndarray, counts: np.ndarray, used: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """A row for each document; whole: its filter positions where the chunks are only a part of it."""
     starts = np.cumsum(counts) - counts
     total = np.add.reduceat(used, starts)
     average = np.add.reduceat(mean * used[:, None], starts, axis=0) / total[:, None]
     parts = (np.maximum.reduceat(top, starts), 4 * average, 4 * np.maximum.reduceat(mean, starts))
-    return np.concatenate((*parts, np.log1p(total)[:, None] / 4), axis=1).astype(top.dtype)
+    return np.concatenate((*parts, np.log1p(total if whole is None else whole)[:, None] / 4), axis=1).astype(top.dtype)
 
 
 def logits(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,11 +101,11 @@ def logits(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hidden @ p["w2"] + p["b2"][0], hidden
 
 
-def _gradients(p: dict[str, np.ndarray], blobs: list[bytes], target: np.ndarray) -> dict[str, np.ndarray]:
+def _gradients(p: dict[str, np.ndarray], blobs: list[bytes], target: np.ndarray, whole: np.ndarray | None = None) -> dict[str, np.ndarray]:
     data, counts, used = layout(blobs)
     act = responses(p, data)
     top, mean = pooled(act, used)
-    x = features(top, mean, counts, used)
+    x = features(top, mean, counts, used, whole)
     z, hidden = logits(p, x)
     error = ((1 / (1 + np.exp(-z))) - target).astype(np.float32) / len(blobs)
     g = {"w2": hidden.T @ error, "b2": np.array([error.sum()], np.float32)}
@@ -142,9 +145,25 @@ def _gradients(p: dict[str, np.ndarray], blobs: list[bytes], target: np.ndarray)
     return g
 
 
-def train(rows: list[tuple[bytes, int]], share: float, seed: int = SEED) -> QualityModel:
-    """rows: (text as bytes, label); share: of label 1 among all learnable rows."""
-    labels = np.array([label for _, label in rows], dtype=np.float32)
+def positions(size: int) -> int:
+    """Filter positions of a text of so many bytes."""
+    return max(1, -(-(size - STRIDE) // STRIDE))
+
+
+def drawn_chunks(data: bytes, chunks: int = SAMPLE_CHUNKS, seed: int = SEED) -> bytes:
+    """The bytes of a text, or of so many whole chunks of it in their order, drawn by a seed and the text's length."""
+    step = CHUNK * STRIDE
+    there = len(data) // step
+    if there <= chunks:
+        return data
+    picked = np.sort(np.random.RandomState((seed * 1_000_003 + len(data)) % (1 << 32)).choice(there, chunks, replace=False))
+    return b"".join(data[k * step : (k + 1) * step] for k in picked.tolist())
+
+
+def train(rows: list[tuple[bytes, int]] | list[tuple[bytes, int, int]], share: float, seed: int = SEED) -> QualityModel:
+    """rows: (text or drawn chunks of it as bytes, label, and the text's size if that is not theirs); share: of label 1 among all learnable rows."""
+    labels = np.array([row[1] for row in rows], dtype=np.float32)
+    whole = np.array([positions(row[2] if len(row) > 2 else len(row[0])) for row in rows])
     if not len(rows) or labels.min() == labels.max():
         return QualityModel(None, 0.0, share)
     rng = np.random.RandomState(seed)
@@ -160,7 +179,7 @@ def train(rows: list[tuple[bytes, int]], share: float, seed: int = SEED) -> Qual
     while step < steps:
         picked = np.concatenate([rng.choice(group, BATCH // 2) for group in groups])
         step += 1
-        g = _gradients(p, [rows[i][0] for i in picked], labels[picked])
+        g = _gradients(p, [rows[i][0] for i in picked], labels[picked], whole[picked])
         rate = RATE * (1 - 0.9 * step / steps)
         for k, v in g.items():
             first[k] = 0.9 * first[k] + 0.1 * v
@@ -187,20 +206,36 @@ def scores(model: QualityModel, blobs: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> QualityModel:
+def _drawn_rows(batches):
+    for batch in batches:
+        for a, b, texts in text_slices(batch):
+            blobs = [t.encode() for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("place").slice(a, b - a), batch.column("quality").slice(a, b - a),
+                    pa.array([drawn_chunks(x) for x in blobs], pa.binary()), pa.array([len(x) for x in blobs], pa.int64()),
+                ],
+                names=["place", "quality", "chunks", "size"],
+            )
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
     """Train on at most `rows` rows of each label; docs (doc_id, text), labels (doc_id, quality)."""
+    limit_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r.quality: r.n for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
-    fitting = docs.select("doc_id", F.length("text").alias("chars")).where(F.col("chars") <= chars)
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    chosen = (
-        usable.join(fitting, "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
-        .select("doc_id", "quality", "place")
+    known = usable.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("quality", F.col("quality").cast("int"))
+    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).select("doc_id", "quality", "place")
+    sample = (
+        docs.join(F.broadcast(chosen), "doc_id").select("place", "quality", "text")  # at most 2 * rows, of so many chunks each
+        .mapInArrow(_drawn_rows, "place int, quality int, chunks binary, size long")
+        .orderBy("place", "quality", "chunks").limit(2 * rows)
     )
-    sample = docs.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= chars).orderBy("place", "quality", "text")  # at most 2 * rows
-    return train([((r.text or "").encode(), int(r.quality)) for r in sample.limit(2 * rows).collect()], share)
+    return train([(bytes(r.chunks), r.quality, r.size) for r in sample.collect()], share)
 
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:

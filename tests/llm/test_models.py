@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -48,8 +49,53 @@ def test_language_without_labels_or_rows(spark):
     assert language_id.keep_identified(docs.limit(0)).count() == 0
 
 
+def language_model(rows):
+    return language_id.train([(language_id.examples(t, i), lang, i % 5 == 0) for i, t, lang in rows])
+
+
+def plain_language(model, text):
+    """Probabilities by a loop over the runs of 2, 3 and 4 bytes that begin at each byte."""
+    lower = "".join(c.lower() if "A" <= c <= "Z" else " " if c in "\t\n\v\f\r" else c for c in text)
+    data = f" {lower} ".encode()
+    total = [0.0] * len(model.languages)
+    for at in range(len(data)):
+        for size in (2, 3, 4):
+            run = (data + b"    ")[at : at + size]
+            value = run[0]
+            for k, byte in enumerate(run[1:], 1):
+                value = (value * 0x01000193 + byte + k) % 2**32
+            x = (value ^ (value >> 15)) * 0x85EBCA6B % 2**32
+            bucket = ((x >> 13) ^ x) % 2**15
+            for lang in range(len(total)):
+                total[lang] += float(model.table[bucket, lang]) / (3 * len(data))
+    z = [a + float(b) for a, b in zip(total, model.bias)]
+    e = [math.exp(v - max(z)) for v in z]
+    return [v / sum(e) for v in e]
+
+
+def test_language_against_a_plain_sum(labelled):
+    model = language_model(labelled[:150])
+    for text in ["a", "É x", "THE ing\tand\nou", labelled[160][1], labelled[161][1] * 3]:
+        assert np.allclose(language_id.scores(model, [text])[0], plain_language(model, text), atol=1e-6)
+
+
+def test_language_learns_from_the_end_of_long_texts(spark):
+    """What tells the languages apart stands behind 30,000 characters that they share."""
+    rng = random.Random(9)
+    rows = [(i, "abc def " * 4000 + prose(lang, rng, 3000), lang) for i, lang in enumerate(["xx", "yy"] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.lit(True))
+    assert [model.languages[k] for k in language_id.scores(model, [prose("xx", rng, 50), prose("yy", rng, 50)]).argmax(axis=1)] == ["xx", "yy"]
+
+
+def test_language_training_rows_of_one_id_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_EXAMPLES", 10)
+    docs = spark.createDataFrame([(7, "the ing and", "xx")] * 50 + [(8, "che sch ein", "yy")], "doc_id long, text string, lang string")
+    assert language_id.fit(docs, F.lit(True)).languages
+
+
 def test_scores_of_a_batch_are_those_of_each_text(labelled):
-    model = language_id.train([(t, lang, i % 5 == 0) for i, t, lang in labelled[:150]])
+    model = language_model(labelled[:150])
     texts = [t for _, t, _ in labelled[150:180]] + ["", "a"]
     assert np.allclose(language_id.scores(model, texts), np.concatenate([language_id.scores(model, [t]) for t in texts]))
 
@@ -79,6 +125,71 @@ def test_quality_without_both_labels(spark):
     assert {r.score for r in quality.score_documents(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def plain_quality(model, data):
+    """The score by loops over filters, positions and chunks."""
+    p = {k: v.astype(float) for k, v in model.parameters.items()}
+    size = quality.CHUNK * quality.STRIDE
+    chunks = max(1, -(-(len(data) - 4) // size))
+    data = data + bytes(chunks * size + 4)
+    left = max(1, -(-(len(data) - (chunks * size + 4) - 4) // 4))
+    tops, means, weights = [], [], []
+    for c in range(chunks):
+        used = min(quality.CHUNK, left - c * quality.CHUNK)
+        act = []
+        for at in range(used):
+            x = np.concatenate([p["embedding"][b] for b in data[c * size + 4 * at : c * size + 4 * at + 8]])
+            first, second = p["filters"][:, : quality.FILTERS], p["filters"][:, quality.FILTERS :]
+            act.append(np.maximum(0, x[:32] @ first + x[32:] @ second + p["bias"]))
+        tops.append(np.max(act, axis=0))
+        means.append(np.mean(act, axis=0))
+        weights.append(used)
+    average = np.average(means, axis=0, weights=weights)
+    x = np.concatenate([np.max(tops, axis=0), 4 * average, 4 * np.max(means, axis=0), [np.log1p(sum(weights)) / 4]])
+    z = np.tanh(x @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"][0] + model.shift
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_against_plain_loops():
+    rng = random.Random(4)
+    rows = [(prose("xx", rng, 60).encode(), 1) for _ in range(40)] + [(junk(rng, 60).encode(), 0) for _ in range(40)]
+    model = quality.train(rows, 0.4)
+    for data in (b"", b"a", b"abcd", b"abcdefgh!", rows[0][0][:512], rows[0][0][:516], rows[1][0] * 7, rows[50][0] * 5):
+        assert quality.scores(model, [data])[0] == pytest.approx(plain_quality(model, data), abs=1e-5)
+
+
+def test_quality_learns_from_long_texts(spark):
+    """All labelled texts are longer than the chunks that are drawn of each; they differ in their second half only."""
+    rng = random.Random(10)
+    shared = prose("xx", rng, 1500)
+    text = lambda good: shared + (prose("xx", rng, 1500) if good else junk(rng, 1500))
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    found = quality.scores(model, [text(k % 2).encode() for k in range(20)])
+    assert np.mean([(s >= 0.5) == k % 2 for k, s in enumerate(found)]) > 0.9
+
+
+def test_drawn_chunks():
+    data = bytes(np.random.RandomState(0).randint(0, 256, 40 * 512 + 77).astype(np.uint8))
+    drawn = quality.drawn_chunks(data)
+    assert len(drawn) == 12 * 512 and drawn == quality.drawn_chunks(data) and quality.drawn_chunks(data[:6143]) == data[:6143]
+    places = [data.index(drawn[k * 512 : (k + 1) * 512]) for k in range(12)]
+    assert places == sorted(set(places)) and places[-1] > 20 * 512
+
+
+def test_models_on_empty_tables_repeated_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "x" * 200_000)], "doc_id long, text string").withColumns(
+        {n: F.lit(1) for n in ("score", "place", "quality", "chunks", "seed", "lang", "lang_pred", "c0")}
+    )
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int").withColumn("place", F.lit(0))
+    scored = quality.score_documents(docs, quality.fit(docs, labels)).collect()
+    assert len(scored) == 3 and len({r.score for r in scored if r.doc_id == 1}) == 1
+    model = quality.fit(docs.limit(0), labels)
+    assert quality.score_documents(docs.limit(0), model).count() == 0 and quality.fit(docs, labels.limit(0)).parameters is None
+    kept = language_id.keep_identified(docs.withColumn("lang", F.lit("xx")))
+    assert kept.columns == docs.columns and kept.count() <= 3
+
+
 def test_quality_gradients():
     rng = np.random.RandomState(0)
     blobs = [bytes(rng.randint(32, 120, n).astype(np.uint8)) for n in (1, 9, 700, 1500)]
