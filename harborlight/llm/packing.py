@@ -7,7 +7,8 @@ sequences. Windows still open at the end (or when more than OPEN_WINDOWS are ope
 are laid end to end into full windows, and what is left is cut into sequences whose lengths are powers of two.
 
 Defined cases: a null or empty text is a document of the end id alone; repeated rows and doc_ids are packed as rows of
-their own; a null doc_id stays null; other columns are not read; an empty table gives no rows.
+their own; a null doc_id stays null; a very long text is encoded in one task and cut over as many windows as it fills; other columns,
+whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

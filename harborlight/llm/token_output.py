@@ -7,7 +7,8 @@ are on and doc_id has a Bloom filter, so a reader prunes stripes and row groups
 and skips the ids column where only counts are asked for.
 
 Defined cases: a null or empty text is a document of the end id alone; equal doc_ids keep one row each, ordered by
-text; a null doc_id sorts first; columns other than the named ones are not read; an empty table gives no rows.
+text; a null doc_id sorts first; a very long text is one row, whose ids one task holds; columns other than the named ones are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -2,14 +2,16 @@
 
 The vocabulary's pre-tokenizer cuts a text into runs of letters, digits or other marks, each with the space before it, into
 contractions and into white space; the model then encodes each pre-token alone. Here the cuts are found over arrays of
-bytes for many texts at once, each pre-token is named by a 64-bit hash (and its length), and only pre-tokens that the table
-doesn't have yet go to the library. Texts with bytes outside of SIMPLE (other scripts, control characters) are
-encoded whole by the library itself.
+bytes for many texts at once, each pre-token is looked up by a 64-bit hash and compared byte by byte with the one held, and
+only pre-tokens that the table doesn't have yet go to the library. Texts with bytes outside of SIMPLE (other scripts, control
+characters), texts with a pre-token whose hash another one holds, and all texts where the vocabulary has other rules
+(PRETOKENIZER) are encoded whole by the library itself.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 from array import array
 
@@ -42,6 +44,8 @@ def _classes() -> np.ndarray:
 
 
 KIND = _classes()
+#: The rules that pretoken_starts follows, as a vocabulary's file states them, and what a file must not have besides.
+PRETOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: Letters after an apostrophe that make a contraction, by its length.
 ONE, TWO = b"stmd", (b"re", b"ve", b"ll")
 
@@ -91,6 +95,9 @@ class Encoder:
 
         self._model = Tokenizer.from_file(path)
         self._model.encode_special_tokens = True
+        stated = json.loads(self._model.to_str())
+        rules = stated.get("pre_tokenizer") or {}
+        self._known_rules = stated.get("normalizer") is None and all(rules.get(k) == v for k, v in PRETOKENIZER.items())
         # The same model without its own pre-tokenizer: it takes pre-tokens in the byte alphabet, parted by spaces.
         self._ready = Tokenizer(self._model.model)
         self._ready.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
@@ -102,7 +109,11 @@ class Encoder:
         self._places = np.zeros(_SLOTS, dtype=np.int32)
         self._sizes = np.zeros(_SLOTS, dtype=np.int32)
         self._pool = np.zeros(1 << 20, dtype="<u4")
-        self._pooled = self._held = 0
+        # The bytes of the pre-tokens held: where a slot's begin, and how many they are.
+        self._spelled_at = np.zeros(_SLOTS, dtype=np.int32)
+        self._spelled = np.zeros(_SLOTS, dtype=np.int32)
+        self._letters = np.zeros(1 << 20, dtype=np.uint8)
+        self._pooled = self._lettered = self._held = 0
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._model.encode_batch(texts, add_special_tokens=False)]
@@ -137,16 +148,38 @@ class Encoder:
         places = self._pooled + np.cumsum(sizes) - sizes
         self._pooled += len(fresh)
         self._held += len(words)
+        lengths = np.array([len(w) for w in words], dtype=np.int32)
+        letters = np.frombuffer(b"".join(words), dtype=np.uint8)
+        while self._lettered + len(letters) > len(self._letters):
+            self._letters = np.concatenate((self._letters, np.zeros_like(self._letters)))
+        self._letters[self._lettered : self._lettered + len(letters)] = letters
+        spelled_at = self._lettered + np.cumsum(lengths) - lengths
+        self._lettered += len(letters)
         left = np.arange(len(names))
         while len(left):  # of names that would share a slot, one goes in each round
             slots = ~self._slots(names[left])
             _, first = np.unique(slots, return_index=True)
             put, at = left[first], slots[first]
             self._names[at], self._places[at], self._sizes[at] = names[put], places[put], sizes[put]
+            self._spelled_at[at], self._spelled[at] = spelled_at[put], lengths[put]
             left = np.delete(left, first)
 
-    def _arrays(self, blobs: list[bytes]) -> list[bytes]:
-        """Ids of texts whose bytes are all of known kinds."""
+    def _others(self, data: np.ndarray, ends: np.ndarray, starts: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Which pre-tokens aren't those that their slots hold, byte by byte: their hashes met by chance."""
+        lengths = (ends - starts).astype(np.int32)
+        other = self._spelled[slots] != lengths
+        if other.any():  # compared as far as both go
+            lengths = np.minimum(lengths, self._spelled[slots])
+        total = np.cumsum(lengths)
+        steps = np.arange(total[-1] if len(total) else 0, dtype=np.int32)
+        shift = np.repeat((self._spelled_at[slots] - (total - lengths)).astype(np.int32), lengths)
+        mine = np.repeat((starts - (total - lengths)).astype(np.int32), lengths)
+        wrong = np.flatnonzero(self._letters[shift + steps] != data[mine + steps])
+        other[np.searchsorted(total, wrong, side="right")] = True
+        return other
+
+    def _arrays(self, blobs: list[bytes]) -> list[bytes | None]:
+        """Ids of texts whose bytes are all of known kinds; none for a text with a pre-token whose hash another one holds."""
         joined = b"\0" + b"\0".join(blobs) + b"\0"
         data = np.frombuffer(joined, dtype=np.uint8)
         starts = pretoken_starts(data)
@@ -171,11 +204,15 @@ class Encoder:
             at = missing[first]
             self._learn(fresh, [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             slots[missing] = self._slots(names[missing])
+        other = self._others(data, ends, starts, slots)
         sizes, places = self._sizes[slots], self._places[slots]
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self._pool[np.repeat(places - total[:-1], sizes) + np.arange(total[-1])]
         cuts = total[bounds].tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        made: list[bytes | None] = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        for k in np.unique(np.searchsorted(bounds, np.flatnonzero(other), side="right") - 1).tolist():
+            made[k] = None
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -183,18 +220,22 @@ class Encoder:
         for i, text in enumerate(texts):
             parts = _cut(text) if len(text) > _LONGEST else [text]
             blobs = [p.encode() for p in parts]
-            if all(_is_simple(b) for b in blobs):
+            if self._known_rules and all(_is_simple(b) for b in blobs):
                 simple.append((i, len(blobs)))
                 pieces += blobs
             else:
                 whole.append(i)
-        done: list[bytes] = []
+        done: list[bytes | None] = []
         for a, b in slices(pieces):
             done += self._arrays(pieces[a:b])
         at = 0
         for i, n in simple:
-            out[i] = done[at] if n == 1 else b"".join(done[at : at + n])
+            mine = done[at : at + n]
             at += n
+            if None in mine:
+                whole.append(i)
+            else:
+                out[i] = mine[0] if n == 1 else b"".join(mine)
         for i, ids in zip(whole, self._plain([texts[i] for i in whole])):
             out[i] = ids
         return out

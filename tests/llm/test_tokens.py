@@ -38,6 +38,32 @@ def test_long_texts_and_a_full_table(model, monkeypatch):
             assert model.encode([text]) == [plain(model, text)]
 
 
+def test_pretokens_whose_hashes_meet(monkeypatch):
+    """With a hash of 128 values nearly all pre-tokens share one with another; ids stay those of the library."""
+    monkeypatch.setattr(tokens, "mixed", lambda x: x % np.uint64(251))
+    model = tokens.Encoder(tokens.vocabulary())
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6))) for _ in range(40)) for _ in range(30)]
+    for _ in range(2):
+        assert model.encode(texts) == [plain(model, t) for t in texts]
+
+
+def test_vocabularies_with_other_rules():
+    """Where a file states other rules than those known here, the library encodes alone."""
+    import json
+    from pathlib import Path
+
+    seen = 0
+    for path in sorted(Path(tokens.vocabulary()).parent.glob("*.json")):
+        if "pre_tokenizer" not in json.loads(path.read_text()):
+            continue
+        model = tokens.Encoder(str(path))
+        texts = ["It's 12 o'clock,  isn't it?", "Été \n\n x", ""]
+        assert model.encode(texts) == [plain(model, t) for t in texts]
+        seen += 1
+    assert seen
+
+
 DOCS = [(5, "one two three"), (2, None), (9, ""), (7, "word " * 3000), (1, "é\n\n x"), (5, "one two three"), (5, "zz"), (None, "no id")]
 
 
