@@ -13,12 +13,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, on a local master only, a new one."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="harborlight-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
