@@ -1,4 +1,10 @@
-"""A training-data pipeline: five operators of harborlight.llm, one after another, over whole documents."""
+"""A training-data pipeline: five operators of harborlight.llm, one after another, over whole documents.
+
+Defined cases, in every stage: documents may have further columns of any names, which pass through; a null text, or one
+without a letter, goes in the first stage, and what is empty after line dedup in the second; a null doc_id stands for a
+document of its own, first in order; repeated rows are one document from line dedup on, and one stays after the third
+stage; texts of any length are worked on whole; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
