@@ -1,26 +1,53 @@
 """Alarms over recorded vessel fixes: hysteresis as runs of ticks, message changes, and the tick throttle.
 
 ticks: vessel, tick (1, 2, ... in time for each vessel), lat, lon and, for bridges, air_draft.
+
+What is shuffled for hysteresis are ticks and places, never their pairs. A tick goes to the cells around it that have places;
+a task takes one vessel's ticks of one stretch (STRETCH of them) in one cell with at most PLACES of its places, works out all
+distances over arrays, and emits runs of ticks only. Runs that touch a stretch's ends are joined with those of the next stretch.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import checkpointed
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
-from .predicates import blocks_vessel
 
 RADIUS_M = 500.0
 CLEAR_FACTOR = 1.2
 MIN_SECONDS, MIN_METRES = 60.0, 100.0
+#: Ticks of a vessel, and places of a cell, that a task takes at once.
+STRETCH, PLACES = 4096, 512
 
 
 def numbered(fixes: DataFrame, order: list[str]) -> DataFrame:
-    return fixes.withColumn("tick", F.row_number().over(Window.partitionBy("vessel").orderBy(*order)))
+    """fixes with `tick`, from 1 for each vessel, and `stretch` (part of a vessel's history); fixes without a vessel are left out.
+
+    Rows are dealt by ranges, so that a vessel's history spreads over tasks; what is counted by vessel is one row for each task.
+    """
+    known = fixes.where("vessel is not null")
+    ordered = known.repartitionByRange("vessel", *order).sortWithinPartitions("vessel", *order)
+    ordered = checkpointed(ordered.withColumn("_at", F.monotonically_increasing_id())).withColumn("stretch", F.shiftright("_at", 33))
+    sizes = ordered.groupBy("vessel", "stretch").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("vessel").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("vessel", "stretch", (F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0)) - 1).alias("_base"))
+    return ordered.join(starts, ["vessel", "stretch"]).withColumn("tick", F.col("_at") - F.col("_base")).drop("_at", "_base")
+
+
+def filled_forward(ticks: DataFrame, column: str) -> DataFrame:
+    """ticks (of numbered) with each null of a column replaced by the vessel's last value before it."""
+    within = Window.partitionBy("vessel", "stretch").orderBy("tick")
+    last = ticks.groupBy("vessel", "stretch").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col("tick"))).alias("_last"))
+    before = Window.partitionBy("vessel").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("vessel", "stretch", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    filled = ticks.withColumn(column, F.last(column, ignorenulls=True).over(within)).join(carried, ["vessel", "stretch"])
+    return filled.withColumn(column, F.coalesce(column, "_carried")).drop("_carried")
 
 
 def _bands(lat: Column, size_deg: float) -> Column:
@@ -48,42 +75,130 @@ def within(fixes: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     return near.where(F.col("distance_m") <= radius_m)
 
 
-def transitions(near: DataFrame, ticks: DataFrame, radius_m: float, holds: Column | None = None) -> DataFrame:
+def _around(table: DataFrame, lat: str, lon: str, size: float, steps: tuple[int, ...]) -> DataFrame:
+    """table once for each cell (_band, _cell) of its own and so many steps off."""
+    offsets = F.array(*map(F.lit, steps))
+    rows = table.withColumn("_band", F.explode(F.transform(offsets, lambda d: _bands(F.col(lat), size) + d)))
+    rows = rows.withColumn("_n", _columns(F.col("_band"), size))
+    own = F.floor((F.col(lon) + 180.0) / 360.0 * F.col("_n")).cast("long")
+    return rows.withColumn("_cell", F.explode(F.array_distinct(F.transform(offsets, lambda d: F.pmod(own + d, F.col("_n")))))).drop("_n")
+
+
+def run_finder(radius_m: float, reach_m: float, margin_m: float | None):
+    """An applyInArrow function over a cell's places (kind 0) and a vessel's ticks there (kind 1): runs of ticks in reach.
+
+    A run: first and last tick, the first tick within the radius (raised), and whether it touches an end of its stretch.
+    With a margin, ticks whose air_draft doesn't reach a place's clearance less the margin are none of its run.
+    """
+    schema = pa.schema([("id", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("raised", pa.int64()), ("open", pa.bool_())])
+
+    def run(key, table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        here, there = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        tick = table.column("tick").to_numpy()[there].astype(np.int64)
+        order = np.argsort(tick, kind="stable")
+        there, tick = there[order], tick[order]
+        columns: list[list] = [[], [], [], []]
+        if len(here) and len(there):
+            lat, lon = (np.radians(table.column(n).to_numpy()) for n in ("lat", "lon"))
+            level = table.column("level").to_numpy()  # a place's clearance, a tick's air draft
+            follows = np.append(False, tick[1:] == tick[:-1] + 1)
+            places = np.arange(len(tick))
+            for a in range(0, len(here), 64):
+                mine = here[a : a + 64, None]
+                h = np.sin((lat[mine] - lat[there]) / 2) ** 2
+                h += np.cos(lat[there]) * np.cos(lat[mine]) * np.sin((lon[mine] - lon[there]) / 2) ** 2
+                apart = 2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h)))
+                near = apart <= reach_m
+                if margin_m is not None:
+                    near &= level[mine] <= level[there] + margin_m
+                goes_on = np.zeros_like(near)
+                goes_on[:, 1:] = near[:, 1:] & near[:, :-1] & follows[1:]
+                ends = near.copy()
+                ends[:, :-1] &= ~goes_on[:, 1:]
+                row, start = np.nonzero(near & ~goes_on)
+                end = np.nonzero(ends)[1]
+                # The next tick within the radius, from each tick on.
+                later = np.where(near & (apart <= radius_m), places, len(tick))
+                later = np.minimum.accumulate(later[:, ::-1], axis=1)[:, ::-1]
+                raised = later[row, start]
+                raised = np.where(raised <= end, tick[np.minimum(raised, len(tick) - 1)], -1)
+                for column, values in zip(columns, (here[a + row], tick[start], tick[end], raised)):
+                    column.append(values)
+        if not columns[0]:
+            return schema.empty_table()
+        owner, first, last, raised = map(np.concatenate, columns)
+        edge = (first % STRETCH == 0) | (last % STRETCH == STRETCH - 1)
+        return pa.Table.from_arrays(
+            [
+                table.column("id").take(pa.array(owner)).cast(pa.string()).combine_chunks(), pa.array(first), pa.array(last),
+                pa.array(raised, mask=raised < 0), pa.array(edge),
+            ],
+            schema=schema,
+        )
+
+    return run
+
+
+def transitions(ticks: DataFrame, places: DataFrame, radius_m: float, margin_m: float | None = None) -> DataFrame:
     """(vessel, id, tick, event): raise when a place comes within the radius, clear when it is over 1.2 radii or gone.
 
-    near: vessel, id, tick, distance_m of pairs within 1.2 radii. holds: a condition without which a pair counts as gone.
-    Ticks of a place that follow one another are a run; a run raises at its first tick within the radius and
-    clears at the tick after its end, if there is one.
+    places: id, p_lat, p_lon and, with a margin, clearance_m; ticks then have air_draft. A place in reach at ticks that follow one
+    another is a run; a run raises at its first tick within the radius and clears at the tick after its end, if there is one.
     """
-    rows = near if holds is None else near.where(holds)
-    by_pair = Window.partitionBy("vessel", "id").orderBy("tick")
-    runs = rows.withColumn("run", F.col("tick") - F.row_number().over(by_pair))
-    episodes = runs.groupBy("vessel", "id", "run").agg(
-        F.min(F.when(F.col("distance_m") <= radius_m, F.col("tick"))).alias("raised"), (F.max("tick") + 1).alias("cleared")
-    ).where("raised is not null")
-    last = ticks.groupBy("vessel").agg(F.max("tick").alias("last"))
-    both = episodes.join(last, "vessel").select(
+    reach = radius_m * CLEAR_FACTOR
+    size = math.degrees(reach / EARTH_RADIUS_M) * 1.001
+    level = lambda name: (F.lit(None) if margin_m is None else F.col(name)).cast("double").alias("level")
+    put = _around(places, "p_lat", "p_lon", size, (0,))
+    put = put.join(put.groupBy("_band", "_cell").agg(F.count("*").alias("_m")), ["_band", "_cell"])
+    parts = F.ceil(F.col("_m") / PLACES).cast("int")
+    mine = put.select("_band", "_cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("_part"), "id", "p_lat", "p_lon", level("clearance_m"))
+    cells = put.select("_band", "_cell", parts.alias("_parts")).distinct()
+    seen = _around(ticks, "lat", "lon", size, (-1, 0, 1)).join(cells, ["_band", "_cell"])
+    seen = seen.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    seen = seen.withColumn("_stretch", F.floor(F.col("tick") / STRETCH).cast("long"))
+    key = ["vessel", "_band", "_cell", "_part", "_stretch"]
+    visits = seen.select(*key).distinct().join(mine, ["_band", "_cell", "_part"])
+    no_tick, no_id = F.lit(None).cast("long").alias("tick"), F.lit(None).cast("string").alias("id")
+    both = visits.select(*key, F.lit(0).alias("kind"), F.col("id").cast("string").alias("id"), no_tick, F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"), "level").union(
+        seen.select(*key, F.lit(1), no_id, F.col("tick").cast("long"), "lat", "lon", level("air_draft"))
+    )
+    vessel = dict(ticks.dtypes)["vessel"]
+    find = run_finder(radius_m, reach, margin_m)
+
+    def runs_of(k, table):
+        made = find(k, table)
+        return made.add_column(0, "vessel", pa.array([k[0].as_py()] * len(made), k[0].type))
+
+    runs = checkpointed(both.groupBy(*key).applyInArrow(runs_of, f"vessel {vessel}, id string, first long, last long, raised long, open boolean"))
+    by_pair = Window.partitionBy("vessel", "id").orderBy("first")
+    cut = runs.where("open").withColumn("fresh", F.coalesce(F.lag("last").over(by_pair) + 1 != F.col("first"), F.lit(True)))
+    cut = cut.withColumn("run", F.sum(F.col("fresh").cast("long")).over(by_pair))
+    joined = cut.groupBy("vessel", "id", "run").agg(F.max("last").alias("last"), F.min("raised").alias("raised"))
+    episodes = runs.where("not open").select("vessel", "id", "last", "raised").union(joined.select("vessel", "id", "last", "raised"))
+    end = ticks.groupBy("vessel").agg(F.max("tick").alias("end"))
+    turns = episodes.where("raised is not null").join(end, "vessel").select(
         "vessel", "id",
         F.explode(F.array(
             F.struct(F.col("raised").alias("tick"), F.lit("raise").alias("event")),
-            F.struct(F.when(F.col("cleared") <= F.col("last"), F.col("cleared")).alias("tick"), F.lit("clear").alias("event")),
+            F.struct(F.when(F.col("last") < F.col("end"), F.col("last") + 1).alias("tick"), F.lit("clear").alias("event")),
         )).alias("e"),
     )
-    return both.select("vessel", "id", "e.tick", "e.event").where("tick is not null")
+    return turns.select("vessel", "id", "e.tick", "e.event").where("tick is not null")
 
 
 def proximity(ticks: DataFrame, poi: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
     hazards = poi.where("type = 'Hazard'").select("id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    return transitions(within(ticks, hazards, radius_m * CLEAR_FACTOR), ticks, radius_m)
+    return transitions(ticks, hazards, radius_m)
 
 
 def bridges(ticks: DataFrame, poi: DataFrame, margin_m: float, radius_m: float = RADIUS_M) -> DataFrame:
-    """Alarms of bridges that block the vessel; without an air draft none holds."""
+    """Alarms of bridges that block the vessel (clearance at most air draft and margin); without an air draft none holds."""
     low = poi.where("type = 'Bridge' and clearance_m is not null").select(
         "id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "clearance_m"
     )
-    near = within(ticks.where("air_draft is not null"), low, radius_m * CLEAR_FACTOR)
-    return transitions(near, ticks, radius_m, blocks_vessel(F.col("clearance_m"), F.col("air_draft"), margin_m))
+    drafts = ticks.withColumn("lat", F.when(F.col("air_draft").isNotNull(), F.col("lat")))
+    return transitions(drafts, low, radius_m, margin_m)
 
 
 def message_changes(messages: DataFrame) -> DataFrame:

@@ -38,14 +38,35 @@ def route_points(spark: SparkSession, waypoints, vessel: tuple[float, float] | N
     return spark.createDataFrame([(route_id, k, *p) for k, p in enumerate(points)], "route_id string, seq int, lat double, lon double")
 
 
+def leg_cells(legs: DataFrame, half_width_m: float) -> DataFrame:
+    """legs once for each cell (_row, _cell) of a degree that a place beside them can lie in.
+
+    What lies in the corridor is within the leg's length and half the width of its start.
+    """
+    reach = F.least(F.lit(180.0), F.degrees((F.col("length_m") + half_width_m * 1.01) / EARTH_RADIUS_M) + 1e-6)
+    lat = F.col("leg_lat")
+    rows = F.sequence(F.floor(F.greatest(F.lit(-90.0), lat - reach)).cast("int"), F.floor(F.least(F.lit(90.0), lat + reach)).cast("int"))
+    aside = F.degrees(F.asin(F.sin(F.radians(reach)) / F.cos(F.radians(lat)))) + 1e-6
+    around_pole = (F.abs(lat) + reach) >= 89.9
+    west = F.when(around_pole, -180.0).otherwise(F.col("leg_lon") - aside)
+    east = F.when(around_pole, 179.5).otherwise(F.col("leg_lon") + aside)
+    cells = F.transform(F.sequence(F.floor(west).cast("int"), F.floor(east).cast("int")), lambda c: F.pmod(c, F.lit(360)))
+    return legs.select("*", F.explode(rows).alias("_row")).select("*", F.explode(F.array_distinct(cells)).alias("_cell"))
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """What lies on a route by how far along it is, equal ones by leg and input order: `place` counts from 1 for each route."""
+    along = Window.partitionBy("route_id").orderBy("along_m", "leg", "seq")
+    return found.withColumn("place", F.row_number().over(along)).orderBy("route_id", "place")
+
+
 def corridor(poi: DataFrame, legs: DataFrame, half_width_m: float, sog: float | None = None) -> DataFrame:
     """Points of the corridor's kinds beside a leg, each on the leg that passes nearest: along_m, cross_m and eta_s."""
     chosen = poi.where(F.col("type").isin(*KINDS))
     if not half_width_m > 0 or math.isinf(half_width_m):
         legs = legs.where(F.lit(False))
-    # What lies in the corridor is within the leg's length and half the width of its start: a cheap test by latitude first.
-    reach = F.degrees((F.col("length_m") + half_width_m * 1.01) / EARTH_RADIUS_M)
-    near = chosen.join(F.broadcast(legs), F.abs(F.col("lat") - F.col("leg_lat")) <= reach)  # legs: at most MAX_POINTS
+    near = chosen.withColumns({"_row": F.floor("lat").cast("int"), "_cell": F.pmod(F.floor("lon").cast("int"), F.lit(360))})
+    near = near.join(leg_cells(legs, half_width_m), ["_row", "_cell"]).drop("_row", "_cell")
     near = near.withColumn("on", onto_leg(F.col("leg_lat"), F.col("leg_lon"), F.col("bearing"), F.col("lat"), F.col("lon")))
     inside = near.where((F.abs("on.cross_m") <= half_width_m) & F.col("on.along_m").between(0, F.col("length_m")))
     inside = inside.withColumns({"cross_m": F.col("on.cross_m"), "along_m": F.col("before_m") + F.col("on.along_m")})

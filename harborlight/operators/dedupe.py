@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import dataclasses
-import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import checkpointed
 from ..functions.geo import grid_cells, haversine_m
 
 BASE_SOURCE = "activecaptain"
@@ -69,31 +70,31 @@ def same_source_links(cells: DataFrame, sources: list[str], radii: Radii) -> Dat
     return near.select("seq", "earlier", "px", "py")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="harborlight-"))  # tests only: a cluster names its shared folder
-    return df.checkpoint()
-
-
 def greedy_dropped(links: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """seq of rows that a loop in input order drops: those in range of an earlier row that was kept.
 
-    In each round a row is settled if all its earlier neighbours are: dropped if one of them is kept, else kept.
-    The rounds follow the longest chain of neighbours in input order, not the number of rows.
+    In each round a row is settled if all its earlier neighbours are: dropped if one of them is kept, else kept. A round looks at
+    open edges only (those of rows not settled, to rows not settled before it), which get fewer from round to round. The rounds
+    follow the longest chain of neighbours in input order, not the number of rows.
     """
-    edges = _checkpointed(links.select("seq", "earlier").distinct())
+    edges = checkpointed(links.select("seq", "earlier").distinct())
     # Rows that are nobody's later neighbour are kept from the start.
-    settled = edges.select(F.col("earlier").alias("node")).distinct().join(edges.select(F.col("seq").alias("node")), "node", "left_anti")
-    settled = _checkpointed(settled.withColumn("kept", F.lit(True)))
+    fresh = edges.select(F.col("earlier").alias("node")).distinct().join(edges.select(F.col("seq").alias("node")), "node", "left_anti")
+    fresh = fresh.withColumn("kept", F.lit(True))
+    settled: list[DataFrame] = []
     for _ in range(most_rounds):
-        open_edges = edges.join(settled.select(F.col("node").alias("seq")), "seq", "left_anti")
-        known = open_edges.join(settled.withColumnRenamed("node", "earlier"), "earlier", "left")
-        state = known.groupBy("seq").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("near_kept"), F.bool_or(F.col("kept").isNull()).alias("waits"))
-        fresh = _checkpointed(state.where("near_kept or not waits").select(F.col("seq").alias("node"), (~F.col("near_kept")).alias("kept")))
-        if fresh.isEmpty():
-            return settled.where("not kept").select(F.col("node").alias("seq"))
-        settled = _checkpointed(settled.union(fresh))
+        known = edges.join(fresh.withColumnRenamed("node", "earlier"), "earlier", "left")
+        marks = known.withColumn("state", F.when(F.col("kept"), 2).when(~F.col("kept"), 0).otherwise(1))
+        # A row's state: 2 near a kept one, 1 waiting, 0 all its earlier neighbours are dropped.
+        state = marks.groupBy("seq").agg(F.max("state").alias("worst"))
+        marks = checkpointed(marks.join(state, "seq").select("seq", "earlier", "state", "worst"))
+        fresh = marks.where("worst <> 1").select(F.col("seq").alias("node"), (F.col("worst") == 0).alias("kept")).distinct()
+        edges = marks.where("worst = 1 and state = 1").select("seq", "earlier")
+        settled.append(fresh.where("not kept").select(F.col("node").alias("seq")))
+        if len(settled) > 20:
+            settled = [checkpointed(reduce(DataFrame.union, settled))]
+        if edges.isEmpty():
+            return reduce(DataFrame.union, settled)
     raise RuntimeError("greedy_dropped did not settle")
 
 
@@ -123,7 +124,7 @@ def merged(poi: DataFrame, sources: list[str], radii: Radii | None = None) -> Da
         "clearance_m": F.least("clearance_m", "low"),
     }).drop("found", "low")
     left = cells.where(~is_base).join(matches, "seq", "left_anti")
-    links = _checkpointed(same_source_links(left, sources, radii))
+    links = checkpointed(same_source_links(left, sources, radii))
     dropped = greedy_dropped(links)
     into = (
         links.join(dropped, "seq", "left_semi").join(dropped.select(F.col("seq").alias("earlier")), "earlier", "left_anti")

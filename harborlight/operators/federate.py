@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import local_id, namespace_of
@@ -21,15 +21,18 @@ def union_sources(sources: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def first_by_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key; rows whose key is null all stay."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
-    return df.withColumn("_place", F.when(missing, 1).otherwise(place)).where("_place = 1").drop("_place")
+    whole = F.struct(*(F.col(c) for c in df.columns))
+    # Combined before the shuffle, unlike a window: a key of many rows sends one for each task.
+    first = df.where(~missing).groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key))).agg(F.min_by(whole, F.struct(*order)).alias("_row"))
+    return first.select("_row.*").union(df.where(missing))
 
 
 def last_by_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key in an order: of files read one after another, the later wins."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*[c.desc() for c in order]))
-    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+    whole = F.struct(*(F.col(c) for c in df.columns))
+    keys = (F.col(k).alias(f"_key{i}") for i, k in enumerate(key))
+    return df.groupBy(*keys).agg(F.max_by(whole, F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def keep_known(df: DataFrame, catalogue: DataFrame, key: list[str]) -> DataFrame:

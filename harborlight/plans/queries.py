@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import testbed
@@ -410,7 +410,7 @@ def lookahead_filter(spark, sf_dir):
     return corridor.ahead(_found(spark, sf_dir), 1500.0).select("id", "type")
 
 
-_DETAILS = "details as (select id, (seq % 97) / 1e1 as detail_clearance_m from poi where type = 'Bridge' and source = 'activecaptain')"
+DETAILS = "details as (select id, (seq % 97) / 1e1 as detail_clearance_m from poi where type = 'Bridge' and source = 'activecaptain')"
 
 
 def _details(base: DataFrame) -> DataFrame:
@@ -421,7 +421,7 @@ def _details(base: DataFrame) -> DataFrame:
 @query(
     "too_low_bridges",
     f"select id, {whole('c', '1e1')} as clearance_dm from (select f.id, coalesce(f.clearance_m, d.detail_clearance_m) as c from found f left join details d using (id) where type = 'Bridge') where c <= 9.5e0",
-    POI, ROUTE_SQL, LEGS, CORRIDOR, _DETAILS,
+    POI, ROUTE_SQL, LEGS, CORRIDOR, DETAILS,
 )
 def too_low_bridges(spark, sf_dir):
     rows = corridor.too_low(_found(spark, sf_dir), _details(poi(spark, sf_dir)), 8.5, 1.0)
@@ -431,7 +431,7 @@ def too_low_bridges(spark, sf_dir):
 @query(
     "clearance_resolve",
     f"select id, {whole('coalesce(clearance_m, detail_clearance_m)', '1e1')} as clearance_dm from poi left join details using (id) where type = 'Bridge' and coalesce(clearance_m, detail_clearance_m) is not null",
-    POI, _DETAILS,
+    POI, DETAILS,
 )
 def clearance_resolve(spark, sf_dir):
     base = poi(spark, sf_dir)
@@ -451,8 +451,7 @@ def _ticks(spark, sf_dir):
 
 
 def _with_air_draft(ticks: DataFrame) -> DataFrame:
-    known = Window.partitionBy("vessel").orderBy("tick")
-    return ticks.withColumn("air_draft", F.last("air_draft", ignorenulls=True).over(known))
+    return alarms.filled_forward(ticks, "air_draft")
 
 
 def _alarm_sql(source: str, kind: str, holds: str) -> str:
@@ -472,7 +471,7 @@ def _turns(df: DataFrame) -> DataFrame:
 
 @query(
     "proximity_in_range",
-    f"select f.event_id, p.id, {whole(hav('f.lat', 'f.lon', 'p.lat', 'p.lon'), '1e1')} as dm from fixes f, poi p where p.type = 'Hazard' and f.event_id % 20 = 0 and {hav('f.lat', 'f.lon', 'p.lat', 'p.lon')} <= 500e0",
+    f"select f.event_id, p.id, {whole(hav('f.lat', 'f.lon', 'p.lat', 'p.lon'), '1e1')} as dm from fixes f, poi p where p.type = 'Hazard' and {hav('f.lat', 'f.lon', 'p.lat', 'p.lon')} <= 500e0",
     POI, FIXES,
 )
 def proximity_in_range(spark, sf_dir):
@@ -498,7 +497,7 @@ def air_draft_asof(spark, sf_dir):
     )
 
 
-_MESSAGES = "messages as (select vessel, event_type as id, tick, cast(value as bigint) // 20 as message from ticks join events using (event_id) where tick % 7 <> 3)"
+_MESSAGES = "messages as (select vessel, event_type as id, tick, cast(floor(floor(value) / 20) as bigint) as message from ticks join events using (event_id) where tick % 7 <> 3)"
 
 
 @query(
@@ -512,10 +511,6 @@ def route_alarm_changes(spark, sf_dir):
     return alarms.message_changes(rows).select("vessel", "id", F.col("tick").cast("int").alias("tick"), "message")
 
 
-_MESSAGES_FLOOR = _MESSAGES.replace("cast(value as bigint) // 20", "cast(floor(floor(value) / 20) as bigint)")
-SQL["route_alarm_changes"] = SQL["route_alarm_changes"].replace(_MESSAGES, _MESSAGES_FLOOR)
-
-
 @query(
     "clear_stale",
     "select distinct vessel, id from (select user_id % 10 as vessel, event_type as id, user_id from events where event_id % 2 = 0) a where not exists (select 1 from events b where b.event_id % 50 = 1 and b.user_id % 10 = a.vessel and b.event_type = a.id)",
@@ -527,7 +522,7 @@ def clear_stale(spark, sf_dir):
 
 
 @query(
-    "tick_throttle", "select vessel, event_id from fixes join walk using (event_id)", "recursive " + FIXES.strip(),
+    "tick_throttle", "select vessel, event_id from walk", "recursive " + FIXES.strip(),
     "ordered as (select *, row_number() over (partition by vessel order by ts, event_id) as n from fixes)",
     f"""walk(vessel, n, event_id, t, lat, lon) as (
   select vessel, n, event_id, ts, lat, lon from ordered where n = 1
@@ -540,6 +535,3 @@ def clear_stale(spark, sf_dir):
 def tick_throttle(spark, sf_dir):
     rows = testbed.fixes(spark, sf_dir).select("vessel", "ts", "event_id", "lat", "lon")
     return alarms.throttled(rows).select("vessel", "event_id")
-
-
-SQL["tick_throttle"] = SQL["tick_throttle"].replace("select vessel, event_id from fixes join walk using (event_id)", "select vessel, event_id from walk")

@@ -9,7 +9,7 @@ from .. import testbed
 from ..functions import dates, numbers, text
 from ..operators import corridor, course, detail, status, store
 from ..sources import openseamap
-from .queries import CORRIDOR, LEGS, POI, ROUTE_SQL, _details, _found, poi, query, whole
+from .queries import CORRIDOR, DETAILS, LEGS, POI, ROUTE_SQL, _details, _found, poi, query, whole
 
 CLEARANCES = ["10'6\"", "11 ft", "3.5 m", "4", "7 metres", "unknown", "", "0", " 12' ", "5.25", "-3", "8 feet", "1 000"]
 LINKS = ["https://a.example/x", "HTTP://b.example", "javascript:alert(1)", "mailto:x@y.example", "tel:+1", "/relative", "ftp://c.example", " https://d.example "]
@@ -310,9 +310,10 @@ _ETA = f"case when along_m / 4e0 < 60 then '<1 min' when {_MIN} < 60 then {_MIN}
 @query(
     "route_messages",
     f"""select id, type || ' "' || 'Point ' || split_part(id, '-', 2) || '" is on the route ahead, ' || {_KM} || ' away, ETA ' || {_ETA}
-      || case when type = 'Bridge' and clearance_m <= 9.5e0 then ': clearance ' || case when {whole('clearance_m', '1e1')} % 10 = 0 then ({whole('clearance_m', '1e1')} // 10)::varchar else ({whole('clearance_m', '1e1')} // 10) || '.' || ({whole('clearance_m', '1e1')} % 10) end
-      || ' m is at or below your air draft 8.5 m (+1 m margin)' else '' end as message from found""",
-    POI, ROUTE_SQL, LEGS, CORRIDOR,
+      || case when type = 'Bridge' and c <= 9.5e0 then ': clearance ' || case when {whole('c', '1e1')} % 10 = 0 then ({whole('c', '1e1')} // 10)::varchar else ({whole('c', '1e1')} // 10) || '.' || ({whole('c', '1e1')} % 10) end
+      || ' m is at or below your air draft 8.5 m (+1 m margin)' else '' end as message
+      from (select found.*, coalesce(found.clearance_m, details.detail_clearance_m) as c from found left join details using (id))""",
+    POI, ROUTE_SQL, LEGS, CORRIDOR, DETAILS,
 )
 def route_messages(spark, sf_dir):
     found = _found(spark, sf_dir, 4.0)
