@@ -22,7 +22,7 @@ from .shingles import _powers, mixed
 
 END_OF_TEXT = 0
 BYTE_BPE = "byte_bpe_50k.json"
-#: Most pre-tokens held by one Python worker (about 60 MB); beyond it the table starts anew.
+#: Most pre-tokens held by one Python worker (about 100 MB with their ids and bytes); beyond it the table starts anew.
 TABLE_ENTRIES = 1_500_000
 _SLOTS = 1 << 22
 #: Longer texts are cut at spaces between words.
@@ -106,13 +106,11 @@ class Encoder:
 
     def _clear(self) -> None:
         self._names = np.zeros(_SLOTS, dtype=np.uint64)
-        self._places = np.zeros(_SLOTS, dtype=np.int32)
-        self._sizes = np.zeros(_SLOTS, dtype=np.int32)
-        self._pool = np.zeros(1 << 20, dtype="<u4")
-        # The bytes of the pre-tokens held: where a slot's begin, and how many they are.
-        self._spelled_at = np.zeros(_SLOTS, dtype=np.int32)
-        self._spelled = np.zeros(_SLOTS, dtype=np.int32)
-        self._letters = np.zeros(1 << 20, dtype=np.uint8)
+        self._entry = np.zeros(_SLOTS, dtype=np.int32)
+        # For each pre-token held: where its ids and its bytes begin in the pools, and how many they are.
+        self._places, self._sizes, self._spelled_at, self._spelled = (np.zeros(1 << 14, dtype=np.int32) for _ in range(4))
+        self._pool = np.zeros(1 << 18, dtype="<u4")
+        self._letters = np.zeros(1 << 18, dtype=np.uint8)
         self._pooled = self._lettered = self._held = 0
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -147,7 +145,6 @@ class Encoder:
         self._pool[self._pooled : self._pooled + len(fresh)] = fresh
         places = self._pooled + np.cumsum(sizes) - sizes
         self._pooled += len(fresh)
-        self._held += len(words)
         lengths = np.array([len(w) for w in words], dtype=np.int32)
         letters = np.frombuffer(b"".join(words), dtype=np.uint8)
         while self._lettered + len(letters) > len(self._letters):
@@ -155,24 +152,29 @@ class Encoder:
         self._letters[self._lettered : self._lettered + len(letters)] = letters
         spelled_at = self._lettered + np.cumsum(lengths) - lengths
         self._lettered += len(letters)
+        first, self._held = self._held, self._held + len(words)
+        while self._held > len(self._places):
+            grown = (np.concatenate((x, np.zeros_like(x))) for x in (self._places, self._sizes, self._spelled_at, self._spelled))
+            self._places, self._sizes, self._spelled_at, self._spelled = grown
+        for held, values in ((self._places, places), (self._sizes, sizes), (self._spelled_at, spelled_at), (self._spelled, lengths)):
+            held[first : self._held] = values
         left = np.arange(len(names))
         while len(left):  # of names that would share a slot, one goes in each round
             slots = ~self._slots(names[left])
-            _, first = np.unique(slots, return_index=True)
-            put, at = left[first], slots[first]
-            self._names[at], self._places[at], self._sizes[at] = names[put], places[put], sizes[put]
-            self._spelled_at[at], self._spelled[at] = spelled_at[put], lengths[put]
-            left = np.delete(left, first)
-
-    def _others(self, data: np.ndarray, ends: np.ndarray, starts: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Which pre-tokens aren't those that their slots hold, byte by byte: their hashes met by chance."""
+            _, one = np.unique(slots, return_index=True)
+            put, at = left[one], slots[one]
+            self._names[at], self._entry[at] = names[put], first + put
+            left = np.delete(left, one)
+
+    def _others(self, data: np.ndarray, ends: np.ndarray, starts: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Which pre-tokens aren't those of their entries, byte by byte: their hashes met by chance."""
         lengths = (ends - starts).astype(np.int32)
-        other = self._spelled[slots] != lengths
+        other = self._spelled[entries] != lengths
         if other.any():  # compared as far as both go
-            lengths = np.minimum(lengths, self._spelled[slots])
+            lengths = np.minimum(lengths, self._spelled[entries])
         total = np.cumsum(lengths)
         steps = np.arange(total[-1] if len(total) else 0, dtype=np.int32)
-        shift = np.repeat((self._spelled_at[slots] - (total - lengths)).astype(np.int32), lengths)
+        shift = np.repeat((self._spelled_at[entries] - (total - lengths)).astype(np.int32), lengths)
         mine = np.repeat((starts - (total - lengths)).astype(np.int32), lengths)
         wrong = np.flatnonzero(self._letters[shift + steps] != data[mine + steps])
         other[np.searchsorted(total, wrong, side="right")] = True
@@ -204,8 +206,9 @@ class Encoder:
             at = missing[first]
             self._learn(fresh, [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             slots[missing] = self._slots(names[missing])
-        other = self._others(data, ends, starts, slots)
-        sizes, places = self._sizes[slots], self._places[slots]
+        entries = self._entry[slots]
+        other = self._others(data, ends, starts, entries)
+        sizes, places = self._sizes[entries], self._places[entries]
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self._pool[np.repeat(places - total[:-1], sizes) + np.arange(total[-1])]
         cuts = total[bounds].tolist()
