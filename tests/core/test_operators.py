@@ -95,16 +95,50 @@ def machine(distances, r):
     return out
 
 
-def test_transitions_equal_the_state_machine(spark):
+@pytest.mark.parametrize("stretch, margin", [(4096, None), (7, None), (5, 1.5)])
+def test_transitions_equal_the_state_machine(spark, monkeypatch, stretch, margin):
+    """Two vessels over places at the antimeridian; stretches of a few ticks and parts of a few places cut runs anywhere."""
+    monkeypatch.setattr(alarms, "STRETCH", stretch)
+    monkeypatch.setattr(alarms, "PLACES", 512 if stretch > 10 else 3)
     rng = random.Random(2)
-    walks = {f"h{k}": [rng.choice([None, *[rng.uniform(300, 700)] * 9]) for _ in range(60)] for k in range(25)}
-    near = [(1, i, k, d) for i, w in walks.items() for k, d in enumerate(w, 1) if d is not None and d <= 600]
-    ticks = spark.createDataFrame([(1, k) for k in range(1, 61)], "vessel long, tick int")
-    got = alarms.transitions(spark.createDataFrame(near, "vessel long, id string, tick int, distance_m double"), ticks, 500.0)
+    spot = lambda spread: (rng.uniform(-spread, spread), boxes.wrapped(180 + rng.uniform(-spread, spread)))
+    places = [(f"h{k}", *spot(0.012), rng.choice([2.0, 4.0, 6.0])) for k in range(25)]
+    walks = {}
+    for vessel in (1, 2):
+        here = spot(0.01)
+        walks[vessel] = []
+        for _ in range(90):
+            here = spot(0.01) if rng.random() < 0.1 else (here[0] + rng.uniform(-0.001, 0.001), boxes.wrapped(here[1] + rng.uniform(-0.001, 0.001)))
+            walks[vessel].append((*here, rng.choice([None, 1.0, 3.0, 5.0])))
+    ticks = [(v, k, *at) for v, walk in walks.items() for k, at in enumerate(walk, 1)]
+    frame = spark.createDataFrame(ticks, "vessel long, tick int, lat double, lon double, air_draft double")
+    got = alarms.transitions(frame, spark.createDataFrame(places, "id string, p_lat double, p_lon double, clearance_m double"), 500.0, margin)
     found = {}
     for r in sorted(got.collect(), key=lambda r: r.tick):
-        found.setdefault(r.id, []).append((r.tick, r.event))
-    assert found == {i: m for i, w in walks.items() if (m := machine(w, 500))}
+        found.setdefault((r.vessel, r.id), []).append((r.tick, r.event))
+    want = {}
+    for v, walk in walks.items():
+        for i, lat, lon, clearance in places:
+            holds = lambda draft: margin is None or (draft is not None and clearance <= draft + margin)
+            turns = machine([boxes.distance(at[:2], (lat, lon)) if holds(at[2]) else None for at in walk], 500)
+            if turns:
+                want[v, i] = turns
+    assert found == want and sum(map(len, want.values())) > 60
+
+
+def test_ticks_and_values_carried_over_parts(spark):
+    """Numbers and filled values of histories that lie in several partitions, one vessel holding most rows."""
+    rng = random.Random(3)
+    rows = [(1 if k % 5 else k % 15, k, None if rng.random() < 0.7 else float(k)) for k in range(400)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "vessel long, event_id long, air_draft double").repartition(7)
+    got = alarms.filled_forward(alarms.numbered(frame, ["event_id"]), "air_draft").collect()
+    assert len({r.stretch for r in got}) > 1
+    last, count = {}, {}
+    for v, k, draft in sorted(rows, key=lambda r: r[1]):
+        count[v] = count.get(v, 0) + 1
+        last[v] = draft if draft is not None else last.get(v)
+        assert next((r.tick, r.air_draft) for r in got if r.event_id == k) == (count[v], last[v])
 
 
 @pytest.mark.parametrize("centre", [(42.0, -71.0), (0.0, 179.99), (89.97, 10.0), (-60.0, -179.995)])
