@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import lookup
+
 # Seconds of the units of relative times.
-UNITS = (("year", 31_536_000), ("month", 2_592_000), ("day", 86_400), ("hour", 3_600), ("minute", 60), ("second", 1))
+UNITS = (("year", 31_104_000), ("month", 2_592_000), ("day", 86_400), ("hour", 3_600), ("minute", 60), ("second", 1))
 
 
 def from_epoch_ms(x: Column) -> Column:
@@ -44,3 +46,31 @@ def relative_units(seconds: Column) -> Column:
         amount = F.when(reach[k], F.floor(seconds / length + 0.5)).otherwise(amount)
         unit = F.when(reach[k], F.lit(name)).otherwise(unit)
     return F.struct(amount.alias("amount"), unit.alias("unit"))
+
+
+# English phrases for amounts that have one of their own.
+PHRASES = {
+    ("second", 0): "now", ("minute", 0): "this minute", ("hour", 0): "this hour", ("day", 0): "today", ("day", -1): "yesterday", ("day", 1): "tomorrow",
+    ("month", 0): "this month", ("month", -1): "last month", ("month", 1): "next month", ("year", 0): "this year", ("year", -1): "last year", ("year", 1): "next year",
+}
+
+
+def api_date(text: Column) -> Column:
+    """A timestamp of an ISO text; one without a zone is in UTC, and one that isn't a date is null."""
+    zoneless = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?$")
+    return F.try_to_timestamp(F.when(zoneless, F.concat(text, F.lit("Z"))).otherwise(text))
+
+
+def ago_phrase(ts: Column, as_of: Column) -> Column:
+    """`3 days ago`, `in 2 hours`, `yesterday`; a missing date is `an unknown time ago`."""
+
+    def told(r: Column) -> Column:
+        amount, unit = r["amount"].cast("long"), r["unit"]
+        many = F.concat(F.abs(amount).cast("string"), F.lit(" "), unit, F.when(F.abs(amount) == 1, F.lit("")).otherwise(F.lit("s")))
+        own = lookup({f"{name} {n}": phrase for (name, n), phrase in PHRASES.items()}, F.concat_ws(" ", unit, amount.cast("string")))
+        return F.coalesce(own, F.when(amount < 0, F.concat(many, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), many)))
+
+    seconds = F.floor((F.unix_millis(ts) - F.unix_millis(as_of)) / 1000 + 0.5).cast("double")
+    # Through arrays of one, so that each step is worked out once and not wherever the next one names it.
+    phrase = F.get(F.transform(F.transform(F.array(seconds), relative_units), told), F.lit(0))
+    return F.when(ts.isNull(), F.lit("an unknown time ago")).otherwise(phrase)

@@ -56,3 +56,18 @@ def s57_code(text: Column) -> Column:
 
 def truthy(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin("1", "true"), F.lit(False))
+
+
+def capped(x: Column, most: float, default: float) -> Column:
+    """A positive number, cut at most; the default (cut as well) where it isn't one."""
+    return F.least(F.coalesce(positive(x), F.lit(float(default))), F.lit(float(most)))
+
+
+def display_length(metres: Column, imperial: bool) -> Column:
+    """Metres as they are shown: in feet with two decimals, or unchanged."""
+    return round_half_up(metres / FEET_TO_METRES, 2) if imperial else metres
+
+
+def stored_length(shown: Column, imperial: bool) -> Column:
+    """A length as shown, in metres; from feet with four decimals."""
+    return round_half_up(shown * FEET_TO_METRES, 4) if imperial else shown

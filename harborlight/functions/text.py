@@ -92,7 +92,7 @@ def light_character(x: Column) -> Column:
     """`Fl(2)` as `flashing (2)`; what doesn't look like a character stays."""
     base, group = F.regexp_extract(x, r"^([A-Za-z]+)(\(.+\))?$", 1), F.regexp_extract(x, r"^([A-Za-z]+)(\(.+\))?$", 2)
     name = F.coalesce(lookup(LIGHT_CHARACTERS, base), base)
-    return F.when(base == "", x).otherwise(F.when(group == "", name).otherwise(F.concat_ws(" ", name, group)))
+    return F.when(base == "", x).when(x.isNotNull(), F.when(group == "", name).otherwise(F.concat(name, F.lit(" "), group)))
 
 
 def light_phrase(x: Column) -> Column:
@@ -181,3 +181,14 @@ def http_endpoint(x: Column) -> Column:
     url = F.trim(x)
     sound = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & (F.length(F.try_parse_url(url, F.lit("HOST"))) > 0)
     return F.when(sound & F.try_parse_url(url, F.lit("USERINFO")).isNull(), url)
+
+
+def distinct_endpoints(urls: Column) -> Column:
+    """The usable addresses of an array, each once, in the order in which they come first."""
+    made = F.transform(urls, http_endpoint)
+    return F.array_distinct(F.filter(made, lambda u: u.isNotNull()))
+
+
+def route_id(href: Column) -> Column:
+    """The last segment of a path that isn't empty."""
+    return F.try_element_at(F.filter(F.split(href, "/"), lambda p: F.length(p) > 0), F.lit(-1))

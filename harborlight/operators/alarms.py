@@ -50,6 +50,20 @@ def filled_forward(ticks: DataFrame, column: str) -> DataFrame:
     return filled.withColumn(column, F.coalesce(column, "_carried")).drop("_carried")
 
 
+def as_of(points: DataFrame, states: DataFrame, columns: list[str]) -> DataFrame:
+    """points (vessel, ts, ...) with the columns of the vessel's latest state (vessel, ts, ...) at or before each; null where there is none."""
+    state = F.struct(*(F.col(c) for c in columns))
+    known = states.select("vessel", "ts", F.lit(0).alias("_kind"), state.alias("_state"))
+    asked = points.select("vessel", "ts", F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_point"))
+    both = numbered(known.unionByName(asked, allowMissingColumns=True), ["ts", "_kind"])
+    return filled_forward(both, "_state").where("_kind = 1").select("_point.*", *(F.col(f"_state.{c}").alias(f"last_{c}") for c in columns))
+
+
+def scan_radius(alarm_radius_m: float) -> float:
+    """How far around the vessel places are looked for."""
+    return max(3 * alarm_radius_m, 2000.0)
+
+
 def _bands(lat: Column, size_deg: float) -> Column:
     return F.floor((lat + 90.0) / size_deg).cast("long")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import distance_text, eta_text, metres_text
+from .predicates import valid_latitude, valid_longitude
 
 
 def latest_route(versions: DataFrame) -> DataFrame:
@@ -32,3 +33,18 @@ def messages(found: DataFrame, low: DataFrame, air_draft_m: float, margin_m: flo
     clauses = low.select("id", clearance_clause(F.col("clearance_m"), air_draft_m, margin_m).alias("clause"))
     text = alarm_message(F.col("type"), F.col("name"), F.col("along_m"), F.col("eta_s"))
     return found.join(clauses, "id", "left").select("id", F.concat(text, F.coalesce("clause", F.lit(""))).alias("message"))
+
+
+def waypoints_ahead(courses: DataFrame, routes: DataFrame) -> DataFrame:
+    """(vessel, route_id, seq, lat, lon): the points still ahead of each vessel on its route, in travel order.
+
+    courses: vessel, route_id, reverse, point_index (of travel order; missing or negative: 0, past the end: the last). routes:
+    route_id, coordinates (an array of [lon, lat, ...]); entries that are no place on Earth are skipped.
+    """
+    place = lambda c: valid_longitude(F.get(c, F.lit(0))) & valid_latitude(F.get(c, F.lit(1)))
+    usable = F.filter("coordinates", place)
+    joined = courses.join(routes.select("route_id", usable.alias("points")).where(F.size("points") > 0), "route_id")
+    joined = joined.withColumn("points", F.when(F.coalesce("reverse", F.lit(False)), F.reverse("points")).otherwise(F.col("points")))
+    first = F.least(F.greatest(F.coalesce(F.floor("point_index"), F.lit(0)), F.lit(0)), F.size("points") - 1).cast("int")
+    rows = joined.select("vessel", "route_id", first.alias("first"), F.posexplode("points").alias("at", "point")).where("at >= first")
+    return rows.select("vessel", "route_id", (F.col("at") - F.col("first")).alias("seq"), F.col("point")[1].alias("lat"), F.col("point")[0].alias("lon"))

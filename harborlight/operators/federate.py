@@ -44,3 +44,13 @@ def routed(ids: DataFrame, column: str = "id") -> DataFrame:
     """ids with the source that owns each (before the first hyphen) and the id within it; others are dropped."""
     c = F.col(column)
     return ids.withColumns({"owner": namespace_of(c), "raw_id": local_id(c)}).where("owner is not null")
+
+
+def details_of(ids: DataFrame, details: list[tuple[str, DataFrame]]) -> DataFrame:
+    """The detail rows that ids name: each source's table (id within the source, ...) is asked for its own; others are dropped."""
+    asked = routed(ids)
+    parts = []
+    for owner, table in details:
+        mine = asked.where(F.col("owner") == owner).select("id", "raw_id")
+        parts.append(mine.join(table.withColumn("raw_id", F.col("id").cast("string")).drop("id"), "raw_id").drop("raw_id").withColumn("owner", F.lit(owner)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_bbox
+from ..functions.numbers import positive
 
 # Envelopes of US waters (south, north, west, east).
 US_WATERS = (
@@ -61,3 +62,13 @@ def of_kinds(kind: Column, kinds: list[str] | None) -> Column:
 
 def blocks_vessel(clearance_m: Column, air_draft_m: Column, margin_m: float) -> Column:
     return F.coalesce(clearance_m <= air_draft_m + margin_m, F.lit(False))
+
+
+def with_required(kinds: list[str] | None, required: list[str]) -> list[str]:
+    """The selected kinds in their order, and those required that aren't among them."""
+    return list(dict.fromkeys([*(kinds or []), *required]))
+
+
+def effective_air_draft(measured: Column, configured: float | None = None) -> Column:
+    """The measured air draft if it is positive and finite, else the configured one if that is."""
+    return F.coalesce(positive(measured), positive(F.lit(configured).cast("double")))

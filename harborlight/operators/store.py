@@ -46,3 +46,17 @@ def in_tiles(rows: DataFrame, south: float, north: float, west: float, east: flo
     left, right = math.floor((west + 180) * 10), min(3599, math.floor((east + 180) * 10))
     columns = rows["lon_cell"].between(left, right) if west <= east else (rows["lon_cell"] >= left) | (rows["lon_cell"] <= right)
     return rows["lat_cell"].between(low, high) & columns
+
+
+def disagreeing_pages(rows: DataFrame, metadata: DataFrame, page: str = "page") -> DataFrame:
+    """Pages whose rows and metadata (page, n_rows, validator) disagree: their validators go, so that they are fetched anew.
+
+    Missing on either side disagrees as well as another number of rows.
+    """
+    held = rows.groupBy(page).agg(F.count("*").alias("_held"))
+    both = metadata.select(page, "n_rows").withColumn("_known", F.lit(True)).join(held, page, "full")
+    return both.where(F.col("_known").isNull() | F.col("_held").isNull() | (F.col("n_rows") != F.col("_held"))).select(page)
+
+
+def record_counts(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count("*").alias("records"))

@@ -79,9 +79,9 @@ def bbox_wrap(spark, sf_dir):
 
 @query(
     "us_waters_gate",
-    "select id, "
-    + " or ".join(f"(lat between {a}e0 and {b}e0 and lon between {c}e0 and {d}e0)" for a, b, c, d in predicates.US_WATERS)
-    + " as inside from spread", POI, SPREAD,
+    """select id, (lat between 24e0 and 495e-1 and lon between -1255e-1 and -66e0) or (lat between 51e0 and 72e0 and lon between -180e0 and -129e0)
+      or (lat between 51e0 and 56e0 and lon between 172e0 and 180e0) or (lat between 185e-1 and 23e0 and lon between -161e0 and -1545e-1)
+      or (lat between 175e-1 and 187e-1 and lon between -675e-1 and -645e-1) or (lat between 13e0 and 21e0 and lon between 1445e-1 and 1465e-1) as inside from spread""", POI, SPREAD,
 )
 def us_waters_gate(spark, sf_dir):
     return _spread(poi(spark, sf_dir)).select("id", predicates.in_us_waters(F.col("lat"), F.col("lon")).alias("inside"))

@@ -16,6 +16,15 @@ LINKS = ["https://a.example/x", "HTTP://b.example", "javascript:alert(1)", "mail
 LIGHTS = ["Fl W 4s", "Fl(2) R 6s", "Q", "Iso G 2S", "Oc Y", "Xx Q 5s", "F", "Mo(A) W 8s", "VQ(9) W", "LFl W 10s"]
 ENDPOINTS = ["https://a.example/api", "http://u:p@b.example/x", "ftp://c.example", "not a url", " http://d.example:8080/q?x=1 ", "https:///nohost", "HTTPS://e.example"]
 STATUSES = ["LT EXT/OFF STATION", "missing", "STRUCT DEST / TRLB", "/", "SOMETHING NEW", "Sinking/ ADRIFT", "RAC INOP", "OFF STA/HAZ NAV/TRUB"]
+#: What the lights and statuses above read as, in their order.
+LIGHT_PHRASES = [
+    "flashing, white, 4 s period", "flashing (2), red, 6 s period", "quick flashing", "isophase, green, 2 s period", "occulting, yellow", "Xx, q, 5 s period", "fixed",
+    "Morse (A), white, 8 s period", "very quick (9), white", "long flashing, white, 10 s period",
+]
+STATUS_TEXTS = [
+    "light extinguished; off station", "missing", "structure destroyed; temporarily replaced by a lighted buoy", "", "SOMETHING NEW", "sinking; adrift", "RACON inoperative",
+    "off station; hazard to navigation; temporarily replaced by an unlighted buoy",
+]
 FIELDS = ["poiNotes", "fuelDieselPrice", "name", "hasWiFi2Go", "ABCdef", "x1Y2"]
 SURVEYS = ["202402", "20240229", "20230229", "19991231", "2024", "202413", "abc", "20240230", "198706"]
 MARKS = ["rock", "harbour", "bridge", "lock_basin", "anchorage", "buoy_isolated_danger", "light_major", "nonsense", ""]
@@ -36,11 +45,6 @@ def sampled(spark, sf_dir, values: list[str]) -> DataFrame:
     return testbed.table(spark, sf_dir, "part").select(k.alias("k"), chosen.alias("v"))
 
 
-def cases(table: dict[str, str], key: str, default: str) -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    return f"case {key} " + " ".join(f"when {quoted(a)} then {quoted(b)}" for a, b in table.items()) + f" else {default} end"
-
-
 def shown(x: Column) -> Column:
     """Null as a text of its own, so that results compare alike everywhere."""
     return F.coalesce(x, F.lit("-"))
@@ -83,16 +87,9 @@ def safe_url(spark, sf_dir):
     return sampled(spark, sf_dir, LINKS).select("k", shown(text.safe_link(F.col("v"))).alias("url"))
 
 
-def _character(x: str) -> str:
-    base, group = rf"regexp_extract({x}, '^([A-Za-z]+)(\(.+\))?$', 1)", rf"regexp_extract({x}, '^([A-Za-z]+)(\(.+\))?$', 2)"
-    return f"({cases(text.LIGHT_CHARACTERS, base, base)} || case when {group} = '' then '' else ' ' || {group} end)"
-
-
 @query(
     "light_char",
-    f"""select k, concat_ws(', ', {_character('t[1]')}, case when len(t) > 1 then {cases(text.LIGHT_COLOURS, 't[2]', 'lower(t[2])')} end,
-      case when len(t) > 2 then regexp_replace(t[3], '[sS]$', '') || ' s period' end) as phrase from (select k, string_split(v, ' ') as t from samples)""",
-    samples(LIGHTS),
+    f"select k, {listed(LIGHT_PHRASES)}[(k % {len(LIGHT_PHRASES)} + 1)::int] as phrase from samples", samples(LIGHTS),
 )
 def light_char(spark, sf_dir):
     return sampled(spark, sf_dir, LIGHTS).select("k", text.light_phrase(F.col("v")).alias("phrase"))
@@ -100,9 +97,7 @@ def light_char(spark, sf_dir):
 
 @query(
     "status_tokens",
-    f"""select k, coalesce(array_to_string(list_filter(list_transform(string_split(v, '/'), lambda x: {cases(text.STATUS_PHRASES, 'upper(trim(x))', 'trim(x)')}),
-      lambda x: length(x) > 0), '; '), '') as phrase from samples""",
-    samples(STATUSES),
+    f"select k, {listed(STATUS_TEXTS)}[(k % {len(STATUS_TEXTS)} + 1)::int] as phrase from samples", samples(STATUSES),
 )
 def status_tokens(spark, sf_dir):
     return sampled(spark, sf_dir, STATUSES).select("k", text.status_phrase(F.col("v")).alias("phrase"))
@@ -134,8 +129,12 @@ def format_eta(spark, sf_dir):
     return testbed.table(spark, sf_dir, "events").select("event_id", text.eta_text((F.col("event_id") * 37 % 20000).cast("double")).alias("eta"))
 
 
+# Seconds of the units, by the rule of 30 days a month and 12 months a year.
+_UNITS = (("year", 12 * 30 * 86400), ("month", 30 * 86400), ("day", 86400), ("hour", 3600), ("minute", 60), ("second", 1))
+
+
 def _relative_sql() -> str:
-    units = dates.UNITS
+    units = _UNITS
     first = "case " + " ".join(f"when a >= {n} then {k}" for k, (_, n) in enumerate(units)) + f" else {len(units) - 1} end"
     steps = first
     sql = f"r0 as (select id, s, abs(s) as a from deltas), r1 as (select *, {steps} as u from r0)"
@@ -149,8 +148,8 @@ _AS_OF = "2026-06-15 12:00:00"
 
 @query(
     "relative_time",
-    "select id, cast(floor(s / (case u " + " ".join(f"when {k} then {n}e0" for k, (_, n) in enumerate(dates.UNITS)) + " end) + 0.5e0) as bigint) as amount, case u "
-    + " ".join(f"when {k} then '{n}'" for k, (n, _) in enumerate(dates.UNITS)) + f" end as unit from r{len(dates.UNITS)}",
+    "select id, cast(floor(s / (case u " + " ".join(f"when {k} then {n}e0" for k, (_, n) in enumerate(_UNITS)) + " end) + 0.5e0) as bigint) as amount, case u "
+    + " ".join(f"when {k} then '{n}'" for k, (n, _) in enumerate(_UNITS)) + f" end as unit from r{len(_UNITS)}",
     POI, f"deltas as (select id, cast(epoch(ts) - epoch(timestamp '{_AS_OF}') as bigint)::double / (seq % 5000 + 1) as s from poi where ts is not null)", _relative_sql(),
 )
 def relative_time(spark, sf_dir):
@@ -182,15 +181,22 @@ def stale_hazard(spark, sf_dir):
 # Lookups
 
 
-@query("icon_lookup", f"select id, {cases({k: detail.ICONS[k] for k in testbed.KINDS}, 'type', repr(detail.DEFAULT_ICON))} as icon from poi", POI)
+@query(
+    "icon_lookup",
+    "select id, case type when 'Hazard' then 'hazard' when 'Bridge' then 'bridge' when 'Lock' then 'lock' when 'Marina' then 'marina' when 'Anchorage' then 'anchorage' "
+    "when 'Navigational' then 'navigation-structure' when 'Business' then 'business' end as icon from poi", POI,
+)
 def icon_lookup(spark, sf_dir):
     return poi(spark, sf_dir).select("id", detail.icon(F.col("type")).alias("icon"))
 
 
 @query(
     "seamark_lookup",
-    f"""select k, case when v = '' then case when k % 2 = 0 then 'Marina' else 'Unknown' end else {cases({m: t for m, (t, _, _) in openseamap.SEAMARKS.items()}, 'v', "'Unknown'")} end as type,
-      case when v = '' then case when k % 2 = 0 then 'marina' else 'notice-to-mariners' end else {cases({m: i for m, (_, i, _) in openseamap.SEAMARKS.items()}, 'v', "'notice-to-mariners'")} end as icon from samples""",
+    """select k, case v when 'rock' then 'Hazard' when 'harbour' then 'Marina' when 'bridge' then 'Bridge' when 'lock_basin' then 'Lock' when 'anchorage' then 'Anchorage'
+        when 'buoy_isolated_danger' then 'Navigational' when 'light_major' then 'Navigational' when '' then case when k % 2 = 0 then 'Marina' else 'Unknown' end else 'Unknown' end as type,
+      case v when 'rock' then 'hazard' when 'harbour' then 'marina' when 'bridge' then 'bridge' when 'lock_basin' then 'lock' when 'anchorage' then 'anchorage'
+        when 'buoy_isolated_danger' then 'hazard' when 'light_major' then 'navigation-structure' when '' then case when k % 2 = 0 then 'marina' else 'notice-to-mariners' end
+        else 'notice-to-mariners' end as icon from samples""",
     samples(MARKS),
 )
 def seamark_lookup(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detail
+from ..operators.predicates import valid_latitude, valid_longitude
 from .common import as_poi
 
 SOURCE, ATTRIBUTION = "activecaptain", "ActiveCaptain community"
@@ -20,6 +21,14 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("pointsOfInterest").alias("p")).select("p.*")
 
 
+def details(rows: DataFrame) -> DataFrame:
+    """Landed detail responses by `id`; those without a kind, a name or a place on Earth are dropped."""
+    p = F.col("pointOfInterest")
+    sound = p["poiType"].isNotNull() & (F.length(p["name"]) > 0)
+    sound &= valid_latitude(p["mapLocation"]["latitude"]) & valid_longitude(p["mapLocation"]["longitude"])
+    return rows.where(sound).withColumn("id", p["id"])
+
+
 def summaries(rows: DataFrame) -> DataFrame:
     """Clusters and rows without kind or name are dropped; a score counts only with reviews."""
     single = (F.coalesce("poiCount", F.lit(1)) <= 1) & F.col("poiType").isNotNull() & (F.length("name") > 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ from .common import as_poi, features, place
 SOURCE, ATTRIBUTION = "noaaenc", "NOAA ENC"
 # Layers and their labels.
 LAYERS = {"wreck": "Wreck", "obstruction": "Obstruction", "rock": "Rock"}
+# The service's layer numbers by scale band.
+BAND_LAYERS = {
+    "overview": {"wreck": 24, "obstruction": 21, "rock": 22}, "general": {"wreck": 29, "obstruction": 26, "rock": 27},
+    "coastal": {"wreck": 33, "obstruction": 30, "rock": 31}, "approach": {"wreck": 39, "obstruction": 36, "rock": 37},
+    "harbour": {"wreck": 36, "obstruction": 33, "rock": 34}, "berthing": {"wreck": 21, "obstruction": 19, "rock": 20},
+}
 # Water-level codes.
 WATER_LEVELS = {
     1: "partly submerged at high water", 2: "always dry", 3: "always submerged", 4: "covers and uncovers", 5: "awash",
@@ -48,3 +56,11 @@ def summaries(rows: DataFrame, layer: str) -> DataFrame:
         rows, SOURCE, ATTRIBUTION, id=F.concat(F.lit(layer + "_"), object_id().cast("string")), type=F.lit("Hazard"), lat=place(1), lon=place(0),
         name=F.coalesce(present(F.col("OBJNAM")), F.lit(LAYERS[layer])), sk_icon=F.lit("hazard"), ts=survey_date(F.col("SORDAT")),
     )
+
+
+def layers(spark: SparkSession, folder: str, band: str, wanted: list[str]) -> DataFrame:
+    """Summaries of the wanted layers of a scale band, from files landed as folder/<band>/<layer>.geojson, in the layers' order."""
+    if band not in BAND_LAYERS:
+        raise ValueError(f"no scale band {band}")
+    made = [summaries(load(spark, f"{folder}/{band}/{name}.geojson"), name) for name in LAYERS if name in wanted]
+    return reduce(DataFrame.unionByName, made) if made else spark.createDataFrame([], ", ".join(f"{c} string" for c in ("id", "type")))

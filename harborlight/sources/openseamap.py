@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clearance_m, lookup, present
+from ..functions.text import clearance_m, light_character, lookup, present, spaced_enum
 from .common import as_poi
 
 SOURCE, ATTRIBUTION = "openseamap", "OpenStreetMap contributors"
@@ -57,6 +57,17 @@ def marking(tags: Column) -> Column:
     return F.struct(kind.alias("type"), icon.alias("icon"))
 
 
+def light_line(tags: Column) -> Column:
+    """One line on an element's light, null where no tag says anything of it."""
+    get = lambda name: present(tag(tags, f"seamark:light:{name}"))
+    around = lambda before, x, after: F.concat(F.lit(before), x, F.lit(after))
+    line = F.concat_ws(
+        ", ", light_character(get("character")), spaced_enum(get("colour")), around("", get("period"), " s period"), around("", get("range"), " NM range"),
+        around("", get("height"), " m high"), around("shown at ", spaced_enum(get("exhibition")), ""),
+    )
+    return F.nullif(line, F.lit(""))
+
+
 def bridge_clearance(tags: Column) -> Column:
     """The first clearance tag that can be read."""
     return F.coalesce(*(clearance_m(tag(tags, k)) for k in CLEARANCE_TAGS))

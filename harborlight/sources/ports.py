@@ -13,9 +13,13 @@ SOURCE, ATTRIBUTION = "wpi", "World Port Index"
 # Harbour sizes and shelter.
 SIZES = {"L": "Large", "M": "Medium", "S": "Small", "V": "Very small"}
 SHELTER = {"E": "Excellent", "G": "Good", "F": "Fair", "P": "Poor", "N": "None"}
+# Entrance restrictions and supplies by the column that flags them, in order.
+RESTRICTIONS = {"erTide": "Tide", "erSwell": "Swell", "erIce": "Ice", "erOther": "Other"}
+SUPPLIES = {"suProvisions": "Provisions", "suWater": "Water", "suFuel": "Fuel oil", "suDiesel": "Diesel"}
 SCHEMA = (
     "ports array<struct<portNumber:double,portName:string,alternateName:string,countryName:string,xcoord:double,ycoord:double,"
-    "harborSize:string,shelter:string,chDepth:string,maxVesselLength:string,firstPortOfEntry:string>>"
+    "harborSize:string,shelter:string,chDepth:string,maxVesselLength:string,firstPortOfEntry:string,"
+    + ",".join(f"{c}:string" for c in (*RESTRICTIONS, *SUPPLIES)) + ">>"
 )
 
 
@@ -34,6 +38,19 @@ def flag(code: Column) -> Column:
     return F.when(text == "Y", True).when(text == "N", False)
 
 
+def flagged(labels: dict[str, str]) -> Column:
+    """The labels of the columns that say yes, in the labels' order."""
+    return F.filter(F.array(*(F.when(flag(F.col(c)), F.lit(label)) for c, label in labels.items())), lambda x: x.isNotNull())
+
+
+def restrictions() -> Column:
+    return flagged(RESTRICTIONS)
+
+
+def supplies() -> Column:
+    return flagged(SUPPLIES)
+
+
 def metres(x: Column) -> Column:
     """A number or a numeric text, null if it isn't one or not positive."""
     value = F.nullif(F.trim(x), F.lit("")).try_cast("double")

@@ -17,6 +17,15 @@ KINDS = {
 SCHEMA = "stations array<struct<id:string,name:string,lat:double,lng:double,state:string,timezone:string>>"
 
 
+def enabled_kinds(tide: bool, current: bool) -> list[str]:
+    return [kind for kind, on in (("tide", tide), ("current", current)) if on]
+
+
+def of_kinds(summaries_of: DataFrame, kinds: list[str]) -> DataFrame:
+    """Stations of the kinds that are switched on, by what their id begins with."""
+    return summaries_of.where(F.split("id", "_")[0].isin(*kinds) if kinds else F.lit(False))
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
     return raw.select(F.explode("stations").alias("s")).select("s.*")

@@ -132,7 +132,11 @@ def test_ticks_and_values_carried_over_parts(spark):
     rows = [(1 if k % 5 else k % 15, k, None if rng.random() < 0.7 else float(k)) for k in range(400)]
     rng.shuffle(rows)
     frame = spark.createDataFrame(rows, "vessel long, event_id long, air_draft double").repartition(7)
-    got = alarms.filled_forward(alarms.numbered(frame, ["event_id"]), "air_draft").collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = alarms.filled_forward(alarms.numbered(frame, ["event_id"]), "air_draft").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len({r.stretch for r in got}) > 1
     last, count = {}, {}
     for v, k, draft in sorted(rows, key=lambda r: r[1]):
