@@ -8,8 +8,8 @@ documents that come first in that epoch's seeded order, as many as fit the rest
 
 The prefix is found without sorting a leaf: token sums by bucket of the order's hash, running sums over at most 4096
 buckets of a leaf, and a window over the one bucket where the budget ends. What comes out for each leaf is one hash
-value, so the selection is a filter on the documents: their texts are read once and never shuffled. The driver holds one row
-for each leaf, at most MAX_LEAVES.
+value, so the selection is a filter on the documents: their texts are read once, and shuffled only where leaves are too many
+for a broadcast. The tree is worked on as tables, level by level; the driver holds none of it.
 
 Defined cases: null languages and sources are leaves of their own; a source without a number is of domain `d0`; a text
 without words has no tokens and goes with the documents around it, but a leaf without any token gives nothing; rows
@@ -34,7 +34,6 @@ MAX_EPOCHS = 2
 SEED = 4242
 KEY_BITS = 60
 BUCKET_BITS = 12
-MAX_LEAVES = 100_000
 LEVELS = ("_domain", "_lang", "_source")
 
 
@@ -50,51 +49,48 @@ class Mix:
     seed: int = SEED
 
 
-def share_out(amount: float, weights: list[float], room: list[float]) -> list[float]:
-    """amount by weight; none gets more than its room, and what is over goes to those with room left by their weights."""
-    given = [0.0] * len(weights)
-    open_ = [i for i in range(len(weights)) if weights[i] > 0 and room[i] > 0]
-    while open_ and amount > 1e-9:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if given[i] + amount * weights[i] / total >= room[i]]
-        if not full:
-            for i in open_:
-                given[i] += amount * weights[i] / total
-            break
-        for i in full:
-            amount -= room[i] - given[i]
-            given[i] = room[i]
-        # The others' shares of what is left are worked out anew from the start, so that weights hold among them.
-        amount += sum(given[i] for i in open_ if i not in full)
-        for i in open_:
-            if i not in full:
-                given[i] = 0.0
-        open_ = [i for i in open_ if i not in full]
-    return given
-
-
-def leaf_budgets(tokens: dict[tuple[str, str, str], int], mix: Mix) -> dict[tuple[str, str, str], int]:
-    """Whole tokens for each leaf (domain, language, source) with its tokens."""
-    by_level = (mix.domains, mix.languages, mix.sources)
+def weight_of(level: str, weights: dict[str, float]) -> Column:
+    """A child's weight by its name, 1 where none is given."""
+    out = F.lit(1.0)
+    for name, weight in weights.items():
+        out = F.when(F.col(level) == name, F.lit(float(weight))).otherwise(out)
+    return out
+
+
+def shared_out(children: DataFrame, parents: list[str], level: str) -> DataFrame:
+    """children (parents' columns, level, weight, room, amount of their parent) with `given`: the parent's amount by weight.
+
+    None gets more than its room; what is over goes to those with room left by their weights. Children fill up in the order of
+    their room for a unit of weight, so the full ones are the first in that order.
+    """
+    order = Window.partitionBy(*parents).orderBy(F.col("room") / F.col("weight"), level)
+    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*parents)
+    taken, passed = (F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in ("room", "weight"))
+    open_ = children.where("weight > 0 and room > 0").withColumns({"taken": taken, "passed": passed, "all": F.sum("weight").over(every)})
+    full = F.col("room") / F.col("weight") <= (F.col("amount") - F.col("taken")) / (F.col("all") - F.col("passed"))
+    open_ = open_.withColumn("full", full)
+    rest = F.col("amount") - F.coalesce(F.sum(F.when(F.col("full"), F.col("room"))).over(every), F.lit(0.0))
+    share = F.col("weight") * rest / F.sum(F.when(~F.col("full"), F.col("weight"))).over(every)
+    return open_.select(*parents, level, F.when(F.col("full"), F.col("room")).otherwise(share).alias("given"))
+
+
+def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
+    """leaves (levels, tokens) with `budget`, whole tokens for each; the tree's levels are tables, of whatever size."""
+    by_level = dict(zip(LEVELS, (mix.domains, mix.languages, mix.sources)))
     # What leaves can take; those below a child of weight 0 can take nothing, so nothing is left with them.
-    weighted = lambda leaf: all(by_level[k].get(leaf[k], 1.0) > 0 for k in range(len(LEVELS)))
-    able = {leaf: mix.max_epochs * n if weighted(leaf) else 0 for leaf, n in tokens.items()}
-
-    def down(leaves: list[tuple], level: int, amount: float) -> dict[tuple, int]:
-        if level == len(LEVELS):
-            return {leaves[0]: int(amount + 1e-6)}
-        children: dict[str, list[tuple]] = {}
-        for leaf in leaves:
-            children.setdefault(leaf[level], []).append(leaf)
-        names = sorted(children)
-        room = [float(sum(able[x] for x in children[n])) for n in names]
-        parts = share_out(amount, [by_level[level].get(n, 1.0) for n in names], room)
-        out: dict[tuple, int] = {}
-        for name, part in zip(names, parts):
-            out |= down(children[name], level + 1, part)
-        return out
-
-    return down(sorted(tokens), 0, mix.budget_share * sum(tokens.values())) if tokens else {}
+    able = F.col("tokens").cast("double") * mix.max_epochs
+    for level, weights in by_level.items():
+        able = F.when(weight_of(level, weights) > 0, able).otherwise(0.0)
+    leaves = leaves.withColumn("able", able)
+    given = leaves.agg((F.coalesce(F.sum("tokens"), F.lit(0)) * mix.budget_share).alias("amount"))
+    parents: list[str] = []
+    for level, weights in by_level.items():
+        children = leaves.groupBy(*parents, level).agg(F.sum("able").alias("room")).withColumn("weight", weight_of(level, weights))
+        children = children.join(given, parents) if parents else children.crossJoin(given)  # one row
+        given = shared_out(children, parents, level).withColumnRenamed("given", "amount")
+        parents.append(level)
+    budget = F.floor(F.coalesce("amount", F.lit(0.0)) + 1e-6).cast("long")
+    return leaves.drop("able").join(given, parents, "left").select(*parents, "tokens", budget.alias("budget"))
 
 
 def domain_of(source: Column) -> Column:
@@ -123,20 +119,16 @@ def with_leaves(docs: DataFrame) -> DataFrame:
 
 def leaf_plan(docs: DataFrame, mix: Mix) -> DataFrame:
     """For each leaf: whole epochs to give (_epochs), and the last order key to give of the next one (_last, -1: none)."""
-    spark = docs.sparkSession
     counted = stored(
         with_leaves(docs.select("doc_id", "lang", "source", "text")).select("doc_id", *LEVELS, token_count(F.col("text")).alias("tokens")),
         "leaf-tokens",
     )
-    totals = counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).limit(MAX_LEAVES + 1).collect()
-    if len(totals) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves: the tree's levels must be few-valued")
-    tokens = {(r[0], r[1], r[2]): r.tokens for r in totals}
-    budgets = leaf_budgets(tokens, mix)
-    rows = [(*leaf, *divmod(budgets[leaf], n)) if n else (*leaf, 0, 0) for leaf, n in tokens.items()]
-    leaves = spark.createDataFrame(rows, "_domain string, _lang string, _source string, _epochs long, _rest long")
-    # createDataFrame's rows are the leaves': at most MAX_LEAVES.
-    keyed = counted.join(F.broadcast(leaves.where("_rest > 0")), list(LEVELS)).withColumn("key", order_key(F.col("_epochs"), mix.seed))
+    totals = stored(counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
+    rest = F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("_rest")
+    epochs = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long").alias("_epochs")
+    # Stored, so that Spark knows the tables' sizes: few leaves are broadcast, many are joined by shuffles.
+    leaves = stored(leaf_budgets(totals, mix).select(*LEVELS, epochs, rest), "leaf-budgets")
+    keyed = counted.join(leaves.where("_rest > 0"), list(LEVELS)).withColumn("key", order_key(F.col("_epochs"), mix.seed))
     bucket = F.shiftright("key", KEY_BITS - BUCKET_BITS)
     sums = keyed.groupBy(*LEVELS, "_rest", bucket.alias("bucket")).agg(F.sum("tokens").alias("sum"), F.max("key").alias("high"))
     running = Window.partitionBy(*LEVELS).orderBy("bucket")
@@ -172,7 +164,7 @@ def _mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     read = ("doc_id", "lang", "source")
     copies = [F.col(names[docs.columns.index(c)]).alias(c) for c in read]
-    chosen = with_leaves(docs.toDF(*names).select("*", *copies)).join(F.broadcast(plan), list(LEVELS))  # one row for each leaf
+    chosen = with_leaves(docs.toDF(*names).select("*", *copies)).join(plan, list(LEVELS))
     times = F.col("_epochs") + F.when(order_key(F.col("_epochs"), mix.seed) <= F.col("_last"), 1).otherwise(0)
     epochs = chosen.withColumn("_times", times).where("_times > 0")
     epochs = epochs.withColumn("_epoch", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))))

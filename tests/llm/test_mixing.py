@@ -6,18 +6,65 @@ from pyspark.sql import functions as F
 from harborlight.llm import mixing
 
 
+def share_out(amount: float, weights: list[float], room: list[float]) -> list[float]:
+    """amount by weight; none gets more than its room, and what is over goes to those with room left by their weights."""
+    given = [0.0] * len(weights)
+    open_ = [i for i in range(len(weights)) if weights[i] > 0 and room[i] > 0]
+    while open_ and amount > 1e-9:
+        total = sum(weights[i] for i in open_)
+        full = [i for i in open_ if given[i] + amount * weights[i] / total >= room[i]]
+        if not full:
+            for i in open_:
+                given[i] += amount * weights[i] / total
+            break
+        for i in full:
+            amount -= room[i] - given[i]
+            given[i] = room[i]
+        # The others' shares of what is left are worked out anew from the start, so that weights hold among them.
+        amount += sum(given[i] for i in open_ if i not in full)
+        for i in open_:
+            if i not in full:
+                given[i] = 0.0
+        open_ = [i for i in open_ if i not in full]
+    return given
+
+
+def leaf_budgets(tokens: dict[tuple[str, str, str], int], mix: mixing.Mix) -> dict[tuple[str, str, str], int]:
+    """Whole tokens for each leaf (domain, language, source) with its tokens."""
+    by_level = (mix.domains, mix.languages, mix.sources)
+    # What leaves can take; those below a child of weight 0 can take nothing, so nothing is left with them.
+    weighted = lambda leaf: all(by_level[k].get(leaf[k], 1.0) > 0 for k in range(3))
+    able = {leaf: mix.max_epochs * n if weighted(leaf) else 0 for leaf, n in tokens.items()}
+
+    def down(leaves: list[tuple], level: int, amount: float) -> dict[tuple, int]:
+        if level == 3:
+            return {leaves[0]: int(amount + 1e-6)}
+        children: dict[str, list[tuple]] = {}
+        for leaf in leaves:
+            children.setdefault(leaf[level], []).append(leaf)
+        names = sorted(children)
+        room = [float(sum(able[x] for x in children[n])) for n in names]
+        parts = share_out(amount, [by_level[level].get(n, 1.0) for n in names], room)
+        out: dict[tuple, int] = {}
+        for name, part in zip(names, parts):
+            out |= down(children[name], level + 1, part)
+        return out
+
+    return down(sorted(tokens), 0, mix.budget_share * sum(tokens.values())) if tokens else {}
+
+
 def test_share_out_respects_room_and_weights():
-    assert mixing.share_out(100, [1, 1], [30, 200]) == [30, 70]
-    assert mixing.share_out(100, [3, 1], [1000, 1000]) == [75, 25]
-    assert mixing.share_out(500, [1, 1], [30, 200]) == [30, 200]
-    assert mixing.share_out(90, [1, 1, 1], [10, 100, 100]) == [10, 40, 40]
-    assert mixing.share_out(10, [0, 1], [100, 100]) == [0, 10]
+    assert share_out(100, [1, 1], [30, 200]) == [30, 70]
+    assert share_out(100, [3, 1], [1000, 1000]) == [75, 25]
+    assert share_out(500, [1, 1], [30, 200]) == [30, 200]
+    assert share_out(90, [1, 1, 1], [10, 100, 100]) == [10, 40, 40]
+    assert share_out(10, [0, 1], [100, 100]) == [0, 10]
 
 
 def test_shortage_goes_to_siblings_before_ancestors():
     tokens = {("a", "en", "s1"): 10, ("a", "en", "s2"): 1000, ("b", "en", "s3"): 1000}
     mix = mixing.Mix(domains={"a": 1, "b": 1}, languages={}, budget_share=400 / 2010, max_epochs=1)
-    budgets = mixing.leaf_budgets(tokens, mix)
+    budgets = leaf_budgets(tokens, mix)
     assert budgets == {("a", "en", "s1"): 10, ("a", "en", "s2"): 190, ("b", "en", "s3"): 200}
 
 
@@ -26,14 +73,14 @@ def test_children_of_weight_zero_leave_their_share_to_others():
     even = {"a": 1, "b": 1}
     tokens = {("a", "x", "s"): 1000, ("a", "y", "s"): 10, ("b", "x", "s"): 1000, ("b", "y", "s"): 1000}
     mix = mixing.Mix(domains=even, languages={"x": 0, "y": 1}, budget_share=1000 / 3010, max_epochs=1)
-    assert mixing.leaf_budgets(tokens, mix) == {("a", "x", "s"): 0, ("a", "y", "s"): 10, ("b", "x", "s"): 0, ("b", "y", "s"): 990}
+    assert leaf_budgets(tokens, mix) == {("a", "x", "s"): 0, ("a", "y", "s"): 10, ("b", "x", "s"): 0, ("b", "y", "s"): 990}
     tokens = {("a", "x", "s0"): 500, ("a", "x", "s1"): 20, ("a", "z", "s1"): 500, ("b", "x", "s1"): 500}
     mix = mixing.Mix(domains=even, languages={}, sources={"s0": 0}, budget_share=600 / 1520, max_epochs=1)
-    assert mixing.leaf_budgets(tokens, mix) == {("a", "x", "s0"): 0, ("a", "x", "s1"): 20, ("a", "z", "s1"): 280, ("b", "x", "s1"): 300}
+    assert leaf_budgets(tokens, mix) == {("a", "x", "s0"): 0, ("a", "x", "s1"): 20, ("a", "z", "s1"): 280, ("b", "x", "s1"): 300}
     mix = mixing.Mix(domains={"a": 0, "b": 2}, languages={}, budget_share=900 / 1520, max_epochs=1)
-    assert mixing.leaf_budgets(tokens, mix) == {("a", "x", "s0"): 0, ("a", "x", "s1"): 0, ("a", "z", "s1"): 0, ("b", "x", "s1"): 500}
+    assert leaf_budgets(tokens, mix) == {("a", "x", "s0"): 0, ("a", "x", "s1"): 0, ("a", "z", "s1"): 0, ("b", "x", "s1"): 500}
     mix = mixing.Mix(domains={"a": 0, "b": 0}, languages={})
-    assert set(mixing.leaf_budgets(tokens, mix).values()) == {0}
+    assert set(leaf_budgets(tokens, mix).values()) == {0}
 
 
 def test_columns_of_the_names_used_within(spark):
@@ -64,6 +111,20 @@ def test_sql_with_other_weights(spark, monkeypatch):
     assert got == sorted((r[0], r[1]) for r in con.execute(f"select doc_id, epoch from ({sql})").fetchall())
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_budgets_of_tables_equal_those_of_a_walk_down_the_tree(spark, seed):
+    """Trees with empty leaves, weights of 0 and budgets from too little to too much."""
+    rng = random.Random(seed)
+    name = lambda x: {f"{x}{k}": rng.choice([0, 0.3, 1, 5]) for k in range(3)}
+    mix = mixing.Mix(domains=name("d"), languages=name("l"), sources=name("s"), budget_share=rng.choice([0.05, 0.5, 0.9, 3.0]), max_epochs=rng.choice([1, 2]))
+    tokens = {(f"d{rng.randrange(4)}", f"l{rng.randrange(4)}", f"s{rng.randrange(8)}"): rng.choice([0, 1, 10, 100, 1000]) for _ in range(60)}
+    leaves = spark.createDataFrame([(*k, n) for k, n in tokens.items()], "_domain string, _lang string, _source string, tokens long")
+    got = {(r[0], r[1], r[2]): r.budget for r in mixing.leaf_budgets(leaves, mix).collect()}
+    want = leaf_budgets(tokens, mix)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want) and sum(want.values()) > 0
+    assert sum(got[k] == want[k] for k in want) > 0.95 * len(want)
+
+
 def brute(rows, mix, spark):
     keys = {
         (r.doc_id, r.epoch): r.key
@@ -76,7 +137,7 @@ def brute(rows, mix, spark):
         digits = "".join(c for c in (source or "") if c.isdigit())
         leaf = (f"d{int(digits or 0) % 4}", lang or "", source or "")
         leaves.setdefault(leaf, []).append((doc_id, len((text or "").split())))
-    budgets = mixing.leaf_budgets({k: sum(n for _, n in v) for k, v in leaves.items()}, mix)
+    budgets = leaf_budgets({k: sum(n for _, n in v) for k, v in leaves.items()}, mix)
     out = []
     for leaf, docs in leaves.items():
         total = sum(n for _, n in docs)
