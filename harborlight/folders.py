@@ -1,22 +1,42 @@
-"""The folder that driver and executors share, and cutting of lineage in it."""
+"""The folder that driver and executors share: tables kept between steps, and cutting of lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def name_checkpoint_dir(spark: SparkSession) -> None:
-    """See that checkpoints have a folder: spark.checkpoint.dir; where it is unset, on a local master only, a new one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, on a local master only, a new one."""
     sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="harborlight-"))
+    configured = sc.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured.rstrip("/")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="harborlight-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder of intermediate tables in the shared folder."""
+    return f"{shared_dir(spark)}/harborlight/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    name_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage of a frame that is used more than once, or inside a loop."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

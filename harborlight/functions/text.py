@@ -121,17 +121,16 @@ def informative_correction(x: Column) -> Column:
 
 
 def clearance_m(x: Column) -> Column:
-    """Metres of a clearance such as `10'6"`, `11 ft`, `3.5 m` or `4`; null if it isn't one."""
-    text = F.lower(F.trim(x))
-    number = r"(\d+(?:\.\d+)?)"
-    inches = rf"^{number}\s*'\s*{number}\s*\"?$"
-    in_feet, in_metres = rf"^{number}\s*(?:'|ft|feet)$", rf"^{number}\s*(?:m|meter|metre|meters|metres)?$"
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k).try_cast("double")
-    return positive(
-        F.when(text.rlike(inches), (part(inches, 1) + part(inches, 2) / 12) * 0.3048)
-        .when(text.rlike(in_feet), part(in_feet, 1) * 0.3048)
-        .when(text.rlike(in_metres), part(in_metres, 1))
-    )
+    """Metres of a clearance such as `10'6"`, `11 ft`, `3.5 m` or `4`; null if it isn't one.
+
+    A number, and behind it a foot mark with inches, a unit, or nothing (metres).
+    """
+    number = "([0-9]+(?:[.][0-9]+)?)"
+    shape = rf"^{number}\s*(?:'\s*{number}\s*\"?|('|ft|feet|m|met(?:er|re)s?)?)$"
+    value, inches, unit = (F.regexp_extract(F.lower(F.trim(x)), shape, k) for k in (1, 2, 3))
+    in_feet = (inches != "") | unit.isin("'", "ft", "feet")
+    whole = value.try_cast("double") + F.coalesce(inches.try_cast("double"), F.lit(0.0)) / 12
+    return positive(F.when(in_feet, whole * 0.3048).otherwise(whole))
 
 
 def path_id(x: Column) -> Column:

@@ -154,8 +154,9 @@ def run_finder(radius_m: float, reach_m: float, margin_m: float | None):
     return run
 
 
-def transitions(ticks: DataFrame, places: DataFrame, radius_m: float, margin_m: float | None = None) -> DataFrame:
-    """(vessel, id, tick, event): raise when a place comes within the radius, clear when it is over 1.2 radii or gone.
+def episodes(ticks: DataFrame, places: DataFrame, radius_m: float, margin_m: float | None = None) -> DataFrame:
+    """(vessel, id, raised, cleared): from the tick at which a place comes within the radius to that at which it is over 1.2 radii
+    or gone; null for those that still hold.
 
     places: id, p_lat, p_lon and, with a margin, clearance_m; ticks then have air_draft. A place in reach at ticks that follow one
     another is a run; a run raises at its first tick within the radius and clears at the tick after its end, if there is one.
@@ -189,15 +190,16 @@ def transitions(ticks: DataFrame, places: DataFrame, radius_m: float, margin_m:
     cut = runs.where("open").withColumn("fresh", F.coalesce(F.lag("last").over(by_pair) + 1 != F.col("first"), F.lit(True)))
     cut = cut.withColumn("run", F.sum(F.col("fresh").cast("long")).over(by_pair))
     joined = cut.groupBy("vessel", "id", "run").agg(F.max("last").alias("last"), F.min("raised").alias("raised"))
-    episodes = runs.where("not open").select("vessel", "id", "last", "raised").union(joined.select("vessel", "id", "last", "raised"))
+    found = runs.where("not open").select("vessel", "id", "last", "raised").union(joined.select("vessel", "id", "last", "raised"))
     end = ticks.groupBy("vessel").agg(F.max("tick").alias("end"))
-    turns = episodes.where("raised is not null").join(end, "vessel").select(
-        "vessel", "id",
-        F.explode(F.array(
-            F.struct(F.col("raised").alias("tick"), F.lit("raise").alias("event")),
-            F.struct(F.when(F.col("last") < F.col("end"), F.col("last") + 1).alias("tick"), F.lit("clear").alias("event")),
-        )).alias("e"),
-    )
+    cleared = F.when(F.col("last") < F.col("end"), F.col("last") + 1)
+    return found.where("raised is not null").join(end, "vessel").select("vessel", "id", "raised", cleared.alias("cleared"))
+
+
+def transitions(ticks: DataFrame, places: DataFrame, radius_m: float, margin_m: float | None = None) -> DataFrame:
+    """(vessel, id, tick, event): what is raised and what is cleared at which tick, from the episodes."""
+    one = lambda column, event: F.struct(F.col(column).alias("tick"), F.lit(event).alias("event"))
+    turns = episodes(ticks, places, radius_m, margin_m).select("vessel", "id", F.explode(F.array(one("raised", "raise"), one("cleared", "clear"))).alias("e"))
     return turns.select("vessel", "id", "e.tick", "e.event").where("tick is not null")
 
 
@@ -228,31 +230,50 @@ def cleared(active: DataFrame, current: DataFrame) -> DataFrame:
     return active.join(current, ["vessel", "id"], "left_anti")
 
 
-def _metres(a: tuple[float, float], b: tuple[float, float]) -> float:
-    p, q = math.radians(a[0]), math.radians(b[0])
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
-    return 2 * EARTH_RADIUS_M * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+def metres_from(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    """Distances of positions (radians) from one."""
+    h = np.sin((lats - lat) / 2) ** 2 + math.cos(lat) * np.cos(lats) * np.sin((lons - lon) / 2) ** 2
+    return 2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h)))
+
+
+def next_tick(ts: np.ndarray, lats: np.ndarray, lons: np.ndarray, first: int, end: int, last: tuple[int, float, float], wait: float, metres: float) -> int:
+    """The first of the fixes from first to end that is late and far enough from the last; end if none is."""
+    at = first + int(np.searchsorted(ts[first:end], last[0] + wait))
+    step = 16
+    while at < end:
+        far = np.flatnonzero(metres_from(last[1], last[2], lats[at : min(at + step, end)], lons[at : min(at + step, end)]) >= metres)
+        if len(far):
+            return at + int(far[0])
+        at, step = at + step, min(step * 4, 4096)
+    return end
 
 
 def throttled(fixes: DataFrame, min_seconds: float = MIN_SECONDS, min_metres: float = MIN_METRES) -> DataFrame:
     """The fixes (vessel, ts, lat, lon, ...) that tick: a vessel's first, then each that is late and far enough from the last.
 
-    A vessel's fixes pass through one task in order, and only the last that ticked is held.
+    A vessel's fixes pass through one task in order, and only the last that ticked is held; within a batch the next one is looked
+    up by time and by distances over arrays, so that work follows ticks more than fixes.
     """
 
     def run(batches):
         vessel = last = None
         for batch in batches:
-            keep = []
-            columns = (batch.column(n) for n in ("vessel", "ts", "lat", "lon"))
-            who, ts, lat, lon = (c.cast(pa.int64()).to_pylist() if k == 1 else c.to_pylist() for k, c in enumerate(columns))
-            for v, t, x, y in zip(who, ts, lat, lon):
-                fresh = last is None or v != vessel
-                passes = fresh or (t - last[0] >= min_seconds * 1e6 and _metres(last[1], (x, y)) >= min_metres)
-                if passes:
-                    vessel, last = v, (t, (x, y))
-                keep.append(passes)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            who = np.array(batch.column("vessel").to_pylist(), dtype=object)
+            ts = np.asarray(batch.column("ts").cast(pa.int64()))
+            lats, lons = (np.radians(np.asarray(batch.column(n), dtype=float)) for n in ("lat", "lon"))
+            keep = np.zeros(len(who), dtype=bool)
+            bounds = [0, *(np.flatnonzero(who[1:] != who[:-1]) + 1).tolist(), len(who)]
+            for first, end in zip(bounds, bounds[1:]):
+                at = first
+                if last is not None and who[first] == vessel:
+                    at = next_tick(ts, lats, lons, first, end, last, min_seconds * 1e6, min_metres)
+                while at < end:
+                    keep[at] = True
+                    vessel, last = who[at], (int(ts[at]), float(lats[at]), float(lons[at]))
+                    at = next_tick(ts, lats, lons, at + 1, end, last, min_seconds * 1e6, min_metres)
+            yield batch.filter(pa.array(keep))
 
     ordered = fixes.repartition("vessel").sortWithinPartitions("vessel", "ts", *[c for c in fixes.columns if c not in ("vessel", "ts")])
     return ordered.mapInArrow(run, fixes.schema)

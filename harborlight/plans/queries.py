@@ -485,6 +485,18 @@ def proximity_alarm_transitions(spark, sf_dir):
     return _turns(alarms.proximity(_ticks(spark, sf_dir), poi(spark, sf_dir)))
 
 
+@query(
+    "alarm_episodes",
+    "select vessel, id, cast(tick as int) as raised, cast(coalesce(cleared, -1) as int) as cleared from (select *, lead(tick) over (partition by vessel, id order by tick) as cleared from turns where state <> was) where state = 1",
+    POI, FIXES, TICKS, AIR, _alarm_sql("air", "Bridge", "p.clearance_m <= f.draft + 1e0"),
+)
+def alarm_episodes(spark, sf_dir):
+    """Since when each alarm of a bridge holds, and until when."""
+    low = poi(spark, sf_dir).where("type = 'Bridge' and clearance_m is not null").select("id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "clearance_m")
+    found = alarms.episodes(_with_air_draft(_ticks(spark, sf_dir)), low, alarms.RADIUS_M, 1.0)
+    return found.select("vessel", "id", F.col("raised").cast("int").alias("raised"), F.coalesce("cleared", F.lit(-1)).cast("int").alias("cleared"))
+
+
 @query("bridge_alarm_transitions", TRANSITIONS, POI, FIXES, TICKS, AIR, _alarm_sql("air", "Bridge", "p.clearance_m <= f.draft + 1e0"))
 def bridge_alarm_transitions(spark, sf_dir):
     return _turns(alarms.bridges(_with_air_draft(_ticks(spark, sf_dir)), poi(spark, sf_dir), 1.0))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import testbed
 from ..operators import federate, sections
-from ..sources import activecaptain, enc, lightlist, notices, openseamap, ports, stations, structures
-from .queries import query
+from ..boxes import Box
+from ..sources import activecaptain, enc, lightlist, listing, notices, openseamap, ports, stations, structures
+from .queries import SQL, query
 from .text_queries import shown
 
 _LAT = "case when k % 17 = 0 then 95e0 else 42e0 + (k * 7919 % 2001) / 1e5 end"
@@ -555,3 +556,60 @@ def detail_by_id(spark, sf_dir):
         F.concat(F.lit("unknown-"), number), number,
     )).alias("id")).where("id is not null")
     return federate.details_of(asked, details).select("id", "title")
+
+
+# What each source lists in a box
+
+_BOX = Box(42.002005, 42.016005, -70.998005, -70.985005)
+_IN_BOX = "lat_e5 between 4200201 and 4201600 and lon_e5 between -7099800 and -7098501"
+_NOT_BEFORE = "(ts = '-' or cast(substr(ts, 1, 4) as int) >= 2022)"
+
+
+def _made(spark, sf_dir) -> dict[str, DataFrame]:
+    """Summaries of each source."""
+    placed = lambda raw: raw.rows(spark, sf_dir).withColumn("coordinates", F.array("p_lon", "p_lat"))
+    community = COMMUNITY.rows(spark, sf_dir).select(
+        "id", F.col("kind").alias("poiType"), "name", F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).alias("mapLocation"),
+        F.struct(F.col("stars").alias("averageRating"), F.col("reviews").alias("numberOfReviews")).alias("reviewSummary"), F.col("copies").alias("poiCount"),
+    )
+    return {
+        "community": activecaptain.summaries(community), "seamark": openseamap.summaries(_elements(spark, sf_dir)), "chart": enc.summaries(placed(CHART), "wreck"),
+        "lock": structures.summaries(placed(WORKS), "lock"), "light_list": lightlist.summaries(LIGHT.rows(spark, sf_dir)),
+        "notice": notices.summaries(_coordinates(HAZNAV.rows(spark, sf_dir)), "haznav"), "station": stations.summaries(STATION.rows(spark, sf_dir), "tide"),
+        "port": ports.summaries(PORT.rows(spark, sf_dir)),
+    }
+
+
+#: For each source: how it is asked, and the same in SQL.
+_ASKED = {
+    "community": ({"least_rating": 2.0}, "(type not in ('Marina', 'Anchorage', 'Business', 'BoatRamp') or rating_10 >= 20)"),
+    "seamark": ({"kinds": ["Marina", "Bridge"], "year": 2022}, f"type in ('Marina', 'Bridge') and {_NOT_BEFORE}"),
+    "chart": ({"year": 2022}, _NOT_BEFORE), "lock": ({"us_only": True}, "true"), "light_list": ({"us_only": True, "year": 2022}, _NOT_BEFORE),
+    "notice": ({"kinds": ["Hazard"], "us_only": True}, "type = 'Hazard'"), "station": ({"us_only": True}, "true"), "port": ({"kinds": ["Marina", "Lock"]}, "type in ('Marina', 'Lock')"),
+}
+
+
+def _box_sql(name: str) -> str:
+    return f"select id, type, source from ({SQL[name + '_summaries']}) where {_IN_BOX} and {_ASKED[name][1]}"
+
+
+def _box_query(name: str) -> None:
+    @query(f"{name}_in_box", _box_sql(name))
+    def run(spark, sf_dir):
+        return listing.listed(_made(spark, sf_dir)[name], _BOX, **_ASKED[name][0]).select("id", "type", "source")
+
+
+for _name in _ASKED:
+    _box_query(_name)
+
+
+@query(
+    "every_source_in_box",
+    "select source || '-' || id as id, type, source from (" + " union all ".join(f"select * from ({_box_sql(n)})" for n in _ASKED) + ")",
+)
+def every_source_in_box(spark, sf_dir):
+    """All sources' lists for one box, named by their source."""
+    made = _made(spark, sf_dir)
+    lists = [listing.listed(made[n], _BOX, **asked) for n, (asked, _) in _ASKED.items()]
+    names = [activecaptain.SOURCE, openseamap.SOURCE, enc.SOURCE, structures.SOURCE, lightlist.SOURCE, notices.SOURCE, stations.SOURCE, ports.SOURCE]
+    return federate.union_sources(list(zip(names, lists))).select("id", "type", "source")
