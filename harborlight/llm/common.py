@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..folders import checkpointed, clear_scratch, scratch_dir, scratch_path, shared_dir
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+__all__ = ["checkpointed", "clear_scratch", "limit_batches", "read", "scratch_dir", "scratch_path", "shared_dir", "stored", "whole_runs"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, on a local master only, a new one."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="harborlight-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 #: Most bytes of an Arrow batch between the JVM and Python; Spark's own default is 64 MB, for input and output of each task.
@@ -37,21 +25,6 @@ def limit_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The application's own folder of intermediate tables in the shared folder."""
-    return f"{shared_dir(spark)}/harborlight/{spark.sparkContext.applicationId}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the application's intermediate tables, once the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back."""
     path = scratch_path(df.sparkSession, name)
@@ -59,12 +32,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small frame inside a loop."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def whole_runs(batches, key: str, least_rows: int = 4096):
     """Arrow tables made of batches sorted by key, cut so that the rows of a key are never parted."""
     import numpy as np
