@@ -73,9 +73,10 @@ def has_letter(text: str | None) -> bool:
 
 
 def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and how often each occurs, in integers as short as they can be."""
     all_buckets = np.concatenate(buckets(np.frombuffer(prepared(text), dtype=np.uint8)))
     ids, counts = np.unique(all_buckets, return_counts=True)
-    return ids, (counts / counts.sum()).astype(np.float32)
+    return ids.astype(np.uint16), counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32)
 
 
 def _cuts(text: str, rng: np.random.RandomState) -> list[str]:
@@ -96,7 +97,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def examples(text: str, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and their shares for a whole text and for short pieces of it."""
+    """Buckets and their counts for a whole text and for short pieces of it."""
     return [_features(piece) for piece in _cuts(text, np.random.RandomState(seed))]
 
 
@@ -109,14 +110,16 @@ def train(rows: list[tuple[list, str, bool]], seed: int = SEED) -> LanguageModel
     number = {lang: i for i, lang in enumerate(languages)}
     learn, hold = [], []
     for made, lang, calibrate in rows:
-        (hold if calibrate else learn).extend((ids, share, number[lang]) for ids, share in made)
+        (hold if calibrate else learn).extend((ids, counts, number[lang]) for ids, counts in made)
+    shares = lambda counts: (counts / counts.sum()).astype(np.float32)
     embeddings = rng.uniform(-0.1, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = rng.uniform(-0.1, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
     steps, done = EPOCHS * max(1, len(learn)), 0
     for _ in range(EPOCHS):
         for at in rng.permutation(len(learn)):
-            ids, share, target = learn[at]
+            ids, counts, target = learn[at]
+            share = shares(counts)
             rate = RATE * (1 - done / steps)
             done += 1
             hidden = share @ embeddings[ids]
@@ -128,7 +131,7 @@ def train(rows: list[tuple[list, str, bool]], seed: int = SEED) -> LanguageModel
             embeddings[ids] -= rate * share[:, None] * back * np.float32(8)
     table = embeddings @ weights
     hold = hold or learn
-    raw = np.array([share @ table[ids] for ids, share, _ in hold]) + bias
+    raw = np.array([shares(counts) @ table[ids] for ids, counts, _ in hold]) + bias
     truth = np.array([target for _, _, target in hold])
     losses = [(-np.log(_softmax(raw / t)[np.arange(len(raw)), truth] + 1e-12).mean(), t) for t in np.geomspace(0.05, 10, 60)]
     temperature = min(losses)[1]
@@ -166,10 +169,10 @@ def _example_rows(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("lang").take(rows), batch.column("place").take(rows), batch.column("seed").take(rows),
-                    pa.array([ids.astype(np.int32).tobytes() for ids, _ in flat], pa.binary()),
-                    pa.array([share.astype(np.float32).tobytes() for _, share in flat], pa.binary()),
+                    pa.array([ids.tobytes() for ids, _ in flat], pa.binary()),
+                    pa.array([counts.tobytes() for _, counts in flat], pa.binary()),
                 ],
-                names=["lang", "place", "seed", "ids", "shares"],
+                names=["lang", "place", "seed", "ids", "counts"],
             )
 
 
@@ -189,11 +192,13 @@ def fit(docs: DataFrame, usable: Column, rows: int = SAMPLE_ROWS) -> LanguageMod
     sample = (
         docs.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])  # at most `rows` for each language
         .select("text", "lang", "place", seed.alias("seed"))
-        .mapInArrow(_example_rows, "lang string, place int, seed long, ids binary, shares binary")
-        .orderBy("place", "seed", "lang", "ids", "shares").limit(MOST_EXAMPLES)
+        .mapInArrow(_example_rows, "lang string, place int, seed long, ids binary, counts binary")
+        .orderBy("place", "seed", "lang", "ids", "counts").limit(MOST_EXAMPLES)
     )
-    made = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.shares, np.float32), r.lang, r.place % 5 == 0) for r in sample.collect()]
-    return train([([(ids, shares)], lang, hold) for ids, shares, lang, hold in made])
+    kind = lambda r: np.uint16 if len(r.counts) == len(r.ids) else np.uint32
+    return train([
+        ([(np.frombuffer(r.ids, np.uint16), np.frombuffer(r.counts, kind(r)))], r.lang, r.place % 5 == 0) for r in sample.collect()
+    ])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
