@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
-from ..operators.alarms import CLEAR_FACTOR, MIN_METRES, MIN_SECONDS, RADIUS_M, _metres
+from ..boxes import distance
+from ..operators.alarms import CLEAR_FACTOR, MIN_METRES, MIN_SECONDS, RADIUS_M
 
 TICK = StructType([
     StructField("vessel", LongType()), StructField("ts", TimestampType()), StructField("lat", DoubleType()), StructField("lon", DoubleType()),
@@ -41,7 +42,7 @@ class Throttle(StatefulProcessor):
         out = []
         for ts, lat, lon in zip(fixes["ts"], fixes["lat"], fixes["lon"]):
             far = last is None or (
-                (ts - pd.Timestamp(last[0])).total_seconds() >= self._seconds and _metres((last[1], last[2]), (lat, lon)) >= self._metres
+                (ts - pd.Timestamp(last[0])).total_seconds() >= self._seconds and distance((last[1], last[2]), (lat, lon)) >= self._metres
             )
             if far:
                 last = (ts.to_pydatetime(), lat, lon)
