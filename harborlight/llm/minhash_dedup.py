@@ -272,7 +272,7 @@ def document_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = named.select("doc_id", "digest").join(several, "doc_id").join(classes.select("digest", "rep"), "digest")
     own = own.select("doc_id", F.col("rep").alias("b"))
     own = own.join(own.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b")
-    return sketched, classes, own
+    return sketched, classes, stored(own, "own-links")
 
 
 def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
