@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..folders import checkpointed, clear_scratch, scratch_dir, scratch_path, shared_dir
 
-__all__ = ["checkpointed", "clear_scratch", "limit_batches", "read", "scratch_dir", "scratch_path", "shared_dir", "stored", "whole_runs"]
+__all__ = ["checkpointed", "clear_scratch", "limit_batches", "ordered", "read", "scratch_dir", "scratch_path", "shared_dir", "stored", "whole_runs"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +33,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ordered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df, stored, with its place in the order of keys: `_at` rises with it, and `_part` is a range of places of one task's size.
+
+    df should be cheap to read twice (stored), as ranges are found from a sample of it; keys that tie can't be parted.
+    """
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    return stored(dealt, name).withColumn("_part", F.shiftright("_at", 33))
+
+
 def whole_runs(batches, key: str, least_rows: int = 4096):
     """Arrow tables made of batches sorted by key, cut so that the rows of a key are never parted."""
     import numpy as np

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, media, minhash_dedup, mixing, packing, quality, suffix_dedup, token_output, vector_dedup
+from . import hard_negatives, language_id, line_dedup, media, merkle, minhash_dedup, mixing, packing, quality, sharding, suffix_dedup, token_output, vector_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_source_mixing": mixing.op8_source_mixing,
         "op9_packing": packing.op9_packing,
         "op10_language_id": language_id.op10_language_id,
+        "op11_sharding": sharding.op11_sharding,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
@@ -27,4 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_repeated_bytes": suffix_dedup.ORACLE_SQL,
         "op7_minhash_near_dedup": minhash_dedup.ORACLE_SQL,
         "op8_source_mixing": mixing.ORACLE_SQL,
+        "op11_sharding": sharding.ORACLE_SQL,
+        "op12_merkle_manifest": merkle.ORACLE_SQL,
+        "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     }
