@@ -96,3 +96,14 @@ def grid_cells(lat: Column, lon: Column, mean_lat: Column, radius_m: float) -> t
     """Columns (cx, cy) of the dedupe grid, whose longitude scale is that of the mean latitude. Cells don't wrap."""
     scale = F.cos(F.radians(mean_lat)) * GRID_METRES_PER_DEGREE
     return F.floor(lon * scale / radius_m).cast("long"), F.floor(lat * GRID_METRES_PER_DEGREE / radius_m).cast("long")
+
+
+def band_of(lat: Column, size_deg: float | Column) -> Column:
+    """The band of latitude, of size_deg, counted from the south pole."""
+    return F.floor((lat + 90.0) / size_deg).cast("long")
+
+
+def columns_of(band: Column, size_deg: float | Column) -> Column:
+    """Cells around a band: as many as keep a cell at least size_deg wide at the band's far edge."""
+    edge = F.least(F.lit(89.999), F.greatest(F.abs(band * size_deg - 90.0), F.abs((band + 1) * size_deg - 90.0)))
+    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / (size_deg * 1.02))).cast("long")

@@ -1,10 +1,15 @@
-"""Alarms over recorded vessel fixes: hysteresis as runs of ticks, message changes, and the tick throttle.
+"""Alarms over recorded vessel fixes: hysteresis as runs of ticks, and message changes.
 
 ticks: vessel, tick (1, 2, ... in time for each vessel), lat, lon and, for bridges, air_draft.
 
 What is shuffled for hysteresis are ticks and places, never their pairs. A tick goes to the cells around it that have places;
 a task takes one vessel's ticks of one stretch (STRETCH of them) in one cell with at most PLACES of its places, works out all
 distances over arrays, and emits runs of ticks only. Runs that touch a stretch's ends are joined with those of the next stretch.
+
+Defined cases: rows without a vessel are left out where ticks are numbered (as_of keeps them, without a state); a tick or a place without a
+position, or with NaN, is near nothing; an id at several places is near where any of them is; rows that tie in order are
+numbered in any order, so an order should end in a key; an empty table gives no rows. Columns that are added (tick, stretch,
+distance_m, last_*) replace columns of these names.
 """
 
 from __future__ import annotations
@@ -17,11 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..folders import checkpointed
-from ..functions.geo import EARTH_RADIUS_M, haversine_m
+from ..functions.geo import EARTH_RADIUS_M, band_of, columns_of, haversine_m
 
 RADIUS_M = 500.0
 CLEAR_FACTOR = 1.2
-MIN_SECONDS, MIN_METRES = 60.0, 100.0
 #: Ticks of a vessel, and places of a cell, that a task takes at once.
 STRETCH, PLACES = 4096, 512
 
@@ -50,13 +54,19 @@ def filled_forward(ticks: DataFrame, column: str) -> DataFrame:
     return filled.withColumn(column, F.coalesce(column, "_carried")).drop("_carried")
 
 
-def as_of(points: DataFrame, states: DataFrame, columns: list[str]) -> DataFrame:
-    """points (vessel, ts, ...) with the columns of the vessel's latest state (vessel, ts, ...) at or before each; null where there is none."""
-    state = F.struct(*(F.col(c) for c in columns))
-    known = states.select("vessel", "ts", F.lit(0).alias("_kind"), state.alias("_state"))
+def as_of(points: DataFrame, states: DataFrame, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """points (vessel, ts, ...) with the columns of the vessel's latest state (vessel, ts, ...) at or before each; null where there is none.
+
+    Of states at one time the last by `order` (default: columns) counts. A point without a vessel or a time has no state; states without are
+    none.
+    """
+    tie = F.struct(*(F.col(c) for c in (order or columns)))
+    known = states.where("ts is not null").select("vessel", "ts", F.lit(0).alias("_kind"), tie.alias("_tie"), F.struct(*(F.col(c) for c in columns)).alias("_state"))
     asked = points.select("vessel", "ts", F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_point"))
-    both = numbered(known.unionByName(asked, allowMissingColumns=True), ["ts", "_kind"])
-    return filled_forward(both, "_state").where("_kind = 1").select("_point.*", *(F.col(f"_state.{c}").alias(f"last_{c}") for c in columns))
+    both = numbered(known.unionByName(asked.where("vessel is not null and ts is not null"), allowMissingColumns=True), ["ts", "_kind", "_tie"])
+    found = filled_forward(both, "_state").where("_kind = 1").select("_point", "_state")
+    alone = asked.where("vessel is null or ts is null").select("_point", F.lit(None).cast(found.schema["_state"].dataType).alias("_state"))
+    return found.union(alone).select("_point.*", *(F.col(f"_state.{c}").alias(f"last_{c}") for c in columns))
 
 
 def scan_radius(alarm_radius_m: float) -> float:
@@ -64,24 +74,14 @@ def scan_radius(alarm_radius_m: float) -> float:
     return max(3 * alarm_radius_m, 2000.0)
 
 
-def _bands(lat: Column, size_deg: float) -> Column:
-    return F.floor((lat + 90.0) / size_deg).cast("long")
-
-
-def _columns(band: Column, size_deg: float) -> Column:
-    """Cells around a latitude band: as many as keep a cell at least size_deg wide at the band's far edge."""
-    edge = F.least(F.lit(89.999), F.greatest(F.abs(band * size_deg - 90.0), F.abs((band + 1) * size_deg - 90.0)))
-    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / (size_deg * 1.02))).cast("long")
-
-
 def within(fixes: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of fixes and places (id, p_lat, p_lon, ...) within radius_m, by cells of that size; the seam is no border."""
     size = math.degrees(radius_m / EARTH_RADIUS_M) * 1.001
     column = lambda lon, n: F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("long"), n)
-    mine = fixes.withColumn("_band", _bands(F.col("lat"), size)).withColumn("_n", _columns(F.col("_band"), size))
+    mine = fixes.withColumn("_band", band_of(F.col("lat"), size)).withColumn("_n", columns_of(F.col("_band"), size))
     mine = mine.withColumn("_cell", column(F.col("lon"), F.col("_n"))).drop("_n")
-    theirs = places.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _bands(F.col("p_lat"), size) + d)))
-    theirs = theirs.withColumn("_n", _columns(F.col("_band"), size)).withColumn("_own", column(F.col("p_lon"), F.col("_n")))
+    theirs = places.withColumn("_band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: band_of(F.col("p_lat"), size) + d)))
+    theirs = theirs.withColumn("_n", columns_of(F.col("_band"), size)).withColumn("_own", column(F.col("p_lon"), F.col("_n")))
     cells = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("_own") + d, F.col("_n"))))
     theirs = theirs.withColumn("_cell", F.explode(cells)).drop("_n", "_own")
     near = mine.join(theirs, ["_band", "_cell"]).drop("_band", "_cell")
@@ -92,8 +92,8 @@ def within(fixes: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
 def _around(table: DataFrame, lat: str, lon: str, size: float, steps: tuple[int, ...]) -> DataFrame:
     """table once for each cell (_band, _cell) of its own and so many steps off."""
     offsets = F.array(*map(F.lit, steps))
-    rows = table.withColumn("_band", F.explode(F.transform(offsets, lambda d: _bands(F.col(lat), size) + d)))
-    rows = rows.withColumn("_n", _columns(F.col("_band"), size))
+    rows = table.withColumn("_band", F.explode(F.transform(offsets, lambda d: band_of(F.col(lat), size) + d)))
+    rows = rows.withColumn("_n", columns_of(F.col("_band"), size))
     own = F.floor((F.col(lon) + 180.0) / 360.0 * F.col("_n")).cast("long")
     return rows.withColumn("_cell", F.explode(F.array_distinct(F.transform(offsets, lambda d: F.pmod(own + d, F.col("_n")))))).drop("_n")
 
@@ -186,8 +186,12 @@ def episodes(ticks: DataFrame, places: DataFrame, radius_m: float, margin_m: flo
         return made.add_column(0, "vessel", pa.array([k[0].as_py()] * len(made), k[0].type))
 
     runs = checkpointed(both.groupBy(*key).applyInArrow(runs_of, f"vessel {vessel}, id string, first long, last long, raised long, open boolean"))
+    # Runs of an id at several places may overlap; they are joined as well.
+    twice = places.groupBy(F.col("id").cast("string").alias("id")).agg((F.count("*") > 1).alias("_twice")).where("_twice")
+    runs = runs.join(twice, "id", "left").withColumn("open", F.col("open") | F.coalesce("_twice", F.lit(False)))
     by_pair = Window.partitionBy("vessel", "id").orderBy("first")
-    cut = runs.where("open").withColumn("fresh", F.coalesce(F.lag("last").over(by_pair) + 1 != F.col("first"), F.lit(True)))
+    upto = F.max("last").over(by_pair.rowsBetween(Window.unboundedPreceding, -1))
+    cut = runs.where("open").withColumn("fresh", F.coalesce(F.col("first") > upto + 1, F.lit(True)))
     cut = cut.withColumn("run", F.sum(F.col("fresh").cast("long")).over(by_pair))
     joined = cut.groupBy("vessel", "id", "run").agg(F.max("last").alias("last"), F.min("raised").alias("raised"))
     found = runs.where("not open").select("vessel", "id", "last", "raised").union(joined.select("vessel", "id", "last", "raised"))
@@ -228,52 +232,3 @@ def message_changes(messages: DataFrame) -> DataFrame:
 def cleared(active: DataFrame, current: DataFrame) -> DataFrame:
     """Active alarms (vessel, id) that the current tick no longer has."""
     return active.join(current, ["vessel", "id"], "left_anti")
-
-
-def metres_from(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
-    """Distances of positions (radians) from one."""
-    h = np.sin((lats - lat) / 2) ** 2 + math.cos(lat) * np.cos(lats) * np.sin((lons - lon) / 2) ** 2
-    return 2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h)))
-
-
-def next_tick(ts: np.ndarray, lats: np.ndarray, lons: np.ndarray, first: int, end: int, last: tuple[int, float, float], wait: float, metres: float) -> int:
-    """The first of the fixes from first to end that is late and far enough from the last; end if none is."""
-    at = first + int(np.searchsorted(ts[first:end], last[0] + wait))
-    step = 16
-    while at < end:
-        far = np.flatnonzero(metres_from(last[1], last[2], lats[at : min(at + step, end)], lons[at : min(at + step, end)]) >= metres)
-        if len(far):
-            return at + int(far[0])
-        at, step = at + step, min(step * 4, 4096)
-    return end
-
-
-def throttled(fixes: DataFrame, min_seconds: float = MIN_SECONDS, min_metres: float = MIN_METRES) -> DataFrame:
-    """The fixes (vessel, ts, lat, lon, ...) that tick: a vessel's first, then each that is late and far enough from the last.
-
-    A vessel's fixes pass through one task in order, and only the last that ticked is held; within a batch the next one is looked
-    up by time and by distances over arrays, so that work follows ticks more than fixes.
-    """
-
-    def run(batches):
-        vessel = last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            who = np.array(batch.column("vessel").to_pylist(), dtype=object)
-            ts = np.asarray(batch.column("ts").cast(pa.int64()))
-            lats, lons = (np.radians(np.asarray(batch.column(n), dtype=float)) for n in ("lat", "lon"))
-            keep = np.zeros(len(who), dtype=bool)
-            bounds = [0, *(np.flatnonzero(who[1:] != who[:-1]) + 1).tolist(), len(who)]
-            for first, end in zip(bounds, bounds[1:]):
-                at = first
-                if last is not None and who[first] == vessel:
-                    at = next_tick(ts, lats, lons, first, end, last, min_seconds * 1e6, min_metres)
-                while at < end:
-                    keep[at] = True
-                    vessel, last = who[at], (int(ts[at]), float(lats[at]), float(lons[at]))
-                    at = next_tick(ts, lats, lons, at + 1, end, last, min_seconds * 1e6, min_metres)
-            yield batch.filter(pa.array(keep))
-
-    ordered = fixes.repartition("vessel").sortWithinPartitions("vessel", "ts", *[c for c in fixes.columns if c not in ("vessel", "ts")])
-    return ordered.mapInArrow(run, fixes.schema)

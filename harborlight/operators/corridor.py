@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_M, bearing_rad, haversine_m, onto_leg
+from ..folders import checkpointed
+from ..functions.geo import EARTH_RADIUS_M, band_of, bearing_rad, columns_of, haversine_m, onto_leg, projected
 from .predicates import blocks_vessel
 
 KINDS = ("Hazard", "Bridge", "Lock")
 LOOK_AHEAD_M = 18_520.0
-#: A route is a plan of one voyage; a longer one is refused, as its legs are broadcast.
+#: A route is a plan of one voyage; a longer one is refused.
 MAX_POINTS = 100_000
+#: Pieces of a leg, the smallest cell, and cells of legs that are broadcast (about 100 bytes each); more are joined by a shuffle.
+PIECES, LEAST_CELL_M, BROADCAST_CELLS = 512, 100.0, 1 << 19
 
 
 def legs_of(points: DataFrame) -> DataFrame:
@@ -39,19 +42,31 @@ def route_points(spark: SparkSession, waypoints, vessel: tuple[float, float] | N
 
 
 def leg_cells(legs: DataFrame, half_width_m: float) -> DataFrame:
-    """legs once for each cell (_row, _cell) of a degree that a place beside them can lie in.
+    """legs once for each cell (_level, _band, _cell) that the strip beside them touches.
 
-    What lies in the corridor is within the leg's length and half the width of its start.
+    A leg is taken in at most PIECES pieces, each in cells about as large: of four half widths on legs that are not too long, and twice, four times, ...
+    as large (a level up each) on longer ones. What is beside a piece is within half its length and half the width of its middle.
     """
-    reach = F.least(F.lit(180.0), F.degrees((F.col("length_m") + half_width_m * 1.01) / EARTH_RADIUS_M) + 1e-6)
-    lat = F.col("leg_lat")
-    rows = F.sequence(F.floor(F.greatest(F.lit(-90.0), lat - reach)).cast("int"), F.floor(F.least(F.lit(90.0), lat + reach)).cast("int"))
-    aside = F.degrees(F.asin(F.sin(F.radians(reach)) / F.cos(F.radians(lat)))) + 1e-6
-    around_pole = (F.abs(lat) + reach) >= 89.9
-    west = F.when(around_pole, -180.0).otherwise(F.col("leg_lon") - aside)
-    east = F.when(around_pole, 179.5).otherwise(F.col("leg_lon") + aside)
-    cells = F.transform(F.sequence(F.floor(west).cast("int"), F.floor(east).cast("int")), lambda c: F.pmod(c, F.lit(360)))
-    return legs.select("*", F.explode(rows).alias("_row")).select("*", F.explode(F.array_distinct(cells)).alias("_cell"))
+    unit = max(4 * half_width_m, LEAST_CELL_M)
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("length_m") / (PIECES * unit)))).cast("int")
+    cut = legs.withColumn("_level", level)
+    n = F.greatest(F.lit(1), F.ceil(F.col("length_m") / (unit * F.pow(F.lit(2.0), F.col("_level")))).cast("int"))
+    cut = cut.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    part = F.col("length_m") / F.col("_n")
+    cut = cut.withColumn("_at", projected(F.col("leg_lat"), F.col("leg_lon"), F.degrees("bearing"), (F.col("_k") + 0.5) * part))
+    cut = cut.withColumns({"_reach": F.degrees(F.least(F.lit(3.1), (part / 2 + half_width_m * 1.01) / EARTH_RADIUS_M)) + 1e-6, "_size": cell_degrees(half_width_m, F.col("_level"))})
+    lat, lon, reach, size = F.col("_at.lat"), F.col("_at.lon"), F.col("_reach"), F.col("_size")
+    cut = cut.withColumn("_band", F.explode(F.sequence(band_of(F.greatest(F.lit(-90.0), lat - reach), size), band_of(F.least(F.lit(90.0), lat + reach), size))))
+    columns = columns_of(F.col("_band"), size)
+    aside = F.when(F.abs(lat) + reach >= 89.9, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(reach)) / F.cos(F.radians(lat))))) + 1e-6)
+    edge = lambda x: F.floor((x + 180.0) / 360.0 * columns).cast("long")
+    cells = F.sequence(edge(lon - aside), F.least(edge(lon + aside), edge(lon - aside) + columns - 1))
+    cut = cut.withColumn("_cell", F.explode(F.transform(cells, lambda c: F.pmod(c, columns))))
+    return cut.select(*legs.columns, "_level", "_band", "_cell").dropDuplicates(["route_id", "leg", "_level", "_band", "_cell"])
+
+
+def cell_degrees(half_width_m: float, level: Column) -> Column:
+    return F.lit(math.degrees(max(4 * half_width_m, LEAST_CELL_M) / EARTH_RADIUS_M)) * F.pow(F.lit(2.0), level)
 
 
 def in_order(found: DataFrame) -> DataFrame:
@@ -60,13 +75,29 @@ def in_order(found: DataFrame) -> DataFrame:
     return found.withColumn("place", F.row_number().over(along)).orderBy("route_id", "place")
 
 
-def corridor(poi: DataFrame, legs: DataFrame, half_width_m: float, sog: float | None = None) -> DataFrame:
-    """Points of the corridor's kinds beside a leg, each on the leg that passes nearest: along_m, cross_m and eta_s."""
-    chosen = poi.where(F.col("type").isin(*KINDS))
+def candidates(poi: DataFrame, legs: DataFrame, half_width_m: float) -> DataFrame:
+    """Pairs of a point and a leg that share a cell: all of the corridor, and few others."""
     if not half_width_m > 0 or math.isinf(half_width_m):
         legs = legs.where(F.lit(False))
-    near = chosen.withColumns({"_row": F.floor("lat").cast("int"), "_cell": F.pmod(F.floor("lon").cast("int"), F.lit(360))})
-    near = near.join(leg_cells(legs, half_width_m), ["_row", "_cell"]).drop("_row", "_cell")
+    cells = checkpointed(leg_cells(legs, half_width_m if math.isfinite(half_width_m) else 0.0))
+    sizes = cells.groupBy("_level").agg(F.count("*").alias("n")).collect()  # a row for each level
+    levels = F.array(*(F.lit(r["_level"]) for r in sizes)) if sizes else F.array(F.lit(0))
+    size = cell_degrees(half_width_m if math.isfinite(half_width_m) else 0.0, F.col("_level"))
+    near = poi.select("*", F.explode(levels).alias("_level")).withColumn("_band", band_of(F.col("lat"), size))
+    columns = columns_of(F.col("_band"), size)
+    near = near.withColumn("_cell", F.pmod(F.floor((F.col("lon") + 180.0) / 360.0 * columns).cast("long"), columns))
+    few = sum(r["n"] for r in sizes) <= BROADCAST_CELLS
+    return near.join(F.broadcast(cells) if few else cells, ["_level", "_band", "_cell"]).drop("_level", "_band", "_cell")
+
+
+def corridor(poi: DataFrame, legs: DataFrame, half_width_m: float, sog: float | None = None) -> DataFrame:
+    """Points of the corridor's kinds beside a leg, each on the leg that passes nearest: along_m, cross_m and eta_s.
+
+    Points without a position are beside none; a width that is not positive and finite finds none; of legs that pass equally near, the one
+    along which the point comes first counts.
+    """
+    chosen = poi.where(F.col("type").isin(*KINDS)).select("id", "seq", "type", "name", "lat", "lon", "clearance_m")
+    near = candidates(chosen, legs, half_width_m)
     near = near.withColumn("on", onto_leg(F.col("leg_lat"), F.col("leg_lon"), F.col("bearing"), F.col("lat"), F.col("lon")))
     inside = near.where((F.abs("on.cross_m") <= half_width_m) & F.col("on.along_m").between(0, F.col("length_m")))
     inside = inside.withColumns({"cross_m": F.col("on.cross_m"), "along_m": F.col("before_m") + F.col("on.along_m")})

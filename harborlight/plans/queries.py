@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import testbed
 from ..functions import dates, geo, numbers, text
-from ..operators import alarms, corridor, dedupe, federate, predicates
+from ..operators import alarms, corridor, dedupe, federate, predicates, throttle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -533,9 +533,26 @@ def clear_stale(spark, sf_dir):
     return alarms.cleared(active, events.where("event_id % 50 = 1").select("vessel", "id"))
 
 
+ROUGH_SQL = """rough as (
+  select case when event_id % 17 <> 2 then vessel end as vessel, event_id, date_trunc('minute', ts) as ts,
+    case when event_id % 11 <> 3 then case when event_id % 29 = 4 then 'nan'::double else lat end end as lat, case when event_id % 13 = 5 then 999 else lon end as lon
+  from fixes
+)"""
+
+
+def _rough(spark, sf_dir):
+    """Fixes without a vessel or a position, with positions that are none, and with many of one time."""
+    e = F.col("event_id")
+    return testbed.fixes(spark, sf_dir).select(
+        F.when(e % 17 != 2, F.col("vessel")).alias("vessel"), "event_id", F.date_trunc("minute", "ts").alias("ts"),
+        F.when(e % 11 != 3, F.when(e % 29 == 4, float("nan")).otherwise(F.col("lat"))).alias("lat"), F.when(e % 13 == 5, 999.0).otherwise(F.col("lon")).alias("lon"),
+    )
+
+
 @query(
-    "tick_throttle", "select vessel, event_id from walk", "recursive " + FIXES.strip(),
-    "ordered as (select *, row_number() over (partition by vessel order by ts, event_id) as n from fixes)",
+    "tick_throttle", "select vessel, event_id from walk", "recursive " + FIXES.strip(), ROUGH_SQL,
+    """ordered as (select *, row_number() over (partition by vessel order by ts, event_id) as n from rough
+  where vessel is not null and lat between -90 and 90 and not isnan(lat) and lon between -180 and 180)""",
     f"""walk(vessel, n, event_id, t, lat, lon) as (
   select vessel, n, event_id, ts, lat, lon from ordered where n = 1
   union all
@@ -545,5 +562,4 @@ def clear_stale(spark, sf_dir):
     where o.ts >= w.t + interval 60 seconds and {hav('w.lat', 'w.lon', 'o.lat', 'o.lon')} >= 100e0) where k = 1)""",
 )
 def tick_throttle(spark, sf_dir):
-    rows = testbed.fixes(spark, sf_dir).select("vessel", "ts", "event_id", "lat", "lon")
-    return alarms.throttled(rows).select("vessel", "event_id")
+    return throttle.throttled(_rough(spark, sf_dir), order=["event_id"]).select("vessel", "event_id")

@@ -16,7 +16,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..boxes import distance
-from ..operators.alarms import CLEAR_FACTOR, MIN_METRES, MIN_SECONDS, RADIUS_M
+from ..operators.alarms import CLEAR_FACTOR, RADIUS_M
+from ..operators.throttle import MIN_METRES, MIN_SECONDS
 
 TICK = StructType([
     StructField("vessel", LongType()), StructField("ts", TimestampType()), StructField("lat", DoubleType()), StructField("lon", DoubleType()),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborlight import boxes
 from harborlight.functions import dates, geo, numbers, text
-from harborlight.operators import alarms, corridor, dedupe, detail, predicates, store
+from harborlight.operators import alarms, corridor, dedupe, detail, predicates, store, throttle
 
 POI = "seq long, id string, source string, type string, lat double, lon double, name string, attribution string, clearance_m double"
 METRE = 1 / 111_194.9
@@ -159,10 +159,73 @@ def test_pairs_within_a_radius_anywhere(spark, centre):
 def test_throttle(spark):
     start = dt.datetime(2026, 1, 1)
     rows = [(1, start + dt.timedelta(seconds=s), 42 + m * METRE, -71.0) for s, m in ((0, 0), (61, 50), (90, 200), (100, 500), (151, 200), (160, 900))]
-    got = alarms.throttled(spark.createDataFrame(rows, "vessel long, ts timestamp, lat double, lon double"))
+    got = throttle.throttled(spark.createDataFrame(rows, "vessel long, ts timestamp, lat double, lon double"))
     assert sorted((r.ts - start).seconds for r in got.collect()) == [0, 90, 160]
 
 
+@pytest.mark.parametrize("block", [4, 16, 4096])
+def test_throttle_over_blocks_equals_the_walk(spark, monkeypatch, block):
+    """Vessels under way, at anchor for many blocks, over the antimeridian, with fixes of one time and without positions."""
+    monkeypatch.setattr(throttle, "BLOCK", block)
+    rng, start, rows = random.Random(block), dt.datetime(2026, 1, 1), []
+    for vessel, lon in ((1, -71.0), (2, 179.999), (None, 5.0), (4, 10.0)):
+        lat, second = 42.0, 0
+        for k in range(260 if vessel == 1 else 60):
+            anchored = vessel == 1 and 60 <= k < 220
+            second += rng.choice([0, 1, 20, 45, 90])
+            if not anchored:
+                lat, lon = lat + rng.uniform(-0.001, 0.001), boxes.wrapped(lon + rng.uniform(-0.001, 0.001))
+            at = rng.choice([(None, lon), (lat, None), (95.0, lon), (lat, 400.0)]) if k == 0 or rng.random() < 0.1 else (lat, lon)
+            rows.append((vessel, start + dt.timedelta(seconds=second), *at, len(rows)))
+    rows.append((5, None, 1.0, 1.0, len(rows)))
+    frame = spark.createDataFrame(rows, "vessel long, ts timestamp, lat double, lon double, key long")
+    got = throttle.throttled(frame, order=["key"])
+    assert got.columns == frame.columns
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.ts, r.key)):
+        found.setdefault(r.vessel, []).append(r.key)
+    # Fixes of one time go by key.
+    want = {}
+    for vessel in (1, 2, 4):
+        mine = [(r[1], r[4], r[2], r[3]) for r in rows if r[0] == vessel]
+        order = {key: n for n, (_, key, _, _) in enumerate(sorted(mine, key=lambda m: m[:2]))}
+        last, out = None, []
+        for ts, key, lat, lon in sorted(mine, key=lambda m: order[m[1]]):
+            if lat is None or lon is None or abs(lat) > 90 or abs(lon) > 180:
+                continue
+            if last is None or ((ts - last[0]).total_seconds() >= 60 and boxes.distance(last[1:], (lat, lon)) >= 100):
+                last = (ts, lat, lon)
+                out.append(key)
+        want[vessel] = out
+    assert found == want and len(want[1]) > 10
+
+
+def test_throttle_of_nothing(spark):
+    schema = "vessel long, ts timestamp, lat double, lon double, _n int"
+    assert throttle.throttled(spark.createDataFrame([], schema)).count() == 0
+    only = [(1, dt.datetime(2026, 1, 1), None, 2.0, 1), (None, dt.datetime(2026, 1, 1), 1.0, 2.0, 1)]
+    assert throttle.throttled(spark.createDataFrame(only, schema)).count() == 0
+
+
+def test_as_of_keeps_points_without_a_vessel_and_settles_ties(spark):
+    at = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
+    states = spark.createDataFrame([(1, at(5), 2.0, 1), (1, at(5), 3.0, 0), (1, None, 9.0, 9), (None, at(0), 8.0, 8), (2, at(7), 4.0, 1)], "vessel long, ts timestamp, draft double, rank int")
+    points = spark.createDataFrame([(1, at(5), 1), (1, at(4), 2), (None, at(9), 3), (1, None, 4), (2, at(9), 5), (3, at(9), 6)], "vessel long, ts timestamp, tick int")
+    got = alarms.as_of(points, states, ["draft"])
+    assert got.columns == ["vessel", "ts", "tick", "last_draft"]
+    assert {r.tick: r.last_draft for r in got.collect()} == {1: 3.0, 2: None, 3: None, 4: None, 5: 4.0, 6: None}
+    assert {r.tick: r.last_draft for r in alarms.as_of(points, states, ["draft"], ["rank"]).collect()}[1] == 2.0
+
+
+def test_an_id_at_two_places_is_one_alarm(spark):
+    ticks = spark.createDataFrame([(1, k, 42 + k * 100 * METRE, -71.0) for k in range(1, 31)], "vessel long, tick int, lat double, lon double")
+    places = spark.createDataFrame([("h", 42 + m * METRE, -71.0) for m in (1030, 1030, 1830)] + [("n", None, -71.0)], "id string, p_lat double, p_lon double")
+    got = [tuple(r) for r in alarms.episodes(ticks, places, 500.0).collect()]
+    reach = [min(abs(k * 100 - 1030), abs(k * 100 - 1830)) for k in range(1, 31)]
+    ((_, _, raised, cleared),) = got
+    assert (raised, cleared) == (next(k for k, d in enumerate(reach, 1) if d <= 500), next(k for k, d in enumerate(reach, 1) if k > 18 and d > 600))
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
@@ -231,3 +294,26 @@ def test_notes_carry_the_icons_of_rows_and_of_every_kind(spark):
     assert shown(rows) == kinds
     own = F.when(F.col("type") == "Lock", "hazard")
     assert shown(rows.withColumn("sk_icon", own)) == kinds | {"Lock": "hazard"}
+
+
+@pytest.mark.parametrize("centre, step", [((42.0, -71.0), 0.02), ((0.0, 179.98), 0.02), ((89.9, 20.0), 20.0), ((-45.0, 10.0), 30.0)])
+def test_corridor_cells_hold_all_and_few_more(spark, centre, step):
+    """Places close together along legs short and long, over the seam and near a pole: every one beside a leg, few pairs tried."""
+    rng = random.Random(int(step))
+    spread = step if step > 1 else 0.03
+    route = [(max(-89.99, min(89.99, centre[0] + rng.uniform(-step, step) * (0.001 if centre[0] > 89 else 1))), boxes.wrapped(centre[1] + k * step)) for k in range(4)]
+    legs = corridor.legs_of(corridor.route_points(spark, route))
+    ends = legs.collect()
+    places = []
+    for k in range(1500):
+        leg = rng.choice(ends)
+        at = boxes.moved(leg.leg_lat, leg.leg_lon, math.degrees(leg.bearing), rng.uniform(-0.1, 1.1) * leg.length_m)
+        at = boxes.moved(*at, rng.uniform(0, 360), rng.uniform(0, 900)) if rng.random() < 0.5 else (max(-90.0, min(90.0, at[0] + rng.uniform(-spread, spread))), boxes.wrapped(at[1] + rng.uniform(-spread, spread)))
+        places.append((k, f"p{k}", "x", "Hazard", *at, "n", "a", None))
+    poi = spark.createDataFrame(places, POI)
+    every = poi.crossJoin(legs).withColumn("on", geo.onto_leg(F.col("leg_lat"), F.col("leg_lon"), F.col("bearing"), F.col("lat"), F.col("lon")))
+    inside = every.where((F.abs("on.cross_m") <= 300) & F.col("on.along_m").between(0, F.col("length_m"))).select("id", "leg")
+    near = corridor.candidates(poi, legs, 300.0).select("id", "leg")
+    found, tried = {tuple(r) for r in inside.collect()}, [tuple(r) for r in near.collect()]
+    assert len(tried) == len(set(tried)) and found <= set(tried) and len(found) > 100
+    assert len(tried) <= 6 * len(found)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from harborlight.operators import alarms
+from harborlight.operators import alarms, throttle
 from harborlight.streaming import alarms as streaming
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,7 +42,7 @@ def source(spark, frame, folder):
 def test_throttle_stream_equals_batch(spark, recorded):
     frame, folder = recorded
     got = run(spark, streaming.throttled_stream(source(spark, frame, folder)), folder, "ticks")
-    want = alarms.throttled(frame).collect()
+    want = throttle.throttled(frame).collect()
     assert sorted((r.vessel, r.ts) for r in got) == sorted((r.vessel, r.ts) for r in want) and len(want) > 20
 
 
