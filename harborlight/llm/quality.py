@@ -5,8 +5,8 @@ overlap by one filter; rectified responses are max-pooled and averaged within ea
 are, over its chunks, the largest maximum, the mean of the means and the largest mean of each filter, and the logarithm of
 its length; a small hidden layer combines them into one probability. Everything is trained together by Adam on a bounded sample
 of rows (SAMPLE_ROWS of each label); the sample takes both labels equally, and the output's bias is then moved to the share
-of labels in all rows that may be learnt from. Texts of any length are learnt from: one of more than SAMPLE_CHUNKS chunks gives
-so many of them, drawn from all over it by a seed, with its whole length.
+of labels in all rows that may be learnt from. The rows of the sample are learnt from whole, every chunk of them pooled as in scoring; where
+their texts pass SAMPLE_BYTES for a label, the sample has fewer rows. Gradients go through long texts a few chunks at a time.
 
 Defined cases: a null or empty text is scored as one chunk of padding; repeated rows score alike; rows without a label,
 or with a null quality, are scored but never learnt from; with no learnable row, or only one label, the score is the
@@ -34,7 +34,10 @@ HIDDEN = 24
 #: Filter positions of a chunk (times STRIDE bytes); the next chunk begins one filter earlier than this one ends.
 CHUNK = 128
 SAMPLE_ROWS = 2000
-SAMPLE_CHUNKS = 12
+#: Text of a label's sample that the driver holds; rows beyond it are left out whole (the first one never).
+SAMPLE_BYTES = 48 << 20
+#: Chunks that go through the network at once.
+PIECE = 256
 EPOCHS = 10
 #: Fewest steps, for small samples, and how fast weights decay.
 LEAST_STEPS = 600
@@ -87,13 +90,13 @@ def pooled(act: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return act.max(axis=1), act.sum(axis=1) / used[:, None]
 
 
-def features(top: np.ndarray, mean: np.ndarray, counts: np.ndarray, used: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
-    """A row for each document; whole: its filter positions where the chunks are only a part of it."""
+def features(top: np.ndarray, mean: np.ndarray, counts: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """A row for each document."""
     starts = np.cumsum(counts) - counts
     total = np.add.reduceat(used, starts)
     average = np.add.reduceat(mean * used[:, None], starts, axis=0) / total[:, None]
     parts = (np.maximum.reduceat(top, starts), 4 * average, 4 * np.maximum.reduceat(mean, starts))
-    return np.concatenate((*parts, np.log1p(total if whole is None else whole)[:, None] / 4), axis=1).astype(top.dtype)
+    return np.concatenate((*parts, np.log1p(total)[:, None] / 4), axis=1).astype(top.dtype)
 
 
 def logits(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +104,18 @@ def logits(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hidden @ p["w2"] + p["b2"][0], hidden
 
 
-def _gradients(p: dict[str, np.ndarray], blobs: list[bytes], target: np.ndarray, whole: np.ndarray | None = None) -> dict[str, np.ndarray]:
+def _gradients(p: dict[str, np.ndarray], blobs: list[bytes], target: np.ndarray) -> dict[str, np.ndarray]:
     data, counts, used = layout(blobs)
-    act = responses(p, data)
-    top, mean = pooled(act, used)
-    x = features(top, mean, counts, used, whole)
+    pieces = [slice(a, a + PIECE) for a in range(0, len(data), PIECE)]
+    held = []  # responses of the only piece; where there are more, each is worked out again on the way back
+    tops, means = [], []
+    for piece in pieces:
+        act = responses(p, data[piece])
+        for out, values in zip((tops, means), pooled(act, used[piece])):
+            out.append(values)
+        held = [act]
+    top, mean = np.concatenate(tops), np.concatenate(means)
+    x = features(top, mean, counts, used)
     z, hidden = logits(p, x)
     error = ((1 / (1 + np.exp(-z))) - target).astype(np.float32) / len(blobs)
     g = {"w2": hidden.T @ error, "b2": np.array([error.sum()], np.float32)}
@@ -114,56 +124,41 @@ def _gradients(p: dict[str, np.ndarray], blobs: list[bytes], target: np.ndarray,
     dx = back @ p["w1"].T
     d_top, d_average, d_high = dx[:, :FILTERS], dx[:, FILTERS : 2 * FILTERS] * 4, dx[:, 2 * FILTERS : 3 * FILTERS] * 4
     starts = np.cumsum(counts) - counts
-    owner = np.repeat(np.arange(len(blobs)), counts)
-    total = np.add.reduceat(used, starts)
-    d_act = np.zeros_like(act)
-    spread = (d_average / total[:, None])[owner]
-    columns = np.arange(FILTERS)
-    for doc, (a, n) in enumerate(zip(starts.tolist(), counts.tolist())):
-        high = a + mean[a : a + n].argmax(axis=0)
-        spread_high = d_high[doc] / used[high]
-        for k in np.unique(high):
-            mine = high == k
-            d_act[k][:, mine] += spread_high[mine]
-        best = a + top[a : a + n].argmax(axis=0)
-        d_act[best, act[best, :, columns].argmax(axis=1), columns] += d_top[doc]
-    d_act += spread[:, None, :]
-    d_act *= act > 0
-    g["bias"] = d_act.sum(axis=(0, 1))
-    x_in = p["embedding"][data].reshape(len(data), CHUNK + 1, STRIDE * EMBEDDING)
-    flat = d_act.reshape(-1, FILTERS)
+    spread = np.repeat(d_average / np.add.reduceat(used, starts)[:, None], counts, axis=0)
+    # For each document and filter the chunk of the largest maximum and that of the largest mean.
+    best, high = (np.stack([a + v[a : a + n].argmax(axis=0) for a, n in zip(starts.tolist(), counts.tolist())]) for v in (top, mean))
+    columns = np.broadcast_to(np.arange(FILTERS), best.shape)
     size = STRIDE * EMBEDDING
-    g["filters"] = np.concatenate(
-        (x_in[:, :-1].reshape(-1, size).T @ flat, x_in[:, 1:].reshape(-1, size).T @ flat), axis=1
-    )
-    d_x = np.zeros_like(x_in)
-    d_x[:, :-1] += (flat @ p["filters"][:, :FILTERS].T).reshape(len(data), CHUNK, size)
-    d_x[:, 1:] += (flat @ p["filters"][:, FILTERS:].T).reshape(len(data), CHUNK, size)
-    per_byte = d_x.reshape(-1, EMBEDDING)
-    symbols = data.reshape(-1)
-    g["embedding"] = np.stack([np.bincount(symbols, per_byte[:, k], 256) for k in range(EMBEDDING)], axis=1)
+    for name, shape in (("bias", (FILTERS,)), ("filters", (size, 2 * FILTERS)), ("embedding", (256, EMBEDDING))):
+        g[name] = np.zeros(shape, p[name].dtype)
+    for piece in pieces:
+        if len(pieces) > 1:
+            act = responses(p, data[piece])
+            pooled(act, used[piece])
+        else:
+            (act,) = held
+        d_act = np.repeat(spread[piece][:, None, :], CHUNK, axis=1)
+        here = (high >= piece.start) & (high < piece.stop)
+        np.add.at(d_act, (high[here] - piece.start, slice(None), columns[here]), (d_high[here] / used[high[here]])[:, None])
+        here = (best >= piece.start) & (best < piece.stop)
+        chunk, column = best[here] - piece.start, columns[here]
+        np.add.at(d_act, (chunk, act[chunk, :, column].argmax(axis=1), column), d_top[here])
+        d_act *= act > 0
+        g["bias"] += d_act.sum(axis=(0, 1))
+        x_in = p["embedding"][data[piece]].reshape(len(d_act), CHUNK + 1, size)
+        flat = d_act.reshape(-1, FILTERS)
+        g["filters"] += np.concatenate((x_in[:, :-1].reshape(-1, size).T @ flat, x_in[:, 1:].reshape(-1, size).T @ flat), axis=1)
+        d_x = np.zeros_like(x_in)
+        d_x[:, :-1] += (flat @ p["filters"][:, :FILTERS].T).reshape(len(d_act), CHUNK, size)
+        d_x[:, 1:] += (flat @ p["filters"][:, FILTERS:].T).reshape(len(d_act), CHUNK, size)
+        per_byte, symbols = d_x.reshape(-1, EMBEDDING), data[piece].reshape(-1)
+        g["embedding"] += np.stack([np.bincount(symbols, per_byte[:, k], 256) for k in range(EMBEDDING)], axis=1)
     return g
 
 
-def positions(size: int) -> int:
-    """Filter positions of a text of so many bytes."""
-    return max(1, -(-(size - STRIDE) // STRIDE))
-
-
-def drawn_chunks(data: bytes, chunks: int = SAMPLE_CHUNKS, seed: int = SEED) -> bytes:
-    """The bytes of a text, or of so many whole chunks of it in their order, drawn by a seed and the text's length."""
-    step = CHUNK * STRIDE
-    there = len(data) // step
-    if there <= chunks:
-        return data
-    picked = np.sort(np.random.RandomState((seed * 1_000_003 + len(data)) % (1 << 32)).choice(there, chunks, replace=False))
-    return b"".join(data[k * step : (k + 1) * step] for k in picked.tolist())
-
-
-def train(rows: list[tuple[bytes, int]] | list[tuple[bytes, int, int]], share: float, seed: int = SEED) -> QualityModel:
-    """rows: (text or drawn chunks of it as bytes, label, and the text's size if that is not theirs); share: of label 1 among all learnable rows."""
-    labels = np.array([row[1] for row in rows], dtype=np.float32)
-    whole = np.array([positions(row[2] if len(row) > 2 else len(row[0])) for row in rows])
+def train(rows: list[tuple[bytes, int]], share: float, seed: int = SEED) -> QualityModel:
+    """rows: (text as bytes, label); share: of label 1 among all learnable rows."""
+    labels = np.array([label for _, label in rows], dtype=np.float32)
     if not len(rows) or labels.min() == labels.max():
         return QualityModel(None, 0.0, share)
     rng = np.random.RandomState(seed)
@@ -179,7 +174,7 @@ def train(rows: list[tuple[bytes, int]] | list[tuple[bytes, int, int]], share: f
     while step < steps:
         picked = np.concatenate([rng.choice(group, BATCH // 2) for group in groups])
         step += 1
-        g = _gradients(p, [rows[i][0] for i in picked], labels[picked], whole[picked])
+        g = _gradients(p, [rows[i][0] for i in picked], labels[picked])
         rate = RATE * (1 - 0.9 * step / steps)
         for k, v in g.items():
             first[k] = 0.9 * first[k] + 0.1 * v
@@ -206,21 +201,8 @@ def scores(model: QualityModel, blobs: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def _drawn_rows(batches):
-    for batch in batches:
-        for a, b, texts in text_slices(batch):
-            blobs = [t.encode() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("place").slice(a, b - a), batch.column("quality").slice(a, b - a),
-                    pa.array([drawn_chunks(x) for x in blobs], pa.binary()), pa.array([len(x) for x in blobs], pa.int64()),
-                ],
-                names=["place", "quality", "chunks", "size"],
-            )
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Train on at most `rows` rows of each label; docs (doc_id, text), labels (doc_id, quality)."""
+    """Train on at most `rows` rows of each label, whole; docs (doc_id, text), labels (doc_id, quality)."""
     limit_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -228,14 +210,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    known = usable.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("quality", F.col("quality").cast("int"))
-    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).select("doc_id", "quality", "place")
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    known = sizes.join(usable, "doc_id").withColumn("quality", F.col("quality").cast("int"))
+    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
+    upto = F.sum("size").over(Window.partitionBy("quality").orderBy("place"))
+    chosen = chosen.withColumn("upto", upto).where((F.col("upto") <= SAMPLE_BYTES) | (F.col("place") == 1)).select("doc_id", "quality", "place")
     sample = (
-        docs.join(F.broadcast(chosen), "doc_id").select("place", "quality", "text")  # at most 2 * rows, of so many chunks each
-        .mapInArrow(_drawn_rows, "place int, quality int, chunks binary, size long")
-        .orderBy("place", "quality", "chunks").limit(2 * rows)
+        docs.join(F.broadcast(chosen), "doc_id")  # at most 2 * rows
+        .select("place", "quality", F.coalesce("text", F.lit("")).alias("text"))
+        .orderBy("place", "quality", "text").limit(2 * rows)
     )
-    return train([(bytes(r.chunks), r.quality, r.size) for r in sample.collect()], share)
+    return train([(r.text.encode(), r.quality) for r in sample.collect()], share)
 
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:

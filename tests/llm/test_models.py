@@ -158,10 +158,10 @@ def test_quality_against_plain_loops():
 
 
 def test_quality_learns_from_long_texts(spark):
-    """All labelled texts are longer than the chunks that are drawn of each; they differ in their second half only."""
+    """Labelled texts differ in their second half only."""
     rng = random.Random(10)
-    shared = prose("xx", rng, 1500)
-    text = lambda good: shared + (prose("xx", rng, 1500) if good else junk(rng, 1500))
+    shared = prose("xx", rng, 700)
+    text = lambda good: shared + (prose("xx", rng, 700) if good else junk(rng, 700))
     docs = spark.createDataFrame([(i, text(i % 2)) for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     model = quality.fit(docs, labels)
@@ -169,12 +169,40 @@ def test_quality_learns_from_long_texts(spark):
     assert np.mean([(s >= 0.5) == k % 2 for k, s in enumerate(found)]) > 0.9
 
 
-def test_drawn_chunks():
-    data = bytes(np.random.RandomState(0).randint(0, 256, 40 * 512 + 77).astype(np.uint8))
-    drawn = quality.drawn_chunks(data)
-    assert len(drawn) == 12 * 512 and drawn == quality.drawn_chunks(data) and quality.drawn_chunks(data[:6143]) == data[:6143]
-    places = [data.index(drawn[k * 512 : (k + 1) * 512]) for k in range(12)]
-    assert places == sorted(set(places)) and places[-1] > 20 * 512
+def test_quality_learns_from_the_last_bytes(spark, monkeypatch):
+    """The only signal is the last 10 bytes of 100 KB texts."""
+    monkeypatch.setattr(quality, "LEAST_STEPS", 100)
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    monkeypatch.setattr(quality, "BATCH", 2)
+    shared = ("the same words again and again, " * 4000)[:100_000]
+    text = lambda good: shared[:-10] + ("?" * 10 if good else "%" * 10)
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(40)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    low, high = quality.scores(model, [text(0).encode(), text(1).encode()])
+    assert low < 0.2 and high > 0.8
+
+
+def test_quality_sample_is_bounded_by_rows_only(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 300)
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, share: seen.extend(rows))
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(40)] + [(90, "y" * 5000)], "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    assert sorted((len(t), q) for t, q in seen) == [(100, 0)] * 3 + [(100, 1)] * 3
+    seen.clear()
+    quality.fit(docs, spark.createDataFrame([(90, 1)], "doc_id long, quality int"))
+    assert [len(t) for t, _ in seen] == [5000]
+
+
+def test_quality_gradients_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.RandomState(1)
+    rows = [(bytes(rng.randint(32, 120, n).astype(np.uint8)), k % 2) for k, n in enumerate((1, 9, 700, 9000, 2500, 40))]
+    p = quality.train(rows * 10, 0.5).parameters
+    blobs, target = [b for b, _ in rows], np.array([q for _, q in rows], np.float32)
+    whole = quality._gradients(p, blobs, target)
+    monkeypatch.setattr(quality, "PIECE", 3)
+    parts = quality._gradients(p, blobs, target)
+    assert all(np.allclose(whole[k], parts[k], rtol=1e-3, atol=1e-6) for k in whole)
 
 
 def test_models_on_empty_tables_repeated_rows_and_clashing_names(spark):
