@@ -205,7 +205,8 @@ def test_quality_gradients_do_not_depend_on_pieces(monkeypatch):
     assert all(np.allclose(whole[k], parts[k], rtol=1e-3, atol=1e-6) for k in whole)
 
 
-def test_models_on_empty_tables_repeated_rows_and_clashing_names(spark):
+def test_models_on_empty_tables_repeated_rows_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_STEPS", 20)
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "x" * 200_000)], "doc_id long, text string").withColumns(
         {n: F.lit(1) for n in ("score", "place", "quality", "chunks", "seed", "lang", "lang_pred", "c0")}
     )
