@@ -47,8 +47,13 @@ def routed(ids: DataFrame, column: str = "id") -> DataFrame:
 
 
 def details_of(ids: DataFrame, details: list[tuple[str, DataFrame]]) -> DataFrame:
-    """The detail rows that ids name: each source's table (id within the source, ...) is asked for its own; others are dropped."""
+    """The detail rows that ids name: each source's table (id within the source, ...) is asked for its own; others are dropped.
+
+    A source may have several tables; without any there are no rows, of id and owner.
+    """
     asked = routed(ids)
+    if not details:
+        return asked.select("id", "owner").where(F.lit(False))
     parts = []
     for owner, table in details:
         mine = asked.where(F.col("owner") == owner).select("id", "raw_id")

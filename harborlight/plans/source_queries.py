@@ -558,6 +558,30 @@ def detail_by_id(spark, sf_dir):
     return federate.details_of(asked, details).select("id", "title")
 
 
+_OPEN_KINDS = ("noaaenc-wreck_", "usace-lock_", "usace-dam_", "openseamap-node_", "openseamap-way_", "openseamap-relation_", "unknown-")
+
+
+@query(
+    "open_detail_by_id",
+    "select asked.id, name as title, lat_e5 from asked join found using (id)",
+    *(f"{n}_rows as ({SQL[f'{n}_summaries']})" for n in ("chart", "lock", "dam", "seamark")),
+    "asked as (select unnest([" + ", ".join(f"'{x}' || p_partkey" for x in _OPEN_KINDS) + "]) as id from part where p_partkey % 3 <> 1)",
+    "found as (" + " union all ".join(f"select source || '-' || id as id, name, lat_e5 from {n}_rows" for n in ("chart", "lock", "dam", "seamark")) + ")",
+)
+def open_detail_by_id(spark, sf_dir):
+    """By id: charts, structures of both layers, and seamarks of all kinds of elements."""
+    works = WORKS.rows(spark, sf_dir).withColumn("coordinates", F.array("p_lon", "p_lat"))
+    charts = CHART.rows(spark, sf_dir).withColumn("coordinates", F.array("p_lon", "p_lat"))
+    tables = [
+        ("noaaenc", enc.summaries(charts, "wreck")), ("usace", structures.summaries(works, "lock")), ("usace", structures.summaries(works, "dam")),
+        ("openseamap", openseamap.summaries(_elements(spark, sf_dir))),
+    ]
+    number = F.col("p_partkey").cast("string")
+    asked = testbed.table(spark, sf_dir, "part").where("p_partkey % 3 <> 1").select(F.explode(F.array(*(F.concat(F.lit(x), number) for x in _OPEN_KINDS))).alias("id"))
+    found = federate.details_of(asked, [(owner, t.select("id", F.col("name").alias("title"), "lat")) for owner, t in tables])
+    return found.select("id", "title", F.floor(F.col("lat") * 1e5 + 0.5).cast("long").alias("lat_e5"))
+
+
 # What each source lists in a box
 
 _BOX = Box(42.002005, 42.016005, -70.998005, -70.985005)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import testbed
 from ..functions import dates, numbers, text
 from ..operators import alarms, corridor, course, federate, predicates, store
-from ..sources import enc, openseamap, stations
+from ..sources import enc, lightlist, openseamap, stations
 from .queries import CORRIDOR, FIXES, LEGS, POI, ROUTE_SQL, _found, hav, poi, query, whole
 from .source_queries import STATION
 from .text_queries import _AS_OF, shown
@@ -196,10 +196,29 @@ def seamark_groups(spark, sf_dir):
     return testbed.table(spark, sf_dir, "part").select(k.alias("k"), openseamap.of_groups(tags, ["rock", "wreck"], True).alias("wanted"))
 
 
-@query("layer_numbers", "select * from (values ('overview', 24, 21, 22), ('general', 29, 26, 27), ('coastal', 33, 30, 31), ('approach', 39, 36, 37), ('harbour', 36, 33, 34), ('berthing', 21, 19, 20)) t(band, wreck, obstruction, rock)")
+@query(
+    "layer_numbers",
+    """select p_partkey as k, coalesce(case p_partkey % 4 when 0 then wreck when 1 then obstruction when 2 then rock end, -1) as number from part left join
+      (values ('overview', 24, 21, 22, 0), ('general', 29, 26, 27, 1), ('coastal', 33, 30, 31, 2), ('approach', 39, 36, 37, 3), ('harbour', 36, 33, 34, 4), ('berthing', 21, 19, 20, 5)) t(band, wreck, obstruction, rock, n)
+      on n = p_partkey % 7""",
+)
 def layer_numbers(spark, sf_dir):
-    rows = [(band, *(n[x] for x in enc.LAYERS)) for band, n in enc.BAND_LAYERS.items()]
-    return spark.createDataFrame(rows, "band string, wreck int, obstruction int, rock int")
+    """The layer to ask for, by scale band and kind; there is no seventh band and no fourth kind."""
+    k = F.col("p_partkey")
+    of = lambda names: F.get(F.array(*map(F.lit, names)), (k % (len(names) + 1)).cast("int"))
+    number = enc.layer_number(of(list(enc.BAND_LAYERS)), of(list(enc.LAYERS)))
+    return testbed.table(spark, sf_dir, "part").select(k.alias("k"), F.coalesce(number.cast("int"), F.lit(-1)).alias("number"))
+
+
+@query(
+    "pinned_pages",
+    """select p_partkey as k from part join (values ('D01', 10), ('D02', 4), ('D05', 9), ('D07', 15), ('D08', 10), ('D09', 5), ('D11', 2), ('D13', 3), ('D14', 1), ('D17', 2)) t(district, last)
+      on district = 'D' || lpad((p_partkey % 19)::string, 2, '0') where p_partkey % 17 between 1 and last""",
+)
+def pinned_pages(spark, sf_dir):
+    k = F.col("p_partkey")
+    page = F.concat(F.lit("D"), F.lpad((k % 19).cast("string"), 2, "0"), F.lit("_"), (k % 17).cast("string"))
+    return testbed.table(spark, sf_dir, "part").where(lightlist.pinned(page)).select(k.alias("k"))
 
 
 # Details, routes and states

@@ -58,9 +58,18 @@ def summaries(rows: DataFrame, layer: str) -> DataFrame:
     )
 
 
+def layer_number(band: Column, layer: Column) -> Column:
+    """The service's number of a layer at a scale band; null for others."""
+    numbers = {f"{b}/{name}": n for b, named in BAND_LAYERS.items() for name, n in named.items()}
+    return lookup(numbers, F.concat_ws("/", band, layer))
+
+
 def layers(spark: SparkSession, folder: str, band: str, wanted: list[str]) -> DataFrame:
     """Summaries of the wanted layers of a scale band, from files landed as folder/<band>/<layer>.geojson, in the layers' order."""
     if band not in BAND_LAYERS:
         raise ValueError(f"no scale band {band}")
     made = [summaries(load(spark, f"{folder}/{band}/{name}.geojson"), name) for name in LAYERS if name in wanted]
-    return reduce(DataFrame.unionByName, made) if made else spark.createDataFrame([], ", ".join(f"{c} string" for c in ("id", "type")))
+    if not made:
+        none = spark.createDataFrame([], "feature_id string, coordinates array<double>, " + PROPERTIES.replace(":", " ").replace(",", ", "))
+        return summaries(none, next(iter(LAYERS)))
+    return reduce(DataFrame.unionByName, made)

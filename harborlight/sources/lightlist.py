@@ -10,6 +10,9 @@ from ..functions.numbers import truthy
 from ..functions.text import light_phrase, present
 from .common import as_poi, features
 
+# The last page of each district; pages count from 1.
+LAST_PAGES = {"D01": 10, "D02": 4, "D05": 9, "D07": 15, "D08": 10, "D09": 5, "D11": 2, "D13": 3, "D14": 1, "D17": 2}
+
 SOURCE, ATTRIBUTION = "usclightlist", "USCG Light List"
 PROPERTIES = (
     "LIGHT_LIST_NUMBER:double,NAME:string,DECIMAL_LATITUDE:double,DECIMAL_LONGITUDE:double,VOLUME_NUMBER:string,AID_TYPE:string,"
@@ -62,3 +65,8 @@ def summaries(rows: DataFrame) -> DataFrame:
         made, SOURCE, ATTRIBUTION, id=F.col("llnr"), type=F.lit("Navigational"), lat=F.col("lat"), lon=F.col("lon"), name=F.col("name"),
         sk_icon=icon.otherwise("navigation-structure"), ts=F.col("modified"),
     )
+
+
+def pinned(page: Column) -> Column:
+    """Whether a page (district, underscore, number) is one of those that are published."""
+    return page.isin(*(f"{district}_{n}" for district, last in LAST_PAGES.items() for n in range(1, last + 1)))

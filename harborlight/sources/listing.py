@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..boxes import Box
+from ..folders import checkpointed
 from ..functions.dates import in_or_after_year
 from ..functions.geo import in_bbox
 from ..operators.predicates import of_kinds, outside_us_gate, rated
@@ -27,3 +29,19 @@ def listed(
     if us_only:
         conditions.append(~outside_us_gate(lat, lon))
     return summaries.where(reduce(lambda a, b: a & b, conditions))
+
+
+def fanned_out(layers: list[tuple[str, Callable[[], DataFrame]]]) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of all layers of a source that can be read, with `layer`, and what went wrong with the others.
+
+    Each layer is read once and kept in the shared folder; if none can be read that is an error.
+    """
+    made, failed = [], {}
+    for name, read in layers:
+        try:
+            made.append(checkpointed(read().withColumn("layer", F.lit(name))))
+        except Exception as error:  # of the service or the file, whatever its kind
+            failed[name] = str(error)
+    if not made:
+        raise ValueError(f"no layer can be read: {failed}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made), failed

@@ -1,6 +1,7 @@
 import http.server
 import io
 import json
+import random
 import threading
 import urllib.parse
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborlight.operators import federate, sections
-from harborlight.sources import activecaptain, enc, lightlist, notices, openseamap, paged, ports, stations, structures
+from harborlight.operators import federate
+from harborlight.sources import activecaptain, enc, lightlist, listing, notices, openseamap, paged, ports, stations, structures
 
 
 def put(folder, name, value):
@@ -176,12 +178,70 @@ def test_paged_features_over_the_antimeridian(spark, service):
     assert sorted((r.layer, int(r.feature_id)) for r in rows.collect()) == [(layer, k) for layer in "01" for k in range(5)]
 
 
-def test_paged_features_are_whole_or_an_error(spark, service):
+class Asked(list):
+    """A service of 400 features at random places, some at one place, with what it was asked for."""
+
+    def __init__(self):
+        super().__init__()
+        rng = random.Random(5)
+        self.places = {k: (rng.uniform(-180, 180), rng.uniform(-90, 90)) if k % 8 else (0.0, 0.0) for k in range(400)}
+
+    def answer(self, url, timeout=None):
+        query = urllib.parse.parse_qs(urllib.parse.urlparse(url).query)
+        self.append((url.split("/")[-2], query))
+        if "objectIds" in query:
+            found = [int(k) for k in query["objectIds"][0].split(",") if int(k) in self.places]
+        else:
+            west, south, east, north = map(float, query["geometry"][0].split(","))
+            found = [k for k, (lon, lat) in self.places.items() if west <= lon <= east and south <= lat <= north]
+        at, n = int(query["resultOffset"][0]), int(query["resultRecordCount"][0])
+        return io.BytesIO(json.dumps({"features": [feature({"k": k}, self.places[k], k) for k in found[at : at + n]], "exceededTransferLimit": at + n < len(found)}).encode())
+
+
+def read_by(monkeypatch, filters=(), **options):
+    asked = Asked()
+    monkeypatch.setattr(paged.urllib.request, "urlopen", asked.answer)
+    reader = paged.PushingReader({"url": "http://x", "layers": "0,1", **options})
+    list(reader.pushFilters(list(filters)))
+    return asked, [row for part in reader.partitions() for row in reader.read(part)]
+
+
+def test_a_box_of_many_pages_is_read_by_its_quarters(monkeypatch):
+    asked, rows = read_by(monkeypatch, layers="0", pagerows="10", maxpages="6")
+    assert sorted(int(r[1]) for r in rows) == list(range(400)) and len(asked) > 40
+    asked, rows = read_by(monkeypatch, layers="0", pagerows="10")
+    assert len(asked) == 40
+    with pytest.raises(ValueError, match="at one place"):  # 50 features at one place, 40 at most
+        read_by(monkeypatch, layers="0", pagerows="10", maxpages="4")
+
+
+def test_filters_become_requests(monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    asked, rows = read_by(monkeypatch, [EqualTo(("layer",), "1"), GreaterThanOrEqual(("lon",), 10.0), LessThan(("lat",), -20.0)])
+    assert [(layer, q["geometry"]) for layer, q in asked] == [("1", ["10.0,-90.0,180.0,-20.0"])]
+    assert {int(r[1]) for r in rows} == {k for k, (lon, lat) in asked.places.items() if lon >= 10 and lat <= -20}
+    asked, rows = read_by(monkeypatch, [In(("feature_id",), ("7", "9", "5000"))])
+    assert [q["objectIds"] for _, q in asked] == [["7,9,5000"]] * 2 and [r[:2] for r in rows] == [("0", "7"), ("0", "9"), ("1", "7"), ("1", "9")]
+    assert not any("geometry" in q for _, q in asked)
+    asked, rows = read_by(monkeypatch, [EqualTo(("layer",), "4")])
+    assert not asked and not rows
+    asked, rows = read_by(monkeypatch, [In(("feature_id",), tuple(map(str, range(250))))], layers="0")
+    assert len(asked) == 3 and len(rows) == 250
+
+
+def test_pushed_filters_through_spark(spark, service):
+    frame = paged.opened(spark, url=service, layers="0,1", pagerows=2, bbox="178,-5,-178,5")
+    rows = paged.once(frame.where("layer = '1' and lon > 179.2")).collect()
+    assert sorted((r.layer, r.lon) for r in rows) == [("1", 179.5), ("1", 180.0)]
+    assert frame.where("layer = '7'").count() == 0
+
+
+def test_paged_features_are_whole(spark, service):
     spark.dataSource.register(paged.PagedFeatures)
     read = lambda pages: spark.read.format("paged_features").options(url=service, layers="0", pagerows=2, maxpages=pages, bbox="0,-5,180,5").load()
-    assert {int(r.feature_id) for r in read(2).collect()} == {0, 1, 2, 5}
-    with pytest.raises(Exception, match="more is announced after 1 pages"):
-        read(1).collect()
+    for pages in (2, 1):  # one page is too little for the box, and enough for its quarters
+        assert {int(r.feature_id) for r in read(pages).collect()} == {0, 1, 2, 5}
 
 
 def test_paged_features_of_a_service_with_smaller_pages(monkeypatch):
@@ -195,3 +255,20 @@ def test_paged_features_of_a_service_with_smaller_pages(monkeypatch):
     monkeypatch.setattr(paged.urllib.request, "urlopen", lambda url, timeout: io.BytesIO(json.dumps({"features": [feature({}, ref=1)], "exceededTransferLimit": True}).encode()))
     with pytest.raises(ValueError, match="more is announced after 200 pages"):
         list(reader.read(reader.partitions()[0]))
+
+
+def test_layers_are_fanned_out_and_failures_told(spark, tmp_path):
+    (tmp_path / "coastal").mkdir()
+    for layer, k in (("wreck", 5), ("rock", 6)):
+        put(tmp_path / "coastal", f"{layer}.geojson", {"features": [feature({"OBJECTID": k}, ref=k)]})
+    one = lambda name: (name, lambda: enc.summaries(enc.load(spark, f"{tmp_path}/coastal/{name}.geojson"), name))
+    rows, failed = listing.fanned_out([one(name) for name in enc.LAYERS])
+    assert {(r.layer, r.id) for r in rows.collect()} == {("wreck", "wreck_5"), ("rock", "rock_6")} and set(failed) == {"obstruction"}
+    with pytest.raises(ValueError, match="no layer"):
+        listing.fanned_out([one("obstruction")])
+    assert {r.id for r in enc.layers(spark, str(tmp_path), "coastal", ["wreck", "rock"]).collect()} == {"wreck_5", "rock_6"}
+    assert enc.layers(spark, str(tmp_path), "coastal", []).columns == enc.layers(spark, str(tmp_path), "coastal", ["rock"]).columns
+
+
+def test_no_details_are_no_rows(spark):
+    assert federate.details_of(spark.createDataFrame([("a-1",)], "id string"), []).count() == 0
