@@ -11,7 +11,7 @@ buckets of a leaf, and a window over the one bucket where the budget ends. What
 value, so the selection is a filter on the documents: their texts are read once, and shuffled only where leaves are too many
 for a broadcast. The tree is worked on as tables, level by level; the driver holds none of it.
 
-Defined cases: null languages and sources are leaves of their own; a source without a number is of domain `d0`; a text
+Defined cases: null languages and sources are leaves of their own, apart from empty ones; a source without a number is of domain `d0`; a text
 without words has no tokens and goes with the documents around it, but a leaf without any token gives nothing; rows
 that share a doc_id within a leaf are taken together; a child of weight 0 gets nothing and counts as no room; very long texts are
 only counted, never moved; further columns, whatever their names, pass through; an empty table gives no rows.
@@ -35,6 +35,7 @@ SEED = 4242
 KEY_BITS = 60
 BUCKET_BITS = 12
 LEVELS = ("_domain", "_lang", "_source")
+_NULL = "\x01"
 
 
 @dataclasses.dataclass(frozen=True)
@@ -53,7 +54,7 @@ def weight_of(level: str, weights: dict[str, float]) -> Column:
     """A child's weight by its name, 1 where none is given."""
     out = F.lit(1.0)
     for name, weight in weights.items():
-        out = F.when(F.col(level) == name, F.lit(float(weight))).otherwise(out)
+        out = F.when(F.col(level) == named(F.lit(name)), F.lit(float(weight))).otherwise(out)
     return out
 
 
@@ -110,10 +111,14 @@ def order_key(epoch: Column | int, seed: int) -> Column:
     return F.conv(F.substring(F.md5(named), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def named(value: Column) -> Column:
+    """The name of a leaf's language or source: itself, and a mark for null, which is put before names that begin with it."""
+    return F.when(value.isNull(), _NULL).when(F.startswith(value, F.lit(_NULL)), F.concat(F.lit(_NULL), value)).otherwise(value)
+
+
 def with_leaves(docs: DataFrame) -> DataFrame:
     return docs.select(
-        "*", domain_of(F.col("source")).alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"),
-        F.coalesce("source", F.lit("")).alias("_source"),
+        "*", domain_of(F.col("source")).alias("_domain"), named(F.col("lang")).alias("_lang"), named(F.col("source")).alias("_source"),
     )
 
 
@@ -174,7 +179,8 @@ def _mixed(docs: DataFrame, mix: Mix) -> DataFrame:
 #: The same rule in closed form: at each level children fill up in the order of their room for a weight.
 ORACLE_SQL = r"""
 WITH counted AS (
-  SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s,
+  SELECT doc_id, lang, source, CASE WHEN lang IS NULL THEN chr(1) WHEN starts_with(lang, chr(1)) THEN chr(1) || lang ELSE lang END AS l,
+    CASE WHEN source IS NULL THEN chr(1) WHEN starts_with(source, chr(1)) THEN chr(1) || source ELSE source END AS s,
     'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})', 1) AS BIGINT), 0) % 4) AS domain,
     coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS n_tokens
   FROM documents

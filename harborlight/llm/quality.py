@@ -212,12 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityM
     counts = {r.quality: r.n for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
     sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
-    known = sizes.join(usable, "doc_id").withColumn("quality", F.col("quality").cast("int"))
-    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
-    upto = F.sum("size").over(Window.partitionBy("quality").orderBy("place"))
-    chosen = chosen.withColumn("upto", upto).where((F.col("upto") <= SAMPLE_BYTES) | (F.col("place") == 1)).select("doc_id", "quality", "place")
+    known = sizes.join(usable, "doc_id").select("doc_id", "size", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id", F.lit(SEED)).alias("_order"))
+    first = [known.where(F.col("quality") == q).orderBy("_order", "doc_id").limit(rows) for q in (0, 1)]
+    by_order = Window.partitionBy("quality").orderBy("_order", "doc_id")  # over at most `rows` of each label
+    chosen = first[0].union(first[1]).withColumns({"place": F.row_number().over(by_order), "upto": F.sum("size").over(by_order)})
+    chosen = chosen.where((F.col("upto") <= SAMPLE_BYTES) | (F.col("place") == 1)).select("doc_id", "quality", "place")
     sample = (
         docs.join(F.broadcast(chosen), "doc_id")  # at most 2 * rows
         .select("place", "quality", F.coalesce("text", F.lit("")).alias("text"))

@@ -175,3 +175,10 @@ def test_mixing_against_brute_force(spark, budget_share):
 def test_mixing_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert mixing.mix_documents(docs).count() == 0
+
+
+def test_null_and_empty_names_are_leaves_of_their_own(spark):
+    rows = [(k, "a b c", lang, source) for k, (lang, source) in enumerate((x, y) for x in (None, "", "\x01", "en") for y in (None, "", "\x01", "s"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert mixing.leaf_plan(docs, mixing.Mix()).count() == 16
+    assert mixing.mix_documents(docs, mixing.Mix(budget_share=2.0)).count() == 32
