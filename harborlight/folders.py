@@ -30,13 +30,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Checkpoint folders of this process's operators, by application.
+_checkpoints: dict[str, list[str]] = {}
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete the application's intermediate tables, once the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the application's intermediate tables and checkpoints, once the results that read them are written."""
+    for folder in [scratch_dir(spark), *_checkpoints.pop(spark.sparkContext.applicationId, [])]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that is used more than once, or inside a loop."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    written = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if written.isDefined():  # not where there are no partitions
+        _checkpoints.setdefault(df.sparkSession.sparkContext.applicationId, []).append(written.get())
+    return out
