@@ -107,3 +107,39 @@ def columns_of(band: Column, size_deg: float | Column) -> Column:
     """Cells around a band: as many as keep a cell at least size_deg wide at the band's far edge."""
     edge = F.least(F.lit(89.999), F.greatest(F.abs(band * size_deg - 90.0), F.abs((band + 1) * size_deg - 90.0)))
     return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / (size_deg * 1.02))).cast("long")
+
+
+def finite_box(box: Column) -> Column:
+    finite = F.lit(True)
+    for name in ("south", "north", "west", "east"):
+        finite &= box[name].isNotNull() & ~F.isnan(box[name]) & (F.abs(box[name]) < float("inf"))
+    return finite
+
+
+def box_hull(a: Column, b: Column) -> Column:
+    """The narrowest box (struct south, north, west, east) around two; null where an edge is not finite.
+
+    West over east is a box over the antimeridian, -180 to 180 the whole world, 180 to -180 the seam alone; of equally narrow ones the first counts,
+    with b moved by -360, 0 and 360 degrees.
+    """
+    wide_a, wide_b = longitude_span(a["west"], a["east"]), longitude_span(b["west"], b["east"])
+
+    def tried(turn: float) -> Column:
+        low = F.least(a["west"], b["west"] + turn)
+        high = F.greatest(a["west"] + wide_a, b["west"] + turn + wide_b)
+        return F.struct((high - low).alias("wide"), low.alias("low"), high.alias("high"))
+
+    tries = [tried(t) for t in (-360.0, 0.0, 360.0)]
+    least = F.least(*(t["wide"] for t in tries))
+    first = F.coalesce(*(F.when(t["wide"] == least, t) for t in tries))
+    south, north = F.least(a["south"], b["south"]), F.greatest(a["north"], b["north"])
+    box = lambda west, east: F.struct(south.alias("south"), north.alias("north"), west.alias("west"), east.alias("east"))
+    west, east = wrap_longitude(first["low"]), wrap_longitude(first["high"])
+    world = F.greatest(wide_a, wide_b, first["wide"]) >= 360.0
+    seam = (first["low"] == first["high"]) & (F.abs(west) == 180.0)
+    return F.when(finite_box(a) & finite_box(b), F.when(world, box(F.lit(-180.0), F.lit(180.0))).when(seam, box(F.lit(180.0), F.lit(-180.0))).otherwise(box(west, east)))
+
+
+def boxes_hull(boxes: Column) -> Column:
+    """The boxes of an array joined one after another; null for an empty array, or where one has an edge that is not finite."""
+    return F.when((F.size(boxes) > 0) & F.forall(boxes, finite_box), F.aggregate(F.slice(boxes, 2, F.size(boxes)), F.get(boxes, F.lit(0)), box_hull))

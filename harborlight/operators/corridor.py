@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..folders import checkpointed
-from ..functions.geo import EARTH_RADIUS_M, band_of, bearing_rad, columns_of, haversine_m, onto_leg, projected
+from ..functions.geo import EARTH_RADIUS_M, band_of, bearing_rad, boxes_hull, columns_of, enclosing_bbox, haversine_m, onto_leg, projected
 from .predicates import blocks_vessel
 
 KINDS = ("Hazard", "Bridge", "Lock")
@@ -108,6 +108,25 @@ def corridor(poi: DataFrame, legs: DataFrame, half_width_m: float, sog: float |
     return best.select("route_id", "id", "b.*", eta.alias("eta_s"))
 
 
+def fetch_boxes(points: DataFrame, half_width_m: float, look_ahead_m: float = LOOK_AHEAD_M) -> DataFrame:
+    """(route_id, box): around the first look_ahead_m of each route (route_id, seq, lat, lon), with half_width_m about its points.
+
+    The leg that goes past the look-ahead ends there. A route with a point that has no position has no box (null). A route's
+    points, at most MAX_POINTS, are folded in one array.
+    """
+    by_route = Window.partitionBy("route_id").orderBy("seq")
+    legs = points.withColumns({"_lat": F.lag("lat").over(by_route), "_lon": F.lag("lon").over(by_route)})
+    legs = legs.withColumn("_length", haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
+    before = F.coalesce(F.sum("_length").over(by_route.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    legs = legs.withColumn("_left", F.lit(float(look_ahead_m)) - before).withColumn("_first", F.row_number().over(by_route) == 1).where("_first or _left > 0")
+    cut = projected(F.col("_lat"), F.col("_lon"), F.degrees(bearing_rad(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))), F.col("_left"))
+    legs = legs.withColumn("_at", F.when(F.col("_length") > F.col("_left"), cut).otherwise(F.struct("lat", "lon")))
+    box = enclosing_bbox(F.col("_at.lat"), F.col("_at.lon"), F.lit(float(half_width_m)))
+    edges = F.struct(*(box[n].alias(n) for n in ("south", "north", "west", "east")))
+    made = legs.groupBy("route_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", edges.alias("box")))), lambda x: x["box"]).alias("boxes"))
+    return made.select("route_id", boxes_hull(F.col("boxes")).alias("box"))
+
+
 def ahead(found: DataFrame, look_ahead_m: float = LOOK_AHEAD_M) -> DataFrame:
     return found.where(F.col("along_m") <= look_ahead_m)
 

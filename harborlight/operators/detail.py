@@ -71,3 +71,27 @@ def notes(rows: DataFrame, html: Column | None = None) -> DataFrame:
 def property_of(note: Column, path: str) -> Column:
     """The value at a dotted path of a JSON note, null if it isn't there."""
     return F.get_json_object(note, "$." + path)
+
+
+def parsed(note: Column) -> Column:
+    """A JSON note as a variant, parsed once for all that is read of it; null where it is no JSON."""
+    return F.try_parse_json(note)
+
+
+def _path(names: list[str | int]) -> str:
+    """Names one below another, with dots or not, and places in arrays. A name may hold one kind of quotes."""
+    if any(isinstance(n, str) and ("'" in n and '"' in n or not n) for n in names):
+        raise ValueError(f"no path leads to {names}")
+    return "$" + "".join(f"[{n}]" if isinstance(n, int) else f'["{n}"]' if "'" in n else f"['{n}']" for n in names)
+
+
+def typed_property(note: Column, names: list[str | int], kind: str) -> Column:
+    """The value of a variant note there, as a type; null where it is missing, null, or can't be that type."""
+    return F.try_variant_get(note, _path(names), kind)
+
+
+def property_kind(note: Column, names: list[str | int]) -> Column:
+    """What there is: `null`, or the type's name (BIGINT, STRING, BOOLEAN, OBJECT, ARRAY, ...); null where nothing is."""
+    value = F.try_variant_get(note, _path(names), "variant")
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.when(value.isNotNull(), F.when(F.is_variant_null(value), "null").otherwise(kind))

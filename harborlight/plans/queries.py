@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import testbed
+from .. import folders, testbed
+from ..boxes import Box
 from ..functions import dates, geo, numbers, text
-from ..operators import alarms, corridor, dedupe, federate, predicates, throttle
+from ..operators import alarms, corridor, dedupe, federate, predicates, throttle, zorder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -209,6 +210,66 @@ def tile_key(spark, sf_dir):
     return _spread(poi(spark, sf_dir)).select("id", geo.tile_key(F.col("lat"), F.col("lon")).alias("tile"))
 
 
+_CURVE = "(select list_sum(list_transform(range(16), lambda b: (((c >> b) & 1) << (2 * b)) | (((r >> b) & 1) << (2 * b + 1)))))"
+
+
+@query(
+    "curve_key", "select id, cast(" + _CURVE + " as bigint) as key from (select id, least(65535, cast(floor((lon + 180e0) / 360e0 * 65536) as bigint)) as c, least(65535, cast(floor((lat + 90e0) / 180e0 * 65536) as bigint)) as r from spread)",
+    POI, SPREAD,
+)
+def curve_key(spark, sf_dir):
+    return _spread(poi(spark, sf_dir)).select("id", zorder.curve_key(F.col("lat"), F.col("lon")).alias("key"))
+
+
+@query("curve_box", "select id from spread where lat between -20e0 and 35e0 and (lon >= 150e0 or lon <= -170e0)", POI, SPREAD)
+def curve_box(spark, sf_dir):
+    """A box over the antimeridian of a table that lies along the curve."""
+    path = folders.scratch_path(spark, "curve")
+    zorder.write(_spread(poi(spark, sf_dir)), path)
+    return zorder.read(spark, path, Box(-20.0, 35.0, 150.0, -170.0)).select("id")
+
+
+def _hull_sql(name: str, source: str, a: str, b: str) -> str:
+    """SQL of the box around boxes a and b (columns a_s, a_n, a_w, a_e and so on) of each row, as h_s, h_n, h_w, h_e."""
+    span = lambda x: f"(case when {x}_e >= {x}_w then {x}_e - {x}_w else 360 - {x}_w + {x}_e end)"
+    wrap = lambda x: f"(case when {x} between -180 and 180 then {x} when fmod({x} + 540, 360) = 0 and {x} > 0 then 180 else fmod({x} + 540, 360) - 180 end)"
+    tries = ", ".join(f"{{'o': {n}, 'lo': least({a}_w, {b}_w + {t}), 'hi': greatest({a}_w + {span(a)}, {b}_w + {t} + {span(b)})}}" for n, t in enumerate((-360, 0, 360)))
+    return f"""{name}0 as (select *, list_sort(list_transform([{tries}], lambda t: {{'w': t.hi - t.lo, 'o': t.o, 'lo': t.lo, 'hi': t.hi}}))[1] as t,
+      greatest({span(a)}, {span(b)}) as wide from {source}),
+    {name} as (select * exclude (t, wide), least({a}_s, {b}_s) as {name}_s, greatest({a}_n, {b}_n) as {name}_n,
+      case when greatest(wide, t.w) >= 360 then -180 when t.hi = t.lo and abs({wrap('t.lo')}) = 180 then 180 else {wrap('t.lo')} end as {name}_w,
+      case when greatest(wide, t.w) >= 360 then 180 when t.hi = t.lo and abs({wrap('t.lo')}) = 180 then -180 else {wrap('t.hi')} end as {name}_e from {name}0)"""
+
+
+_THREE = """three as (select *, lead(s, 1) over w as s2, lead(s, 2) over w as s3, lead(n, 1) over w as n2, lead(n, 2) over w as n3, lead(west, 1) over w as w2, lead(west, 2) over w as w3,
+  lead(east, 1) over w as e2, lead(east, 2) over w as e3 from (select event_id, event_id // 3 as grp, (event_id * 37 % 120 - 60)::double as s, (event_id * 37 % 120 - 60 + event_id % 20)::double as n,
+    (event_id * 101 % 1441 / 4e0 - 180) as west, case when event_id % 97 = 5 then null else (select case when x > 180 then x - 360 else x end from (select event_id * 101 % 1441 / 4e0 - 180 + event_id * 7 % 800 / 4e0 as x)) end as east
+  from events) window w as (partition by grp order by event_id)),
+rows3 as (select grp, s as a_s, n as a_n, west as a_w, east as a_e, s2 as b_s, n2 as b_n, w2 as b_w, e2 as b_e, s3 as c_s, n3 as c_n, w3 as c_w, e3 as c_e from three where event_id % 3 = 0 and s3 is not null)"""
+
+
+@query(
+    "joined_boxes",
+    """select grp, case when bad then -1 else cast(hh_w * 4 + 720 as bigint) end as west_4, case when bad then -1 else cast(hh_e * 4 + 720 as bigint) end as east_4, case when bad then -1 else cast(hh_s + 90 as bigint) end as south_90,
+      case when bad then -1 else cast(hh_n + 90 as bigint) end as north_90 from (select *, a_e is null or b_e is null or c_e is null as bad from hh)""",
+    _THREE, _hull_sql("h", "rows3", "a", "b"), _hull_sql("hh", "h", "h", "c"),
+)
+def joined_boxes(spark, sf_dir):
+    """The boxes of three askers as one, over the antimeridian where that is narrower; one without an edge leaves none."""
+    e = F.col("event_id")
+    west = e * 101 % 1441 / 4.0 - 180
+    east = west + e * 7 % 800 / 4.0
+    box = F.struct(
+        (e * 37 % 120 - 60).cast("double").alias("south"), (e * 37 % 120 - 60 + e % 20).cast("double").alias("north"), west.alias("west"),
+        F.when(e % 97 != 5, F.when(east > 180, east - 360).otherwise(east)).alias("east"),
+    )
+    asked = testbed.table(spark, sf_dir, "events").select(F.floor(e / 3).alias("grp"), F.struct(e, box.alias("box")).alias("x"))
+    each = asked.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["box"]).alias("boxes")).where(F.size("boxes") == 3)
+    hull = each.select("grp", geo.boxes_hull(F.col("boxes")).alias("h"))
+    cell = lambda x: F.coalesce(x.cast("long"), F.lit(-1))
+    return hull.select("grp", cell(F.col("h.west") * 4 + 720).alias("west_4"), cell(F.col("h.east") * 4 + 720).alias("east_4"), cell(F.col("h.south") + 90).alias("south_90"), cell(F.col("h.north") + 90).alias("north_90"))
+
+
 # Federation
 
 

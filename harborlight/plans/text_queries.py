@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import testbed
 from ..functions import dates, numbers, text
-from ..operators import corridor, course, detail, status, store
+from ..operators import corridor, course, detail, fingerprints, status, store
 from ..sources import openseamap
 from .queries import CORRIDOR, DETAILS, LEGS, POI, ROUTE_SQL, _details, _found, poi, query, whole
 
 CLEARANCES = ["10'6\"", "11 ft", "3.5 m", "4", "7 metres", "unknown", "", "0", " 12' ", "5.25", "-3", "8 feet", "1 000"]
+#: What these come to, in millimetres; -1: no clearance.
+CLEARANCE_MM = [3200, 3353, 3500, 4000, 7000, -1, -1, -1, 3658, 5250, -1, 2438, -1]
 LINKS = ["https://a.example/x", "HTTP://b.example", "javascript:alert(1)", "mailto:x@y.example", "tel:+1", "/relative", "ftp://c.example", " https://d.example "]
 LIGHTS = ["Fl W 4s", "Fl(2) R 6s", "Q", "Iso G 2S", "Oc Y", "Xx Q 5s", "F", "Mo(A) W 8s", "VQ(9) W", "LFl W 10s"]
 ENDPOINTS = ["https://a.example/api", "http://u:p@b.example/x", "ftp://c.example", "not a url", " http://d.example:8080/q?x=1 ", "https:///nohost", "HTTPS://e.example"]
@@ -50,21 +52,7 @@ def shown(x: Column) -> Column:
     return F.coalesce(x, F.lit("-"))
 
 
-_NUM = r"(\d+(?:\.\d+)?)"
-_INCHES, _FEET, _METRES = (
-    rf"^{_NUM}\s*''\s*{_NUM}\s*\"?$", rf"^{_NUM}\s*(?:''|ft|feet)$", rf"^{_NUM}\s*(?:m|meter|metre|meters|metres)?$",
-)
-
-
-@query(
-    "parse_clearance_text",
-    f"""select k, coalesce({whole('case when m > 0 then m end', '1e3')}, -1) as mm from (select k,
-      case when regexp_matches(t, '{_INCHES}') then (regexp_extract(t, '{_INCHES}', 1)::double + regexp_extract(t, '{_INCHES}', 2)::double / 12) * 0.3048e0
-        when regexp_matches(t, '{_FEET}') then regexp_extract(t, '{_FEET}', 1)::double * 0.3048e0
-        when regexp_matches(t, '{_METRES}') then regexp_extract(t, '{_METRES}', 1)::double end as m
-      from (select k, lower(trim(v)) as t from samples))""",
-    samples(CLEARANCES),
-)
+@query("parse_clearance_text", f"select k, {CLEARANCE_MM}[(k % {len(CLEARANCES)} + 1)::int] as mm from samples", samples(CLEARANCES))
 def parse_clearance_text(spark, sf_dir):
     mm = numbers.scaled(text.clearance_m(F.col("v")), 1e3)
     return sampled(spark, sf_dir, CLEARANCES).select("k", F.coalesce(mm, F.lit(-1)).alias("mm"))
@@ -256,6 +244,29 @@ def property_path(spark, sf_dir):
     return testbed.table(spark, sf_dir, "events").select("event_id", shown(detail.property_of(F.col("props"), "k")).alias("k"))
 
 
+@query(
+    "property_types",
+    """select event_id, case when event_id % 5 = 0 then -1 else event_id end as n, case when event_id % 5 = 0 then '-' else 't ' || event_id end as t,
+      case when event_id % 5 = 0 then '-' else (event_id % 2 = 0)::varchar end as b, case when event_id % 5 = 0 then '-' else 'null' end as z,
+      case when event_id % 5 = 0 then '-' else 'OBJECT' end as o, case when event_id % 5 = 0 then '-' else event_id::varchar end as second, '-' as missing from events""",
+)
+def property_types(spark, sf_dir):
+    """Typed values of notes, names with dots among them; every fifth text is no JSON."""
+    e = F.col("event_id").cast("string")
+    even = F.when(F.col("event_id") % 2 == 0, "true").otherwise("false")
+    note = F.concat(
+        F.lit('{"a.b": {"n": '), e, F.lit(', "t": "t '), e, F.lit('", "z": null}, "a": {"b": '), even, F.lit(', "list": [1, "'), e, F.lit('"]}'),
+        F.when(F.col("event_id") % 5 == 0, "").otherwise("}"),
+    )
+    read = testbed.table(spark, sf_dir, "events").select("event_id", detail.parsed(note).alias("v"))
+    typed = lambda kind, *names: detail.typed_property(F.col("v"), list(names), kind)
+    kind = lambda *names: shown(detail.property_kind(F.col("v"), list(names)))
+    return read.select(
+        "event_id", F.coalesce(typed("long", "a.b", "n"), F.lit(-1)).alias("n"), shown(typed("string", "a.b", "t")).alias("t"), shown(typed("boolean", "a", "b").cast("string")).alias("b"),
+        kind("a.b", "z").alias("z"), kind("a.b").alias("o"), shown(typed("string", "a", "list", 1)).alias("second"), kind("a", "n").alias("missing"),
+    )
+
+
 # Status and stores
 
 
@@ -344,3 +355,20 @@ def refresh_rollup(spark, sf_dir):
         F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("rows"), (F.col("o_orderkey") % 9 != 4).alias("ok")
     )
     return status.refresh_rollup(pages).withColumn("first_failure", F.coalesce("first_failure", F.lit(-1)))
+
+
+@query(
+    "page_refresh",
+    """select page, case when page % 5 = 0 then 'changed' when page % 7 = 3 then 'added' when page % 11 = 4 then 'refused' else 'unchanged' end as change
+      from (select distinct l_orderkey % 60 as page from lineitem)""",
+)
+def page_refresh(spark, sf_dir):
+    """A refresh of pages of order lines: some have another quantity, some are new, some come with an older version, and all others in another order."""
+    page = (F.col("l_orderkey") % 60).cast("int")
+    rows = testbed.table(spark, sf_dir, "lineitem").select(page.alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.lit(2).alias("version"))
+    held = fingerprints.fingerprints(rows.where("page % 7 <> 3 or page % 5 = 0"), version="version")
+    quantity = F.when((F.col("page") % 5 == 0) & (F.col("l_linenumber") == 1), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    late = (F.col("page") % 11 == 4) & (F.col("page") % 5 != 0) & (F.col("page") % 7 != 3)
+    fresh = rows.withColumns({"version": F.when(late, 1).otherwise(2), "l_quantity": F.when(late, F.col("l_quantity") * 2).otherwise(quantity)})
+    shuffled = fresh.repartition("l_linenumber").select("version", "l_quantity", "l_partkey", "l_linenumber", "l_orderkey", "page")
+    return fingerprints.changes(fingerprints.fingerprints(shuffled, version="version"), held)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.predicates import valid_latitude, valid_longitude
@@ -42,6 +44,16 @@ def count_rejected(raw: DataFrame, made: DataFrame) -> DataFrame:
     return total.crossJoin(kept).select("rows", (F.col("rows") - F.col("kept")).alias("rejected"))  # a row each
 
 
+def counted(raw: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """parse(raw), and a function that tells how many rows it had and rejected, once the result has been written or collected whole.
+
+    Both are counted while the rows pass; parse gives at most a row for each. A result that is read twice counts its first reading.
+    """
+    read, made = Observation(), Observation()
+    out = parse(raw.observe(read, F.count(F.lit(1)).alias("rows"))).observe(made, F.count(F.lit(1)).alias("kept"))
+    return out, lambda: {"rows": read.get["rows"], "rejected": read.get["rows"] - made.get["kept"]}
+
+
 def features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features of GeoJSON files: feature_id (as text), coordinates, and the named properties."""
     schema = f"features array<struct<id:string,geometry:struct<coordinates:array<double>>,properties:struct<{properties}>>>"
