@@ -5,6 +5,8 @@ from __future__ import annotations
 import dataclasses
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..functions.geo import grid_cells, haversine_m
 
 BASE_SOURCE = "activecaptain"
 DEFAULT_RADIUS_M = 45.72
+#: Cells of a block on a side, and edges of it that a task settles at once.
+BLOCK_CELLS, BLOCK_EDGES = 16, 1 << 17
 
 
 @dataclasses.dataclass(frozen=True)
@@ -60,29 +64,59 @@ def base_matches(cells: DataFrame, sources: list[str], radii: Radii) -> DataFram
 
 
 def same_source_links(cells: DataFrame, sources: list[str], radii: Radii) -> DataFrame:
-    """(seq, earlier, px, py): pairs of a source's rows in range, the earlier one with its cell."""
+    """(seq, earlier, px, py, block): pairs of a source's rows in range, the earlier one with its cell, the later one with its block of cells."""
     mine = cells.where(F.col("source").isin(*sources)).select("seq", "source", "type", "lat", "lon", "cx", "cy")
     other = mine.select(
         "source", "type", F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("seq").alias("earlier"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")
     )
     near = _around(mine).join(other, ["source", "type", "px", "py"]).where("earlier < seq")
     near = near.where(haversine_m(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) <= radii.column(F.col("source")))
-    return near.select("seq", "earlier", "px", "py")
+    block = F.xxhash64("source", "type", F.floor(F.col("cx") / BLOCK_CELLS), F.floor(F.col("cy") / BLOCK_CELLS))
+    return near.select("seq", "earlier", "px", "py", block.alias("block"))
+
+
+def settle_block(key, table):
+    """An applyInArrow function over edges (seq, earlier, root): what they alone settle, in input order.
+
+    kept: whether the later row is kept, null where that isn't known; open: whether the edge still matters.
+    """
+    table = table.sort_by([("seq", "ascending"), ("earlier", "ascending")])
+    seq, earlier, root = (np.asarray(table.column(c)) for c in ("seq", "earlier", "root"))
+    state: dict[int, bool | None] = {}
+    bounds = [0, *(np.flatnonzero(seq[1:] != seq[:-1]) + 1).tolist(), len(seq)]
+    kept, open_ = [], np.zeros(len(seq), bool)
+    for a, b in zip(bounds, bounds[1:]):
+        known = [True if root[k] else state.get(int(earlier[k])) for k in range(a, b)]
+        verdict = False if True in known else None if None in known else True
+        state[int(seq[a])] = verdict
+        kept += [verdict] * (b - a)
+        if verdict is None:
+            open_[a:b] = [k is None for k in known]
+    return pa.table({"seq": seq, "earlier": earlier, "kept": pa.array(kept, pa.bool_()), "open": open_})
 
 
 def greedy_dropped(links: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """seq of rows that a loop in input order drops: those in range of an earlier row that was kept.
+    """seq of rows that a loop in input order drops: those in range of an earlier row that was kept. links: seq, earlier and, where known, block.
 
-    In each round a row is settled if all its earlier neighbours are: dropped if one of them is kept, else kept. A round looks at
-    open edges only (those of rows not settled, to rows not settled before it), which get fewer from round to round. The rounds
-    follow the longest chain of neighbours in input order, not the number of rows.
+    First the rows of a block (of any dealing that keeps a row's edges together) are settled as far as its own edges tell; a block of very many edges is
+    dealt by row. Then, in rounds, a row is settled if all its earlier neighbours are: dropped if one of them is kept, else kept.
+    A round looks at open edges only (those of rows not settled, to rows not settled before it), which get fewer from round to
+    round. The rounds follow the longest chain of neighbours across blocks in input order, not the number of rows.
     """
-    edges = checkpointed(links.select("seq", "earlier").distinct())
+    block = F.col("block") if "block" in links.columns else F.lit(0).cast("long")
+    edges = checkpointed(links.select("seq", "earlier", block.alias("block")).distinct())
     # Rows that are nobody's later neighbour are kept from the start.
-    fresh = edges.select(F.col("earlier").alias("node")).distinct().join(edges.select(F.col("seq").alias("node")), "node", "left_anti")
-    fresh = fresh.withColumn("kept", F.lit(True))
-    settled: list[DataFrame] = []
+    roots = edges.select("earlier").distinct().join(edges.select(F.col("seq").alias("earlier")), "earlier", "left_anti").withColumn("root", F.lit(True))
+    sizes = edges.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_EDGES).alias("parts"))
+    dealt = edges.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")))
+    dealt = dealt.join(roots, "earlier", "left").select("block", "part", "seq", "earlier", F.coalesce("root", F.lit(False)).alias("root"))
+    first = checkpointed(dealt.groupBy("block", "part").applyInArrow(settle_block, "seq long, earlier long, kept boolean, open boolean"))
+    fresh = first.where("kept is not null").select(F.col("seq").alias("node"), "kept").distinct()
+    settled: list[DataFrame] = [fresh.where("not kept").select(F.col("node").alias("seq"))]
+    edges = first.where("open").select("seq", "earlier")
     for _ in range(most_rounds):
+        if edges.isEmpty():
+            return reduce(DataFrame.union, settled)
         known = edges.join(fresh.withColumnRenamed("node", "earlier"), "earlier", "left")
         marks = known.withColumn("state", F.when(F.col("kept"), 2).when(~F.col("kept"), 0).otherwise(1))
         # A row's state: 2 near a kept one, 1 waiting, 0 all its earlier neighbours are dropped.
@@ -93,8 +127,6 @@ def greedy_dropped(links: DataFrame, most_rounds: int = 10_000) -> DataFrame:
         settled.append(fresh.where("not kept").select(F.col("node").alias("seq")))
         if len(settled) > 20:
             settled = [checkpointed(reduce(DataFrame.union, settled))]
-        if edges.isEmpty():
-            return reduce(DataFrame.union, settled)
     raise RuntimeError("greedy_dropped did not settle")
 
 

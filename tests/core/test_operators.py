@@ -50,7 +50,7 @@ def test_same_source_is_greedy_in_input_order(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_greedy_rounds_equal_the_loop(spark, seed):
+def test_greedy_rounds_equal_the_loop(spark, monkeypatch, seed):
     rng = random.Random(seed)
     place = [rng.uniform(0, 60) for _ in range(300)]
     links = [(a, b) for a in range(300) for b in range(a) if abs(place[a] - place[b]) < 0.5]
@@ -60,6 +60,11 @@ def test_greedy_rounds_equal_the_loop(spark, seed):
             kept.append(a)
     dropped = dedupe.greedy_dropped(spark.createDataFrame(links, "seq long, earlier long"))
     assert {r.seq for r in dropped.collect()} == set(range(300)) - set(kept)
+    # Blocks that cut chains anywhere, and blocks dealt to several tasks.
+    blocks = {a: rng.randrange(6) for a in range(300)}
+    monkeypatch.setattr(dedupe, "BLOCK_EDGES", rng.choice([40, 1000]))
+    dropped = dedupe.greedy_dropped(spark.createDataFrame([(a, b, blocks[a]) for a, b in links], "seq long, earlier long, block long"))
+    assert {r.seq for r in dropped.collect()} == set(range(300)) - set(kept)
     assert dedupe.greedy_dropped(spark.createDataFrame([], "seq long, earlier long")).count() == 0
 
 
