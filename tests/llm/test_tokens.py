@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -90,6 +91,35 @@ def test_orc_prunes_by_document(spark, tmp_path):
     assert rows.count() == 1 and "EqualTo(doc_id,77)" in plan and "ids" not in plan.split("ReadSchema")[1]
 
 
+def scanned(df):
+    """Rows that the scan gives for a frame, after stripes and row groups were left out."""
+    df.collect()
+
+    def scans(plan):
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            yield from scans(plan.executedPlan())
+        if plan.nodeName().startswith("Scan"):
+            yield plan.metrics().apply("numOutputRows").value()
+        for k in range(plan.children().size()):
+            yield from scans(plan.children().apply(k))
+
+    return sum(scans(df._jdf.queryExecution().executedPlan()))
+
+
+def test_orc_reads_few_rows_for_an_id_and_none_for_one_that_is_absent(spark, tmp_path):
+    """Statistics of stripes and row groups leave one row group of 1000 rows; its Bloom filter tells absent ids within its range."""
+    path = str(tmp_path / "orc")
+    token_output.write_tokens(spark.range(20_000).selectExpr("2 * id as doc_id", "concat('text number ', id) as text"), path)
+    rows = spark.read.schema(token_output.TOKEN_SCHEMA).orc(path)
+    for doc_id in (0, 77_0, 24_690, 39_998):
+        df = rows.where(F.col("doc_id") == doc_id).select("doc_id", "n_tokens")
+        assert df.count() == 1 and scanned(df) <= 1000
+    absent = [scanned(rows.where(F.col("doc_id") == doc_id).select("doc_id")) for doc_id in range(1001, 39_000, 2000)]
+    assert sum(n > 0 for n in absent) <= 3 and max(absent) <= 1000
+    assert scanned(rows.where("doc_id between 10000 and 11000").select("doc_id", "n_tokens")) <= 3000
+    assert scanned(rows.where("doc_id = -5").select("doc_id")) == 0
+
+
 def test_orc_of_an_empty_table(spark, tmp_path):
     token_output.write_tokens(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "orc"))
     assert token_output.read_tokens(spark, str(tmp_path / "orc")).count() == 0
