@@ -5,6 +5,8 @@ Raw rows are given as expressions that both engines read; what is expected is wr
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,6 +199,40 @@ def discrepancy_summaries(spark, sf_dir):
     return compared(notices.summaries(_coordinates(DISCREPANT.rows(spark, sf_dir)), "discfedaid"))
 
 
+#: What the other layers' places are: kind, icon and name where they have none.
+_OTHER_NOTICES = {"marcon": "Marine Construction", "bridge": "Bridge Notice", "misc": "Marine Safety Notice"}
+_OTHER_DISCREPANCIES = {"discpriaid": ("Hazard", "hazard", "Discrepant Private Aid"), "tmpchange": ("Navigational", "notice-to-mariners", "Temporary Change")}
+
+
+@query(
+    "other_notice_summaries",
+    " union all ".join(
+        summary_sql(
+            "uscglnm", "USCG Local Notice to Mariners", id=_HAZNAV_ID.replace("haznav", layer), type="'Navigational'", icon="'notice-to-mariners'",
+            name=f"coalesce({_WATER} || ': ' || {_KIND}, {_WATER} || ': ' || {_SUB}, {_KIND}, {_SUB}, case when k % 2 = 0 then 'Title ' || k end, '{label}')",
+            ts="strftime(make_timestamp(coalesce(MODIFIED_DATE, CREATE_DATE) * 1000), '%Y-%m-%d %H:%M:%S')",
+        ).replace("from raw ", "from raw2 ") for layer, label in _OTHER_NOTICES.items()
+    ), _notice_raw(HAZNAV),
+)
+def other_notice_summaries(spark, sf_dir):
+    rows = _coordinates(HAZNAV.rows(spark, sf_dir))
+    return reduce(DataFrame.unionByName, (compared(notices.summaries(rows, layer)) for layer in _OTHER_NOTICES))
+
+
+@query(
+    "other_discrepancy_summaries",
+    " union all ".join(
+        summary_sql(
+            "uscglnm", "USCG Local Notice to Mariners", id=_DISCREPANT_ID.replace("discfedaid", layer), type=f"'{kind}'", icon=f"'{icon}'", name=f"coalesce({named('NAME')}, '{label}')",
+            ts="strftime(make_timestamp(CREATE_DATE * 1000), '%Y-%m-%d %H:%M:%S')",
+        ).replace("from raw ", "from raw2 ") for layer, (kind, icon, label) in _OTHER_DISCREPANCIES.items()
+    ), _notice_raw(DISCREPANT),
+)
+def other_discrepancy_summaries(spark, sf_dir):
+    rows = _coordinates(DISCREPANT.rows(spark, sf_dir))
+    return reduce(DataFrame.unionByName, (compared(notices.summaries(rows, layer)) for layer in _OTHER_DISCREPANCIES))
+
+
 @query(
     "notice_sections",
     item_sql("k", [
