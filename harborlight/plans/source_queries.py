@@ -594,6 +594,45 @@ def detail_by_id(spark, sf_dir):
     return federate.details_of(asked, details).select("id", "title")
 
 
+#: Every offer as it is shown: section and label, in the order of the fields below.
+_OFFER_LABELS = """('fuel', 'Diesel'), ('fuel', 'Ethanol free'), ('fuel', 'Unleaded'), ('fuel', 'Propane'), ('fuel', 'Electric charging'),
+  ('amenities', 'Bar'), ('amenities', 'Cell reception'), ('amenities', 'Boat ramp'), ('amenities', 'Laundry'), ('amenities', 'Courtesy car'), ('amenities', 'Pets allowed'), ('amenities', 'Lodging'),
+  ('amenities', 'Restrooms'), ('amenities', 'Restaurant'), ('amenities', 'Transportation'), ('amenities', 'Showers'), ('amenities', 'Water'), ('amenities', 'Rubbish disposal'), ('amenities', 'Wi-Fi'),
+  ('services', 'Haul-out'), ('services', 'Pump-out'), ('services', 'General repair'), ('services', 'Mechanical repair'), ('services', 'Diesel engine repair'), ('services', 'Gas engine repair'),
+  ('services', 'Electronics'), ('services', 'Sails and rigging'), ('services', 'Fiberglass'), ('services', 'Welding'), ('services', 'Propeller repair'), ('services', 'Canvas and upholstery'),
+  ('services', 'Painting'), ('services', 'Bottom painting'), ('services', 'Wash and wax'), ('services', 'Marine HVAC'), ('services', 'Plumbing'), ('services', 'Carpentry'), ('services', 'Storage'),
+  ('services', 'Charter'), ('services', 'Boat brokers'), ('services', 'Surveyors'), ('services', 'Towing'), ('services', 'Rescue and salvage'), ('services', 'Water taxi'),
+  ('retail', 'Grocery'), ('retail', 'Ice'), ('retail', 'Fishing supplies'), ('retail', 'Marine supplies'), ('retail', 'Hardware'),
+  ('business', 'Seasonal'), ('business', 'Open to public'), ('business', 'Cash accepted'), ('business', 'Cheques accepted'), ('business', 'Cards accepted'),
+  ('mooring', 'Moorings available'), ('mooring', 'Dinghy dock'), ('mooring', 'Launch service'), ('mooring', 'Liveaboard'),
+  ('dockage', 'Liveaboard'), ('dockage', 'Secure access'), ('dockage', 'Security patrol'), ('navigation', 'Fixed bridge')"""
+_OFFER_FIELDS = """fuel.diesel fuel.ethanolFree fuel.gas fuel.propane fuel.electric
+  amenity.bar amenity.cellReception amenity.boatRamp amenity.laundry amenity.courtesyCar amenity.pets amenity.lodging amenity.restroom amenity.restaurant amenity.transportation amenity.shower
+  amenity.water amenity.trash amenity.wifi services.haulOut services.pumpOut services.repair services.mechanical services.repairDieselEngines services.repairGasEngines services.electronics
+  services.sailsAndRigging services.fiberglass services.welding services.propellerRepair services.canvasAndUpholstery services.paint services.bottomPainting services.washAndWax
+  services.marineHvac services.plumbing services.carpentry services.storage services.charter services.boatBrokers services.surveyors services.towing services.rescueAndSalvage services.waterTaxi
+  retail.grocery retail.ice retail.fishingSupplies retail.marineRetail retail.hardware business.seasonal business.public business.cash business.check business.credit
+  mooring.hasMoorings mooring.dinghy mooring.launch mooring.liveaboard dockage.liveaboard dockage.secureAccess dockage.securityPatrol navigation.fixedBridge""".split()
+_ANSWERS = ("Yes", "No", "Nearby", "Unknown", "")
+
+
+@query(
+    "community_offers",
+    f"""select p_partkey as id, section, label, {list(_ANSWERS)}[(p_partkey // {len(_OFFER_FIELDS)} % 5 + 1)::int] as value, 'availability' as kind, '-' as unit
+      from part join (select *, row_number() over () - 1 as n from (values {_OFFER_LABELS}) t(section, label)) on n = p_partkey % {len(_OFFER_FIELDS)} where p_partkey // {len(_OFFER_FIELDS)} % 5 < 3""",
+)
+def community_offers(spark, sf_dir):
+    """Every offer with every answer: three of them are shown."""
+    k = F.col("p_partkey")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    n = len(_OFFER_FIELDS)
+    section, field = (pick([x.split(".")[at] for x in _OFFER_FIELDS], k % n) for at in (0, 1))
+    answer = pick(_ANSWERS, F.floor(k / n) % len(_ANSWERS))
+    raw = F.concat(F.lit('{"'), section, F.lit('": {"'), field, F.lit('": "'), answer, F.lit('"}}'))
+    rows = testbed.table(spark, sf_dir, "part").select(k.alias("k"), F.from_json(raw, sections.community_schema()).alias("d"))
+    return items(rows.select("k", "d.*"), F.col("k"), sections.community_sections()).withColumnRenamed("k", "id")
+
+
 _OPEN_KINDS = ("noaaenc-wreck_", "usace-lock_", "usace-dam_", "openseamap-node_", "openseamap-way_", "openseamap-relation_", "unknown-")
 
 
