@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ GRID_METRES_PER_DEGREE = 111_320.0
 TILE_DEGREES = 0.1
 
 
+def bound(x: Column, of: Callable[[Column], Column]) -> Column:
+    """of(x) with x worked out once: as an expression it would be copied wherever `of` has it."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
@@ -129,15 +135,19 @@ def box_hull(a: Column, b: Column) -> Column:
         high = F.greatest(a["west"] + wide_a, b["west"] + turn + wide_b)
         return F.struct((high - low).alias("wide"), low.alias("low"), high.alias("high"))
 
-    tries = [tried(t) for t in (-360.0, 0.0, 360.0)]
-    least = F.least(*(t["wide"] for t in tries))
-    first = F.coalesce(*(F.when(t["wide"] == least, t) for t in tries))
-    south, north = F.least(a["south"], b["south"]), F.greatest(a["north"], b["north"])
-    box = lambda west, east: F.struct(south.alias("south"), north.alias("north"), west.alias("west"), east.alias("east"))
-    west, east = wrap_longitude(first["low"]), wrap_longitude(first["high"])
-    world = F.greatest(wide_a, wide_b, first["wide"]) >= 360.0
-    seam = (first["low"] == first["high"]) & (F.abs(west) == 180.0)
-    return F.when(finite_box(a) & finite_box(b), F.when(world, box(F.lit(-180.0), F.lit(180.0))).when(seam, box(F.lit(180.0), F.lit(-180.0))).otherwise(box(west, east)))
+    def joined(tries: Column) -> Column:
+        return bound(F.aggregate(tries, tries[0], lambda best, t: F.when(t["wide"] < best["wide"], t).otherwise(best)), placed)
+
+    def placed(first: Column) -> Column:
+        south, north = F.least(a["south"], b["south"]), F.greatest(a["north"], b["north"])
+        box = lambda west, east: F.struct(south.alias("south"), north.alias("north"), west.alias("west"), east.alias("east"))
+        world = F.greatest(wide_a, wide_b, first["wide"]) >= 360.0
+        seam = (first["low"] == first["high"]) & (F.abs(wrap_longitude(first["low"])) == 180.0)
+        return F.when(world, box(F.lit(-180.0), F.lit(180.0))).when(seam, box(F.lit(180.0), F.lit(-180.0))).otherwise(
+            box(wrap_longitude(first["low"]), wrap_longitude(first["high"]))
+        )
+
+    return F.when(finite_box(a) & finite_box(b), bound(F.array(*(tried(t) for t in (-360.0, 0.0, 360.0))), joined))
 
 
 def boxes_hull(boxes: Column) -> Column:
