@@ -637,13 +637,13 @@ _OPEN_KINDS = ("noaaenc-wreck_", "usace-lock_", "usace-dam_", "openseamap-node_"
 
 
 @query(
-    "open_detail_by_id",
+    "feature_detail_by_id",
     "select asked.id, name as title, lat_e5 from asked join found using (id)",
     *(f"{n}_rows as ({SQL[f'{n}_summaries']})" for n in ("chart", "lock", "dam", "seamark")),
     "asked as (select unnest([" + ", ".join(f"'{x}' || p_partkey" for x in _OPEN_KINDS) + "]) as id from part where p_partkey % 3 <> 1)",
     "found as (" + " union all ".join(f"select source || '-' || id as id, name, lat_e5 from {n}_rows" for n in ("chart", "lock", "dam", "seamark")) + ")",
 )
-def open_detail_by_id(spark, sf_dir):
+def feature_detail_by_id(spark, sf_dir):
     """By id: charts, structures of both layers, and seamarks of all kinds of elements."""
     works = WORKS.rows(spark, sf_dir).withColumn("coordinates", F.array("p_lon", "p_lat"))
     charts = CHART.rows(spark, sf_dir).withColumn("coordinates", F.array("p_lon", "p_lat"))
