@@ -46,7 +46,7 @@ def test_mixing_stage_follows_the_budgets(spark):
 
 def test_one_query_for_each_operator():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
 
 
