@@ -198,6 +198,7 @@ def mine(vectors: DataFrame, every: int = 50, wave_rows: int = WAVE) -> DataFram
         labels, lengths = np.asarray(held.column("label")), by_length(held)
         sent = spark.sparkContext.broadcast((np.asarray(held.column("row")), labels, lengths))
         found = stored(ranked(rows.mapInArrow(positive_finder(sent), FOUND), POSITIVES), "mined-positives")
+        sent.destroy()  # what it was for is stored
         low, high = np.ones((len(labels), POSITIVES), np.int64), np.zeros((len(labels), POSITIVES), np.int64)
         best = found.select("slot", "rank", "score").toArrow()  # at most POSITIVES for each
         at = (np.asarray(best.column("slot")), np.asarray(best.column("rank")) - 1)
@@ -215,6 +216,7 @@ def mine(vectors: DataFrame, every: int = 50, wave_rows: int = WAVE) -> DataFram
             "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score"
         )
         out = stored(out, "mined-negatives")
+        sent.destroy()
         made = out if made is None else made.union(out)
     if made is None:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
