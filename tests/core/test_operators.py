@@ -161,6 +161,30 @@ def test_pairs_within_a_radius_anywhere(spark, centre):
     assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 20
 
 
+def _dense(spark, ticks, places):
+    """A vessel that is in and out of reach of every place, tick by tick."""
+    track = spark.range(1, ticks + 1).select(F.lit(1).cast("long").alias("vessel"), F.col("id").alias("tick"), (42 + F.col("id") % 2 * 900 * METRE).alias("lat"), F.lit(-71.0).alias("lon"))
+    put = spark.range(places).select(F.concat(F.lit("p"), "id").alias("id"), (42 + F.col("id") * METRE / 10).alias("p_lat"), F.lit(-71.0).alias("p_lon"))
+    return track, put
+
+
+def test_what_alarms_store_grows_with_ticks_and_places_not_with_pairs(spark, monkeypatch):
+    stored = []
+    real = alarms.checkpointed
+    monkeypatch.setattr(alarms, "checkpointed", lambda df: stored.append(real(df)) or stored[-1])
+    found = alarms.episodes(*_dense(spark, 1000, 300), 500.0)
+    assert found.count() == 300 * 500
+    rows = [df.select(F.sum(F.size(c)) if (c := next((c for c in df.columns if c in ("ticks", "places")), None)) else F.count("*")).first()[0] for df in stored]
+    assert sum(rows) <= 9 * 1000 + 3 * alarms.DEALS * 300
+
+
+def test_pairs_within_a_radius_are_found_by_many_tasks(spark):
+    track, put = _dense(spark, 4000, 50)
+    near = alarms.within(track.withColumn("lat", F.col("lat") + F.col("tick") * 1e-9).coalesce(1), put.coalesce(1), 500.0)
+    by_task = [r["count"] for r in near.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(by_task) == 2000 * 50 and len(by_task) > 1 and max(by_task) < 0.8 * sum(by_task)
+
+
 def test_throttle(spark):
     start = dt.datetime(2026, 1, 1)
     rows = [(1, start + dt.timedelta(seconds=s), 42 + m * METRE, -71.0) for s, m in ((0, 0), (61, 50), (90, 200), (100, 500), (151, 200), (160, 900))]
