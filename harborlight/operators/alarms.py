@@ -82,7 +82,7 @@ def scan_radius(alarm_radius_m: float) -> float:
 
 def within(fixes: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of fixes and places (id, p_lat, p_lon, ...) within radius_m, by cells of that size; the seam is no border."""
-    _limit_batches(fixes.sparkSession)
+    limit_batches(fixes.sparkSession)
     size = math.degrees(radius_m / EARTH_RADIUS_M) * 1.001
     deal = F.pmod(F.xxhash64(*(F.col(c) for c in ("lat", "lon"))), F.lit(DEALS)).cast("int")
     mine = _around(fixes.where("lat is not null and lon is not null").select(F.struct(*fixes.columns).alias("fix"), "lat", "lon"), "lat", "lon", size, (0,))
@@ -98,7 +98,7 @@ def _dealt(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *MEETING)
 
 
-def _limit_batches(spark: SparkSession) -> None:
+def limit_batches(spark: SparkSession) -> None:
     """Blocks are large rows: batches to Python are bounded by bytes."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)
@@ -288,7 +288,7 @@ def episodes(ticks: DataFrame, places: DataFrame, radius_m: float, margin_m: flo
     another is a run; a run raises at its first tick within the radius and clears at the tick after its end, if there is one.
     Blocks are met twice: for the runs that are whole, which are not stored, and for the few that go on in another stretch.
     """
-    _limit_batches(ticks.sparkSession)
+    limit_batches(ticks.sparkSession)
     reach = radius_m * CLEAR_FACTOR
     size = math.degrees(reach / EARTH_RADIUS_M) * 1.001
     level = lambda name: (F.lit(None) if margin_m is None else F.col(name)).cast("double").alias("level")

@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..folders import checkpointed
-from ..functions.geo import grid_cells, haversine_m
+from ..functions.geo import EARTH_RADIUS_M, grid_cells, haversine_m
+from .alarms import PAIRS, Distances, limit_batches
 
 BASE_SOURCE = "activecaptain"
 DEFAULT_RADIUS_M = 45.72
 #: Cells of a block on a side, and edges of it that a task settles at once.
 BLOCK_CELLS, BLOCK_EDGES = 16, 1 << 17
+#: Rows of a cell that a block has where rows meet base rows.
+BLOCK_ROWS = 4096
 
 
 @dataclasses.dataclass(frozen=True)
@@ -51,15 +54,71 @@ def _around(poi: DataFrame) -> DataFrame:
     return near.withColumns({"px": F.col("cx") + F.col("_step.x"), "py": F.col("cy") + F.col("_step.y")}).drop("_step")
 
 
+def first_finder(batches):
+    """A mapInArrow function over blocks (px, py, rows, bases): for each row the first base row in range, if there is one.
+
+    Rows that can't reach the bases' box are passed over, and a row is done at its first hit: bases are tried by seq, a few at first, then more.
+    """
+    number = lambda table, name: table.field(name).to_numpy(zero_copy_only=False)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            rows, bases = batch.column("rows")[k].values, batch.column("bases")[k].values
+            order = np.argsort(number(bases, "seq"), kind="stable")
+            base = number(bases, "seq")[order]
+            b_lat, b_lon = (number(bases, n)[order] for n in ("lat", "lon"))
+            lat, lon, radius = (number(rows, n) for n in ("lat", "lon", "radius"))
+            first = np.full(len(lat), len(base))
+            for metres in np.unique(radius):
+                left = np.flatnonzero((radius == metres) & reaches(lat, lon, b_lat, b_lon, metres))
+                at, take = 0, 16
+                while len(left) and at < len(base):
+                    part = slice(at, at + max(1, min(take, PAIRS // len(left))))
+                    apart = Distances(lat[left], lon[left], b_lat[part], b_lon[part])
+                    every = np.arange(len(left))
+                    near = apart.within(every, apart.chords(every), metres)
+                    hit = near.any(axis=1)
+                    first[left[hit]] = at + near[hit].argmax(axis=1)
+                    left, at, take = left[~hit], min(part.stop, len(base)), take * 2
+            found = np.flatnonzero(first < len(base))
+            if len(found):
+                cell = [pa.array(np.full(len(found), batch.column(c)[k].as_py(), np.int64)) for c in ("px", "py")]
+                seq = pa.array(number(rows, "seq")[found])
+                yield pa.RecordBatch.from_arrays([seq, *cell, pa.array(base[first[found]])], names=["seq", "px", "py", "base_seq"])
+
+
+def reaches(lat: np.ndarray, lon: np.ndarray, b_lat: np.ndarray, b_lon: np.ndarray, metres: float) -> np.ndarray:
+    """Whether a point may be within so many metres of one in the box around others: never false for one that is."""
+    beyond = lambda x, low, high: np.radians(np.maximum(0.0, np.maximum(low - x, x - high)))
+    up, aside = beyond(lat, b_lat.min(), b_lat.max()), beyond(lon, b_lon.min(), b_lon.max())
+    narrow = np.sqrt(np.clip(np.cos(np.radians(lat)), 0, 1) * max(0.0, np.cos(np.radians(b_lat)).min()))
+    far = np.radians(max(lon.max(), b_lon.max()) - min(lon.min(), b_lon.min())) >= np.pi
+    least = np.maximum(np.sin(np.minimum(up, np.pi) / 2), 0.0 if far else narrow * np.sin(aside / 2))
+    return least <= np.sin(min(metres / (2 * EARTH_RADIUS_M), np.pi / 2)) * (1 + 1e-9) + 1e-15
+
+
+def _blocks(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """(type, cx, cy, name): rows of a cell in blocks of about BLOCK_ROWS, as arrays of columns."""
+    key = ["type", "cx", "cy"]
+    sizes = rows.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_parts"))
+    dealt = rows.join(sizes, key).withColumn("_part", F.pmod(F.xxhash64("seq"), F.col("_parts")))
+    return dealt.groupBy(*key, "_part").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("_part")
+
+
 def base_matches(cells: DataFrame, sources: list[str], radii: Radii) -> DataFrame:
-    """(seq, base_seq) for rows of the sources that meet a base row: the first in cell order, then input order."""
-    base = cells.where(F.col("source") == BASE_SOURCE).select(
-        F.col("type"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("seq").alias("base_seq"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")
-    )
-    probes = _around(cells.where(F.col("source").isin(*sources) & (F.col("source") != BASE_SOURCE)).select("seq", "source", "type", "lat", "lon", "cx", "cy"))
-    near = probes.join(base, ["type", "px", "py"]).where(
-        haversine_m(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) <= radii.column(F.col("source"))
-    )
+    """(seq, base_seq) for rows of the sources that meet a base row: the first in cell order, then input order.
+
+    Rows and base rows meet as blocks of their cells, so that pairs are neither shuffled nor sorted: a row gives one base row at most for each block.
+    """
+    limit_batches(cells.sparkSession)
+    placed = cells.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    base = _blocks(placed.where(F.col("source") == BASE_SOURCE), ["seq", "lat", "lon"], "bases").withColumnsRenamed({"cx": "px", "cy": "py"})
+    probes = placed.where(F.col("source").isin(*sources) & (F.col("source") != BASE_SOURCE)).withColumn("radius", radii.column(F.col("source")))
+    probes = _around(_blocks(probes, ["seq", "lat", "lon", "radius"], "rows"))
+    # By their bytes blocks would be put in few partitions; these are as many as shuffles have.
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda blocks: blocks.repartition(parts, "type", "px", "py")
+    met = deal(probes.drop("cx", "cy")).join(deal(base), ["type", "px", "py"]).select("px", "py", "rows", "bases")
+    near = met.mapInArrow(first_finder, "seq long, px long, py long, base_seq long")
     return near.groupBy("seq").agg(F.min(F.struct("px", "py", "base_seq")).alias("m")).select("seq", "m.base_seq")
 
 
@@ -139,7 +198,7 @@ def merged(poi: DataFrame, sources: list[str], radii: Radii | None = None) -> Da
     if not sources:
         return poi.withColumn("sources", F.lit(None).cast("array<string>"))
     cells = with_cells(poi, radii)
-    matches = base_matches(cells, sources, radii)
+    matches = checkpointed(base_matches(cells, sources, radii))
     folded = (
         matches.join(poi.select("seq", "source", "attribution", "clearance_m"), "seq")
         .groupBy("base_seq", "source")

@@ -49,6 +49,33 @@ def test_same_source_is_greedy_in_input_order(spark):
     assert set(got) == {0, 2} and got[0].clearance_m == 4.0 and got[2].clearance_m == 3.0
 
 
+@pytest.mark.parametrize("block, lat", [(4096, 42.0), (7, 42.0), (7, -80.0)])
+def test_base_matches_of_dense_places_give_few_rows(spark, monkeypatch, block, lat):
+    """The first base row of each row equals brute force, and what goes to the last grouping is a few rows for each, not their pairs."""
+    monkeypatch.setattr(dedupe, "BLOCK_ROWS", block)
+    rng = random.Random(block)
+    spot = lambda: (lat + rng.uniform(-60, 60) * METRE, 10 + rng.uniform(-60, 60) * METRE / math.cos(math.radians(lat)))
+    rows = [(k, rng.choice(["activecaptain", "activecaptain", "osm", "enc"]), "Lock", *spot()) for k in range(400)]
+    radii = dedupe.Radii({"osm": 12.0})
+    cells = dedupe.with_cells(spark.createDataFrame(rows, "seq long, source string, type string, lat double, lon double"), radii)
+    cell = {r.seq: (r.cx, r.cy) for r in cells.collect()}
+    pairs, want = 0, {}
+    for seq, source, _, *at in rows:
+        near = [b for b in rows if b[1] == "activecaptain" and boxes.distance(at, b[3:]) <= (12.0 if source == "osm" else dedupe.DEFAULT_RADIUS_M)] if source != "activecaptain" else []
+        pairs += len(near)
+        if near:
+            want[seq] = min((*cell[b[0]], b[0]) for b in near)[2]
+    found = dedupe.base_matches(cells, ["osm", "enc"], radii)
+    assert {r.seq: r.base_seq for r in found.collect()} == want and pairs > 20 * len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan  # pairs are settled where they are met
+    if block == 4096:
+        one = spark.createDataFrame([(r[0], r[3], r[4], 45.72) for r in rows], "seq long, lat double, lon double, radius double")
+        met = one.agg(F.collect_list(F.struct("seq", "lat", "lon", "radius")).alias("rows"), F.collect_list(F.struct("seq", "lat", "lon")).alias("bases"))
+        met = met.select(F.lit(1).cast("long").alias("px"), F.lit(2).cast("long").alias("py"), "rows", "bases")
+        assert met.mapInArrow(dedupe.first_finder, "seq long, px long, py long, base_seq long").count() == len(rows)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_greedy_rounds_equal_the_loop(spark, monkeypatch, seed):
     rng = random.Random(seed)
