@@ -46,7 +46,7 @@ class Raw:
         return "raw as (select p_partkey as k, " + ", ".join(f"{e} as {n}" for n, e in self.columns.items()) + " from (select p_partkey, p_partkey as k from part))"
 
     def rows(self, spark, sf_dir) -> DataFrame:
-        part = testbed.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"))
+        part = testbed.spread(testbed.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k")), "k")
         return part.selectExpr("k", *(f"{e} as {n}" for n, e in self.columns.items()))
 
 

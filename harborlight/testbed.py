@@ -47,6 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all cores, four tasks each: small files of few splits may have rows that are long work, or are joined with many others."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def poi(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rows(g: int, name: str, key: str, times: int) -> DataFrame:
         k = F.col(key).cast("long")

@@ -272,3 +272,11 @@ def test_layers_are_fanned_out_and_failures_told(spark, tmp_path):
 
 def test_no_details_are_no_rows(spark):
     assert federate.details_of(spark.createDataFrame([("a-1",)], "id string"), []).count() == 0
+
+
+def test_rows_of_long_work_are_spread_over_tasks(spark):
+    """The part table is one split; its rows' details are parsed by many tasks."""
+    from harborlight.plans import queries, source_queries  # noqa: F401  (registers)
+
+    made = queries.QUERIES["community_sections"](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(made) > 4 and max(r["count"] for r in made) < 0.5 * sum(r["count"] for r in made)
