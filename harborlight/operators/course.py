@@ -42,9 +42,10 @@ def waypoints_ahead(courses: DataFrame, routes: DataFrame) -> DataFrame:
     route_id, coordinates (an array of [lon, lat, ...]); entries that are no place on Earth are skipped.
     """
     place = lambda c: valid_longitude(F.get(c, F.lit(0))) & valid_latitude(F.get(c, F.lit(1)))
-    usable = F.filter("coordinates", place)
-    joined = courses.join(routes.select("route_id", usable.alias("points")).where(F.size("points") > 0), "route_id")
-    joined = joined.withColumn("points", F.when(F.coalesce("reverse", F.lit(False)), F.reverse("points")).otherwise(F.col("points")))
+    usable = F.transform(F.filter("coordinates", place), lambda c: F.struct(c[1].alias("lat"), c[0].alias("lon")))
+    known = routes.select("route_id", usable.alias("onward")).where(F.size("onward") > 0).withColumn("back", F.reverse("onward"))  # turned once for all courses
+    points = F.when(F.coalesce("reverse", F.lit(False)), F.col("back")).otherwise(F.col("onward"))
+    joined = courses.join(known, "route_id").withColumn("points", points)
     first = F.least(F.greatest(F.coalesce(F.floor("point_index"), F.lit(0)), F.lit(0)), F.size("points") - 1).cast("int")
     rows = joined.select("vessel", "route_id", first.alias("first"), F.posexplode("points").alias("at", "point")).where("at >= first")
-    return rows.select("vessel", "route_id", (F.col("at") - F.col("first")).alias("seq"), F.col("point")[1].alias("lat"), F.col("point")[0].alias("lon"))
+    return rows.select("vessel", "route_id", (F.col("at") - F.col("first")).alias("seq"), "point.lat", "point.lon")

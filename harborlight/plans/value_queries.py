@@ -279,7 +279,7 @@ def waypoints_ahead(spark, sf_dir):
     routes = stops.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("s")).select("route_id", F.col("s.c").alias("coordinates"))
     index = F.when(c % 5 == 0, F.lit(None)).when(c % 5 == 1, -2).otherwise(c % 7)
     courses = testbed.table(spark, sf_dir, "customer").select(c.alias("vessel"), (c % 40).alias("route_id"), (c % 2 == 1).alias("reverse"), index.alias("point_index"))
-    return course.waypoints_ahead(courses, routes).select("vessel", "seq", F.col("lat").cast("long").alias("lat"), F.col("lon").cast("long").alias("lon"))
+    return course.waypoints_ahead(testbed.spread(courses, "vessel"), routes).select("vessel", "seq", F.col("lat").cast("long").alias("lat"), F.col("lon").cast("long").alias("lon"))
 
 
 @query("page_repairs", "select l_orderkey % 97 as page from lineitem group by 1 having (l_orderkey % 97) % 6 = 0 or (l_orderkey % 97) % 7 = 1")

@@ -280,3 +280,10 @@ def test_rows_of_long_work_are_spread_over_tasks(spark):
 
     made = queries.QUERIES["community_sections"](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(made) > 4 and max(r["count"] for r in made) < 0.5 * sum(r["count"] for r in made)
+
+
+def test_courses_are_spread_over_tasks(spark):
+    from harborlight.plans import queries, value_queries  # noqa: F401  (registers)
+
+    made = queries.QUERIES["waypoints_ahead"](spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(made) > 4 and max(r["count"] for r in made) < 0.5 * sum(r["count"] for r in made)
