@@ -2,10 +2,10 @@
 
 The format is public (RFC 9649). Images are arrays of height by width by 4 bytes: red, green, blue, alpha.
 
-A stream of literals in one group of prefix codes, the common case here, is decoded over whole arrays: for every bit
+A stream of literals in one group of prefix codes is decoded over whole arrays: for every bit
 position the code lengths that would be read there give the position of the next pixel, a short walk picks those that
 begin a pixel, and the symbols are looked up at them. Streams with back-references, a colour cache or several groups are
-decoded pixel by pixel.
+decoded token by token.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ def _mirrored(bits: int = 15) -> np.ndarray:
 
 #: Each number of 15 bits with its bits in reverse.
 MIRROR = _mirrored()
+_MIRROR = MIRROR.tolist()
 
 
 def in_code_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +110,25 @@ class Bits:
         return int(code.symbol[k])
 
 
+def _small_code(lengths: list[int]) -> tuple[list[int], list[int]]:
+    """Code's symbols and lengths as lists, for few symbols."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) < 2:
+        return [used[0][1] if used else 0] * 2, [0, 0]
+    longest, start = used[-1][0], 0
+    size = 1 << longest
+    symbols, counts = [0] * size, [0] * size
+    for n, s in used:
+        if start >= 1 << 15:
+            raise ValueError("a prefix code is not complete")
+        first, times = _MIRROR[start], size >> n
+        symbols[first :: 1 << n], counts[first :: 1 << n] = [s] * times, [n] * times
+        start += 1 << (15 - n)
+    if start != 1 << 15:
+        raise ValueError("a prefix code is not complete")
+    return symbols, counts
+
+
 def read_lengths(bits: Bits, size: int) -> tuple[np.ndarray, bool]:
     """Code lengths of a prefix code over `size` symbols, and whether the header alone says where they end."""
     lengths = np.zeros(size, dtype=np.int64)
@@ -118,33 +138,36 @@ def read_lengths(bits: Bits, size: int) -> tuple[np.ndarray, bool]:
         if two:
             lengths[bits.read(8)] = 1
         return lengths, True
-    of_lengths = np.zeros(19, dtype=np.int64)
-    for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
-        of_lengths[k] = bits.read(3)
-    code = Code(of_lengths)
+    of_lengths = [0] * 19
+    listed = 4 + bits.read(4)
+    word = bits.read(3 * listed)
+    for i, k in enumerate(CODE_LENGTH_ORDER[:listed]):
+        of_lengths[k] = word >> 3 * i & 7
+    symbols, counts = _small_code(of_lengths)
     bounded = bool(bits.read(1))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bounded else size
-    symbols, counts, mask = code.symbol.tolist(), code.length.tolist(), (1 << code.bits) - 1
-    data, at = bits.data, bits.at
+    mask, data, at = len(symbols) - 1, bits.data, bits.at
     out: list[int] = []
     previous = 8
+    ahead = 0  # bits that word still has
     while len(out) < size and left:
         left -= 1
-        word = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        if ahead < 14:
+            word, ahead = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7), 57
         s, n = symbols[word & mask], counts[word & mask]
-        at, word = at + n, word >> n
+        at, word, ahead = at + n, word >> n, ahead - n
         if s < 16:
             out.append(s)
             previous = s or previous
         elif s == 16:
             out += [previous] * (3 + (word & 3))
-            at += 2
+            at, word, ahead = at + 2, word >> 2, ahead - 2
         elif s == 17:
             out += [0] * (3 + (word & 7))
-            at += 3
+            at, word, ahead = at + 3, word >> 3, ahead - 3
         else:
             out += [0] * (11 + (word & 127))
-            at += 7
+            at, word, ahead = at + 7, word >> 7, ahead - 7
     bits.at = at
     if len(out) > size:
         raise ValueError("too many code lengths")
@@ -207,6 +230,68 @@ def _prefixed(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
+def _one_group(bits: Bits, codes: list[Code], n: int, width: int, cache_bits: int) -> list[int]:
+    """n pixels of one group of codes whose alpha takes no bits, as 32-bit integers."""
+    first = bits.at >> 3
+    data = np.frombuffer(bits.data, dtype=np.uint8)[first:]
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel().tolist()
+    # An entry holds a code's length in its lowest six bits and its part of the pixel above; lengths and cache places are negative.
+    alpha = int(codes[3].symbol[0])
+    part = np.where(codes[0].symbol < 256, codes[0].symbol << 8 | alpha << 24, -1 - codes[0].symbol)
+    greens = (part << 6 | codes[0].length).tolist()
+    reds = (codes[1].symbol << 22 | codes[1].length).tolist()
+    blues = (codes[2].symbol << 6 | codes[2].length).tolist()
+    green_mask, red_mask, blue_mask = (len(table) - 1 for table in (greens, reds, blues))
+    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
+    out: list[int] = []
+    put, left = out.append, n
+    at, end = bits.at - first * 8, (len(data) - 8) * 8
+    try:
+        while left > 0:
+            word = words[at >> 3] >> (at & 7)
+            entry = greens[word & green_mask]
+            if entry >= 0:
+                word >>= entry & 63
+                more = reds[word & red_mask]
+                entry += more + blues[word >> (more & 63) & blue_mask]
+                at += entry & 63
+                pixel = entry >> 6
+                put(pixel)
+                left -= 1
+                if cache_bits:
+                    cache[((pixel * CACHE_FACTOR) & 0xFFFFFFFF) >> shift] = pixel
+                continue
+            at += entry & 63
+            symbol = -1 - (entry >> 6)
+            if symbol >= 280:
+                put(cache[symbol - 280])
+                left -= 1
+                if not out[-1]:  # a place that nothing was put in holds a pixel of zeros, which is put where it belongs
+                    cache[0] = 0
+                continue
+            bits.at = first * 8 + at
+            length = _prefixed(bits, symbol - 256)
+            code = _prefixed(bits, bits.symbol(codes[4]))
+            at = bits.at - first * 8
+            back = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+            if back > n - left or length > left:
+                raise ValueError("a back-reference leaves the image")
+            left -= length
+            copied = out[-back : length - back or None] if length < back else out[-back:]
+            while len(copied) < length:
+                copied += copied[: length - len(copied)]
+            out += copied
+            if cache_bits:
+                for pixel in copied[-back:]:  # those before it come again
+                    cache[((pixel * CACHE_FACTOR) & 0xFFFFFFFF) >> shift] = pixel
+    except IndexError:
+        at = end + 1
+    if at > end:
+        raise ValueError("the stream ends early")
+    bits.at = first * 8 + at
+    return out
+
+
 def _packed(pixels: np.ndarray) -> np.ndarray:
     """Pixels as 32-bit integers: alpha highest, then red, green, blue."""
     p = pixels.astype(np.uint32)
@@ -235,6 +320,8 @@ def read_image(bits: Bits, width: int, height: int, whole: bool) -> np.ndarray:
     n = width * height
     if group_of is None and not cache_size and not groups[0][0].lengths[256:].any():
         return _literals(bits, groups[0], n).reshape(height, width, 4)
+    if group_of is None and not groups[0][3].length.any():
+        return _unpacked(np.array(_one_group(bits, groups[0], n, width, cache_bits), dtype=np.uint32)).reshape(height, width, 4)
     out = [0] * n
     cache = [0] * cache_size
     shift = 32 - cache_bits
@@ -398,6 +485,132 @@ def decode(data: bytes) -> np.ndarray:
     return image
 
 
+#: Fewest images that are decoded in step; what is left of longer ones is decoded one by one.
+FEWEST_LANES = 64
+_EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)])
+_BASE = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
+_NEAR_X, _NEAR_Y = (np.array(c) for c in zip(*NEAR))
+
+
+def _stacked(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables laid end to end, where each begins, and the mask of each one's places."""
+    sizes = np.array([len(t) for t in tables])
+    return np.concatenate(tables), np.cumsum(sizes) - sizes, sizes - 1
+
+
+def _in_step(streams: list[tuple]) -> list[np.ndarray]:
+    """Pixels, as 32-bit integers, of streams (bits, codes, pixels, width, cache bits) as in _one_group, a pixel of each at a time.
+
+    The streams come by falling numbers of pixels.
+    """
+    codes = [s[1] for s in streams]
+    n, width, cache_bits = (np.array([s[k] for s in streams]) for k in (2, 3, 4))
+    sizes = np.array([len(s[0].data) for s in streams])
+    begin = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(s[0].data for s in streams), dtype=np.uint8)
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<i8").ravel()
+    at = begin * 8 + np.array([s[0].at for s in streams])
+    ends = (begin + sizes - 8) * 8
+    parts = [np.where(c[0].symbol < 256, c[0].symbol << 8 | int(c[3].symbol[0]) << 24, -1 - c[0].symbol) << 6 | c[0].length for c in codes]
+    greens, green_at, green_mask = _stacked(parts)
+    reds, red_at, red_mask = _stacked([c[1].symbol << 22 | c[1].length for c in codes])
+    blues, blue_at, blue_mask = _stacked([c[2].symbol << 6 | c[2].length for c in codes])
+    fars, far_at, far_mask = _stacked([c[4].symbol << 6 | c[4].length for c in codes])
+    first = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), dtype=np.int64)
+    cache_at = np.cumsum(1 << cache_bits) - (1 << cache_bits)
+    cache = np.zeros(int((1 << cache_bits).sum()), dtype=np.int64)
+    shift = 32 - cache_bits
+    left, back = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)  # pixels to copy, and from how far
+    lanes = np.searchsorted(-n, -np.arange(int(n[0])), side="left").tolist()  # images of more than so many pixels
+    active = long = 0
+    for k, m in enumerate(lanes):
+        if m < FEWEST_LANES:
+            long = m
+            break
+        if m != active:
+            active = m
+            g_at, g_mask, r_at, r_mask, b_at, b_mask = (x[:m] for x in (green_at, green_mask, red_at, red_mask, blue_at, blue_mask))
+            here, to_copy, to, to_cache, to_shift = at[:m], left[:m], first[:m], cache_at[:m], shift[:m]
+        try:
+            word = words[here >> 3] >> (here & 7)
+        except IndexError:
+            raise ValueError("the stream ends early") from None
+        entry = greens[(word & g_mask) + g_at]
+        copying = to_copy > 0
+        special = np.flatnonzero(copying | (entry < 0))
+        word >>= entry & 63
+        more = reds[(word & r_mask) + r_at]
+        word >>= more & 63
+        more += blues[(word & b_mask) + b_at]
+        more += entry
+        pixel = more >> 6
+        step = more & 63
+        if len(special):
+            step[special] = entry[special] & 63
+            on = copying[special]
+            copies, others = special[on], special[~on]
+            symbol = -1 - (entry[others] >> 6)
+            found = symbol >= 280
+            hits = others[found]
+            pixel[hits] = cache[cache_at[hits] + symbol[found] - 280]
+            starts = others[~found]
+            if len(starts):
+                symbol = symbol[~found] - 256
+                place = here[starts] + step[starts]
+                if (place > ends[starts]).any():
+                    raise ValueError("the stream ends early")
+                word = words[place >> 3] >> (place & 7)
+                length = _BASE[symbol] + (word & (1 << _EXTRA[symbol]) - 1)
+                word >>= _EXTRA[symbol]
+                far = fars[(word & far_mask[starts]) + far_at[starts]]
+                word >>= far & 63
+                by = far >> 6
+                code = _BASE[by] + (word & (1 << _EXTRA[by]) - 1)
+                near = np.minimum(code, 120) - 1
+                distance = np.where(code > 120, code - 120, np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width[starts]))
+                if (distance > k).any() or (length > n[starts] - k).any():
+                    raise ValueError("a back-reference leaves the image")
+                step[starts] += _EXTRA[symbol] + (far & 63) + _EXTRA[by]
+                left[starts], back[starts] = length, distance
+            step[copies] = 0
+            copies = np.concatenate((copies, starts))
+            pixel[copies] = out[first[copies] + k - back[copies]]
+            left[copies] -= 1
+        out[to + k] = pixel
+        cache[to_cache + ((pixel * CACHE_FACTOR & 0xFFFFFFFF) >> to_shift)] = pixel
+        here += step
+    if (at[long:] > ends[long:]).any():
+        raise ValueError("the stream ends early")
+    made = [_one_group(*s) for s in streams[:long]]
+    return [np.array(m, dtype=np.uint32) for m in made] + [out[a : a + size].astype(np.uint32) for a, size in zip(first[long:].tolist(), n[long:].tolist())]
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """The pixels of lossless WebP files; streams of one group of codes and no transform are decoded together."""
+    out: list = [None] * len(files)
+    streams = []
+    for k, data in enumerate(files):
+        bits = Bits(data[20 : 20 + int.from_bytes(data[16:20], "little")])
+        head = bits.read(40) if len(data) > 25 and data[:4] == b"RIFF" and data[8:16] == b"WEBPVP8L" else 0
+        width, height = (head >> 8 & 0x3FFF) + 1, (head >> 22 & 0x3FFF) + 1
+        # An opaque image of version 0, without transforms.
+        if head & 0xFF == 0x2F and not head >> 36 and not bits.read(1):
+            cache_bits = bits.read(4) if bits.read(1) else 0
+            if cache_bits <= 11 and not bits.read(1):
+                codes = read_group(bits, 1 << cache_bits if cache_bits else 0)
+                if not codes[3].length.any():
+                    streams.append((width * height, k, height, (bits, codes, width * height, width, cache_bits)))
+                    continue
+        out[k] = decode(data)
+    streams.sort(key=lambda s: -s[0])
+    if streams:
+        for (_, k, height, s), argb in zip(streams, _in_step([s[3] for s in streams])):
+            out[k] = _unpacked(argb).reshape(height, s[3], 4)
+            out[k][..., 3] = 255
+    return out
+
+
 class Fields:
     """Writes little-endian bit fields."""
 
@@ -451,30 +664,42 @@ def write_code(out: Fields, lengths: np.ndarray) -> None:
         lengths = lengths.copy()
         lengths[0] = 1
         used = np.array([0, used[0]])
-    out.put(0, 1)
+    tokens = _header_tokens(lengths)
+    of_lengths = code_lengths(_header_counts(tokens), 7)
+    _put_header(out, tokens, of_lengths.tolist(), reversed_codes(of_lengths).tolist())
+
+
+def _header_tokens(lengths: np.ndarray) -> list[tuple[int, int, int]]:
+    """Code lengths, up to the last used symbol, as tokens: symbol, extra value and extra bits."""
     tokens: list[tuple[int, int, int]] = []
     last = -1
-    values = lengths.tolist()
-    for k in used.tolist():
+    used = np.flatnonzero(lengths)
+    for k, value in zip(used.tolist(), lengths[used].tolist()):
         gap = k - last - 1
         last = k
-        while gap >= 11:
-            take = min(gap, 138)
-            tokens.append((18, take - 11, 7))
-            gap -= take
-        if gap >= 3:
-            tokens.append((17, gap - 3, 3))
-        else:
-            tokens += [(0, 0, 0)] * gap
-        tokens.append((values[k], 0, 0))
+        if gap:
+            while gap >= 11:
+                take = min(gap, 138)
+                tokens.append((18, take - 11, 7))
+                gap -= take
+            if gap >= 3:
+                tokens.append((17, gap - 3, 3))
+            else:
+                tokens += [(0, 0, 0)] * gap
+        tokens.append((value, 0, 0))
+    return tokens
+
+
+def _header_counts(tokens: list[tuple[int, int, int]]) -> np.ndarray:
     counts = np.bincount([t for t, _, _ in tokens], minlength=19)
     if np.count_nonzero(counts) == 1:
         counts[0 if counts[0] == 0 else 1] = 1
-    of_lengths = code_lengths(counts, 7)
-    codes = reversed_codes(of_lengths).tolist()
-    sizes = of_lengths.tolist()
-    listed = max(k for k in range(19) if sizes[CODE_LENGTH_ORDER[k]]) + 1
-    listed = max(4, listed)
+    return counts
+
+
+def _put_header(out: Fields, tokens: list[tuple[int, int, int]], sizes: list[int], codes: list[int]) -> None:
+    out.put(0, 1)
+    listed = max(4, max(k for k in range(19) if sizes[CODE_LENGTH_ORDER[k]]) + 1)
     out.put(listed - 4, 4)
     for k in CODE_LENGTH_ORDER[:listed]:
         out.put(sizes[k], 3)
@@ -483,10 +708,68 @@ def write_code(out: Fields, lengths: np.ndarray) -> None:
     wide = max(0, ((len(tokens) - 2).bit_length() - 1) // 2) if len(tokens) > 2 else 0
     out.put(wide, 3)
     out.put(len(tokens) - 2, 2 + 2 * wide)
+    value = size = 0
     for t, extra, n in tokens:
-        out.put(codes[t], sizes[t])
-        if n:
-            out.put(extra, n)
+        value |= (codes[t] | extra << sizes[t]) << size
+        size += sizes[t] + n
+    out.put(value, size)
+
+
+def _many_code_lengths(counts: np.ndarray, longest: int = MAX_BITS) -> np.ndarray:
+    """code_lengths of each row: leaves and inner nodes wait in two queues by weight, and all rows merge in step."""
+    far = 1 << 40
+    used = np.count_nonzero(counts, axis=1)
+    by_used = np.argsort(-used, kind="stable")
+    m = used[by_used]
+    most = int(m[0]) if len(m) else 0
+    lengths = np.zeros(counts.shape, dtype=np.int64)
+    if most:
+        order = np.argsort(np.where(counts > 0, counts, far)[by_used], axis=1, kind="stable")[:, :most]
+        held = np.arange(most) < m[:, None]
+        leaf = np.full((len(m), most + 1), far)
+        leaf[:, :most][held] = np.take_along_axis(counts[by_used], order, axis=1)[held]
+        inner = np.full((len(m), most + 1), far)
+        parent = np.zeros((len(m), 2 * most + 1), dtype=np.int64)
+        leaf_at, inner_at = np.arange(len(m)) * (most + 1), np.arange(len(m)) * (most + 1)
+        node_at = np.arange(len(m)) * (2 * most + 1)
+        at, done = np.zeros(len(m), dtype=np.int64), np.zeros(len(m), dtype=np.int64)
+        rows = np.searchsorted(-m, -np.arange(2 * most + 2), side="left").tolist()  # rows of more than so many symbols
+        leaves, inners, parents = leaf.ravel(), inner.ravel(), parent.ravel()
+        for t in range(most - 1):
+            r = rows[t + 1]
+            total = 0
+            for _ in range(2):
+                one, two = leaves[leaf_at[:r] + at[:r]], inners[inner_at[:r] + done[:r]]
+                first = one <= two
+                parents[node_at[:r] + np.where(first, at[:r], most + done[:r])] = most + t
+                total = total + np.minimum(one, two)
+                at[:r] += first
+                done[:r] += ~first
+            inner[:r, t] = total
+        depth = np.zeros((len(m), 2 * most + 1), dtype=np.int64)
+        depths = depth.ravel()
+        for t in range(most - 3, -1, -1):
+            r = rows[t + 2]
+            depth[:r, most + t] = depths[node_at[:r] + parent[:r, most + t]] + 1
+        deep = np.take_along_axis(depth, parent[:, :most], axis=1) + 1
+        made = np.zeros(counts.shape, dtype=np.int64)
+        np.put_along_axis(made, order, np.where(held, deep, 0), axis=1)
+        lengths[by_used] = made
+    lengths[used == 1] = counts[used == 1] > 0
+    for k in np.flatnonzero(lengths.max(axis=1, initial=0) > longest).tolist():
+        lengths[k] = code_lengths(counts[k], longest)
+    return lengths
+
+
+def _many_reversed_codes(lengths: np.ndarray) -> np.ndarray:
+    """reversed_codes of each row."""
+    order = np.argsort(np.where(lengths > 0, lengths, 99).astype(np.uint8), axis=1, kind="stable")
+    sorted_lengths = np.take_along_axis(lengths, order, axis=1)
+    share = np.where(sorted_lengths > 0, 1 << (15 - sorted_lengths), 0)
+    start = np.cumsum(share, axis=1) - share
+    codes = np.zeros(lengths.shape, dtype=np.int64)
+    np.put_along_axis(codes, order, np.where(sorted_lengths > 0, MIRROR[np.minimum(start, len(MIRROR) - 1)], 0), axis=1)
+    return codes
 
 
 def _value_symbol(value: int) -> tuple[int, int, int]:
@@ -587,6 +870,19 @@ def pack_bits(values: np.ndarray, sizes: np.ndarray, at: int) -> tuple[np.ndarra
     return words, total
 
 
+def _joined(out: Fields, value: np.ndarray, size: np.ndarray) -> bytes:
+    """The header's bits and behind them the fields."""
+    words, total = pack_bits(value, size, out.size)
+    head = out.value.to_bytes((out.size + 7) // 8 + 8, "little")
+    data = bytearray(words.tobytes()[: (total + 7) // 8])
+    if out.size & 7:
+        data[out.size >> 3 : (out.size >> 3) + 1] = bytes([data[out.size >> 3] | head[out.size >> 3]]) if len(data) > out.size >> 3 else b""
+    data[: out.size >> 3] = head[: out.size >> 3]
+    if len(data) < (out.size + 7) // 8:
+        data[out.size >> 3 :] = head[out.size >> 3 : (out.size + 7) // 8]
+    return bytes(data)
+
+
 def _write_literals(out: Fields, image: np.ndarray) -> bytes:
     """An image of literals in one group of codes, with one set of code lengths for red, green and blue."""
     out.put(0, 1)  # no colour cache
@@ -612,15 +908,7 @@ def _write_literals(out: Fields, image: np.ndarray) -> bytes:
         alpha_codes = reversed_codes(alpha_lengths)
         value = value | alpha_codes[flat[:, 3]] << size
         size = size + alpha_lengths[flat[:, 3]]
-    words, total = pack_bits(value, size, out.size)
-    head = out.value.to_bytes((out.size + 7) // 8 + 8, "little")
-    data = bytearray(words.tobytes()[: (total + 7) // 8])
-    if out.size & 7:
-        data[out.size >> 3 : (out.size >> 3) + 1] = bytes([data[out.size >> 3] | head[out.size >> 3]]) if len(data) > out.size >> 3 else b""
-    data[: out.size >> 3] = head[: out.size >> 3]
-    if len(data) < (out.size + 7) // 8:
-        data[out.size >> 3 :] = head[out.size >> 3 : (out.size + 7) // 8]
-    return bytes(data)
+    return _joined(out, value, size)
 
 
 def encode(
@@ -690,5 +978,241 @@ def encode(
         data = out.value.to_bytes((out.size + 7) // 8, "little")
     else:
         data = _write_literals(out, image)
+    return _file(data)
+
+
+def _file(data: bytes) -> bytes:
     chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + bytes(len(data) & 1)
     return b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk
+
+
+#: Transforms whose bits are compared for each image with those of its pixels as they are.
+TRANSFORMS = (
+    {"subtract_green": True}, {"cross": (0, 16, 16)}, {"predictor": 1}, {"predictor": 2}, {"predictor": 12},
+)
+CACHE_BITS = 6
+#: Pixels of the shortest back-reference, of the longest, and the farthest one.
+SHORTEST, LONGEST, FARTHEST = 3, 4096, (1 << 20) - 120
+_NEAR_RANK = {xy: k + 1 for k, xy in reversed(list(enumerate(NEAR)))}
+#: n times log2 of n, for the counts that texts have.
+_N_LOG = np.arange(4096) * np.log2(np.maximum(np.arange(4096), 1))
+
+
+def _code_bits(counts: np.ndarray) -> np.ndarray:
+    """Bits of a prefix code and of what it writes, estimated for each row of counts."""
+    total = counts.sum(axis=1)
+    logs = _N_LOG[counts].sum(axis=1) if total.max(initial=0) < len(_N_LOG) else (counts * np.log2(np.maximum(counts, 1))).sum(axis=1)
+    return total * np.log2(np.maximum(total, 1)) - logs + 4 * np.count_nonzero(counts, axis=1)
+
+
+def _residues(kind: dict, red: np.ndarray, green: np.ndarray, blue: np.ndarray, place: np.ndarray, width: np.ndarray) -> list[np.ndarray]:
+    """Channels after a transform, for images laid end to end; the left edge counts as inside an image."""
+    if "subtract_green" in kind:
+        return [red - green, green, blue - green]
+    if "cross" in kind:
+        part = [((factor * green.view(np.int8).astype(np.int16)) >> 5).astype(np.uint8) for factor in kind["cross"][1:]]
+        return [red - part[1], green, blue - part[0]]
+    here = np.arange(len(green))
+    begin = here - place  # nothing depends on the images before
+    left = np.maximum(here - 1, begin)
+    top = np.where(place < width, left, here - width)
+    out = []
+    for channel in (red, green, blue):
+        if kind["predictor"] == 12:
+            wide = channel.astype(np.int16)
+            guess = np.clip(wide[left] + wide[top] - wide[np.maximum(top - 1, begin)], 0, 255).astype(np.uint8)
+        else:
+            guess = channel[left if kind["predictor"] == 1 else top]
+        out.append(channel - guess)
+    return out
+
+
+def _previous(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose key (of 64 - bits bits) stood before, and where last; bits hold a place."""
+    shift = np.uint64(bits)
+    ranked = np.sort(keys << shift | np.arange(len(keys), dtype=np.uint64))
+    key = ranked >> shift
+    place = (ranked & np.uint64((1 << bits) - 1)).astype(np.int64)
+    same = np.flatnonzero(key[1:] == key[:-1])
+    return place[same + 1], place[same]
+
+
+def _references(argb: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references by a greedy walk to the last place of the same three pixels: places, distances, lengths."""
+    n = len(argb)
+    if n < SHORTEST:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    # 40 bits of hash at any number of pixels below 2^24, and no image's number in them: what is found depends on the image alone.
+    bits = max(24, n.bit_length())
+    wide = argb.astype(np.uint64)
+    key = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    key = (key ^ key >> np.uint64(29) ^ wide[2:] * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+    at, back = _previous(key >> np.uint64(bits), bits)
+    good = (owner[back] == owner[np.minimum(at + 2, n - 1)]) & (at - back <= FARTHEST)
+    for k in range(SHORTEST):
+        good &= argb[at + k] == argb[back + k]
+    at, back = at[good], back[good]
+    order = np.argsort(at)
+    at, back = at[order], back[order]
+    last = ends[owner[at]]
+    length = np.full(len(at), SHORTEST)
+    open_ = np.arange(len(at))
+    for k in range(SHORTEST, 32):
+        open_ = open_[at[open_] + k < last[open_]]
+        open_ = open_[argb[at[open_] + k] == argb[back[open_] + k]]
+        if not len(open_):
+            break
+        length[open_] += 1
+    chosen, lengths, free = [], [], 0
+    for k, (i, size) in enumerate(zip(at.tolist(), length.tolist())):
+        if i < free:
+            continue
+        if size == 32:
+            j, most = int(back[k]), min(LONGEST, int(last[k]) - i)
+            differ = argb[i : i + most] != argb[j : j + most]
+            size = int(differ.argmax()) if differ.any() else most
+        chosen.append(k)
+        lengths.append(size)
+        free = i + size
+    return at[chosen], at[chosen] - back[chosen], np.array(lengths, dtype=np.int64)
+
+
+def _value_symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, extra values and extra bits of lengths or distances."""
+    less = values - 1
+    top = np.maximum(np.frexp(np.maximum(less, 1).astype(np.float64))[1] - 1, 1)
+    extra = np.where(values <= 4, 0, top - 1)
+    symbol = np.where(values <= 4, less, 2 * top + (less >> (top - 1) & 1))
+    return symbol, less & ((1 << extra) - 1), extra
+
+
+def encode_opaque(images: list[np.ndarray]) -> list[bytes]:
+    """Lossless WebP files of opaque images, worked on together.
+
+    Each image's pixels become back-references, places in a colour cache, and literals, with the cache where it
+    saves bits. Each of TRANSFORMS is measured on each image and taken where the file gets smaller.
+    """
+    sides = [image.shape[:2] for image in images]
+    sizes = np.array([h * w for h, w in sides])
+    ends = np.cumsum(sizes)
+    count, n = len(images), int(ends[-1])
+    owner = np.repeat(np.arange(count), sizes)
+    flat = np.concatenate([image.reshape(-1, 4) for image in images])
+    red, green, blue = (np.ascontiguousarray(flat[:, k]) for k in range(3))
+    argb = _packed(flat)
+    low = owner * 256
+
+    def histogram(values, rows, size):
+        return np.bincount(rows * size + values, minlength=count * size).reshape(count, size)
+
+    def literal_bits(r, g, b):
+        others = np.bincount(np.concatenate((low + r, low + b)), minlength=count * 256).reshape(count, 256)
+        return _code_bits(np.bincount(low + g, minlength=count * 256).reshape(count, 256)) + _code_bits(others)
+
+    plain = literal_bits(red, green, blue)
+    place, width = np.arange(n) - (ends - sizes)[owner], np.repeat([w for _, w in sides], sizes)
+    changed = np.stack([literal_bits(*_residues(kind, red, green, blue, place, width)) for kind in TRANSFORMS])
+
+    start, distance, length = _references(argb, owner, ends)
+    kept = np.ones(n, dtype=bool)
+    steps = np.zeros(n + 1, dtype=np.int64)
+    steps[start] += 1
+    steps[start + length] -= 1
+    inside = np.cumsum(steps[:-1]) > 0
+    kept[inside] = False
+    kept[start] = True
+    is_reference = np.zeros(n, dtype=bool)
+    is_reference[start] = True
+    literal = kept & ~is_reference
+    # A pixel is in the cache if the last pixel of its cache place is the same.
+    cell = (argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - CACHE_BITS)
+    at, back = _previous((owner.astype(np.uint64) << np.uint64(CACHE_BITS)) | cell, n.bit_length())
+    hit = np.zeros(n, dtype=bool)
+    hit[at] = argb[at] == argb[back]
+    hit &= literal
+
+    length_symbol, length_extra, length_bits = _value_symbols(length)
+    x, y = np.zeros_like(distance), np.zeros_like(distance)
+    near = np.zeros_like(distance)
+    close = np.flatnonzero(distance <= 7 * width[start] + 8)
+    wide = width[start[close]]
+    y[close] = (distance[close] + 8) // wide
+    x[close] = distance[close] - y[close] * wide
+    near[close] = [_NEAR_RANK.get(xy, 0) for xy in zip(x[close].tolist(), y[close].tolist())]
+    far_symbol, far_extra, far_bits = _value_symbols(np.where(near > 0, near, distance + 120))
+
+    alphabet = ALPHABETS[0] + (1 << CACHE_BITS)
+    shown = np.flatnonzero(literal)
+    heads = histogram(256 + length_symbol, owner[start], alphabet)
+    without = heads + histogram(green[shown].astype(np.int64), owner[shown], alphabet)
+    others = histogram(red[shown].astype(np.int64), owner[shown], 256) + histogram(blue[shown].astype(np.int64), owner[shown], 256)
+    hits, rest = np.flatnonzero(hit), np.flatnonzero(literal & ~hit)
+    cached = heads + histogram(green[rest].astype(np.int64), owner[rest], alphabet) + histogram(280 + cell[hits].astype(np.int64), owner[hits], alphabet)
+    less = histogram(red[rest].astype(np.int64), owner[rest], 256) + histogram(blue[rest].astype(np.int64), owner[rest], 256)
+    far = histogram(far_symbol, owner[start], ALPHABETS[4])
+    bits_without, bits_cached = _code_bits(without) + _code_bits(others), _code_bits(cached) + _code_bits(less)
+    use_cache = bits_cached < bits_without
+    hit &= use_cache[owner]
+
+    opaque = np.zeros(256, dtype=np.int64)
+    opaque[255] = 1
+    tables = [np.where(use_cache[:, None], cached, without), np.where(use_cache[:, None], less, others), far]
+    lengths = [_many_code_lengths(table) for table in tables]
+    headers: list[list] = []
+    for made in lengths:
+        headers.append([_header_tokens(row) if np.count_nonzero(row) > 1 else None for row in made])
+    listed = [tokens for some in headers for tokens in some if tokens]
+    of_lengths = _many_code_lengths(np.array([_header_counts(tokens) for tokens in listed]).reshape(-1, 19), 7)
+    parts = iter(zip(of_lengths.tolist(), _many_reversed_codes(of_lengths).tolist()))
+    fields: list[list[Fields]] = []
+    for made, some in zip(lengths, headers):
+        fields.append([])
+        for row, tokens in zip(made, some):
+            header = Fields()
+            if tokens:
+                _put_header(header, tokens, *next(parts))
+            else:
+                write_code(header, row)
+                row[:] = 0  # a code of one symbol takes no bits
+            fields[-1].append(header)
+    codes = [_many_reversed_codes(made) for made in lengths]
+    outs = []
+    for k, (height, across) in enumerate(sides):
+        out = Fields()
+        out.put(0x2F | (across - 1) << 8 | (height - 1) << 22, 40)  # opaque, version 0
+        out.put(0, 1)  # no transform
+        out.put(1 | CACHE_BITS << 1 if use_cache[k] else 0, 5 if use_cache[k] else 1)
+        out.put(0, 1)  # one group
+        for c in (0, 1, 1):
+            out.put(fields[c][k].value, fields[c][k].size)
+        write_code(out, opaque)
+        out.put(fields[2][k].value, fields[2][k].size)
+        outs.append(out)
+
+    # Fields of all tokens, in order.
+    tokens = np.flatnonzero(kept)
+    who = owner[tokens]
+    symbol = green[tokens].astype(np.int64)
+    hit_here, head_here = hit[tokens], is_reference[tokens]
+    symbol[hit_here] = 280 + cell[tokens[hit_here]].astype(np.int64)
+    symbol[head_here] = 256 + length_symbol
+    value, size = codes[0][who, symbol], lengths[0][who, symbol]
+    some = np.flatnonzero(~hit_here & ~head_here)
+    mine = who[some]
+    for channel in (red, blue):
+        s = channel[tokens[some]]
+        value[some] |= codes[1][mine, s] << size[some]
+        size[some] += lengths[1][mine, s]
+    some = np.flatnonzero(head_here)
+    mine = who[some]
+    for v, bits in ((length_extra, length_bits), (codes[2][mine, far_symbol], lengths[2][mine, far_symbol]), (far_extra, far_bits)):
+        value[some] |= v << size[some]
+        size[some] += bits
+    cuts = np.searchsorted(who, np.arange(count + 1))
+    files = [_file(_joined(out, value[a:b], size[a:b])) for out, a, b in zip(outs, cuts[:-1], cuts[1:])]
+    # What a transform leaves is worth writing where its literals alone are fewer bits than the file has.
+    best = changed.argmin(axis=0)
+    for k in np.flatnonzero((changed.min(axis=0) < plain) & (changed.min(axis=0) < [8 * len(f) for f in files])).tolist():
+        other = encode(images[k], **TRANSFORMS[best[k]], cache_bits=CACHE_BITS, references=True)
+        files[k] = min(files[k], other, key=len)
+    return files

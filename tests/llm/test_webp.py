@@ -167,6 +167,57 @@ def test_payloads_come_back(text):
     assert media.load(media.store(data)).tobytes() == data
 
 
+def usual_texts(seed, count, most=400):
+    rng = np.random.RandomState(seed)
+    words = ["".join(map(chr, rng.randint(97, 123, rng.randint(2, 9)))) for _ in range(200)]
+    return [" ".join(words[k] for k in (rng.zipf(1.3, rng.randint(0, most)) % 200)) for _ in range(count)]
+
+
+def parts_of(stored):
+    """Whether a stored image has a transform, and the code lengths of green, of back-references and cache places."""
+    bits = webp.Bits(stored[20:])
+    bits.read(40)
+    if bits.read(1):
+        return True, None
+    cache = 1 << bits.read(4) if bits.read(1) else 0
+    assert not bits.read(1)
+    return False, webp.read_group(bits, cache)[0].lengths
+
+
+def test_usual_texts_are_stored_with_references_and_colour_cache():
+    for text in usual_texts(5, 4, 40000)[:2] + ["".join(usual_texts(6, 20))]:
+        data, _ = media.payload(text)
+        stored = media.store(data)
+        transformed, green = parts_of(stored)
+        assert not transformed and green[256:280].any() and green[280:].any()
+        assert len(stored) < len(webp.encode(media.to_image(data)))
+        assert media.load(stored).tobytes() == data
+
+
+@pytest.mark.parametrize("step", [1, 64])
+def test_transforms_are_used_where_they_save_bits(step):
+    rng = np.random.RandomState(step)
+    pixels = np.cumsum(rng.randint(0, 3, (40 * 64 // step, step, 3)), axis=0).astype(np.uint8)  # like the pixel before it, or the one above
+    data = pixels.tobytes()
+    stored = media.store(data)
+    assert parts_of(stored)[0] and len(stored) < len(data) / 2
+    assert media.load(stored).tobytes() == data
+
+
+def test_images_decoded_in_step():
+    texts = usual_texts(7, 150) + ["", "Word " * 700, "ab" * 900, "é" * 500, usual_texts(8, 1, 9000)[0]] + ["".join(map(chr, range(32, 127))) * 40]
+    payloads = [media.payload(t)[0] for t in texts]
+    stored = media.store_all(payloads)
+    assert stored == [media.store(data) for data in payloads]  # whatever they are stored together with
+    for some in (slice(None), slice(0, 10)):
+        for data, made in zip(payloads[some], media.images_all(stored[some])):
+            assert b"".join(pixels.tobytes() for pixels in made) == data
+    for k, data in enumerate(stored):
+        assert np.array_equal(webp.decode(data), webp.decode_all([data])[0])
+    with pytest.raises(ValueError):
+        webp.decode_all([data[: 20 + len(data) // 2] for data in stored])
+
+
 def test_payloads_too_high_for_one_column():
     data = bytes(range(256)) * 3 * 4 * 4101
     data = data[: len(data) // 192 * 192]
