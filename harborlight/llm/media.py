@@ -27,8 +27,9 @@ ROW = 192
 WIDTH = ROW // 3
 #: The most that one image holds by its sides.
 PART_BYTES = webp.MAX_SIDE * (webp.MAX_SIDE // WIDTH) * ROW
-#: Most bytes of texts that are stored or read back together, where they are several.
-TOGETHER = 4 << 20
+#: Most rows, and bytes of texts, that are stored together and read back together, where they are several.
+STORED_ROWS, STORED_BYTES = 512, 4 << 20
+READ_ROWS, READ_BYTES = 4096, 16 << 20
 
 
 def padded(n: int) -> int:
@@ -123,11 +124,11 @@ def feature(*made: np.ndarray) -> str:
     return f"{sides} mean {means[0]:.3f},{means[1]:.3f},{means[2]:.3f} entropy {entropy:.4f}"
 
 
-def _parts(batch: pa.RecordBatch, sizes: list[int], most_rows: int):
-    """Slices of a batch that hold so many rows and TOGETHER bytes of text at most, or one row."""
+def _parts(batch: pa.RecordBatch, sizes: list[int], most_rows: int, most_bytes: int):
+    """Slices of a batch that hold so many rows and bytes of text at most, or one row."""
     start = held = 0
     for k, size in enumerate(sizes):
-        if k > start and (k - start == most_rows or held + size > TOGETHER):
+        if k > start and (k - start == most_rows or held + size > most_bytes):
             yield batch.slice(start, k - start)
             start, held = k, 0
         held += size
@@ -135,10 +136,25 @@ def _parts(batch: pa.RecordBatch, sizes: list[int], most_rows: int):
         yield batch.slice(start)
 
 
+def _read_together(batches):
+    """The rows of batches, of several where they are small, so that no more than READ_ROWS and READ_BYTES come at once, or one row."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        for part in _parts(batch, batch.column("n_bytes").to_pylist(), READ_ROWS, READ_BYTES):
+            more = sum(part.column("n_bytes").to_pylist())
+            if held and (rows + part.num_rows > READ_ROWS or size + more > READ_BYTES):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, rows, size = [], 0, 0
+            held.append(part)
+            rows, size = rows + part.num_rows, size + more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _store_rows(batches):
     for batch in batches:
         sizes = [len(t or "") for t in batch.column("text").to_pylist()]
-        for part in _parts(batch, sizes, 512):
+        for part in _parts(batch, sizes, STORED_ROWS, STORED_BYTES):
             made = [payload(t) for t in part.column("text").to_pylist()]
             media = pa.array(store_all([data for data, _ in made]), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -147,21 +163,21 @@ def _store_rows(batches):
 
 
 def _load_rows(batches):
-    for batch in batches:
-        for part in _parts(batch, batch.column("n_bytes").to_pylist(), 1024):
-            rows = []
-            read_back = images_all(part.column("media").to_pylist())
-            for media, n, made in zip(part.column("media").to_pylist(), part.column("n_bytes").to_pylist(), read_back):
-                data = b"".join(pixels.tobytes() for pixels in made)[: padded(n)]
-                rows.append((
-                    len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media),
-                    hashlib.sha256(media).hexdigest(), feature(*made),
-                ))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
+    for part in _read_together(batches):
+        rows = []
+        read_back = images_all(part.column("media").to_pylist())
+        for media, n, made in zip(part.column("media").to_pylist(), part.column("n_bytes").to_pylist(), read_back):
+            data = b"".join(pixels.tobytes() for pixels in made)[: padded(n)]
+            rows.append((
+                len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media),
+                hashlib.sha256(media).hexdigest(), feature(*made),
+            ))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        table = part.drop_columns(["media"])
+        for name, values, kind in zip(names, zip(*rows), kinds):
+            table = table.append_column(name, pa.array(values, kind))
+        yield from table.to_batches()
 
 
 def media_table(docs: DataFrame) -> DataFrame:

@@ -486,36 +486,129 @@ def decode(data: bytes) -> np.ndarray:
 
 
 #: Fewest images that are decoded in step; what is left of longer ones is decoded one by one.
-FEWEST_LANES = 64
+FEWEST_LANES = 32
 _EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)])
 _BASE = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
 _NEAR_X, _NEAR_Y = (np.array(c) for c in zip(*NEAR))
 
 
-def _stacked(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables laid end to end, where each begins, and the mask of each one's places."""
-    sizes = np.array([len(t) for t in tables])
-    return np.concatenate(tables), np.cumsum(sizes) - sizes, sizes - 1
+def _many_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code's tables of each row of lengths, laid end to end: symbols, lengths, where each begins, and the mask of its places."""
+    used = np.count_nonzero(lengths, axis=1)
+    bits = np.where(used < 2, 1, lengths.max(axis=1)).astype(np.int64)
+    if (((lengths > 0) * (1 << 15 >> lengths.astype(np.int32))).sum(axis=1)[used > 1] != 1 << 15).any():
+        raise ValueError("a prefix code is not complete")
+    sizes = 1 << bits
+    begin = np.cumsum(sizes) - sizes
+    symbols, counts = np.zeros(int(sizes.sum()), dtype=np.int16), np.zeros(int(sizes.sum()), dtype=np.int16)
+    few = np.flatnonzero(used < 2)
+    symbols[begin[few, None] + np.arange(2)] = lengths[few].argmax(axis=1)[:, None]
+    for b in np.unique(bits[used > 1]).tolist():
+        rows = np.flatnonzero((used > 1) & (bits == b))
+        mine = lengths[rows]
+        order = np.argsort(np.where(mine > 0, mine, np.uint8(99)), axis=1, kind="stable")[:, : int(used[rows].max())]
+        mine = np.take_along_axis(mine, order, axis=1)
+        times = np.where(mine > 0, 1 << b >> mine.astype(np.int32), 0).ravel()
+        place = MIRROR[: 1 << b] >> (15 - b)
+        to = begin[rows, None] + np.arange(1 << b)
+        symbols[to] = np.repeat(order.ravel().astype(np.int16), times).reshape(len(rows), -1)[:, place]
+        counts[to] = np.repeat(mine.ravel(), times).reshape(len(rows), -1)[:, place]
+    return symbols, counts, begin, sizes - 1
+
+
+def _many_lengths(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """read_lengths of each stream, in step: words holds 64 bits from each byte on, and `at`, which moves on, the places in bits."""
+    lengths = np.zeros((len(at), int(size.max())), dtype=np.uint8)
+    word = words[at >> 3] >> (at & 7)
+    short = word & 1 > 0
+    lanes = np.flatnonzero(short)
+    two, wide = word[lanes] >> 1 & 1, word[lanes] >> 2 & 1
+    first = 1 + 7 * wide
+    lengths[lanes, word[lanes] >> 3 & (1 << first) - 1] = 1
+    both = two > 0
+    second = (word[lanes] >> (3 + first) & 255)[both]
+    if (second >= size[lanes[both]]).any():
+        raise ValueError("a prefix code names a symbol that there is not")
+    lengths[lanes[both], second] = 1
+    at[lanes] += 3 + first + 8 * two
+    lanes = np.flatnonzero(~short)
+    if not len(lanes):
+        return lengths
+    listed = 4 + (word[lanes] >> 1 & 15)
+    here = at[lanes] + 5
+    word = words[here >> 3] >> (here & 7)
+    of_lengths = np.zeros((len(lanes), 19), dtype=np.uint8)
+    for i, k in enumerate(CODE_LENGTH_ORDER):
+        of_lengths[:, k] = np.where(i < listed, word >> 3 * i & 7, 0)
+    here += 3 * listed
+    symbols, counts, begin, mask = _many_tables(of_lengths)
+    word = words[here >> 3] >> (here & 7)
+    n = 2 + 2 * (word >> 1 & 7)
+    bounded = word & 1 > 0
+    left = np.where(bounded, 2 + (word >> 4 & (1 << n) - 1), size[lanes])
+    here += np.where(bounded, 4 + n, 1)
+    place, previous, most = np.zeros(len(lanes), dtype=np.int64), np.full(len(lanes), 8), size[lanes]
+    open_ = np.arange(len(lanes))
+    while len(open_):
+        go = here[open_]
+        word = words[go >> 3] >> (go & 7)
+        k = begin[open_] + (word & mask[open_])
+        s, n = symbols[k].astype(np.int64), counts[k].astype(np.int64)
+        extra = word >> n
+        plain = s < 16
+        to = place[open_]
+        lengths[lanes[open_[plain]], to[plain]] = s[plain]
+        some = plain & (s > 0)
+        previous[open_[some]] = s[some]
+        run = np.where(plain, 1, np.where(s == 18, 11 + (extra & 127), 3 + (extra & np.where(s == 17, 7, 3))))
+        to = place[open_] = to + run
+        here[open_] = go + n + np.where(plain, 0, np.where(s == 18, 7, s - 14))
+        if (to > most[open_]).any():
+            raise ValueError("too many code lengths")
+        for lane, end, times in zip(*(x[s == 16].tolist() for x in (open_, to, run))):
+            lengths[lanes[lane], end - times : end] = previous[lane]
+        left[open_] -= 1
+        open_ = open_[(left[open_] > 0) & (to < most[open_])]
+    at[lanes] = here
+    return lengths
 
 
-def _in_step(streams: list[tuple]) -> list[np.ndarray]:
-    """Pixels, as 32-bit integers, of streams (bits, codes, pixels, width, cache bits) as in _one_group, a pixel of each at a time.
+def _in_step(streams: list[tuple]) -> list[np.ndarray | None]:
+    """Pixels, as 32-bit integers, of streams (bits, pixels, width, cache bits) of one group of codes, a pixel of each at a time.
 
-    The streams come by falling numbers of pixels.
+    The streams come by falling numbers of pixels; one whose alpha takes bits gets None.
     """
-    codes = [s[1] for s in streams]
-    n, width, cache_bits = (np.array([s[k] for s in streams]) for k in (2, 3, 4))
     sizes = np.array([len(s[0].data) for s in streams])
     begin = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(s[0].data for s in streams), dtype=np.uint8)
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<i8").ravel()
     at = begin * 8 + np.array([s[0].at for s in streams])
     ends = (begin + sizes - 8) * 8
-    parts = [np.where(c[0].symbol < 256, c[0].symbol << 8 | int(c[3].symbol[0]) << 24, -1 - c[0].symbol) << 6 | c[0].length for c in codes]
-    greens, green_at, green_mask = _stacked(parts)
-    reds, red_at, red_mask = _stacked([c[1].symbol << 22 | c[1].length for c in codes])
-    blues, blue_at, blue_mask = _stacked([c[2].symbol << 6 | c[2].length for c in codes])
-    fars, far_at, far_mask = _stacked([c[4].symbol << 6 | c[4].length for c in codes])
+    cache_bits = np.array([s[3] for s in streams])
+    lengths = []
+    for k, size in enumerate(ALPHABETS):
+        try:
+            lengths.append(_many_lengths(words, at, size + np.where(cache_bits > 0, 1 << cache_bits, 0) * (k == 0)))
+        except IndexError:
+            raise ValueError("the stream ends early") from None
+    if (at > ends).any():
+        raise ValueError("the stream ends early")
+    good = np.flatnonzero(np.count_nonzero(lengths[3], axis=1) < 2)
+    result: list[np.ndarray | None] = [None] * len(streams)
+    if not len(good):
+        return result
+    at, begin, ends, cache_bits, lengths = at[good], begin[good], ends[good], cache_bits[good], [x[good] for x in lengths]
+    n, width = (np.array([streams[g][k] for g in good.tolist()]) for k in (1, 2))
+    alpha = lengths[3].argmax(axis=1).astype(np.int64) << 24
+    # An entry holds a code's length in its lowest six bits and its part of the pixel above; lengths and cache places are negative.
+    symbols, counts, green_at, green_mask = _many_tables(lengths[0])
+    greens = np.where(symbols < 256, symbols.astype(np.int32) << 8, -1 - symbols.astype(np.int32)) << 6 | counts
+    symbols, counts, red_at, red_mask = _many_tables(lengths[1])
+    reds = symbols.astype(np.int32) << 22 | counts
+    symbols, counts, blue_at, blue_mask = _many_tables(lengths[2])
+    blues = symbols.astype(np.int32) << 6 | counts
+    symbols, counts, far_at, far_mask = _many_tables(lengths[4])
+    fars = symbols.astype(np.int32) << 6 | counts
     first = np.cumsum(n) - n
     out = np.zeros(int(n.sum()), dtype=np.int64)
     cache_at = np.cumsum(1 << cache_bits) - (1 << cache_bits)
@@ -524,6 +617,7 @@ def _in_step(streams: list[tuple]) -> list[np.ndarray]:
     left, back = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)  # pixels to copy, and from how far
     lanes = np.searchsorted(-n, -np.arange(int(n[0])), side="left").tolist()  # images of more than so many pixels
     active = long = 0
+    start_at = at.copy()
     for k, m in enumerate(lanes):
         if m < FEWEST_LANES:
             long = m
@@ -531,7 +625,7 @@ def _in_step(streams: list[tuple]) -> list[np.ndarray]:
         if m != active:
             active = m
             g_at, g_mask, r_at, r_mask, b_at, b_mask = (x[:m] for x in (green_at, green_mask, red_at, red_mask, blue_at, blue_mask))
-            here, to_copy, to, to_cache, to_shift = at[:m], left[:m], first[:m], cache_at[:m], shift[:m]
+            here, to_copy, to, to_cache, to_shift, opacity = at[:m], left[:m], first[:m], cache_at[:m], shift[:m], alpha[:m]
         try:
             word = words[here >> 3] >> (here & 7)
         except IndexError:
@@ -544,7 +638,7 @@ def _in_step(streams: list[tuple]) -> list[np.ndarray]:
         word >>= more & 63
         more += blues[(word & b_mask) + b_at]
         more += entry
-        pixel = more >> 6
+        pixel = (more >> 6) + opacity
         step = more & 63
         if len(special):
             step[special] = entry[special] & 63
@@ -582,8 +676,14 @@ def _in_step(streams: list[tuple]) -> list[np.ndarray]:
         here += step
     if (at[long:] > ends[long:]).any():
         raise ValueError("the stream ends early")
-    made = [_one_group(*s) for s in streams[:long]]
-    return [np.array(m, dtype=np.uint32) for m in made] + [out[a : a + size].astype(np.uint32) for a, size in zip(first[long:].tolist(), n[long:].tolist())]
+    for lane, (g, a, size) in enumerate(zip(good.tolist(), first.tolist(), n.tolist())):
+        if lane < long:
+            bits = streams[g][0]
+            bits.at = int(start_at[lane] - begin[lane] * 8)
+            result[g] = np.array(_one_group(bits, [Code(x[lane].astype(np.int64)) for x in lengths], *streams[g][1:]), dtype=np.uint32)
+        else:
+            result[g] = out[a : a + size].astype(np.uint32)
+    return result
 
 
 def decode_all(files: list[bytes]) -> list[np.ndarray]:
@@ -598,15 +698,16 @@ def decode_all(files: list[bytes]) -> list[np.ndarray]:
         if head & 0xFF == 0x2F and not head >> 36 and not bits.read(1):
             cache_bits = bits.read(4) if bits.read(1) else 0
             if cache_bits <= 11 and not bits.read(1):
-                codes = read_group(bits, 1 << cache_bits if cache_bits else 0)
-                if not codes[3].length.any():
-                    streams.append((width * height, k, height, (bits, codes, width * height, width, cache_bits)))
-                    continue
+                streams.append((width * height, k, height, (bits, width * height, width, cache_bits)))
+                continue
         out[k] = decode(data)
     streams.sort(key=lambda s: -s[0])
     if streams:
         for (_, k, height, s), argb in zip(streams, _in_step([s[3] for s in streams])):
-            out[k] = _unpacked(argb).reshape(height, s[3], 4)
+            if argb is None:
+                out[k] = decode(files[k])
+                continue
+            out[k] = _unpacked(argb).reshape(height, s[2], 4)
             out[k][..., 3] = 255
     return out
 

@@ -260,3 +260,56 @@ def test_query_columns(spark):
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (n, len(data), zlib.crc32(data[-16:]))
         assert r.payload_sha256 == hashlib.sha256(data).hexdigest()
     assert rows[None].media_sha256 == rows[2].media_sha256
+
+
+def test_codes_of_many_images_are_read_in_step(monkeypatch):
+    sides = np.random.RandomState(4).randint(1, 40, (60, 2)).tolist()
+    images = [picture(k, h, w, 30 if k % 3 else None) for k, (h, w) in enumerate(sides)]
+    for image in images:
+        image[..., 3] = 255
+    files = [webp.encode(im, cache_bits=k % 12, references=bool(k % 2)) for k, im in enumerate(images)]
+    single = [webp.decode(f) for f in files]
+    monkeypatch.setattr(webp, "read_group", None)  # reads the codes of one image
+    for one, together, image in zip(single, webp.decode_all(files), images):
+        assert np.array_equal(one, image) and np.array_equal(together, image)
+
+
+def test_code_lengths_read_in_step_as_one_by_one():
+    rng = np.random.RandomState(5)
+    made, sizes = [], []
+    for k in range(40):
+        out = webp.Fields()
+        if k % 4 == 0:
+            out.put(1 | (k % 8 // 4) << 1 | 1 << 2 | int(rng.randint(256)) << 3, 11)
+            out.put(int(rng.randint(40)), 8 * (k % 8 // 4))
+        elif k % 4 == 1:  # the length before it again, and zeros by both runs
+            tokens = [(8, 0, 0)] * 3 + [(16, 3, 2)] * 42 + [(8, 0, 0), (17, 2, 3)]
+            of_lengths = webp.code_lengths(webp._header_counts(tokens), 7)
+            webp._put_header(out, tokens, of_lengths.tolist(), webp.reversed_codes(of_lengths).tolist())
+        else:
+            webp.write_code(out, webp.code_lengths(rng.randint(0, 50, 280) * (rng.rand(280) < rng.rand())))
+        made.append(out.value.to_bytes((out.size + 7) // 8 + 24, "little"))
+        sizes.append(280)
+    starts = np.cumsum([0] + [len(m) for m in made])[:-1] * 8
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(made), dtype=np.uint8), 8)).view("<i8").ravel()
+    at = starts.copy()
+    found = webp._many_lengths(words, at, np.array(sizes))
+    for k, data in enumerate(made):
+        bits = webp.Bits(data)
+        lengths, _ = webp.read_lengths(bits, 280)
+        assert np.array_equal(found[k], lengths) and at[k] - starts[k] == bits.at
+
+
+def test_small_batches_are_read_back_together(monkeypatch):
+    import pyarrow as pa
+
+    texts = [f"text {k} " * (k % 30) for k in range(100)]
+    rows = list(zip(*((k, len(t), media.store(media.payload(t)[0])) for k, t in enumerate(texts))))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["doc_id", "n_bytes", "media"])
+    calls, read = [], media.images_all
+    monkeypatch.setattr(media, "images_all", lambda files: calls.append(len(files)) or read(files))
+    small = pa.Table.from_batches(list(media._load_rows(batch.slice(k, 10) for k in range(0, 100, 10))))
+    whole = pa.Table.from_batches(list(media._load_rows([batch])))
+    assert calls == [100, 100] and small.combine_chunks().equals(whole.combine_chunks())
+    monkeypatch.setattr(media, "READ_ROWS", 7)
+    assert pa.Table.from_batches(list(media._load_rows([batch]))).combine_chunks().equals(whole.combine_chunks()) and max(calls[2:]) == 7
