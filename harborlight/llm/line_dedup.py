@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import join_by_shuffles, read, stored
 
 #: Bits of the broadcast bitmap, as words of 64: at most 2^18 rows, whatever the input's size.
 FILTER_BITS = 1 << 24
@@ -174,6 +174,7 @@ def earlier_neighbours(lines: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and any others) without repeated lines in text, and the columns n_lines and n_dropped."""
+    join_by_shuffles(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))

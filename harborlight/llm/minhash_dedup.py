@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import limit_batches, read, stored, whole_runs
+from .common import join_by_shuffles, limit_batches, read, stored, whole_runs
 from .components import connected_components, forest
 from .shingles import mixed, shingle_sets
 from .tokens import text_slices
@@ -278,6 +278,7 @@ def document_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     limit_batches(docs.sparkSession)
+    join_by_shuffles(docs.sparkSession)
     sketched, classes, own_links = document_classes(docs)
     keys = (
         classes.select("rep", "registers")
@@ -341,7 +342,8 @@ def near_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     flagged = stored(by_block(blocks.join(sketches, "rep")).mapInArrow(_open_rows, kinds), "open-rows")
     loaded = by_block(flagged.join(sketches.join(sets, "rep"), "rep"))
     more = stored(loaded.mapInArrow(_link_rows, "a long, b long"), "more-links")
-    components = connected_components(links.union(more))
+    # What the first links reach is one step away by now, so few rounds are left.
+    components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     by_class = classes.select("digest", "rep", "doc").join(components.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("digest", "doc", F.coalesce("component", "rep").alias("number"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from harborlight.llm import minhash_dedup, shingles, vector_dedup
+from harborlight.llm import line_dedup, minhash_dedup, shingles, vector_dedup
 from harborlight.llm.components import connected_components
 
 
@@ -179,3 +179,21 @@ def test_repeated_ids_and_no_documents(spark):
     assert len(rows) == 5 and {r.component_id for r in rows if r.doc_id is not None} == {1}
     assert sorted((r.doc_id or 0, r.text) for r in minhash_dedup.keep_one(frame).collect()) == [(0, text), (1, text)]
     assert minhash_dedup.near_documents(frame.limit(0)).count() == 0
+
+
+def test_no_shuffled_join_is_broadcast_as_it_runs(spark):
+    words = [f"w{k % 97}" for k in range(400)]
+    texts = [" ".join(words[k % 7 :]) + f"\nline {k % 5} of text number {k}" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in zip(settings, ("-1", "10m")):
+            spark.conf.set(name, value)
+        for made in (minhash_dedup.keep_one(docs), line_dedup.keep_first_lines(docs)):
+            made.collect()
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
